@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Files of public tokenizers; a deployment can point the operators elsewhere.
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -22,7 +23,34 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), MULTI_RANKS, public_tokenizers.PATTERN, digests=True)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), BPE_50K)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import shared_path
+    from .rans import read_token_files, write_token_files
+
+    out = shared_path(spark, "token-files")
+    write_token_files(_table(spark, sf_dir, "documents"), out, BPE_50K)
+    return read_token_files(spark, out, digests=True)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import ledger, mask, passes
+
+    entries = ledger(_table(spark, sf_dir, "documents"))
+    base = F.col("failure_bits").bitwiseAND(mask("base")) != 0
+    measured = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return entries.select("doc_id", *measured, base.alias("base_failed"), passes("v1").alias("kept"), "failure_bits")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_packing": op2_packing,
+    "op5_token_files": op5_token_files,
+    "op9_quality_rules": op9_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
