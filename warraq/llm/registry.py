@@ -29,6 +29,16 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), BPE_50K)
 
 
+#: The rules of the contract.
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import UrlRule, judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages"), [UrlRule(*r) for r in URL_RULES])
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import shared_path
     from .rans import read_token_files, write_token_files
@@ -38,6 +48,21 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, out, digests=True)
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import BASE, joined, scan
+
+    found = scan(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["rank"] < len(BASE))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["rank"] == k)).cast("bigint").alias(f"n_{x[0]}") for k, x in enumerate(BASE)]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), joined(F.col("live")).alias("live_spans"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import ledger, mask, passes
 
@@ -50,7 +75,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_packing": op2_packing,
+    "op3_url_filters": op3_url_filters,
     "op5_token_files": op5_token_files,
+    "op6_secret_scans": op6_secret_scans,
+    "op7_html_text": op7_html_text,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
