@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_view, slices
-from .tokens import TextEncoder
+from .common import documents_view
+from .tokens import text_encoder, text_slices
 
 
 class TournamentTree:
@@ -74,21 +74,23 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode = TextEncoder(path)
+        encoder = text_encoder(path)
         step = 4 * capacity
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in slices(batch, texts, 4 << 20):
-                rows, out = [], []
-                for k, ids in enumerate(encode(texts[i:j])):
-                    ids += end
+            for i, texts in text_slices(batch.column(1)):
+                tokens, counts = encoder.encode(texts)
+                raw, ends = tokens.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+                rows, out, begin = [], [], 0
+                for k, stop in enumerate(ends):
+                    ids, begin = raw[begin:stop] + end, stop
                     for a in range(0, len(ids), step):
                         piece = ids[a : a + step]
                         rows.append(k)
                         out.append((a // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, piece if with_ids else None))
                 at = pa.array(rows, pa.int64())
                 start, length, crc, total, ids = zip(*out, strict=True)
-                columns = [batch.column(0).slice(i, j - i).take(at), *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), batch.column(2).slice(i, j - i).take(at)]
+                own = [batch.column(c).slice(i, len(texts)).take(at) for c in (0, 2)]
+                columns = [own[0], *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), own[1]]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(ids, pa.binary())] * with_ids)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "tie", *["ids"] * with_ids])
 
     return run

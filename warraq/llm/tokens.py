@@ -4,8 +4,18 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: UTF-8 of white space outside ASCII begins with one of these.
+WIDE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+SPACE_BYTES = np.zeros(256, bool)
+SPACE_BYTES[[*range(9, 14), *range(28, 33)]] = True
+#: Marks that most often end a part.
+MARKS = ".,:;!?"
 
 
 class TextEncoder:
@@ -13,37 +23,152 @@ class TextEncoder:
 
     Texts in which white space comes one at a time are cut at their blanks: a
     byte-level pattern goes on over no blank between two other characters, so the
-    ids of a part do not depend on its neighbours, and a bounded memo of parts
-    serves all texts. Other texts are encoded whole.
+    ids of a part do not depend on its neighbours. Each part that differs is then
+    resolved once a batch, and the library meets only units that a bounded memo
+    lacks. Other texts are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.memo = most, {}
+        self.most, self.recent, self.older = most, {}, {}
         self.run = re.compile(r"\s\s").search
+        self.mark_text = MARKS
+        self.mark_ids = self._encode(list(MARKS))
+        self.line = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list = [None] * len(texts)
-        plain = [k for k, t in enumerate(texts) if not self.run(t)]
-        rest = sorted({*range(len(texts))} - {*plain})
-        for k, ids in zip(rest, self._encode([texts[k] for k in rest]), strict=True):
-            out[k] = ids
-        parts = [texts[k].split(" ") for k in plain]
-        firsts = self._encode([p[0] for p in parts])
-        wanted = set().union(*(p[1:] for p in parts)) if parts else set()
-        if len(self.memo) + len(wanted) > self.most:
-            self.memo = {}
-        if new := list(wanted - self.memo.keys()):
-            self.memo.update(zip(new, self._encode([" " + p for p in new]), strict=True))
-        get = self.memo.__getitem__
-        for k, first, p in zip(plain, firsts, parts, strict=True):
-            out[k] = first + b"".join(map(get, p[1:]))
+    def _learn(self, units: list[str]) -> None:
+        """Ids of a blank and each unit, into the memo.
+
+        Units are encoded many at a time, on lines of their own: the line end before
+        a blank is a token by itself.
+        """
+        lined = [u for u in units if "\n" not in u] if len(self.line) == 4 else []
+        for a in range(0, len(lined), 2048):
+            some = lined[a : a + 2048]
+            ids = np.frombuffer(self._encode(["\n".join(" " + u for u in some)])[0], "<u4")
+            ends = [*np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0]).tolist(), len(ids)]
+            begin = 0
+            raw = ids.tobytes()
+            for u, end in zip(some, ends, strict=True):
+                self.recent[u] = raw[4 * begin : 4 * end]
+                begin = end + 1
+        rest = [u for u in units if "\n" in u] if len(self.line) == 4 else units
+        self.recent.update(zip(rest, self._encode([" " + u for u in rest]), strict=True))
+
+    def _resolve(self, units: list[str]) -> list[bytes]:
+        """Ids of a blank and each unit; the units differ."""
+        recent = self.recent
+        new = [u for u in units if u not in recent]
+        if len(recent) + len(new) > self.most:
+            self.older, self.recent, new = recent, {}, units
+            recent = self.recent
+        older, unknown = self.older, []
+        for u in new:
+            if (ids := older.get(u)) is None:
+                unknown.append(u)
+            else:
+                recent[u] = ids
+        self._learn(unknown)
+        return list(map(recent.__getitem__, units))
+
+    def _units(self, parts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Ids of units; the unit of each part; the number of the mark that ends it, or -1. A part is a unit, or letters and a mark."""
+        trimmed = pc.utf8_rtrim(parts, characters=self.mark_text)
+        one = pc.equal(pc.subtract(pc.binary_length(parts), pc.binary_length(trimmed)), 1)
+        cut = pc.and_(one, pc.utf8_is_alpha(trimmed))
+        coded = pc.dictionary_encode(pc.if_else(cut, trimmed, parts))
+        mark = pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(parts, -1), pa.array(list(self.mark_text), parts.type)), -1)
+        as_numbers = lambda x: x.to_numpy(zero_copy_only=False).astype(np.int64)
+        return self._resolve(coded.dictionary.to_pylist()), as_numbers(coded.indices), np.where(cut.to_numpy(zero_copy_only=False), as_numbers(mark), -1)
+
+    def _plain(self, column: pa.Array) -> np.ndarray:
+        """Which texts have white space only one at a time."""
+        ends = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+        raw = column.buffers()[2]
+        raw = memoryview(raw)[ends[0] : ends[-1]] if raw is not None else memoryview(b"")
+        whole = bytes(raw)
+        if any(w in whole for w in WIDE_SPACE):
+            return np.asarray([not self.run(t) for t in column.to_pylist()], bool)
+        space = SPACE_BYTES[np.frombuffer(raw, np.uint8)]
+        twice = np.flatnonzero(space[1:] & space[:-1]) + ends[0]
+        out = np.ones(len(column), bool)
+        # a pair may lie over two texts; then neither is cut, which is right as well
+        out[np.minimum(np.searchsorted(ends, twice, side="right") - 1, len(column) - 1)] = False
         return out
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (uint32) of all texts of a string column without nulls, and how many each text has."""
+        plain = self._plain(column)
+        counts = np.zeros(len(column), np.int64)
+        pieces: list = [None] * len(column)
+        at = np.flatnonzero(plain)
+        ids = np.zeros(0, "<u4")
+        if len(at):
+            some = column if plain.all() else column.take(pa.array(at))
+            lists = pc.split_pattern(some, " ")
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat_parts = lists.flatten()
+            coded = pc.dictionary_encode(flat_parts)
+            table, unit, mark = self._units(coded.dictionary)
+            begins = np.cumsum(sizes) - sizes
+            # the first part of a text has no blank before it
+            firsts = self._encode(flat_parts.take(pa.array(begins)).to_pylist())
+            index = coded.indices.to_numpy(zero_copy_only=False)
+            entry, mark = unit[index], mark[index]
+            entry[begins] = len(table) + len(self.mark_ids) + np.arange(len(firsts))
+            mark[begins] = -1
+            # a part's unit is followed by its mark
+            marked = mark >= 0
+            place = np.arange(len(entry)) + np.cumsum(marked) - marked
+            entries = np.empty(len(entry) + int(marked.sum()), np.int64)
+            entries[place] = entry
+            entries[place[marked] + 1] = len(table) + mark[marked]
+            table = [*table, *self.mark_ids, *firsts]
+            length = np.fromiter(map(len, table), np.int64, len(table)) // 4
+            flat = np.frombuffer(b"".join(table), "<u4")
+            start = np.cumsum(length) - length
+            size = length[entries]
+            ends = np.cumsum(size)
+            ids = flat[np.repeat(start[entries] - (ends - size), size) + np.arange(ends[-1])]
+            counts[at] = np.add.reduceat(size, place[begins])
+        if plain.all():
+            return ids, counts
+        parts = np.split(ids, np.cumsum(counts[at])[:-1]) if len(at) else []
+        for k, x in zip(at.tolist(), parts, strict=True):
+            pieces[k] = x
+        rest = np.flatnonzero(~plain)
+        for k, x in zip(rest.tolist(), self._encode(column.take(pa.array(rest)).to_pylist()), strict=True):
+            pieces[k] = np.frombuffer(x, "<u4")
+            counts[k] = len(pieces[k])
+        return np.concatenate(pieces), counts
+
+
+@lru_cache(maxsize=2)
+def text_encoder(path: str) -> TextEncoder:
+    """One encoder for all tasks that a Python worker runs."""
+    return TextEncoder(path)
+
+
+def vocabulary_size(path: str) -> int:
+    """How many ids a file has."""
+    return text_encoder(path).tokenizer.get_vocab_size()
+
+
+def text_slices(column: pa.Array, most: int = 12 << 20):
+    """(first row, slice) of a string column, each of about ``most`` bytes; a longer text has a slice of its own."""
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
+    begin = total = 0
+    for i, n in enumerate(sizes.tolist()):
+        if total and total + n > most:
+            yield begin, column.slice(begin, i - begin)
+            begin, total = i, 0
+        total += n
+    if begin < len(column):
+        yield begin, column.slice(begin)
