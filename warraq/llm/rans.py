@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_view, shuffle_partitions, slices
-from .tokens import TextEncoder
+from .common import documents_view, saved, shuffle_partitions
+from .tokens import text_encoder, text_slices, vocabulary_size
 
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
@@ -130,22 +130,59 @@ def decode_segments(block: dict, table: Table, first: int = 0, last: int | None
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-BLOCK = (
-    "shard int, block int, start_in_shard bigint, n_tokens bigint, lanes int, doc_ids array<{kind}>, doc_tokens array<bigint>, "
-    "words binary, mark_words array<bigint>, mark_states binary, checksums array<bigint>"
-)
+#: Columns of a block before and after coding; the first six are the same.
+HEAD = "shard int, block int, start_in_shard bigint, n_tokens bigint, doc_ids array<{kind}>, doc_tokens array<bigint>"
+RAW = HEAD + ", ids binary"
+CODED = HEAD + ", lanes int, words binary, mark_words array<bigint>, mark_states binary, checksums array<bigint>"
+HEAD_NAMES = ["shard", "block", "start_in_shard", "n_tokens", "doc_ids", "doc_tokens"]
 
 
-def _count(path: str, end_id: int):
+def _tokenise(path: str, end_id: int, block_tokens: int, width: str):
+    """Blocks of whole documents' ids, in the order of the rows; ``width`` is the ids' number type."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        shard, number, done = TaskContext.get().partitionId(), 0, 0
+        encoder, end = text_encoder(path), np.asarray([end_id], width)
+        doc_ids, parts, sizes, size = [], [], [], 0
+
+        def block():
+            nonlocal number, done, doc_ids, parts, sizes, size
+            columns = [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([done], pa.int64()), pa.array([size], pa.int64())]
+            ids = pa.concat_arrays(doc_ids)
+            columns += [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([sizes], pa.list_(pa.int64())), pa.array([np.concatenate(parts).tobytes()], pa.binary())]
+            number, done = number + 1, done + size
+            doc_ids, parts, sizes, size = [], [], [], 0
+            return pa.RecordBatch.from_arrays(columns, [*HEAD_NAMES, "ids"])
+
+        for batch in batches:
+            for i, texts in text_slices(batch.column(1)):
+                tokens, counts = encoder.encode(texts)
+                tokens, ends, at = tokens.astype(width), np.cumsum(counts).tolist(), 0
+                first = 0
+                for k, stop in enumerate(ends):
+                    parts += (tokens[at:stop], end)
+                    sizes.append(stop - at + 1)
+                    size, at = size + stop - at + 1, stop
+                    if size >= block_tokens or k == len(ends) - 1:
+                        doc_ids.append(batch.column(0).slice(i + first, k + 1 - first))
+                        first = k + 1
+                    if size >= block_tokens:
+                        yield block()
+        if sizes:
+            yield block()
+
+    return run
+
+
+def _count(width: str):
     def run(batches):
-        encode = TextEncoder(path)
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for i, j in slices(batch, texts, 4 << 20):
-                more = np.bincount(np.frombuffer(b"".join(encode(texts[i:j])), "<u4"), minlength=max(len(counts), end_id + 1))
+            for raw in batch.column(0).to_pylist():
+                more = np.bincount(np.frombuffer(raw, width), minlength=len(counts))
                 more[: len(counts)] += counts
-                more[end_id] += j - i
                 counts = more
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found], pa.int64())], ["token", "n"])
@@ -153,38 +190,14 @@ def _count(path: str, end_id: int):
     return run
 
 
-def _write(path: str, end_id: int, frequencies, block_tokens: int, kind: pa.DataType):
-    end = np.asarray([end_id], "<u4").tobytes()
-
+def _encode(frequencies, width: str):
     def run(batches):
-        from pyspark import TaskContext
-
-        shard, number, done = TaskContext.get().partitionId(), 0, 0
-        encode, table = TextEncoder(path), Table(frequencies.value)
-        doc_ids, parts, size = [], [], 0
-        names = BLOCK.replace("{kind}", "x").split(", ")
-        names = [x.split()[0] for x in names]
-
-        def block():
-            nonlocal number, done, doc_ids, parts, size
-            b = encode_block(np.frombuffer(b"".join(parts), "<u4"), table)
-            row = [shard, number, done, b["n_tokens"], b["lanes"], doc_ids, [len(p) // 4 for p in parts], b["words"], b["mark_words"], b["mark_states"], b["checksums"]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(kind), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
-            number, done = number + 1, done + b["n_tokens"]
-            doc_ids, parts, size = [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
-
+        table = Table(frequencies.value)
         for batch in batches:
-            texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for i, j in slices(batch, texts, 2 << 20):
-                for k, tokens in enumerate(encode(texts[i:j]), i):
-                    doc_ids.append(ids[k])
-                    parts.append(tokens + end)
-                    size += len(tokens) // 4 + 1
-                    if size >= block_tokens:
-                        yield block()
-        if parts:
-            yield block()
+            for k in range(batch.num_rows):
+                b = encode_block(np.frombuffer(batch.column(6)[k].as_py(), width).astype(np.uint32), table)
+                more = [pa.array([b["lanes"]], pa.int32()), pa.array([b["words"]], pa.binary()), pa.array([b["mark_words"]], pa.list_(pa.int64())), pa.array([b["mark_states"]], pa.binary()), pa.array([b["checksums"]], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns[:6], *more], [*HEAD_NAMES, "lanes", "words", "mark_words", "mark_states", "checksums"])
 
     return run
 
@@ -197,25 +210,30 @@ def write_token_files(
     id_col: str = "doc_id",
     text_col: str = "text",
     shards: int | None = None,
-    block_tokens: int = 1 << 20,
+    block_tokens: int = 1 << 19,
 ) -> None:
-    """Writes ``out``/frequencies and ``out``/blocks; ``shards`` is the number of files (the session's shuffle partitions if None)."""
+    """Writes ``out``/frequencies and ``out``/blocks; ``shards`` is the number of ranges of ids (the session's shuffle partitions if None).
+
+    The texts are dealt by ranges and tokenised once; their ids wait in the shared
+    folder until all tokens are counted.
+    """
     spark = docs.sparkSession
     texts = documents_view(docs, id_col, text_col)
-    counts = texts.select("text").mapInArrow(_count(path, end_id), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = counts.collect()  # at most one row for each id of the vocabulary
-    every = np.zeros(max([end_id, *(r.token for r in rows)]) + 1, np.int64)
-    for r in rows:
+    width = "<u2" if max(end_id, vocabulary_size(path)) < 1 << 16 else "<u4"
+    first = F.col("doc_id").asc_nulls_first()
+    ordered = texts.withColumn("tie", F.xxhash64("text")).repartitionByRange(shards or shuffle_partitions(spark), first, "tie").sortWithinPartitions(first, "tie")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    raw = saved(ordered.select("doc_id", "text").mapInArrow(_tokenise(path, end_id, block_tokens, width), RAW.format(kind=kind)), "token-blocks")
+    counts = raw.select("ids").mapInArrow(_count(width), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    every = np.zeros(end_id + 1, np.int64)
+    for r in counts.collect():  # at most one row for each id of the vocabulary
+        if r.token >= len(every):
+            every = np.concatenate([every, np.zeros(r.token + 1 - len(every), np.int64)])
         every[r.token] = r.n
     freq = scaled(every)
     spark.createDataFrame([(k, int(f)) for k, f in enumerate(freq) if f], "token bigint, freq bigint").coalesce(1).write.parquet(f"{out}/frequencies")
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    field = texts.schema["doc_id"].dataType
-    ordered = texts.withColumn("tie", F.xxhash64("text")).repartitionByRange(shards or shuffle_partitions(spark), F.col("doc_id").asc_nulls_first(), "tie")
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "text")
-    blocks = ordered.mapInArrow(_write(path, end_id, spark.sparkContext.broadcast(freq), block_tokens, to_arrow_type(field)), BLOCK.format(kind=field.simpleString()))
-    blocks.write.parquet(f"{out}/blocks")
+    blocks = raw.mapInArrow(_encode(spark.sparkContext.broadcast(freq), width), CODED.format(kind=kind))
+    blocks.write.option("compression", "none").parquet(f"{out}/blocks")
 
 
 def _read(frequencies, before, digests: bool):
