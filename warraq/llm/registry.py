@@ -63,6 +63,12 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), size=3, num=9, den=10).drop("row_key")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import ledger, mask, passes
 
@@ -72,6 +78,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", *measured, base.alias("base_failed"), passes("v1").alias("kept"), "failure_bits")
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import repeat_digests
+
+    return repeat_digests(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_packing": op2_packing,
@@ -79,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_secret_scans": op6_secret_scans,
     "op7_html_text": op7_html_text,
+    "op8_ngram_join": op8_ngram_join,
     "op9_quality_rules": op9_quality_rules,
+    "op10_repeats": op10_repeats,
 }
 ORACLE_SQL: dict[str, str] = {}
