@@ -39,6 +39,12 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), [UrlRule(*r) for r in URL_RULES])
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_columns
+
+    return media_columns(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import shared_path
     from .rans import read_token_files, write_token_files
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_packing": op2_packing,
     "op3_url_filters": op3_url_filters,
+    "op4_media_columns": op4_media_columns,
     "op5_token_files": op5_token_files,
     "op6_secret_scans": op6_secret_scans,
     "op7_html_text": op7_html_text,
