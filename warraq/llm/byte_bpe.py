@@ -24,10 +24,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, binary, documents_view, saved, slices
+from .common import documents_view, saved, slices
 
 #: Ranks are below this; the packed cells of the rank map hold left * NO_RANK + rank.
 NO_RANK = 1 << 20
@@ -143,8 +144,9 @@ class Splitter:
     """Splits texts into the words that the pattern matches.
 
     A text in which white space comes one at a time is cut at its blanks first: no
-    match goes on over a blank between two other characters, so a piece between
-    blanks has the same words in every text.
+    match goes on over a blank between two other characters, so a part between
+    blanks has the same words in every text. Most parts are letters, or letters and
+    a mark, which need no pattern.
     """
 
     def __init__(self, pattern: str):
@@ -152,66 +154,141 @@ class Splitter:
 
         import regex
 
-        self.words = regex.compile(pattern).findall
+        self.find = regex.compile(pattern).findall
         self.run = re.compile(r"\s\s").search
 
     def parts(self, text: str) -> list[str]:
-        """Consecutive parts of a text that can be split into words separately; all but the first begin with a blank."""
-        if self.run(text):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *rest]
+        """The first part, and the others without the blank that begins them."""
+        return [text] if self.run(text) else text.split(" ")
 
+    def after_blank(self, part: str) -> list[str]:
+        """The words of a blank and a part."""
+        if part.isalpha():
+            return [" " + part]
+        if part[:-1].isalpha() and part[-1] in ".,:;!?":
+            return [" " + part[:-1], part[-1]]
+        return self.find(" " + part)
 
-def _count_words(pattern: str, flush: int):
+
+def _count_words(pattern: str):
     def run(batches):
         from collections import Counter
 
         split = Splitter(pattern)
-        parts, words = Counter(), Counter()
-
-        def emit():
-            for part, n in parts.items():
-                for w in split.words(" " + part):
-                    words[w] += n
-            keys = list(words)
-            for i in range(0, len(keys), 50_000):
-                some = keys[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w in some], pa.binary()), pa.array([words[w] for w in some], pa.int64())], ["word", "n"])
-            parts.clear()
-            words.clear()
-
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                first, *rest = split.parts(text)
-                words.update(split.words(first))
-                parts.update(rest)
-                if len(parts) + len(words) > flush:
-                    yield from emit()
-        yield from emit()
+            texts = batch.column(0).to_pylist()
+            for i, j in slices(batch, texts, 32 << 20):
+                words: Counter = Counter()
+                plain, parts = [], []
+                for k, text in enumerate(texts[i:j]):
+                    if split.run(text):
+                        words.update(split.find(text))
+                    else:
+                        words.update(split.find(text.partition(" ")[0]))
+                        plain.append(k)
+                if plain:
+                    # what follows the first blank of each text; a text without a blank gives nothing
+                    column = batch.column(0).slice(i, j - i).take(pa.array(plain, pa.int64()))
+                    lists = pc.split_pattern(column, " ")
+                    rest = pc.list_slice(lists, 1, return_fixed_size_list=False)
+                    parts = pc.value_counts(pc.list_flatten(rest))
+                    for part, n in zip(parts.field(0).to_pylist(), parts.field(1).to_pylist(), strict=True):
+                        for w in split.after_blank(part):
+                            words[w] += n
+                keys = list(words)
+                for a in range(0, len(keys), 50_000):
+                    some = keys[a : a + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w in some], pa.binary()), pa.array(map(words.__getitem__, some), pa.int64())], ["word", "n"])
 
     return run
 
 
-def _find_rare(pattern: str, hot, cache: int):
-    """Adds to each row the distinct words that the dictionary lacks, as byte arrays."""
+class HotWords:
+    """A compact dictionary of words (binary) and their ids: 64-bit hashes in order, the words and the ids in one block each."""
+
+    def __init__(self, words: pa.Array, ids: pa.Array):
+        from xxhash import xxh3_64_intdigest
+
+        hashes = np.fromiter(map(xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
+        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes = hashes[self.order]
+        self.words, self.word_ends = b"".join(words.to_pylist()), np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy())]).astype(np.int64)
+        self.ids, self.id_ends = ids.flatten().to_numpy().astype("<u4"), np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())]).astype(np.int64)
+
+    def find(self, words: list[bytes]) -> list[bytes | None]:
+        """The ids of each word as bytes, None for a word that is missing."""
+        from xxhash import xxh3_64_intdigest
+
+        if not len(self.hashes):
+            return [None] * len(words)
+        at = np.searchsorted(self.hashes, np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)))
+        at = self.order[np.minimum(at, len(self.hashes) - 1)]
+        a, b = self.word_ends[at].tolist(), self.word_ends[at + 1].tolist()
+        c, d = self.id_ends[at].tolist(), self.id_ends[at + 1].tolist()
+        return [self.ids[c[k] : d[k]].tobytes() if self.words[a[k] : b[k]] == w else None for k, w in enumerate(words)]
+
+
+#: Stands in a text's ids for a word that the dictionary lacks.
+MARK = 0xFFFFFFFF
+
+
+def _encode_hot(pattern: str, hot, most: int):
+    """Ids of each text with a mark for each rare word, the distinct rare words as byte arrays, and which of them each mark means."""
 
     def run(batches):
         split, known = Splitter(pattern), hot.value
-        rare = Cache(lambda part: tuple(b for w in split.words(part) if (b := w.encode()) not in known), cache)
-        kind = pa.list_(pa.list_(pa.uint8()))
+        mark = MARK.to_bytes(4, "little")
+        memo: dict[str, bytes] = {}
+        rare: dict[str, tuple] = {}
+
+        def learn(parts: list[list[str]]):
+            """Fills the memo for parts given as lists of their words."""
+            words = list({w for p in parts for w in p})
+            ids = dict(zip(words, known.find([w.encode() for w in words]), strict=True))
+            return [(b"".join([ids[w] or mark for w in p]), tuple(w for w in p if ids[w] is None)) for p in parts]
+
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for i, j in slices(batch, texts, 4 << 20):
-                found = []
-                for text in texts[i:j]:
-                    first, *rest = split.parts(text)
-                    words = set(rare[first])
-                    for part in set(rest):
-                        words.update(rare[" " + part])
-                    found.append([list(w) for w in sorted(words)])
-                piece = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(found, kind).cast(pa.list_(pa.list_(pa.int32())))], ["doc_id", "text", "rare"])
+                rows = [split.parts(t) for t in texts[i:j]]
+                wanted = set().union(*(r[1:] for r in rows))
+                if len(memo) + len(wanted) > most:
+                    memo.clear()
+                    rare.clear()
+                new = list(wanted - memo.keys())
+                for part, (ids, missing) in zip(new, learn([split.after_blank(p) for p in new]), strict=True):
+                    memo[part] = ids
+                    if missing:
+                        rare[part] = missing
+                firsts = learn([split.find(r[0]) for r in rows])
+                out, flat, word_ends, list_ends, places, place_ends = [], [], [0], [0], [], [0]
+                get = memo.__getitem__
+                for row, (ids, missing) in zip(rows, firsts, strict=True):
+                    rest = row[1:]
+                    out.append(ids + b"".join(map(get, rest)))
+                    own: dict[str, int] = {}
+                    for w in missing:
+                        places.append(own.setdefault(w, len(own)))
+                    for part in rest:
+                        if part in rare:
+                            for w in rare[part]:
+                                places.append(own.setdefault(w, len(own)))
+                    for w in own:
+                        flat.append(w.encode())
+                        word_ends.append(word_ends[-1] + len(flat[-1]))
+                    list_ends.append(len(flat))
+                    place_ends.append(len(places))
+                numbers = pa.array(np.frombuffer(b"".join(flat), np.uint8).astype(np.int32))
+                words = pa.ListArray.from_arrays(pa.array(word_ends, pa.int32()), numbers)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(i, j - i),
+                        pa.array(out, pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(list_ends, pa.int32()), words),
+                        pa.ListArray.from_arrays(pa.array(place_ends, pa.int32()), pa.array(places, pa.int32())),
+                    ],
+                    ["doc_id", "ids", "rare", "places"],
+                )
 
     return run
 
@@ -230,37 +307,32 @@ def vocabulary_of(path: str) -> list[bytes]:
     return out
 
 
-def _put_together(pattern: str, hot, cache: int, path: str, digests: bool):
-    def run(batches):
-        split, known, vocabulary = Splitter(pattern), hot.value, vocabulary_of(path)
+def _fill_marks(ids: bytes, places: list[int], folded: list[bytes]) -> bytes:
+    """``ids`` with the ids of rare words in place of the marks."""
+    at = np.flatnonzero(np.frombuffer(ids, "<u4") == MARK).tolist()
+    out, begin = [], 0
+    for k, p in zip(at, places, strict=True):
+        out += (ids[4 * begin : 4 * k], folded[p])
+        begin = k + 1
+    return b"".join([*out, ids[4 * begin :]])
 
-        def plain(part: str):
-            """The ids of a part, as bytes, if the dictionary has all its words."""
-            ids = [known.get(w.encode()) for w in split.words(part)]
-            return None if None in ids else b"".join(ids)
 
-        parts_ids = Cache(plain, cache)
-        blank_ids = Cache(lambda part: plain(" " + part), cache)
+def _put_together(path: str, digests: bool):
+    def run(batches):
+        vocabulary = vocabulary_of(path)
         for batch in batches:
-            texts, rares, folded = batch.column(1).to_pylist(), batch.column(2), batch.column(3)
-            rows = []
-            for k, text in enumerate(texts):
-                first, *rest = split.parts(text)
-                ids = [parts_ids[first], *map(blank_ids.__getitem__, rest)]
-                if None in ids:
-                    own = {bytes(w): np.asarray(x, "<u4").tobytes() for w, x in zip(rares[k].as_py(), folded[k].as_py(), strict=True)}
-                    for i, x in enumerate(ids):
-                        if x is None:
-                            part = " " + rest[i - 1] if i else first
-                            ids[i] = b"".join(known.get(b := w.encode()) or own[b] for w in split.words(part))
-                rows.append(b"".join(ids))
+            lists, places = batch.column(3), batch.column(2)
+            flat = lists.flatten()
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(flat).to_numpy(zero_copy_only=False))]).astype(np.int64).tolist()
+            numbers = flat.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+            folded = [numbers[4 * a : 4 * b] for a, b in zip(ends, ends[1:], strict=False)]
+            rows, at = [], 0
+            for ids, p, n in zip(batch.column(1).to_pylist(), places.to_pylist(), pc.list_value_length(lists).to_pylist(), strict=True):
+                rows.append(_fill_marks(ids, p, folded[at : at + n]) if p else ids)
+                at += n
             if digests:
-                arrays = np.frombuffer
-                out = [
-                    pa.array([len(x) // 4 for x in rows], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in rows]),
-                    pa.array([hashlib.sha256(decode_bytes(arrays(x, "<u4"), vocabulary)).hexdigest() for x in rows]),
-                ]
+                decoded = [decode_bytes(np.frombuffer(x, "<u4"), vocabulary) for x in rows]
+                out = [pa.array([len(x) // 4 for x in rows], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in rows], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *out], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
                 out = [np.frombuffer(x, "<u4").astype(np.int32) for x in rows]
@@ -272,10 +344,10 @@ def _put_together(pattern: str, hot, cache: int, path: str, digests: bool):
 def word_counts(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(word binary, n): how often each word stands in all texts."""
     texts = documents_view(docs, id_col, text_col).select("text")
-    return texts.mapInArrow(_count_words(pattern, 200_000), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(_count_words(pattern), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def hot_dictionary(counts: DataFrame, path: str, hot_words: int) -> dict[bytes, bytes]:
+def hot_dictionary(counts: DataFrame, path: str, hot_words: int) -> HotWords:
     """Ids (little-endian unsigned 32 bits) of the most frequent words, folded by Spark; at most ``hot_words`` entries.
 
     All words with at least a count are taken, the least count that keeps the
@@ -290,13 +362,11 @@ def hot_dictionary(counts: DataFrame, path: str, hot_words: int) -> dict[bytes,
         if total > hot_words:
             break
         least = size
-    if least is None:
-        return {}
+    least = (1 << 62) if least is None else least
     hot = counts.where((F.col("n") >= least) & (F.length("word") > 0) & (F.length("word") <= 64)).select("word")
     table = hot.select("word", fold_merges(byte_array(F.col("word")), path).cast("array<int>").alias("ids")).toArrow()
-    ids = table.column("ids").combine_chunks()
-    flat, ends = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-    return {w: flat[a:b].tobytes() for w, a, b in zip(table.column("word").to_pylist(), ends, ends[1:])}
+    word, ids = (table.column(c).combine_chunks() for c in ("word", "ids"))
+    return HotWords(word, ids)
 
 
 def byte_array(word: Column) -> Column:
@@ -310,24 +380,24 @@ def encode_documents(
     pattern: str,
     id_col: str = "doc_id",
     text_col: str = "text",
-    hot_words: int = 400_000,
+    hot_words: int = 1_500_000,
     digests: bool = False,
 ) -> DataFrame:
     """(doc_id, ids array<int>) of every text, or with ``digests`` (doc_id, n_tokens, ids_sha256, decoded_sha256).
 
     ``path`` names a ``.tiktoken`` file that all machines have. ``hot_words`` bounds
-    the broadcast dictionary (about 40 bytes an entry); any value gives the same ids.
+    the broadcast dictionary (about 60 bytes an entry); any value gives the same ids.
     """
     spark = docs.sparkSession
     counts = saved(word_counts(docs, pattern, id_col, text_col), "word-counts")
     hot = spark.sparkContext.broadcast(hot_dictionary(counts, path, hot_words))
     texts = documents_view(docs, id_col, text_col)
     kind = texts.schema["doc_id"].dataType.simpleString()
-    found = texts.mapInArrow(_find_rare(pattern, hot, 100_000), f"doc_id {kind}, text string, rare array<array<int>>")
-    # words are folded in the JVM between the two passes over a batch
-    folded = found.withColumn("folded", F.transform("rare", lambda w: fold_merges(w, path)))
+    found = texts.mapInArrow(_encode_hot(pattern, hot, 300_000), f"doc_id {kind}, ids binary, rare array<array<int>>, places array<int>")
+    # rare words are folded in the JVM between the two passes over a batch
+    folded = found.select("doc_id", "ids", "places", F.transform("rare", lambda w: fold_merges(w, path)).alias("folded"))
     schema = f"doc_id {kind}, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>")
-    return folded.mapInArrow(_put_together(pattern, hot, 100_000, path, digests), schema)
+    return folded.mapInArrow(_put_together(path, digests), schema)
 
 
 def decode_ids(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

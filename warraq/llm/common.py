@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,19 +65,3 @@ def slices(batch: pa.RecordBatch, texts: list, most: int) -> Iterator[tuple[int,
         size += len(t)
     if begin < batch.num_rows:
         yield begin, batch.num_rows
-
-
-class Cache(dict):
-    """A bounded memo for functions of one short string; it starts anew when full and keeps nothing for long strings."""
-
-    def __init__(self, make: Callable, most: int):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(key) <= 256:
-            if len(self) >= self.most:
-                self.clear()
-            self[key] = value
-        return value
