@@ -70,7 +70,7 @@ def default_rules() -> list[Rule]:
         Rule("few_words", c("n_words") < 10),
         Rule("repeated_windows", 100 * c("n_repeat_words") > 20 * c("n_words")),
         Rule("symbols", 10 * c("n_symbols") > c("n_words")),
-        Rule("repeated_lines", 10 * c("n_dup_lines") > 3 * c("n_lines")),
+        Rule("repeated_lines", 2 * c("n_dup_lines") > c("n_lines")),
         Rule("word_length", (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 20 * c("n_words"))),
         Rule("capitals", 2 * c("n_capitals") > c("n_words")),
         Rule("shouting", 5 * c("n_shouts") > c("n_words")),
