@@ -30,8 +30,8 @@ from .tokens import text_encoder, text_slices, vocabulary_size
 
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
-LANES = 1024
-CHECKPOINT_STEPS = 256
+LANES = 2048
+CHECKPOINT_STEPS = 128
 
 
 class Table:

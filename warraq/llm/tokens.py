@@ -85,8 +85,8 @@ class TextEncoder:
         cut = pc.and_(one, pc.utf8_is_alpha(trimmed))
         coded = pc.dictionary_encode(pc.if_else(cut, trimmed, parts))
         mark = pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(parts, -1), pa.array(list(self.mark_text), parts.type)), -1)
-        as_numbers = lambda x: x.to_numpy(zero_copy_only=False).astype(np.int64)
-        return self._resolve(coded.dictionary.to_pylist()), as_numbers(coded.indices), np.where(cut.to_numpy(zero_copy_only=False), as_numbers(mark), -1)
+        as_numbers = lambda x: x.to_numpy(zero_copy_only=False).astype(np.int32)
+        return self._resolve(coded.dictionary.to_pylist()), as_numbers(coded.indices), np.where(cut.to_numpy(zero_copy_only=False), as_numbers(mark), np.int32(-1))
 
     def _plain(self, column: pa.Array) -> np.ndarray:
         """Which texts have white space only one at a time."""
@@ -126,8 +126,8 @@ class TextEncoder:
             mark[begins] = -1
             # a part's unit is followed by its mark
             marked = mark >= 0
-            place = np.arange(len(entry)) + np.cumsum(marked) - marked
-            entries = np.empty(len(entry) + int(marked.sum()), np.int64)
+            place = np.arange(len(entry), dtype=np.int32) + np.cumsum(marked, dtype=np.int32) - marked
+            entries = np.empty(len(entry) + int(marked.sum()), np.int32)
             entries[place] = entry
             entries[place[marked] + 1] = len(table) + mark[marked]
             table = [*table, *self.mark_ids, *firsts]
@@ -136,7 +136,9 @@ class TextEncoder:
             start = np.cumsum(length) - length
             size = length[entries]
             ends = np.cumsum(size)
-            ids = flat[np.repeat(start[entries] - (ends - size), size) + np.arange(ends[-1])]
+            from_ = np.repeat(start[entries] - (ends - size), size)
+            from_ += np.arange(ends[-1])
+            ids = flat[from_]
             counts[at] = np.add.reduceat(size, place[begins])
         if plain.all():
             return ids, counts
@@ -161,7 +163,7 @@ def vocabulary_size(path: str) -> int:
     return text_encoder(path).tokenizer.get_vocab_size()
 
 
-def text_slices(column: pa.Array, most: int = 12 << 20):
+def text_slices(column: pa.Array, most: int = 16 << 20):
     """(first row, slice) of a string column, each of about ``most`` bytes; a longer text has a slice of its own."""
     sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
     begin = total = 0
