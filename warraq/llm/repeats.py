@@ -8,7 +8,7 @@ a whole, which counting their hashes shows. The others can be repeated in part o
 where their anchor's gram occurs elsewhere; those few are grouped by their anchor,
 and a suffix array over each block of groups gives, through previous and next
 smaller positions in suffix order, the longest earlier (and later) factor at each
-place. A group too large for a block is settled by counting the hashes of its
+place. A group of more than GROUP contexts is settled by counting the hashes of its
 windows instead, so that no group is cut short.
 
 ``repeated_spans`` gives all occurrences of repeated strings (``keep="none"``), or
@@ -35,7 +35,7 @@ from .common import binary, saved, slices
 #: Bytes of the sampled gram, a power of two.
 ANCHOR = 32
 #: A group of more contexts than this is settled by the hashes of its windows.
-GROUP = 256
+GROUP = 8192
 #: Bytes of contexts that one suffix array covers, unless a single group has more.
 BLOCK = 1 << 19
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -136,26 +136,6 @@ def _find_anchors(length: int):
     return run
 
 
-def suffix_ranks(data: np.ndarray, least: int) -> list[tuple[int, np.ndarray]]:
-    """Ranks of all suffixes by their first 1, 2, 4 ... bytes, until ``least`` bytes are covered: (bytes, ranks).
-
-    ``data`` are numbers, zero where a context ends; a zero differs from all else.
-    """
-    n = len(data)
-    values = data.astype(np.int64)
-    zeros = np.flatnonzero(values == 0)
-    values[zeros] = -np.arange(1, len(zeros) + 1)
-    rank = np.unique(values, return_inverse=True)[1].astype(np.int64)
-    out, width = [(1, rank)], 1
-    while width < least:
-        second = np.zeros(n, np.int64)
-        second[: n - width] = rank[width:] + 1
-        rank = np.unique(rank * (n + 2) + second, return_inverse=True)[1].astype(np.int64)
-        width *= 2
-        out.append((width, rank))
-    return out
-
-
 def neighbours(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each index of suffix order, the nearest one before and after it whose place is smaller (-1, n: none)."""
     n = len(place)
@@ -169,43 +149,52 @@ def neighbours(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, after
 
 
-def longest_factors(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """At each place: the longest common prefix with an earlier place, and with a later one, as far as ``least`` needs."""
-    ranks = suffix_ranks(data, least)
-    n = len(data)
-    order = np.lexsort((np.arange(n), ranks[-1][1]))
-    place = order.astype(np.int64)
+def longest_factors(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of bytes, in the order of places: its longest common prefix with an earlier row, and with a later one.
+
+    The rows are the suffixes at those places, as far as they matter. In their sorted
+    order the nearest rows on both sides with a smaller place share the longest
+    prefix of all with a smaller place.
+    """
+    n, length = windows.shape
+    words = -(-length // 8)
+    wide = np.zeros((n, 8 * words), np.uint8)
+    wide[:, :length] = windows
+    order = np.argsort(wide.view(f"S{8 * words}").reshape(-1), kind="stable")
+    wide = wide.view("<u8")
 
     def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        size = np.zeros(len(a), np.int64)
-        for width, rank in reversed(ranks):
-            x, y = a + size, b + size
-            inside = (x < n) & (y < n)
-            same = np.zeros(len(a), bool)
-            same[inside] = rank[x[inside]] == rank[y[inside]]
-            size += width * same
-        return size
+        return np.concatenate([some(a[k : k + 65536], b[k : k + 65536]) for k in range(0, max(len(a), 1), 65536)])
+
+    def some(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        other = wide[a] ^ wide[b]
+        differs = other != 0
+        at = differs.argmax(axis=1)
+        word = other[np.arange(len(a)), at]
+        # the lowest byte that is not zero
+        low = (word & (~word + np.uint64(1))).astype(np.float64)
+        inside = np.where(word == 0, 0, np.log2(np.where(low == 0, 1, low)).astype(np.int64) // 8)
+        return np.where(word == 0, length, np.minimum(length, 8 * at + inside))
 
     def side(place: np.ndarray) -> np.ndarray:
         out = np.zeros(n, np.int64)
         for links in neighbours(place):
             has = np.flatnonzero((links >= 0) & (links < n))
-            mine, other = order[has], order[links[has]]
-            np.maximum.at(out, mine, common(mine, other))
+            mine = order[has]
+            out[mine] = np.maximum(out[mine], common(mine, order[links[has]]))
         return out
 
-    return side(place), side(n - 1 - place)
+    return side(order), side(n - 1 - order)
 
 
 def _kept_runs(rows: list[dict], length: int, first_only: bool):
     """(row_key, first, last): runs of windows of whole groups (rows by gram, then order) that stay."""
-    data = np.frombuffer(b"".join(r["bytes"] + b"\0" for r in rows), np.uint8).astype(np.int16) + 1
-    sizes = np.asarray([len(r["bytes"]) + 1 for r in rows])
-    ends = np.cumsum(sizes)
-    data[ends - 1] = 0
-    earlier, later = longest_factors(data, length)
+    contexts = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(r["bytes"], np.uint8), length) for r in rows]
+    earlier, later = longest_factors(np.concatenate(contexts))
     stays = earlier < length if first_only else (earlier < length) & (later < length)
-    for r, a, b in zip(rows, (ends - sizes).tolist(), (ends - length).tolist(), strict=True):
+    b = 0
+    for r, windows in zip(rows, contexts, strict=True):
+        a, b = b, b + len(windows)
         if r["n"] > 1 and not first_only:
             continue
         own = np.flatnonzero(stays[a:b])
