@@ -132,13 +132,13 @@ def decode_segments(block: dict, table: Table, first: int = 0, last: int | None
 
 #: Columns of a block before and after coding; the first six are the same.
 HEAD = "shard int, block int, start_in_shard bigint, n_tokens bigint, doc_ids array<{kind}>, doc_tokens array<bigint>"
-RAW = HEAD + ", ids binary"
+RAW = HEAD + ", ids binary, counts binary"
 CODED = HEAD + ", lanes int, words binary, mark_words array<bigint>, mark_states binary, checksums array<bigint>"
 HEAD_NAMES = ["shard", "block", "start_in_shard", "n_tokens", "doc_ids", "doc_tokens"]
 
 
 def _tokenise(path: str, end_id: int, block_tokens: int, width: str):
-    """Blocks of whole documents' ids, in the order of the rows; ``width`` is the ids' number type."""
+    """Blocks of whole documents' ids, in the order of the rows, and last a row (block -1) of how often each id stands in them; ``width`` is the ids' number type."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -146,19 +146,24 @@ def _tokenise(path: str, end_id: int, block_tokens: int, width: str):
         shard, number, done = TaskContext.get().partitionId(), 0, 0
         encoder, end = text_encoder(path), np.asarray([end_id], width)
         doc_ids, parts, sizes, size = [], [], [], 0
+        totals, kind = np.zeros(end_id + 1, np.int64), None
 
         def block():
             nonlocal number, done, doc_ids, parts, sizes, size
             columns = [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([done], pa.int64()), pa.array([size], pa.int64())]
             ids = pa.concat_arrays(doc_ids)
-            columns += [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([sizes], pa.list_(pa.int64())), pa.array([np.concatenate(parts).tobytes()], pa.binary())]
+            columns += [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([sizes], pa.list_(pa.int64())), pa.array([np.concatenate(parts).tobytes()], pa.binary()), pa.nulls(1, pa.binary())]
             number, done = number + 1, done + size
             doc_ids, parts, sizes, size = [], [], [], 0
-            return pa.RecordBatch.from_arrays(columns, [*HEAD_NAMES, "ids"])
+            return pa.RecordBatch.from_arrays(columns, [*HEAD_NAMES, "ids", "counts"])
 
         for batch in batches:
             for i, texts in text_slices(batch.column(1)):
                 tokens, counts = encoder.encode(texts)
+                more = np.bincount(tokens, minlength=len(totals))
+                more[: len(totals)] += totals
+                more[end_id] += len(counts)
+                totals, kind = more, batch.column(0).type
                 tokens, ends, at = tokens.astype(width), np.cumsum(counts).tolist(), 0
                 first = 0
                 for k, stop in enumerate(ends):
@@ -172,16 +177,21 @@ def _tokenise(path: str, end_id: int, block_tokens: int, width: str):
                         yield block()
         if sizes:
             yield block()
+        if kind is not None:
+            empty = [pa.array([x], t) for x, t in ((shard, pa.int32()), (-1, pa.int32()), (done, pa.int64()), (0, pa.int64()), (None, pa.list_(kind)), (None, pa.list_(pa.int64())), (None, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array([totals.astype("<i8").tobytes()], pa.binary())], [*HEAD_NAMES, "ids", "counts"])
 
     return run
 
 
-def _count(width: str):
+def _count():
     def run(batches):
         counts = np.zeros(0, np.int64)
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                more = np.bincount(np.frombuffer(raw, width), minlength=len(counts))
+                more = np.frombuffer(raw, "<i8").copy()
+                if len(more) < len(counts):
+                    more, counts = counts, more
                 more[: len(counts)] += counts
                 counts = more
         found = np.flatnonzero(counts)
@@ -224,7 +234,7 @@ def write_token_files(
     ordered = texts.withColumn("tie", F.xxhash64("text")).repartitionByRange(shards or shuffle_partitions(spark), first, "tie").sortWithinPartitions(first, "tie")
     kind = texts.schema["doc_id"].dataType.simpleString()
     raw = saved(ordered.select("doc_id", "text").mapInArrow(_tokenise(path, end_id, block_tokens, width), RAW.format(kind=kind)), "token-blocks")
-    counts = raw.select("ids").mapInArrow(_count(width), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = raw.where("block < 0").select("counts").mapInArrow(_count(), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     every = np.zeros(end_id + 1, np.int64)
     for r in counts.collect():  # at most one row for each id of the vocabulary
         if r.token >= len(every):
@@ -232,7 +242,7 @@ def write_token_files(
         every[r.token] = r.n
     freq = scaled(every)
     spark.createDataFrame([(k, int(f)) for k, f in enumerate(freq) if f], "token bigint, freq bigint").coalesce(1).write.parquet(f"{out}/frequencies")
-    blocks = raw.mapInArrow(_encode(spark.sparkContext.broadcast(freq), width), CODED.format(kind=kind))
+    blocks = raw.where("block >= 0").drop("counts").mapInArrow(_encode(spark.sparkContext.broadcast(freq), width), CODED.format(kind=kind))
     blocks.write.option("compression", "none").parquet(f"{out}/blocks")
 
 
