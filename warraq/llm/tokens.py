@@ -18,6 +18,22 @@ SPACE_BYTES[[*range(9, 14), *range(28, 33)]] = True
 MARKS = ".,:;!?"
 
 
+def plain_texts(column: pa.Array, run) -> np.ndarray:
+    """Which texts of a string column have white space only one at a time; ``run`` finds two together in a text."""
+    ends = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    raw = memoryview(raw)[ends[0] : ends[-1]] if raw is not None else memoryview(b"")
+    whole = bytes(raw)
+    if any(w in whole for w in WIDE_SPACE):
+        return np.asarray([not run(t) for t in column.to_pylist()], bool)
+    space = SPACE_BYTES[np.frombuffer(raw, np.uint8)]
+    twice = np.flatnonzero(space[1:] & space[:-1]) + ends[0]
+    out = np.ones(len(column), bool)
+    # a pair may lie over two texts; then neither is cut, which is right as well
+    out[np.minimum(np.searchsorted(ends, twice, side="right") - 1, len(column) - 1)] = False
+    return out
+
+
 class TextEncoder:
     """Encodes texts by a byte-level ``tokenizers`` file; the strings of special tokens are ordinary text.
 
@@ -36,6 +52,8 @@ class TextEncoder:
         self.tokenizer.encode_special_tokens = True
         self.most, self.recent, self.older = most, {}, {}
         self.run = re.compile(r"\s\s").search
+        #: Of the last call: the table's entries in order, and where each text's begin.
+        self.used: tuple[np.ndarray, np.ndarray] | None = None
         self.mark_text = MARKS
         self.mark_ids = self._encode(list(MARKS))
         self.line = self._encode(["\n"])[0]
@@ -89,67 +107,42 @@ class TextEncoder:
         return self._resolve(coded.dictionary.to_pylist()), as_numbers(coded.indices), np.where(cut.to_numpy(zero_copy_only=False), as_numbers(mark), np.int32(-1))
 
     def _plain(self, column: pa.Array) -> np.ndarray:
-        """Which texts have white space only one at a time."""
-        ends = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
-        raw = column.buffers()[2]
-        raw = memoryview(raw)[ends[0] : ends[-1]] if raw is not None else memoryview(b"")
-        whole = bytes(raw)
-        if any(w in whole for w in WIDE_SPACE):
-            return np.asarray([not self.run(t) for t in column.to_pylist()], bool)
-        space = SPACE_BYTES[np.frombuffer(raw, np.uint8)]
-        twice = np.flatnonzero(space[1:] & space[:-1]) + ends[0]
-        out = np.ones(len(column), bool)
-        # a pair may lie over two texts; then neither is cut, which is right as well
-        out[np.minimum(np.searchsorted(ends, twice, side="right") - 1, len(column) - 1)] = False
-        return out
+        return plain_texts(column, self.run)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of all texts of a string column without nulls, and how many each text has."""
         plain = self._plain(column)
-        counts = np.zeros(len(column), np.int64)
-        pieces: list = [None] * len(column)
-        at = np.flatnonzero(plain)
-        ids = np.zeros(0, "<u4")
-        if len(at):
-            some = column if plain.all() else column.take(pa.array(at))
-            lists = pc.split_pattern(some, " ")
-            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat_parts = lists.flatten()
-            coded = pc.dictionary_encode(flat_parts)
-            table, unit, mark = self._units(coded.dictionary)
-            begins = np.cumsum(sizes) - sizes
-            # the first part of a text has no blank before it
-            firsts = self._encode(flat_parts.take(pa.array(begins)).to_pylist())
-            index = coded.indices.to_numpy(zero_copy_only=False)
-            entry, mark = unit[index], mark[index]
-            entry[begins] = len(table) + len(self.mark_ids) + np.arange(len(firsts))
-            mark[begins] = -1
-            # a part's unit is followed by its mark
-            marked = mark >= 0
-            place = np.arange(len(entry), dtype=np.int32) + np.cumsum(marked, dtype=np.int32) - marked
-            entries = np.empty(len(entry) + int(marked.sum()), np.int32)
-            entries[place] = entry
-            entries[place[marked] + 1] = len(table) + mark[marked]
-            table = [*table, *self.mark_ids, *firsts]
-            length = np.fromiter(map(len, table), np.int64, len(table)) // 4
-            flat = np.frombuffer(b"".join(table), "<u4")
-            start = np.cumsum(length) - length
-            size = length[entries]
-            ends = np.cumsum(size)
-            from_ = np.repeat(start[entries] - (ends - size), size)
-            from_ += np.arange(ends[-1])
-            ids = flat[from_]
-            counts[at] = np.add.reduceat(size, place[begins])
-        if plain.all():
-            return ids, counts
-        parts = np.split(ids, np.cumsum(counts[at])[:-1]) if len(at) else []
-        for k, x in zip(at.tolist(), parts, strict=True):
-            pieces[k] = x
-        rest = np.flatnonzero(~plain)
-        for k, x in zip(rest.tolist(), self._encode(column.take(pa.array(rest)).to_pylist()), strict=True):
-            pieces[k] = np.frombuffer(x, "<u4")
-            counts[k] = len(pieces[k])
-        return np.concatenate(pieces), counts
+        cut = column if plain.all() else pc.if_else(pa.array(plain), column, pa.scalar("", column.type))
+        lists = pc.split_pattern(cut, " ")
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        parts = lists.flatten()
+        coded = pc.dictionary_encode(parts)
+        units, unit, mark = self._units(coded.dictionary)
+        begins = np.cumsum(sizes) - sizes
+        # the first part of a text has no blank before it; a text that is not cut is a first part
+        first = parts.take(pa.array(begins))
+        first = first if plain.all() else pc.if_else(pa.array(plain), first, column)
+        table = [*units, *self.mark_ids, *self._encode(first.to_pylist())]
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        entry, mark = unit[index], mark[index]
+        entry[begins] = len(units) + len(self.mark_ids) + np.arange(len(begins))
+        mark[begins] = -1
+        # a part's unit is followed by its mark
+        marked = mark >= 0
+        place = np.arange(len(entry), dtype=np.int32) + np.cumsum(marked, dtype=np.int32) - marked
+        entries = np.empty(len(entry) + int(marked.sum()), np.int32)
+        entries[place] = entry
+        entries[place[marked] + 1] = len(units) + mark[marked]
+        begins = place[begins]
+        self.used = entries, begins
+        length = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        flat = np.frombuffer(b"".join(table), "<u4")
+        start = np.cumsum(length) - length
+        size = length[entries]
+        ends = np.cumsum(size)
+        from_ = np.repeat(start[entries] - (ends - size), size)
+        from_ += np.arange(len(from_))
+        return flat[from_], np.add.reduceat(size, begins) if len(begins) else size
 
 
 @lru_cache(maxsize=2)
