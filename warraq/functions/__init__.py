@@ -1 +1 @@
-"""."""
+"""Functions of columns."""

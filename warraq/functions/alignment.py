@@ -61,6 +61,15 @@ def alignment_steps(a: Column, b: Column, symbols: Sequence[str], threshold: flo
 def backtrack(steps: Column, a: Column, b: Column) -> Column:
     """Pairs of tokens (null: a gap) along the steps from the last cell to the first."""
 
+    def along(v: Column) -> Column:
+        steps, a, b = v["steps"], v["a"], v["b"]
+        return _walk(steps, a, b)
+
+    # lambdas would compute them anew at every step
+    return _let(F.struct(steps.alias("steps"), a.alias("a"), b.alias("b")), along)
+
+
+def _walk(steps: Column, a: Column, b: Column) -> Column:
     def back(acc: Column, _: Column) -> Column:
         i, j = acc["i"], acc["j"]
         inside = F.substring(F.get(steps, i - 1), j, F.lit(1))
@@ -86,4 +95,4 @@ def backtrack(steps: Column, a: Column, b: Column) -> Column:
 def align_tokens(a: Column | str, b: Column | str, symbols: Sequence[str] = (), threshold: float = 0.6) -> Column:
     """array<struct<a,b>>: the best global alignment of two arrays of tokens; a null array is an empty one."""
     x, y = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.array().cast("array<string>")) for c in (a, b))
-    return backtrack(alignment_steps(x, y, symbols, threshold), x, y)
+    return _let(F.struct(x.alias("x"), y.alias("y")), lambda v: backtrack(alignment_steps(v["x"], v["y"], symbols, threshold), v["x"], v["y"]))

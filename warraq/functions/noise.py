@@ -27,7 +27,9 @@ def character_stats(col: Column | str) -> Column:
     space, punctuation = _count(x, f"[{P.WS}&&[^{P.ARABIC}]]"), _count(x, PUNCTUATION)
     rest = F.length(x) - arabic - digit - latin - space - punctuation
     chars = F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0))
-    each = F.transform(F.array_distinct(chars), lambda c: F.struct(c, F.size(F.filter(chars, lambda d: d == c)).alias("n")))
+    count = lambda chars: F.transform(F.array_distinct(chars), lambda c: F.struct(c, F.size(F.filter(chars, lambda d: d == c)).alias("n")))
+    # a lambda would split the text anew for every character
+    each = F.transform(F.array(chars), count)[0]
     named = {"arabic": arabic, "latin": latin, "digit": digit, "space": space, "punctuation": punctuation, "symbol": rest, "frequency": F.map_from_entries(each)}
     return F.struct(*(v.alias(k) for k, v in named.items()))
 

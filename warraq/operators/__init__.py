@@ -1 +1 @@
-"""."""
+"""Operators on tables: footnote repair and page search."""

@@ -1 +1 @@
-"""."""
+"""Settings and the queries of the driver contract."""

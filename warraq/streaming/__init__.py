@@ -1 +1 @@
-"""."""
+"""Operators on streams."""
