@@ -1,9 +1,11 @@
 """Similarity join of documents on their word shingles by prefix trees.
 
 Sets of shingles are put in one global order, frequent shingles last. Two sets whose
-Jaccard similarity reaches the threshold share a shingle among the first few of
+Jaccard similarity reaches the threshold share several shingles among the first of
 each (their prefixes), so that sets meet under the least class that holds such a
-shingle. Where sets meet, they are stored in a trie and each probes it: a path is
+shingle. Prefixes are longer than one common shingle needs, so that each set may
+leave out the meeting places that the fewest of its shingles lead to (SPARE of its
+length together): chance meetings go, and two similar sets still meet. Where sets meet, they are stored in a trie and each probes it: a path is
 walked once for all sets that share it, and a subtree is left as soon as the
 lengths that remain cannot make up for the misses. Equal sets are one class
 throughout. The links give connected components.
@@ -26,6 +28,7 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import binary, saved, slices
@@ -33,6 +36,8 @@ from .components import connected_components
 
 #: Classes of a block of sets of up to LENGTH shingles; a place of more, or of longer sets, is split.
 CELL, LENGTH = 192, 1000
+#: Part of a set's shingles whose meeting places it may leave out.
+SPARE = 0.03
 #: Bound of the list of frequent shingles (16 bytes each); any list gives the same links.
 FREQUENT = 1 << 18
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -250,7 +255,9 @@ def _prefixes(size: int, num: int, den: int, frequent):
                     n = len(s)
                     if n and (name := class_of(s)) not in seen:
                         seen.add(name)
-                        parts.append(order.prefix(s, n - -(-num * n // den) + 1))
+                        # the shorter and the longer of two similar sets may each leave out SPARE of the longer's length
+                        spare = int(SPARE * n * den / num)
+                        parts.append(order.prefix(s, n + (num * -n) // den + 2 * spare + 1))
                         names.append(np.full(len(parts[-1]), name, np.int64))
                 if parts:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(names))], ["shingle", "class"])
@@ -312,12 +319,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
 
     prefixes = saved(texts.select("text").mapInArrow(_prefixes(size, num, den, frequent), "shingle bigint, class bigint"), "prefixes")
     pivots = prefixes.groupBy("shingle").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).where("pivot <> last").select("shingle", "pivot")
-    met = prefixes.join(pivots, "shingle").select("class", "pivot").distinct()
-    # similar sets differ in length by less than a band, so they meet in the band of one of them
+    met = prefixes.join(pivots, "shingle").groupBy("class", "pivot").agg(F.count("*").alias("s")).join(classes, "class")
+    spare = F.floor(F.col("n") * SPARE)
+    sums = F.sum("s").over(W.partitionBy("class").orderBy("s", "pivot"))
+    met = met.withColumn("sum", sums).where(F.col("sum") > spare).select("class", "pivot", "row_key", "n")
+    # similar sets differ in length by less than a band: they meet in the band of the longer
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
-    met = met.join(classes, "class").select("class", "pivot", "row_key", "n", F.explode(F.array(band, band + 1)).alias("band"))
-    met = saved(met, "meetings")
-    places = met.groupBy("pivot", "band").agg(F.count("*").alias("m"), F.avg("n").alias("n")).where("m > 1")
+    both = F.explode(F.array(F.struct(band.alias("band"), F.lit(1).alias("own")), F.struct((band + 1).alias("band"), F.lit(0).alias("own"))))
+    met = saved(met.select("*", both.alias("b")).select("class", "pivot", "row_key", "n", "b.*"), "meetings")
+    places = met.groupBy("pivot", "band").agg(F.count("*").alias("m"), F.sum("own").alias("own"), F.avg("n").alias("n")).where("m > 1 and own > 0")
     places = places.select("pivot", "band", F.ceil(F.col("m") * F.greatest(F.lit(1.0), F.col("n") / LENGTH) / CELL).cast("int").alias("cells"))
     met = met.join(places, ["pivot", "band"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("cells")).cast("int"))
     wanted = met.groupBy("row_key", "class").agg(F.collect_list(F.struct("pivot", "band", "cells", "block")).alias("places"))
