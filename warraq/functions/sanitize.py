@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from . import patterns as P
 
-#: Private characters that stand for a removed reference and for a tatweel that stays.
-_GAP, _KEPT = "\ue000", "\ue001"
+#: Private characters that stand for a removed reference, for a tatweel that stays and for further strokes.
+_GAP, _KEPT, _STROKES = "\ue000", "\ue001", "\ue002"
 
 
 @dataclass(frozen=True)
@@ -97,6 +97,9 @@ def _apply(col: Column, o: Resolved) -> Column:
         x = _replaced(x, rf"^[{P.BLANKS}]+", "")
     if o.strip_footnotes and not letters:
         x = _replaced(x, rf"\( ?(?:¬[{P.ARABIC_DIGITS}]+ ?|[{P.ARABIC_DIGITS}](?: [؀-ۿ])?)\)", _GAP)
+    if o.strip_latin_and_symbols and not letters:
+        # the first stroke still bounds a Hijri mark
+        x = _replaced(x, "//+", "/" + _STROKES)
     if o.remove_hijri_marker:
         x = _replaced(x, rf"([{P.DIGITS}][{P.BLANKS}{P.ZERO_WIDTH}]*)\u0647ـ?(?=\z|[{P.BLANKS}{P.NOISE_SYMBOLS}/\-])", "$1")
     if o.strip_zero_width:
@@ -106,7 +109,7 @@ def _apply(col: Column, o: Resolved) -> Column:
     if o.strip_footnotes and not letters:
         x = F.replace(x, F.lit(_GAP), F.lit(" "))
     if o.strip_latin_and_symbols and not letters:
-        x = _replaced(x, f"[A-Za-z0-9{P.NOISE_SYMBOLS}]|//+", " ")
+        x = _replaced(x, f"[A-Za-z0-9{P.NOISE_SYMBOLS}]|/{_STROKES}", " ")
     # marks that may compose and tatweel are judged after the letters around them
     later = (P.COMPOSING if o.nfc or o.strip_diacritics else "") + (r"\u0640" if o.strip_tatweel else "")
     if o.keep_only_arabic_letters:
@@ -118,8 +121,9 @@ def _apply(col: Column, o: Resolved) -> Column:
     if source:
         x = F.translate(x, source, target)
     if o.strip_tatweel == "safe":
-        # the first tatweel after a digit or heh stays
-        x = _replaced(_replaced(x, rf"([{P.DIGITS}\u0647]\x20*)\u0640", "$1" + _KEPT), r"\u0640", "")
+        # the first tatweel after a digit or heh stays; blanks and marks that will be gone don't count
+        unseen = (P.BLANKS if o.collapse_whitespace else r"\x20") + (P.COMPOSING if o.strip_diacritics else "")
+        x = _replaced(_replaced(x, rf"([{P.DIGITS}\u0647][{unseen}]*)\u0640", "$1" + _KEPT), r"\u0640", "")
         x = _replaced(x, _KEPT, gap if letters else "\u0640")
     elif o.strip_tatweel:
         x = _replaced(x, r"\u0640", "")
