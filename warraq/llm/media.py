@@ -25,6 +25,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import binary, documents_view, saved, shared_path, shuffle_partitions
 
@@ -186,9 +187,7 @@ def read_metadata(index: DataFrame, uri: str, partitions: int | None = None) ->
         for batch, heads in _each_stored(batches, uri, lambda get, length, digest: read_header(get(HEADER))):
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([h[n] for h in heads], pa.int32()) for n in names)], [*batch.schema.names, *names])
 
-    schema = index.schema
-    for n in names:
-        schema = schema.add(n, "int")
+    schema = T.StructType([*index.schema.fields, *(T.StructField(n, T.IntegerType()) for n in names)])
     return _ranges(index, partitions).mapInArrow(run, schema)
 
 
