@@ -70,14 +70,14 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
-def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
+def _cut(path: str, capacity: int, end_id: int, with_ids: bool, memo: int):
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = text_encoder(path)
+        encoder = text_encoder(path, memo)
         step = 4 * capacity
         for batch in batches:
-            for i, texts in text_slices(batch.column(1)):
+            for i, texts in text_slices(batch.column(1), 28 * memo):
                 tokens, counts = encoder.encode(texts)
                 raw, ends = tokens.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
                 rows, out, begin = [], [], 0
@@ -117,12 +117,15 @@ def pack_documents(
     text_col: str = "text",
     group_docs: int = 2048,
     with_ids: bool = False,
+    memo: int = 600_000,
 ) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, [ids,] sequence_id, offset).
 
     ``group_docs`` is about how many documents are packed together: it bounds a
     task's memory and does not depend on the size of the table. ``with_ids`` adds the
-    ids of each piece (little-endian unsigned 32-bit integers).
+    ids of each piece (little-endian unsigned 32-bit integers). ``memo`` is how many
+    units a worker's tokenizer remembers (200 bytes each, twice): it trades memory
+    for time and changes no result.
     """
     texts = documents_view(docs, id_col, text_col)
     groups = max(1, -(-docs.count() // group_docs))
@@ -130,6 +133,6 @@ def pack_documents(
     tied = texts.select("doc_id", "text", F.xxhash64("doc_id", F.length("text"), F.lit("packing")).alias("tie"))
     base = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
     ids = ", ids binary" * with_ids
-    pieces = tied.mapInArrow(_cut(path, capacity, end_id, with_ids), f"{base}, tie bigint{ids}")
+    pieces = tied.mapInArrow(_cut(path, capacity, end_id, with_ids, memo), f"{base}, tie bigint{ids}")
     grouped = pieces.withColumn("part", F.pmod("tie", F.lit(groups))).groupBy("part")
     return grouped.applyInArrow(_pack(capacity), f"{base}{ids}, sequence_id bigint, offset bigint")

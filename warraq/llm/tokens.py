@@ -18,6 +18,14 @@ SPACE_BYTES[[*range(9, 14), *range(28, 33)]] = True
 MARKS = ".,:;!?"
 
 
+def simple_parts(parts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Each part without the mark that ends it, if letters stand before it; whether there is such a mark; whether the rest is all letters."""
+    trimmed = pc.utf8_rtrim(parts, characters=MARKS)
+    one = pc.equal(pc.subtract(pc.binary_length(parts), pc.binary_length(trimmed)), 1)
+    cut = pc.and_(one, pc.utf8_is_alpha(trimmed))
+    return pc.if_else(cut, trimmed, parts), cut, pc.or_(cut, pc.utf8_is_alpha(parts))
+
+
 def plain_texts(column: pa.Array, run) -> np.ndarray:
     """Which texts of a string column have white space only one at a time; ``run`` finds two together in a text."""
     ends = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
@@ -44,7 +52,7 @@ class TextEncoder:
     lacks. Other texts are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -98,10 +106,8 @@ class TextEncoder:
 
     def _units(self, parts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Ids of units; the unit of each part; the number of the mark that ends it, or -1. A part is a unit, or letters and a mark."""
-        trimmed = pc.utf8_rtrim(parts, characters=self.mark_text)
-        one = pc.equal(pc.subtract(pc.binary_length(parts), pc.binary_length(trimmed)), 1)
-        cut = pc.and_(one, pc.utf8_is_alpha(trimmed))
-        coded = pc.dictionary_encode(pc.if_else(cut, trimmed, parts))
+        unit, cut, _ = simple_parts(parts)
+        coded = pc.dictionary_encode(unit)
         mark = pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(parts, -1), pa.array(list(self.mark_text), parts.type)), -1)
         as_numbers = lambda x: x.to_numpy(zero_copy_only=False).astype(np.int32)
         return self._resolve(coded.dictionary.to_pylist()), as_numbers(coded.indices), np.where(cut.to_numpy(zero_copy_only=False), as_numbers(mark), np.int32(-1))
@@ -146,9 +152,9 @@ class TextEncoder:
 
 
 @lru_cache(maxsize=2)
-def text_encoder(path: str) -> TextEncoder:
-    """One encoder for all tasks that a Python worker runs."""
-    return TextEncoder(path)
+def text_encoder(path: str, most: int = 200_000) -> TextEncoder:
+    """One encoder for all tasks that a Python worker runs; its memo has up to twice ``most`` units (about 200 bytes each)."""
+    return TextEncoder(path, most)
 
 
 def vocabulary_size(path: str) -> int:
@@ -156,7 +162,7 @@ def vocabulary_size(path: str) -> int:
     return text_encoder(path).tokenizer.get_vocab_size()
 
 
-def text_slices(column: pa.Array, most: int = 16 << 20):
+def text_slices(column: pa.Array, most: int = 8 << 20):
     """(first row, slice) of a string column, each of about ``most`` bytes; a longer text has a slice of its own."""
     sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
     begin = total = 0
