@@ -144,7 +144,7 @@ def _tokenise(path: str, end_id: int, block_tokens: int, width: str):
         from pyspark import TaskContext
 
         shard, number, done = TaskContext.get().partitionId(), 0, 0
-        encoder, end = text_encoder(path), np.asarray([end_id], width)
+        encoder, end = text_encoder(path, 600_000), np.asarray([end_id], width)
         doc_ids, parts, sizes, size = [], [], [], 0
         totals, kind = np.zeros(end_id + 1, np.int64), None
 
@@ -158,7 +158,7 @@ def _tokenise(path: str, end_id: int, block_tokens: int, width: str):
             return pa.RecordBatch.from_arrays(columns, [*HEAD_NAMES, "ids", "counts"])
 
         for batch in batches:
-            for i, texts in text_slices(batch.column(1)):
+            for i, texts in text_slices(batch.column(1), 16 << 20):
                 tokens, counts = encoder.encode(texts)
                 more = np.bincount(tokens, minlength=len(totals))
                 more[: len(totals)] += totals
