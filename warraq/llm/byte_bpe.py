@@ -28,10 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_view, saved, slices
+from .common import documents_view, saved
+from .tokens import MARKS, TextEncoder, plain_texts, simple_parts, text_slices
 
 #: Ranks are below this; the packed cells of the rank map hold left * NO_RANK + rank.
-NO_RANK = 1 << 20
+NO_RANK = 1 << 18
+#: A token's number in the fold: rank, place (26 bits), id (18 bits).
+ID_SIZE, PLACE_BITS = 1 << 18, 44
+PLACES = 1 << PLACE_BITS
 #: Places of a row of the rank map that are tried at once.
 WINDOW = 8192
 
@@ -95,41 +99,40 @@ def pair_rank(places: Column, cells: Column, left: Column, right: Column) -> Col
 def fold_merges(word: Column, path: str) -> Column:
     """Token ids (array<bigint>) of one word, given as its byte array (array of numbers, not empty).
 
-    The accumulator holds the ids and the ranks of neighbouring pairs. Each step
-    merges the leftmost pair of the lowest rank and looks up the two pairs that
-    this changes, as long as a pair has a rank.
+    The accumulator holds a number for each token: the rank of the pair that it
+    begins, the place of its first byte and its id, in this order of bits. The least
+    number is the leftmost pair of the lowest rank; a step merges it and looks up the
+    two pairs that this changes, as long as a pair has a rank.
     """
     places_json, cells_json, bytes_json = rank_map(path)
-    none = F.array().cast("array<bigint>")
 
     def with_tables(t: Column) -> Column:
         places, cells = t["places"], t["cells"]
-        rank = lambda a, b: pair_rank(places, cells, a, b)
 
-        def step(acc: Column, _: Column) -> Column:
-            ids, ranks = acc["ids"], acc["ranks"]
+        def rank(a: Column, b: Column) -> Column:
+            return F.coalesce(F.least(pair_rank(places, cells, a, b), F.lit(NO_RANK)), F.lit(NO_RANK))
 
-            def merged(m: Column) -> Column:
-                p, k = F.array_position(ranks, m).cast("int"), F.size(ids)
-                before = F.when(p > 1, F.array(rank(F.get(ids, p - 2), m))).otherwise(none)
-                after = F.when(p + 1 < k, F.array(rank(m, F.get(ids, p + 1)))).otherwise(none)
-                return F.struct(
-                    F.concat(F.slice(ids, F.lit(1), p - 1), F.array(m), F.slice(ids, p + 2, k)).alias("ids"),
-                    F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), before, after, F.slice(ranks, p + 2, k)).alias("ranks"),
-                )
+        def packed(rank_: Column, rest: Column) -> Column:
+            return rank_ * PLACES + rest
 
-            return F.transform(F.array(F.array_min(ranks)), lambda m: F.when(m < NO_RANK, merged(m)).otherwise(acc))[0]
+        def step(acc: Column, _: Column) -> Column:
+            def merged(m: Column) -> Column:
+                p = F.array_position(acc, m).cast("int")
+                id_ = F.shiftrightunsigned(m, PLACE_BITS)
+                place = m.bitwiseAND(PLACES - ID_SIZE)
+                following = F.get(acc, p + 1).bitwiseAND(ID_SIZE - 1)
+                own = packed(rank(id_, following), place + id_)
+                before = F.get(acc, p - 2)
+                left = packed(rank(before.bitwiseAND(ID_SIZE - 1), id_), before.bitwiseAND(PLACES - 1))
+                changed = F.when(p > 1, F.array(left, own)).otherwise(F.array(own))
+                return F.concat(F.slice(acc, F.lit(1), F.greatest(p - 2, F.lit(0))), changed, F.slice(acc, p + 2, F.size(acc)))
+
+            return F.transform(F.array(F.array_min(acc)), lambda m: F.when(m < NO_RANK * PLACES, merged(m)).otherwise(acc))[0]
 
         ids = F.transform(word, lambda b: F.get(t["bytes"], b.cast("int")))
-        start = F.transform(
-            F.array(ids),
-            lambda a: F.struct(
-                a.alias("ids"),
-                F.when(F.size(a) > 1, F.transform(F.slice(a, F.lit(2), F.size(a)), lambda b, i: rank(F.get(a, i), b))).otherwise(none).alias("ranks"),
-            ),
-        )[0]
+        start = F.transform(F.array(ids), lambda a: F.transform(a, lambda x, i: packed(rank(x, F.get(a, i + 1)), i * F.lit(ID_SIZE) + x)))[0]
         # a word has at most one merge less than bytes
-        return F.aggregate(F.slice(word, F.lit(2), F.size(word)), start, step, lambda acc: acc["ids"])
+        return F.aggregate(F.slice(word, F.lit(2), F.size(word)), start, step, lambda acc: F.transform(acc, lambda v: v.bitwiseAND(ID_SIZE - 1)))
 
     tables = F.struct(
         F.from_json(F.lit(places_json), "array<bigint>").alias("places"),
@@ -157,9 +160,9 @@ class Splitter:
         self.find = regex.compile(pattern).findall
         self.run = re.compile(r"\s\s").search
 
-    def parts(self, text: str) -> list[str]:
-        """The first part, and the others without the blank that begins them."""
-        return [text] if self.run(text) else text.split(" ")
+    def plain(self, column: pa.Array) -> np.ndarray:
+        """Which texts are cut at their blanks."""
+        return plain_texts(column, self.run)
 
     def after_blank(self, part: str) -> list[str]:
         """The words of a blank and a part."""
@@ -176,116 +179,125 @@ def _count_words(pattern: str):
 
         split = Splitter(pattern)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for i, j in slices(batch, texts, 32 << 20):
+            for _, column in text_slices(batch.column(0), 4 << 20):
                 words: Counter = Counter()
-                plain, parts = [], []
-                for k, text in enumerate(texts[i:j]):
-                    if split.run(text):
-                        words.update(split.find(text))
-                    else:
-                        words.update(split.find(text.partition(" ")[0]))
-                        plain.append(k)
-                if plain:
-                    # what follows the first blank of each text; a text without a blank gives nothing
-                    column = batch.column(0).slice(i, j - i).take(pa.array(plain, pa.int64()))
-                    lists = pc.split_pattern(column, " ")
-                    rest = pc.list_slice(lists, 1, return_fixed_size_list=False)
-                    parts = pc.value_counts(pc.list_flatten(rest))
-                    for part, n in zip(parts.field(0).to_pylist(), parts.field(1).to_pylist(), strict=True):
-                        for w in split.after_blank(part):
-                            words[w] += n
-                keys = list(words)
-                for a in range(0, len(keys), 50_000):
-                    some = keys[a : a + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w in some], pa.binary()), pa.array(map(words.__getitem__, some), pa.int64())], ["word", "n"])
+                plain = split.plain(column)
+                lists = pc.split_pattern(pc.if_else(pa.array(plain), column, pa.scalar("", column.type)), " ")
+                first = pc.if_else(pa.array(plain), pc.list_element(lists, 0), column)
+                for text in first.to_pylist():
+                    words.update(split.find(text))
+                # what follows the first blank of each text; a text without a blank gives nothing
+                parts = pc.value_counts(pc.list_flatten(pc.list_slice(lists, 1, return_fixed_size_list=False)))
+                part, n = parts.field(0), parts.field(1)
+                unit, cut, plain = simple_parts(part)
+                for p, k in zip(part.filter(pc.invert(plain)).to_pylist(), n.filter(pc.invert(plain)).to_pylist(), strict=True):
+                    for w in split.find(" " + p):
+                        words[w] += k
+                keys = [pc.binary_join_element_wise("", unit.filter(plain), " "), pc.utf8_slice_codeunits(part.filter(cut), -1), pa.array(words.keys(), pa.string())]
+                table = pa.table({"word": pa.concat_arrays(keys), "n": pa.concat_arrays([n.filter(plain), n.filter(cut), pa.array(words.values(), pa.int64())])})
+                pa.default_memory_pool().release_unused()
+                for batch_ in table.group_by("word").aggregate([("n", "sum")]).to_batches(50_000):
+                    yield pa.RecordBatch.from_arrays([batch_.column("word").cast(pa.binary()), batch_.column("n_sum")], ["word", "n"])
 
     return run
 
 
 class HotWords:
-    """A compact dictionary of words (binary) and their ids: 64-bit hashes in order, the words and the ids in one block each."""
+    """A compact dictionary of words (binary) and their ids: hashes of 64 and of 32 bits in order, and the ids in one block."""
 
-    def __init__(self, words: pa.Array, ids: pa.Array):
-        from xxhash import xxh3_64_intdigest
+    def __init__(self, words: np.ndarray, checks: np.ndarray, counts: np.ndarray, ids: np.ndarray):
+        """Hashes, second hashes, numbers of ids and all ids of the words."""
+        order = np.argsort(words, kind="stable")
+        ends = np.cumsum(counts)
+        self.hashes, self.checks = words[order], checks[order]
+        self.size, self.start = counts[order].astype(np.uint16), (ends - counts)[order].astype(np.uint32)
+        self.ids = ids.astype("<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4")
 
-        hashes = np.fromiter(map(xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
-        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
-        self.hashes = hashes[self.order]
-        self.words, self.word_ends = b"".join(words.to_pylist()), np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy())]).astype(np.int64)
-        self.ids, self.id_ends = ids.flatten().to_numpy().astype("<u4"), np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())]).astype(np.int64)
+    @staticmethod
+    def hashed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        from xxhash import xxh3_64_intdigest, xxh32_intdigest
 
-    def find(self, words: list[bytes]) -> list[bytes | None]:
-        """The ids of each word as bytes, None for a word that is missing."""
-        from xxhash import xxh3_64_intdigest
+        return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)), np.fromiter(map(xxh32_intdigest, words), np.uint32, len(words))
 
-        if not len(self.hashes):
+    def find(self, words: list[bytes]) -> list[bytes | None]:
+        """The ids of each word as little-endian unsigned 32-bit integers, None for a word that is missing."""
+        if not len(self.hashes) or not words:
             return [None] * len(words)
-        at = np.searchsorted(self.hashes, np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)))
-        at = self.order[np.minimum(at, len(self.hashes) - 1)]
-        a, b = self.word_ends[at].tolist(), self.word_ends[at + 1].tolist()
-        c, d = self.id_ends[at].tolist(), self.id_ends[at + 1].tolist()
-        return [self.ids[c[k] : d[k]].tobytes() if self.words[a[k] : b[k]] == w else None for k, w in enumerate(words)]
+        hashes, checks = self.hashed(words)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        known = (self.hashes[at] == hashes) & (self.checks[at] == checks)
+        size = np.where(known, self.size[at], 0).astype(np.int64)
+        ends = np.cumsum(size)
+        raw = self.ids[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1])].astype("<u4").tobytes()
+        return [raw[4 * a : 4 * b] if k else None for k, a, b in zip(known.tolist(), (ends - size).tolist(), ends.tolist(), strict=True)]
 
 
 #: Stands in a text's ids for a word that the dictionary lacks.
 MARK = 0xFFFFFFFF
 
 
-def _encode_hot(pattern: str, hot, most: int):
-    """Ids of each text with a mark for each rare word, the distinct rare words as byte arrays, and which of them each mark means."""
+class HotEncoder(TextEncoder):
+    """Ids of texts from the dictionary, with a mark for each rare word."""
 
-    def run(batches):
-        split, known = Splitter(pattern), hot.value
-        mark = MARK.to_bytes(4, "little")
-        memo: dict[str, bytes] = {}
-        rare: dict[str, tuple] = {}
+    def __init__(self, pattern: str, hot: HotWords):
+        self.split, self.hot, self.mark = Splitter(pattern), hot, MARK.to_bytes(4, "little")
+        self.run, self.mark_text = self.split.run, MARKS
+        #: The rare words of the table's entries in this call, in three runs: units, marks, first parts.
+        self.rare: list[list[tuple]] = []
+
+    def _known(self, parts: list[list[str]]) -> list[bytes]:
+        """Ids of parts given as lists of their words; their rare words are noted."""
+        words = list({w for p in parts for w in p})
+        ids = dict(zip(words, self.hot.find([w.encode() for w in words]), strict=True))
+        mark = self.mark
+        self.rare.append([tuple(w for w in p if ids[w] is None) for p in parts])
+        return [ids[p[0]] or mark if len(p) == 1 else b"".join([ids[w] or mark for w in p]) for p in parts]
+
+    def _resolve(self, units: list[str]) -> list[bytes]:
+        table = self._known([self.split.after_blank(u) for u in units])
+        self.mark_ids = self._known([[m] for m in self.mark_text])
+        return table
 
-        def learn(parts: list[list[str]]):
-            """Fills the memo for parts given as lists of their words."""
-            words = list({w for p in parts for w in p})
-            ids = dict(zip(words, known.find([w.encode() for w in words]), strict=True))
-            return [(b"".join([ids[w] or mark for w in p]), tuple(w for w in p if ids[w] is None)) for p in parts]
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return self._known([self.split.find(t) for t in texts])
 
+    def rare_words(self) -> tuple[list[str], np.ndarray]:
+        """Of the last call: the rare words in the order of their marks, and how many each text has."""
+        entries, begins = self.used
+        rare = [r for run in self.rare for r in run]
+        count = np.fromiter(map(len, rare), np.int32, len(rare))[entries]
+        own = np.add.reduceat(count, begins) if len(begins) else count
+        return [w for e in entries[count > 0].tolist() for w in rare[e]], own
+
+
+def _encode_hot(pattern: str, hot):
+    """Ids of each text with a mark for each rare word, the distinct rare words as byte arrays, and which of them each mark means."""
+
+    def run(batches):
+        encoder = HotEncoder(pattern, hot.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in slices(batch, texts, 4 << 20):
-                rows = [split.parts(t) for t in texts[i:j]]
-                wanted = set().union(*(r[1:] for r in rows))
-                if len(memo) + len(wanted) > most:
-                    memo.clear()
-                    rare.clear()
-                new = list(wanted - memo.keys())
-                for part, (ids, missing) in zip(new, learn([split.after_blank(p) for p in new]), strict=True):
-                    memo[part] = ids
-                    if missing:
-                        rare[part] = missing
-                firsts = learn([split.find(r[0]) for r in rows])
-                out, flat, word_ends, list_ends, places, place_ends = [], [], [0], [0], [], [0]
-                get = memo.__getitem__
-                for row, (ids, missing) in zip(rows, firsts, strict=True):
-                    rest = row[1:]
-                    out.append(ids + b"".join(map(get, rest)))
-                    own: dict[str, int] = {}
-                    for w in missing:
-                        places.append(own.setdefault(w, len(own)))
-                    for part in rest:
-                        if part in rare:
-                            for w in rare[part]:
-                                places.append(own.setdefault(w, len(own)))
-                    for w in own:
-                        flat.append(w.encode())
-                        word_ends.append(word_ends[-1] + len(flat[-1]))
+            for i, column in text_slices(batch.column(1), 4 << 20):
+                encoder.rare = []
+                ids, counts = encoder.encode(column)
+                rare, own = encoder.rare_words()
+                flat, list_ends, places, at = [], [0], [], 0
+                for n in own.tolist():
+                    words = rare[at : at + n]
+                    at += n
+                    number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+                    places += map(number.__getitem__, words)
+                    flat += map(str.encode, number)
                     list_ends.append(len(flat))
-                    place_ends.append(len(places))
-                numbers = pa.array(np.frombuffer(b"".join(flat), np.uint8).astype(np.int32))
-                words = pa.ListArray.from_arrays(pa.array(word_ends, pa.int32()), numbers)
+                word_ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, flat), np.int32, len(flat)))]).astype(np.int32)
+                pa.default_memory_pool().release_unused()
+                words = pa.ListArray.from_arrays(pa.array(word_ends), pa.array(np.frombuffer(b"".join(flat), np.uint8).astype(np.int32)))
+                ends = np.concatenate([[0], np.cumsum(4 * counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(i, j - i),
-                        pa.array(out, pa.binary()),
+                        batch.column(0).slice(i, len(column)),
+                        pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))]),
                         pa.ListArray.from_arrays(pa.array(list_ends, pa.int32()), words),
-                        pa.ListArray.from_arrays(pa.array(place_ends, pa.int32()), pa.array(places, pa.int32())),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(own)]).astype(np.int32)), pa.array(places, pa.int32())),
                     ],
                     ["doc_id", "ids", "rare", "places"],
                 )
@@ -293,9 +305,21 @@ def _encode_hot(pattern: str, hot, most: int):
     return run
 
 
-def decode_bytes(ids: np.ndarray, vocabulary: list[bytes]) -> bytes:
-    """The byte strings of ids, concatenated."""
-    return b"".join(map(vocabulary.__getitem__, ids.tolist()))
+class Decoder:
+    """Byte strings of ids, concatenated."""
+
+    def __init__(self, path: str):
+        vocabulary = vocabulary_of(path)
+        self.size = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(vocabulary), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        at = np.repeat(self.start[ids] - (ends - size), size)
+        at += np.arange(len(at))
+        return self.data[at].tobytes()
 
 
 def vocabulary_of(path: str) -> list[bytes]:
@@ -319,24 +343,26 @@ def _fill_marks(ids: bytes, places: list[int], folded: list[bytes]) -> bytes:
 
 def _put_together(path: str, digests: bool):
     def run(batches):
-        vocabulary = vocabulary_of(path)
-        for batch in batches:
-            lists, places = batch.column(3), batch.column(2)
-            flat = lists.flatten()
-            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(flat).to_numpy(zero_copy_only=False))]).astype(np.int64).tolist()
-            numbers = flat.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            folded = [numbers[4 * a : 4 * b] for a, b in zip(ends, ends[1:], strict=False)]
-            rows, at = [], 0
-            for ids, p, n in zip(batch.column(1).to_pylist(), places.to_pylist(), pc.list_value_length(lists).to_pylist(), strict=True):
-                rows.append(_fill_marks(ids, p, folded[at : at + n]) if p else ids)
-                at += n
-            if digests:
-                decoded = [decode_bytes(np.frombuffer(x, "<u4"), vocabulary) for x in rows]
-                out = [pa.array([len(x) // 4 for x in rows], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in rows], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *out], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-            else:
-                out = [np.frombuffer(x, "<u4").astype(np.int32) for x in rows]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        decode = Decoder(path)
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 512):
+                batch = whole.slice(begin, 512)
+                lists, places = batch.column(3), batch.column(2)
+                flat = lists.flatten()
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(flat).to_numpy(zero_copy_only=False))]).astype(np.int64).tolist()
+                numbers = flat.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+                folded = [numbers[4 * a : 4 * b] for a, b in zip(ends, ends[1:], strict=False)]
+                rows, at = [], 0
+                for ids, p, n in zip(batch.column(1).to_pylist(), places.to_pylist(), pc.list_value_length(lists).to_pylist(), strict=True):
+                    rows.append(_fill_marks(ids, p, folded[at : at + n]) if p else ids)
+                    at += n
+                if digests:
+                    texts = (decode(np.frombuffer(x, "<u4")) for x in rows)
+                    out = [pa.array([len(x) // 4 for x in rows], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in rows], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *out], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                else:
+                    out = [np.frombuffer(x, "<u4").astype(np.int32) for x in rows]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return run
 
@@ -365,8 +391,13 @@ def hot_dictionary(counts: DataFrame, path: str, hot_words: int) -> HotWords:
     least = (1 << 62) if least is None else least
     hot = counts.where((F.col("n") >= least) & (F.length("word") > 0) & (F.length("word") <= 64)).select("word")
     table = hot.select("word", fold_merges(byte_array(F.col("word")), path).cast("array<int>").alias("ids")).toArrow()
-    word, ids = (table.column(c).combine_chunks() for c in ("word", "ids"))
-    return HotWords(word, ids)
+    hashes, counts, ids = [], [], []
+    for part in table.to_batches(100_000):
+        hashes.append(HotWords.hashed(part.column(0).to_pylist()))
+        counts.append(pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False))
+        ids.append(part.column(1).flatten().to_numpy(zero_copy_only=False))
+    none = np.zeros(0, np.int64)
+    return HotWords(*(np.concatenate([none.astype(t), *x]) for t, x in ((np.uint64, [h for h, _ in hashes]), (np.uint32, [c for _, c in hashes]), (np.int64, counts), (np.int64, ids))))
 
 
 def byte_array(word: Column) -> Column:
@@ -380,20 +411,20 @@ def encode_documents(
     pattern: str,
     id_col: str = "doc_id",
     text_col: str = "text",
-    hot_words: int = 1_500_000,
+    hot_words: int = 800_000,
     digests: bool = False,
 ) -> DataFrame:
     """(doc_id, ids array<int>) of every text, or with ``digests`` (doc_id, n_tokens, ids_sha256, decoded_sha256).
 
     ``path`` names a ``.tiktoken`` file that all machines have. ``hot_words`` bounds
-    the broadcast dictionary (about 60 bytes an entry); any value gives the same ids.
+    the broadcast dictionary (about 30 bytes an entry); any value gives the same ids.
     """
     spark = docs.sparkSession
     counts = saved(word_counts(docs, pattern, id_col, text_col), "word-counts")
     hot = spark.sparkContext.broadcast(hot_dictionary(counts, path, hot_words))
     texts = documents_view(docs, id_col, text_col)
     kind = texts.schema["doc_id"].dataType.simpleString()
-    found = texts.mapInArrow(_encode_hot(pattern, hot, 300_000), f"doc_id {kind}, ids binary, rare array<array<int>>, places array<int>")
+    found = texts.mapInArrow(_encode_hot(pattern, hot), f"doc_id {kind}, ids binary, rare array<array<int>>, places array<int>")
     # rare words are folded in the JVM between the two passes over a batch
     folded = found.select("doc_id", "ids", "places", F.transform("rare", lambda w: fold_merges(w, path)).alias("folded"))
     schema = f"doc_id {kind}, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>")
