@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import platform
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +39,11 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows (of a few dozen bytes); a larger one is joined by a shuffle."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def documents_view(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) alone, the text never null."""
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
@@ -55,13 +64,35 @@ def binary(column: pa.Array) -> list[bytes]:
     return column.cast(kind).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, texts: list, most: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch whose texts have about ``most`` bytes together; a longer text has a range of its own."""
+def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of a string column whose texts have about ``most`` bytes together; a longer text has a range of its own."""
     begin = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
+    for i, n in enumerate(pc.binary_length(column).to_pylist()):
+        n = n or 0
+        if size and size + n > most:
             yield begin, i
             begin, size = i, 0
-        size += len(t)
-    if begin < batch.num_rows:
-        yield begin, batch.num_rows
+        size += n
+    if begin < len(column):
+        yield begin, len(column)
+
+
+def lean(run):
+    """A function of batches that gives memory back: large arrays are mapped by themselves, and what is free is trimmed at the end.
+
+    A Python worker serves many stages, and would otherwise keep the most that any of them took.
+    """
+
+    @functools.wraps(run)
+    def leaner(batches):
+        libc = ctypes.CDLL(None) if platform.libc_ver()[0] == "glibc" else None
+        if libc is not None:
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if libc is not None:
+                libc.malloc_trim(0)
+
+    return leaner

@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import binary, saved, slices
+from .common import binary, if_small, lean, saved, slices
 from .components import connected_components
 
 #: Classes of a block of sets of up to LENGTH shingles; a place of more, or of longer sets, is split.
 CELL, LENGTH = 192, 1000
 #: Part of a set's shingles whose meeting places it may leave out.
-SPARE = 0.03
+SPARE = 0.04
+#: Keys of near copies (8 bytes each) that are broadcast to take their rows out; beyond that the rows are shuffled.
+SMALL = 1_000_000
 #: Bound of the list of frequent shingles (16 bytes each); any list gives the same links.
 FREQUENT = 1 << 18
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -54,7 +56,17 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
-    """The distinct shingles of each text as ascending 64-bit hashes."""
+    """The distinct shingles of each text as ascending 64-bit hashes, some texts at a time."""
+    out, begin, total = [], 0, 0
+    for k, t in enumerate(texts):
+        total += len(t)
+        if total >= 1 << 20 or k == len(texts) - 1:
+            out += _shingle_sets(texts[begin : k + 1], size)
+            begin, total = k + 1, 0
+    return out
+
+
+def _shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     hashes, counts = word_hashes(texts)
     rolled = hashes.copy()
     for k in range(1, size):
@@ -103,9 +115,11 @@ class Order:
         order = np.argsort(ranks)
         return shingles[~known], shingles[known][order], ranks[order]
 
-    def prefix(self, shingles: np.ndarray, size: int) -> np.ndarray:
+    def prefix(self, shingles: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first shingles in order, and whether each is of the frequent list."""
         rare, common, _ = self.split(shingles)
-        return np.concatenate([rare[:size], common[: max(0, size - len(rare))]])
+        both = np.concatenate([rare[:size], common[: max(0, size - len(rare))]])
+        return both, np.arange(len(both)) >= min(size, len(rare))
 
     def keys(self, shingles: np.ndarray) -> list[int]:
         """Numbers that ascend in the global order, one for each shingle."""
@@ -223,11 +237,11 @@ def forest(left: list[tuple], right: list[tuple] | None, num: int, den: int) ->
 def _describe(size: int):
     """kind 0: (row_key, doc_id, class, number of shingles) of each row; kind 1: (shingle, count) where many texts of a slice share it."""
 
+    @lean
     def run(batches):
         for batch in batches:
-            texts = binary(batch.column(2))
-            for i, j in slices(batch, texts, 8 << 20):
-                sets = shingle_sets(texts[i:j], size)
+            for i, j in slices(batch.column(2), 8 << 20):
+                sets = shingle_sets(binary(batch.column(2).slice(i, j - i)), size)
                 n = j - i
                 names = ["kind", "row_key", "doc_id", "class", "n"]
                 counts = pa.array([len(s) for s in sets], pa.int64())
@@ -243,24 +257,26 @@ def _describe(size: int):
 
 
 def _prefixes(size: int, num: int, den: int, frequent):
-    """(shingle, class) of each set's prefix, each pair once a slice."""
+    """(shingle, class, common) of each set's prefix, each pair once a slice; ``common``: of the frequent list."""
 
+    @lean
     def run(batches):
         order = Order(frequent.value)
         for batch in batches:
-            texts = binary(batch.column(0))
-            for i, j in slices(batch, texts, 8 << 20):
-                parts, names, seen = [], [], set()
-                for s in shingle_sets(texts[i:j], size):
+            for i, j in slices(batch.column(0), 4 << 20):
+                parts, common, names, seen = [], [], [], set()
+                for s in shingle_sets(binary(batch.column(0).slice(i, j - i)), size):
                     n = len(s)
                     if n and (name := class_of(s)) not in seen:
                         seen.add(name)
                         # the shorter and the longer of two similar sets may each leave out SPARE of the longer's length
                         spare = int(SPARE * n * den / num)
-                        parts.append(order.prefix(s, n + (num * -n) // den + 2 * spare + 1))
+                        first, often = order.prefix(s, n + (num * -n) // den + 2 * spare + 1)
+                        parts.append(first)
+                        common.append(often)
                         names.append(np.full(len(parts[-1]), name, np.int64))
                 if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(names))], ["shingle", "class"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(common))], ["shingle", "class", "common"])
 
     return run
 
@@ -268,6 +284,7 @@ def _prefixes(size: int, num: int, den: int, frequent):
 def _meet(size: int, num: int, den: int, frequent):
     """(a, b): links found at each place; the rows of a place follow each other."""
 
+    @lean
     def run(batches):
         order = Order(frequent.value)
         place, left, right, links = None, {}, {}, []
@@ -280,7 +297,7 @@ def _meet(size: int, num: int, den: int, frequent):
             a, b = zip(*links, strict=True) if links else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        for batch in batches:
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             places = list(zip(*(batch.column(c).to_pylist() for c in ("pivot", "band", "cells", "i", "j")), strict=True))
             blocks, names = batch.column("block").to_pylist(), batch.column("class").to_pylist()
             texts = binary(batch.column("text"))
@@ -317,9 +334,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
     rows = described.where("kind = 0")
     classes = rows.where("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "row_key")).alias("o"), F.first("n").alias("n")).select("class", "n", "o.row_key")
 
-    prefixes = saved(texts.select("text").mapInArrow(_prefixes(size, num, den, frequent), "shingle bigint, class bigint"), "prefixes")
-    pivots = prefixes.groupBy("shingle").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).where("pivot <> last").select("shingle", "pivot")
-    met = prefixes.join(pivots, "shingle").groupBy("class", "pivot").agg(F.count("*").alias("s")).join(classes, "class")
+    prefixes = texts.select("text").mapInArrow(_prefixes(size, num, den, frequent), "shingle bigint, class bigint, common boolean")
+    # a shingle outside the frequent list stands in few texts of a slice, so that one task can hold it
+    alike = W.partitionBy("shingle")
+    rare = prefixes.where("not common").select("class", F.min("class").over(alike).alias("pivot"), F.max("class").over(alike).alias("last"))
+    # a frequent one may stand in any number: it is summed before the shuffle and joined, which splits it
+    common = saved(prefixes.where("common").select("shingle", "class"), "common-prefixes")
+    pivots = common.groupBy("shingle").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).where("pivot <> last")
+    shared = rare.where("pivot <> last").select("class", "pivot").unionByName(common.join(pivots, "shingle").select("class", "pivot"))
+    met = shared.groupBy("class", "pivot").agg(F.count("*").alias("s")).join(classes, "class")
     spare = F.floor(F.col("n") * SPARE)
     sums = F.sum("s").over(W.partitionBy("class").orderBy("s", "pivot"))
     met = met.withColumn("sum", sums).where(F.col("sum") > spare).select("class", "pivot", "row_key", "n")
@@ -346,7 +369,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
 def keep_one(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the document of the least id of each component; all columns as they are."""
     found = near_duplicates(docs, size, num, den, id_col, text_col)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("row_key").distinct()
+    gone = saved(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("row_key").distinct(), "near-copies")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("row_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return rows.join(gone, "row_key", "left_anti").select("row.*")
+    return rows.join(if_small(gone, gone.count(), SMALL), "row_key", "left_anti").select("row.*")
