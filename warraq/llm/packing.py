@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_view
+from .common import documents_view, lean
 from .tokens import text_encoder, text_slices
 
 
@@ -73,6 +73,7 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 def _cut(path: str, capacity: int, end_id: int, with_ids: bool, memo: int):
     end = np.asarray([end_id], "<u4").tobytes()
 
+    @lean
     def run(batches):
         encoder = text_encoder(path, memo)
         step = 4 * capacity

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_SPACE, documents_view
+from .common import WORD_SPACE, documents_view, lean
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts", "n_capitals")
@@ -149,8 +149,9 @@ def keep_documents(docs: DataFrame, policy: str = "v1", rules: list[Rule] | None
     entries = docs.select(whole, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     schema = T.StructType([entries.schema["row"], *(T.StructField(m, T.LongType()) for m in MEASURES)])
 
+    @lean
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
             values = list(zip(*map(measurements, batch.column(1).to_pylist()), strict=True)) or [()] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in values)], ["row", *MEASURES])
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary, saved, slices
+from .common import binary, lean, saved, slices
 
 #: Bytes of the sampled gram, a power of two.
 ANCHOR = 32
@@ -99,18 +99,19 @@ def anchors(data: bytes, ends: np.ndarray, length: int, values: np.ndarray) -> t
 def _find_anchors(length: int):
     """(row_key, doc_id, gram, context, first, last): the anchors of every text, the windows' places within the document."""
 
+    @lean
     def run(batches):
         from xxhash import xxh3_128_digest
 
         values = _byte_values()
         for batch in batches:
-            texts = binary(batch.column(2))
-            for i, j in slices(batch, texts, 2 << 20):
-                if sum(map(len, texts[i:j])) < 1 << 23:
-                    parts = [(texts[i:j], np.arange(i, j), 0)]
+            for i, j in slices(batch.column(2), 1 << 20):
+                texts = binary(batch.column(2).slice(i, j - i))
+                if sum(map(len, texts)) < 1 << 23:
+                    parts = [(texts, np.arange(i, j), 0)]
                 else:  # one very long text: overlapping stretches, each window in exactly one
                     step = 1 << 21
-                    parts = [([texts[i][a : a + step + length - 1]], np.asarray([i]), a) for a in range(0, len(texts[i]), step)]
+                    parts = [([texts[0][a : a + step + length - 1]], np.asarray([i]), a) for a in range(0, len(texts[0]), step)]
                 for some, rows, shift in parts:
                     data = b"".join(some)
                     ends = np.cumsum([len(t) for t in some])
@@ -213,6 +214,7 @@ def _run_batch(runs: list[tuple]) -> pa.RecordBatch:
 
 
 def _settle(length: int, first_only: bool):
+    @lean
     def run(batches):
         block, size, gram = [], 0, None
         for batch in batches:
@@ -232,6 +234,7 @@ def _settle(length: int, first_only: bool):
 def _cut_contexts(length: int, text_col: str):
     """The bytes of the contexts that a row refers to."""
 
+    @lean
     def run(batches):
         for batch in batches:
             texts = binary(batch.column(1).field(text_col)) if batch.num_rows else []
@@ -252,6 +255,7 @@ def _cut_contexts(length: int, text_col: str):
 def _windows(length: int):
     """(window hash, row_key, place, n) of each window of the contexts."""
 
+    @lean
     def run(batches):
         from xxhash import xxh3_128_digest
 
