@@ -192,3 +192,22 @@ def test_queries_agree_with_sql(spark, name):
     names = sorted(df.columns)
     want = con.sql(sql).project(", ".join(f'"{n}"' for n in names)).fetchall()
     assert sorted(map(repr, (tuple(r) for r in df.select(*names).collect()))) == sorted(map(repr, want))
+
+
+def test_pattern_occurrences(spark):
+    texts = spark.createDataFrame([(0, "aaaa"), (1, "test"), (2, ""), (3, "the quick brown fox jumps")], "text_id int, text string")
+    patterns = spark.createDataFrame([(0, ""), (1, "aa"), (2, "test"), (3, "quick brown fox"), (4, "x"), (5, "quick brown cat")], "pattern_id int, pattern string")
+    got = sorted(map(tuple, search.pattern_occurrences(texts, patterns).collect()))
+    want = sorted((t.text_id, p.pattern_id, k + len(p.pattern)) for t in texts.collect() for p in patterns.collect() if p.pattern for k in range(len(t.text)) if t.text.startswith(p.pattern, k))
+    assert got == want and search.pattern_occurrences(texts, patterns.limit(0)).collect() == []
+
+
+def test_candidates_keep_their_order_and_bound(spark):
+    pages = spark.createDataFrame([("b", i, "باب الفاعل في النحو") for i in range(30)], "book_id string, page int, text string")
+    book = search.normalised_pages(pages)
+    excerpts = spark.createDataFrame([("b", 0, "باب الفاعل في النهو")], "book_id string, excerpt_id int, text string")
+    grams = search.excerpt_grams(search.deduplicate_excerpts(excerpts))
+    postings = search.qgram_postings(book, search.create_seams(book))
+    seeds = search.pick_rare(grams, postings, 5)
+    rows = search.candidates(seeds, postings, search.MatchPolicy(max_candidates_per_excerpt=7)).orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == list(range(1, 8)) and seeds.count() == 5

@@ -34,7 +34,13 @@ def similarity(a: Column | str, b: Column | str) -> Column:
 
 def similar_after_normalization(a: Column | str, b: Column | str, threshold: float = 0.6) -> Column:
     """Whether two texts reach ``threshold`` once normalised for search."""
-    return similarity(sanitize(text(a)), sanitize(text(b))) >= threshold
+    return normalized_similarity(a, b) >= threshold
+
+
+def normalized_similarity(a: Column | str, b: Column | str) -> Column:
+    """The similarity of two texts normalised for search, each normalised once even inside a lambda."""
+    both = F.struct(sanitize(text(a)).alias("a"), sanitize(text(b)).alias("b"))
+    return F.transform(F.array(both), lambda v: similarity(v["a"], v["b"]))[0]
 
 
 def symbol_in(a: Column, b: Column, symbols: Sequence[str]) -> Column:

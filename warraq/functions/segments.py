@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .distance import similar_after_normalization, similarity
+from .distance import normalized_similarity, similar_after_normalization
 from .patterns import text
-from .sanitize import sanitize
 
 
 def best_merge(target: Column, a: Column, b: Column) -> Column:
     """Two segments joined in the order that is more similar to the target; a tie keeps their order."""
-    goal = sanitize(target)
     ahead, back = F.concat_ws(" ", a, b), F.concat_ws(" ", b, a)
-    return F.when(similarity(goal, sanitize(ahead)) >= similarity(goal, sanitize(back)), ahead).otherwise(back)
+    return F.when(normalized_similarity(target, ahead) >= normalized_similarity(target, back), ahead).otherwise(back)
 
 
 def align_segments(targets: Column | str, segments: Column | str) -> Column:

@@ -15,20 +15,19 @@ from .tokens import footnote_fusion, footnote_selection, standalone_footnotes, t
 
 def select_best_tokens(a: Column, b: Column, symbols: Sequence[str], threshold: float) -> Column:
     """The tokens that an aligned pair leaves: what is there of a gap, the first of equals, references, symbols, else by similarity."""
-    na, nb = sanitize(a), sanitize(b)
     symbol = F.coalesce(*(F.when((a == s) | (b == s), s) for s in symbols), F.lit(None).cast("string"))
-    return (
-        F.when(a.isNull(), F.array(b))
-        .when(b.isNull() | (na == nb), F.array(a))
-        .otherwise(
-            F.coalesce(
-                footnote_selection(a, b),
-                standalone_footnotes(a, b),
-                F.when(symbol.isNotNull(), F.array(symbol)),
-                F.when(similarity(na, nb) > threshold, F.array(a)).otherwise(F.array(b)),
-            )
+
+    def chosen(v: Column) -> Column:
+        na, nb = v["na"], v["nb"]
+        rest = F.coalesce(
+            footnote_selection(a, b),
+            standalone_footnotes(a, b),
+            F.when(symbol.isNotNull(), F.array(symbol)),
+            F.when(similarity(na, nb) > threshold, F.array(a)).otherwise(F.array(b)),
         )
-    )
+        return F.when(a.isNull(), F.array(b)).when(b.isNull() | (na == nb), F.array(a)).otherwise(rest)
+
+    return F.transform(F.array(F.struct(sanitize(a).alias("na"), sanitize(b).alias("nb"))), chosen)[0]
 
 
 def remove_duplicate_tokens(tokens: Column, threshold: float) -> Column:

@@ -125,6 +125,22 @@ def exact_hits(context: DataFrame, patterns: DataFrame, direct: bool | None = No
     return found if found is not None else whole.join(patterns, "book_id").select("book_id", "pattern", "idx", "page").limit(0)
 
 
+def pattern_occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(text_id, pattern_id, end_pos): every occurrence of every pattern, overlapping ones too; ``end_pos`` is the place after it.
+
+    ``texts`` are (text_id, text), ``patterns`` (pattern_id, pattern); empty patterns
+    are nowhere. Places are joined to patterns by their first LEAD characters.
+    """
+    keyed = patterns.where(F.length("pattern") > 0).withColumn("n", F.least(F.length("pattern"), F.lit(LEAD))).withColumn("gram", F.left("pattern", F.col("n")))
+    found = None
+    for size in sorted(r.n for r in keyed.select("n").distinct().collect()):  # at most LEAD sizes
+        places = texts.select("text_id", "text", F.posexplode(grams_of(F.col("text"), size)).alias("pos", "gram"))
+        hits = places.join(keyed.where(F.col("n") == size), "gram").where(F.expr("substring(text, pos + 1, length(pattern)) = pattern"))
+        hits = hits.select("text_id", "pattern_id", (F.col("pos") + F.length("pattern")).alias("end_pos"))
+        found = hits if found is None else found.unionByName(hits)
+    return found if found is not None else texts.join(patterns.limit(0), F.lit(False)).select("text_id", "pattern_id", F.lit(0).alias("end_pos"))
+
+
 def candidates(seeds: DataFrame, postings: DataFrame, policy: MatchPolicy) -> DataFrame:
     """(book_id, pattern, idx, page, start, seam, rank): places to verify, in the order in which seeds and postings give them."""
     at = F.col("pos") - F.col("offset")

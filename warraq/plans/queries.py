@@ -327,13 +327,16 @@ def segment_alignment(s: SparkSession, d: str) -> DataFrame:
     return x.select("conv_id", F.posexplode(segments.align_segments("targets", "parts")).alias("pos", "line"))
 
 
-def reference_repair(s: SparkSession, d: str) -> DataFrame:
+def reference_lines(s: SparkSession, d: str) -> DataFrame:
     """Turns as lines: those of the assistant are footnotes, with references left out and confused."""
     x = _table(s, d, "conversations").select("conv_id", "turn", "role", "text")
     note = F.col("role") == "assistant"
     mark = F.when(F.col("turn") % 3 == 0, "()").when(F.col("turn") % 3 == 1, "(٢)").otherwise("(9)")
-    lines = x.select("conv_id", "turn", F.when(note, F.concat_ws(" ", mark, "text")).otherwise(F.concat_ws(" ", "text", mark, F.lit("()"))).alias("text"), note.alias("is_footnote"))
-    return footnotes.correct_references(lines, "conv_id", "turn")
+    return x.select("conv_id", "turn", F.when(note, F.concat_ws(" ", mark, "text")).otherwise(F.concat_ws(" ", "text", mark, F.lit("()"))).alias("text"), note.alias("is_footnote"))
+
+
+def reference_repair(s: SparkSession, d: str) -> DataFrame:
+    return footnotes.correct_references(reference_lines(s, d), "conv_id", "turn")
 
 
 def sanitize_batch(s: SparkSession, d: str) -> DataFrame:
@@ -348,11 +351,81 @@ def pattern_counts(s: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", F.inline(F.array(*found)))
 
 
+def noise_parts(s: SparkSession, d: str) -> DataFrame:
+    x = F.col("line")
+    parts = {"repetition": noise.has_excessive_repetition(x), "basic": noise.is_basic_noise_pattern(x), "spacing": noise.is_spacing_noise(x), "valid": noise.is_valid_arabic_content(x), "foreign": noise.is_non_arabic_noise(x)}
+    return _lines(s, d).where(F.length("line") > 0).select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "kind", *(v.alias(k) for k, v in parts.items()))
+
+
+def _noise_parts_sql() -> str:
+    flag = _noise_sql()
+    head = flag[: flag.index("select doc_id, line_no, kind, case")].replace(f"regexp_replace(line, '^[{WS}]+|[{WS}]+$', '', 'g') as t", "line as t").replace(f"from {LINES_SQL})", f"from {LINES_SQL} where line <> '')", 1)
+    bare = "|".join(f"^[{c}{WS}]*$" for c in (r"\-=_━≺≻", ".", "!", "A-Z", r"\-0-9", "—", r"्र\-"))
+    spacing = "((sp > 0 and co = sp + 1 and co <= 5) or (n <= 10 and sp >= 2 and ar = 0) or sp::double / n > 0.6)"
+    return head + f"""select doc_id, line_no, kind, rep::double / n > 0.4 as repetition, regexp_matches(t, '{bare}') as basic, {spacing} as spacing,
+ (ar >= 3 or (ar >= 1 and dg > 0 and n <= 20) or (ar >= 2 and pu <= 2 and n <= 10) or (ar >= 1 and n <= 5 and pu <= 1)) as valid,
+ case when co = 0 then true when {spacing} then true when regexp_matches(t, '[٠-٩]') and dg >= 3 then false when (sy + greatest(0, pu - 5))::double / greatest(co, 1) > 2 then true
+ when n <= 5 and ar = 0 and not (regexp_matches(t, '^[0-9]+$') and dg >= 3) then true when regexp_matches(t, '^[0-9]{{3,4}}$') then false else n <= 10 end as foreign from e"""
+
+
+#: Pairs of tokens made from two numbers of a row.
+TOKEN_PAIR = ("case k % 4 when 0 then '(' || a || ')' when 1 then '(' || a || ')x' when 2 then a else 'word' end", "case (k // 4) % 4 when 0 then '(' || b || ')' when 1 then 'y(' || b || ')' when 2 then b || '.' else 'wordy' end")
+
+
+def footnote_tokens(s: SparkSession, d: str) -> DataFrame:
+    x = _table(s, d, "orders").select("o_orderkey", F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 3).cast("string").alias("a"), (F.col("o_orderkey") % 3).cast("string").alias("b"))
+    x = x.select("o_orderkey", *(F.expr(e.replace("//", "div")).alias(n) for e, n in zip(TOKEN_PAIR, ("x", "y"), strict=True)))
+    a, b = F.col("x"), F.col("y")
+    fused = tokens.footnote_fusion(F.array(a), a, b)
+    none = F.lit("-")
+    return x.select("o_orderkey", *(F.coalesce(F.array_join(v, "|"), none).alias(n) for n, v in (("selected", tokens.footnote_selection(a, b)), ("standing", tokens.standalone_footnotes(a, b)), ("kept", fused["kept"]))), fused["handled"].alias("handled"))
+
+
+FOOTNOTE_TOKENS_SQL = rf"""with p as (select o_orderkey, o_orderkey as k, (o_custkey % 3)::varchar as a, (o_orderkey % 3)::varchar as b from orders), t as (select o_orderkey, {TOKEN_PAIR[0]} as x, {TOKEN_PAIR[1]} as y from p),
+f as (select *, regexp_matches(x, '\([0-9٠-٩]+\)') as ex, regexp_matches(y, '\([0-9٠-٩]+\)') as ey, regexp_matches(x, '^\(?[0-9٠-٩]+\)?[،.]?$') as sx, regexp_matches(y, '^\(?[0-9٠-٩]+\)?[،.]?$') as sy,
+ regexp_extract(x, '[0-9٠-٩]+') = regexp_extract(y, '[0-9٠-٩]+') as same, case when length(x) <= length(y) then x else y end as sh from t)
+select o_orderkey, case when ex and ey then sh when ex then x when ey then y else '-' end as selected, case when sx and sy then sh when sx then x || '|' || y when sy then y || '|' || x else '-' end as standing,
+ case when sx and ey and same then y else x end as kept, (sx and ey and same) or (ex and sy and same) as handled from f"""
+
+
+def occurrences(s: SparkSession, d: str) -> DataFrame:
+    texts = _table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("text_id"), F.lower("text").alias("text"))
+    patterns = _table(s, d, "benchmark").select(F.col("item_id").alias("pattern_id"), F.lower(F.substring_index("text", " ", 3)).alias("pattern"))
+    names = _table(s, d, "nation").select((F.col("n_nationkey") + 100000).cast("bigint").alias("pattern_id"), F.lower(F.left("n_name", F.lit(2))).alias("pattern"))
+    return search.pattern_occurrences(texts, patterns.unionByName(names)).select("text_id", "pattern_id", F.col("end_pos").cast("bigint").alias("end_pos"))
+
+
+OCCURRENCES_SQL = """with p as (select item_id as pattern_id, lower(array_to_string(string_split(text, ' ')[1:3], ' ')) as pattern from benchmark union all select n_nationkey + 100000, lower(left(n_name, 2)) from nation),
+t as (select conv_id || '-' || turn as text_id, lower(text) as text from conversations), e as (select text_id, text, unnest(range(1, length(text) + 1)) as i from t)
+select text_id, pattern_id, i + length(pattern) - 1 as end_pos from e join p on substr(text, i::int, length(pattern)::int) = pattern where pattern <> ''"""
+
+
+def invalid_and_sets(s: SparkSession, d: str) -> DataFrame:
+    """Which conversations have references to repair, by their body's and footnotes' references."""
+    x = reference_lines(s, d)
+    note = F.col("is_footnote")
+    refs = footnotes.references(footnotes.convert_confused(F.col("text")), note)
+    sides = x.select("conv_id", footnotes.has_invalid_footnotes("text").alias("bad"), F.when(~note, refs).alias("b"), F.when(note, refs).alias("f"))
+    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))), ",")
+    return sides.groupBy("conv_id").agg(F.max("bad").alias("invalid"), joined("b").alias("body"), joined("f").alias("notes"))
+
+
+REFERENCES_SQL = r"""with l as (select conv_id, role = 'assistant' as n, case turn % 3 when 0 then '()' when 1 then '(٢)' else '(9)' end as m, text from conversations),
+x as (select conv_id, n, case when n then m || ' ' || text else text || ' ' || m || ' ()' end as t from l), c as (select conv_id, n, t, replace(t, '(9)', '(٩)') as k from x),
+r as (select conv_id, n, unnest(case when n then regexp_extract_all(k, '^\([٠-٩]+\)') else regexp_extract_all(k, '\([٠-٩]+\)') end) as ref from c)
+select conv_id, bool_or(regexp_matches(t, '\(\)|\([.1OV9]+\)')) as invalid, coalesce((select string_agg(distinct ref, ',' order by ref) from r where r.conv_id = c.conv_id and not r.n), '') as body,
+ coalesce((select string_agg(distinct ref, ',' order by ref) from r where r.conv_id = c.conv_id and r.n), '') as notes from c group by conv_id"""
+
+
 Q: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]] = [
     *((f"sanitize_{p}", _preset(p), f"select doc_id, {sanitize_sql(arabic_sql('text'), p)} as clean from documents") for p in ("light", "search", "aggressive")),
     *((f"sanitize_{n}", _switch(n), f"select doc_id, {sql(arabic_sql('text'))} as clean from documents") for n, (_, sql) in SWITCHES.items()),
     ("sanitize_batch", sanitize_batch, None),
     ("noise_flag", noise_flag, _noise_sql()),
+    ("noise_parts", noise_parts, _noise_parts_sql()),
+    ("footnote_tokens", footnote_tokens, FOOTNOTE_TOKENS_SQL),
+    ("pattern_occurrences", occurrences, OCCURRENCES_SQL),
+    ("references_needing_repair", invalid_and_sets, REFERENCES_SQL),
     ("char_stats", char_stats, _char_stats_sql()),
     ("quote_balance", quote_balance, QUOTE_SQL),
     ("bracket_balance", bracket_balance, None),
