@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .urls import BLOCKED_WORDS
+
 #: Files of public tokenizers; a deployment can point the operators elsewhere.
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
@@ -102,4 +104,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_repeats": op10_repeats,
 }
-ORACLE_SQL: dict[str, str] = {}
+URL_SQL = f"""with p as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as rest from pages),
+h as (select page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from p),
+r(action, rule) as (values {", ".join(map(repr, URL_RULES))}),
+m as (select page_id, max(struct_pack(n := length(rule), rule := rule, action := action)) as best from h join r
+ on (host = split_part(rule, '/', 1) or ends_with(host, '.' || split_part(rule, '/', 1))) and starts_with(path, substr(rule, instr(rule, '/'))) group by page_id)
+select page_id, host, path, best.rule as rule, coalesce(best.action, case when regexp_matches(host || path, '(?i)(^|[^A-Za-z0-9])({"|".join(BLOCKED_WORDS)})($|[^A-Za-z0-9])') then 'block' else 'allow' end) as verdict
+from h left join m using (page_id)"""
+
+QUALITY_SQL = r"""with w as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+l as (select doc_id, count(*) as n_lines, count(*) - count(distinct line) as dup from (select doc_id, unnest(string_split(t, chr(10))) as line from w) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+g as (select doc_id, i, array_to_string(ws[i : i + 4], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from w where len(ws) > 4)),
+c as (select doc_id, count(distinct i + j) as covered from (select doc_id, i from g qualify count(*) over (partition by doc_id, k) > 1), range(5) r(j) group by doc_id),
+m as (select doc_id, len(ws) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+ coalesce(dup, 0) as n_dup_lines, coalesce(covered, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines, (length(t) - length(replace(t, '!!', ''))) // 2 as shouts,
+ len(list_filter(ws, lambda x: strlen(x) > 1 and regexp_matches(x, '^[^a-z]*[A-Z][^a-z]*$'))) as capitals from w left join l using (doc_id) left join c using (doc_id)),
+b as (select *, (n_words < 10)::int + 2 * (100 * n_repeat_words > 20 * n_words)::int + 4 * (10 * n_symbols > n_words)::int + 8 * (2 * n_dup_lines > n_lines)::int
+ + 16 * (word_chars < 2 * n_words or word_chars > 20 * n_words)::int + 32 * (2 * capitals > n_words)::int + 64 * (5 * shouts > n_words)::int as failure_bits from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failure_bits & 3 <> 0 as base_failed, failure_bits = 0 as kept, failure_bits::bigint as failure_bits from b"""
+
+ORACLE_SQL: dict[str, str] = {"op3_url_filters": URL_SQL, "op9_quality_rules": QUALITY_SQL}
