@@ -56,5 +56,8 @@ def alignment_score(a: Column | str, b: Column | str, symbols: Sequence[str], th
 
 def score_of(a: Column, b: Column, na: Column, nb: Column, symbols: Sequence[str], threshold: float) -> Column:
     """The same for tokens whose normalised forms are at hand."""
-    soft = symbol_in(a, b, symbols) | (similarity(na, nb) >= threshold)
+    # the distance is at least the difference of the lengths, which is quicker to tell
+    m, n = F.length(na), F.length(nb)
+    hopeless = F.abs(m - n) > (1 - threshold) * F.greatest(m, n) + 1e-9
+    soft = symbol_in(a, b, symbols) | (~hopeless & (similarity(na, nb) >= threshold))
     return F.when(na == nb, PERFECT).when(soft, SOFT).otherwise(MISMATCH)
