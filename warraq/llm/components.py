@@ -17,14 +17,15 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     both = links.where("a <> b").select(F.col("a").alias("node"), F.col("b").alias("other"))
     both = saved(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "links")
-    labels = saved(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
+    labels = saved(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("root")).withColumn("fresh", F.lit(True)), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), F.col("root").alias("r")), "other").groupBy("node").agg(F.min("r").alias("r"))
-        spread = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "r").alias("root"))
+        # only labels that the last round changed are news to the neighbours
+        news = labels.where("fresh").select(F.col("node").alias("other"), F.col("root").alias("r"))
+        near = both.join(news, "other").groupBy("node").agg(F.min("r").alias("r"))
+        spread = labels.join(near, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "r").alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
         # a root is always a node, so that the jump finds it
-        new = saved(spread.join(jump, "root").select("node", "old", F.least("root", "up").alias("root")), "labels")
-        changed = new.where("root <> old").limit(1).count()
-        labels = new.select("node", "root")
-        if not changed:
-            return labels
+        new = spread.join(jump, "root").select("node", F.least("root", "up").alias("root"), (F.least("root", "up") < F.col("old")).alias("fresh"))
+        labels = saved(new, "labels")
+        if not labels.where("fresh").limit(1).count():
+            return labels.select("node", "root")

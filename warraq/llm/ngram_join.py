@@ -205,8 +205,8 @@ class PrefixTree:
 def forest(left: list[tuple], right: list[tuple] | None, num: int, den: int) -> list[tuple]:
     """Links that connect what is similar among (name, keys) of ``left``, or between ``left`` and ``right``.
 
-    A pair already connected by other links is passed over, so that the links are no
-    more than the names.
+    A pair already connected by others is passed over; each group is given as links
+    from its least name to the others.
     """
     up: dict = {}
 
@@ -216,14 +216,12 @@ def forest(left: list[tuple], right: list[tuple] | None, num: int, den: int) ->
             x = up[x]
         return x
 
-    tree, links = PrefixTree(num, den), []
+    tree = PrefixTree(num, den)
 
     def probe(name, keys):
         for other in tree.probe(keys, lambda names: all(find(o) == find(name) for o in names)):
             a, b = find(other), find(name)
-            if a != b:
-                up[a] = b
-                links.append((other, name))
+            up[max(a, b)] = min(a, b)
 
     for name, keys in left:
         if right is None:
@@ -231,7 +229,7 @@ def forest(left: list[tuple], right: list[tuple] | None, num: int, den: int) ->
         tree.insert(keys, name)
     for name, keys in right or ():
         probe(name, keys)
-    return links
+    return [(root, name) for name in list(up) if (root := find(name)) != name]
 
 
 def _describe(size: int):
