@@ -411,7 +411,7 @@ def encode_documents(
     pattern: str,
     id_col: str = "doc_id",
     text_col: str = "text",
-    hot_words: int = 800_000,
+    hot_words: int = 1_000_000,
     digests: bool = False,
 ) -> DataFrame:
     """(doc_id, ids array<int>) of every text, or with ``digests`` (doc_id, n_tokens, ids_sha256, decoded_sha256).
