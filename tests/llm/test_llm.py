@@ -8,10 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from warraq.llm import byte_bpe, components, html_text, media, ngram_join, packing, quality, rans, registry, repeats, secrets, urls
+from warraq.llm import byte_bpe, common, components, html_text, media, ngram_join, packing, quality, rans, registry, repeats, secrets, urls
 from warraq.llm.tokens import text_encoder
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, ids string, row string, failure_bits string, n_words string"
@@ -329,6 +330,26 @@ def test_repeats(docs, empty, monkeypatch, keep, group):
     assert repeats.repeat_digests(empty).collect() == []
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_repeats_of_long_texts(spark, monkeypatch, keep):
+    """Texts above the bound, with empty and null texts before and after them in the same Arrow batch."""
+    for name, size in (("SLICE", 256), ("LONG", 1024), ("STRETCH", 500)):
+        monkeypatch.setattr(repeats, name, size)
+    r = random.Random(12)
+    text = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    passage = text(200)
+    texts = ["", None, text(900) + passage + text(700) + passage, "", passage + text(30), None, "", text(1500) + passage[:90], "", text(40) + passage[20:]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = repeats.repeat_digests(rows, 60, keep).collect()
+    assert sorted((x.doc_id, [(s.start, s.end) for s in x.spans]) for x in got) == covered([(i, (t or "").encode()) for i, t in enumerate(texts)], 60, keep == "first")
+
+
+def test_slices():
+    size = lambda *sizes: list(common.slices(pa.array([None if n is None else "x" * n for n in sizes], pa.string()), 10))
+    assert size(0, None, 30, 0, 4, 5, 30, None) == [(0, 2), (2, 3), (3, 6), (6, 7), (7, 8)]
+    assert size(30) == [(0, 1)] and size(0, 0) == [(0, 2)] and size() == []
+
+
 def test_remove_repeats(docs, empty):
     out = repeats.remove_repeats(docs, 60)
     assert out.columns == docs.columns and out.count() == docs.count()

@@ -69,7 +69,7 @@ def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     begin = size = 0
     for i, n in enumerate(pc.binary_length(column).to_pylist()):
         n = n or 0
-        if size and size + n > most:
+        if i > begin and size + n > most:
             yield begin, i
             begin, size = i, 0
         size += n

@@ -38,6 +38,8 @@ ANCHOR = 32
 GROUP = 8192
 #: Bytes of contexts that one suffix array covers, unless a single group has more.
 BLOCK = 1 << 19
+#: Bytes of texts that are searched for anchors together; texts from LONG on (above SLICE) are taken by stretches of STRETCH windows.
+SLICE, LONG, STRETCH = 1 << 20, 1 << 23, 1 << 21
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,13 +107,12 @@ def _find_anchors(length: int):
 
         values = _byte_values()
         for batch in batches:
-            for i, j in slices(batch.column(2), 1 << 20):
+            for i, j in slices(batch.column(2), SLICE):
                 texts = binary(batch.column(2).slice(i, j - i))
-                if sum(map(len, texts)) < 1 << 23:
+                if sum(map(len, texts)) < LONG:
                     parts = [(texts, np.arange(i, j), 0)]
-                else:  # one very long text: overlapping stretches, each window in exactly one
-                    step = 1 << 21
-                    parts = [([texts[0][a : a + step + length - 1]], np.asarray([i]), a) for a in range(0, len(texts[0]), step)]
+                else:  # very long texts: overlapping stretches, each window in exactly one
+                    parts = [([t[a : a + STRETCH + length - 1]], np.asarray([k]), a) for k, t in enumerate(texts, i) for a in range(0, len(t), STRETCH)]
                 for some, rows, shift in parts:
                     data = b"".join(some)
                     ends = np.cumsum([len(t) for t in some])
