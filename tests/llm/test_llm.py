@@ -249,6 +249,28 @@ def test_keep_one(docs):
     assert {r.doc_id for r in kept.collect()} == {i for i, (n, c) in want.items() if i == c or not n} | {None}
 
 
+def test_keep_one_row(spark):
+    """One row of a component, however its rows share ids: repeated rows, near copies of one id, null ids."""
+    r = random.Random(5)
+    base, other, third, alone = (" ".join(str(r.randrange(10**6)) for _ in range(60)) for _ in range(4))
+    rows = [(1, base), (1, base), (2, base), (1, base + " tail"), (None, base), (7, other), (7, other + " x"), (7, alone), (7, alone)]
+    rows += [(None, third + f" {k % 3}") for k in range(40)] + [(9, "text"), (9, ""), (9, ""), (None, None), (None, " ")]
+    kept = [tuple(x) for x in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()]
+    groups = lambda t: next((k for k, b in enumerate((base, other, third, alone)) if t and t.startswith(b)), None)
+    assert Counter((i, groups(t)) for i, t in kept if groups(t) is not None) == {(1, 0): 1, (7, 1): 1, (None, 2): 1, (7, 3): 1}
+    assert Counter(x for x in kept if groups(x[1]) is None) == Counter(rows[-5:])
+
+
+def test_first_of_repeated_rows(spark):
+    """All but the first of rows of equal id and text lose their text; columns of their own stay."""
+    r = random.Random(6)
+    text, passage = ("".join(r.choices("abcdefgh ", k=n)) for n in (300, 90))
+    rows = [(2, text + passage, 0), (2, text + passage, 1), (2, text + passage, 2), (3, "é" + passage, 3), (None, passage, 4), (None, passage, 5), (4, "short", 6), (4, "short", 7)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string, n int").repartition(3), 60).collect()
+    assert Counter((x.doc_id, x.text) for x in got) == {(2, text): 1, (2, ""): 2, (3, "é"): 1, (None, passage): 1, (None, ""): 1, (4, "short"): 2}
+    assert sorted(x.n for x in got) == list(range(8))
+
+
 def test_components(spark):
     r = random.Random(9)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(400 + k, 401 + k) for k in range(90)]

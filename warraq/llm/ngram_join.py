@@ -316,11 +316,8 @@ def _meet(size: int, num: int, den: int, frequent):
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_key, doc_id, n_shingles, component_id) of every row; texts are linked at a Jaccard similarity of at least num / den.
-
-    ``component_id`` is the least id that links reach, the document's own included.
-    """
+def _linked(docs: DataFrame, size: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """(row_key, doc_id, n, root) of every row: its number of shingles and the name of its component (of no meaning where n is 0)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     key = F.xxhash64(F.col(f"`{id_col}`"), text).alias("row_key")
@@ -359,15 +356,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
     links = sent.repartition(*where).sortWithinPartitions(*where).mapInArrow(_meet(size, num, den, frequent), "a bigint, b bigint")
     roots = connected_components(saved(links, "near-links"))
 
-    named = rows.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    return rows.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class")).select("row_key", "doc_id", "n", "root")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row_key, doc_id, n_shingles, component_id) of every row; texts are linked at a Jaccard similarity of at least num / den.
+
+    ``component_id`` is the least id that links reach, the document's own included.
+    """
+    named = _linked(docs, size, num, den, id_col, text_col)
     least = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return named.join(least, "root", "left").select("row_key", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the document of the least id of each component; all columns as they are."""
-    found = near_duplicates(docs, size, num, den, id_col, text_col)
-    gone = saved(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("row_key").distinct(), "near-copies")
+    """``docs`` with one row of each component, all columns as they are: that of the least id (null ids last), then of the least row_key.
+
+    Rows of equal id and text are told apart by nothing: any one of them stays. Texts
+    without words are linked with nothing and all stay.
+    """
+    named = _linked(docs, size, num, den, id_col, text_col).where("n > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    least = named.groupBy("root").agg(F.min(order).alias("o")).select("root", F.col("o.row_key").alias("least"))
+    judged = named.join(least, "root").groupBy("row_key").agg(F.max(F.col("row_key") == F.col("least")).alias("stays"), F.count("*").alias("copies"))
+    # what goes, and the survivors that stand in several rows
+    changed = saved(judged.where("not stays or copies > 1").select("row_key", "stays"), "near-copies")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("row_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return rows.join(if_small(gone, gone.count(), SMALL), "row_key", "left_anti").select("row.*")
+    kept = rows.join(if_small(changed.select("row_key"), changed.count(), SMALL), "row_key", "left_anti").select("row")
+    again = changed.where("stays").select("row_key")
+    if n := again.count():
+        once = rows.join(if_small(again, n, SMALL), "row_key", "left_semi").groupBy("row_key").agg(F.first("row").alias("row"))
+        kept = kept.unionByName(once.select("row"))
+    return kept.select("row.*")

@@ -16,7 +16,7 @@ all but the first in the order of document ids and places (``keep="first"``).
 
 Defined results: a null text is empty; texts shorter than ``length`` hold no
 repeat; rows of equal id and text are two documents of which each repeats the
-other; a null id is an id like others, and comes first; an empty table gives no
+other (with ``keep="first"`` any one of them is the first); a null id is an id like others, and comes first; an empty table gives no
 spans; other columns of the table are ignored or kept untouched.
 """
 
@@ -27,10 +27,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary, lean, saved, slices
+from .common import binary, if_small, lean, saved, slices
 
 #: Bytes of the sampled gram, a power of two.
 ANCHOR = 32
@@ -38,6 +39,8 @@ ANCHOR = 32
 GROUP = 8192
 #: Bytes of contexts that one suffix array covers, unless a single group has more.
 BLOCK = 1 << 19
+#: Keys of repeated rows (8 bytes each) that are broadcast to number these rows; beyond that the rows are shuffled.
+SMALL = 1_000_000
 #: Bytes of texts that are searched for anchors together; texts from LONG on (above SLICE) are taken by stretches of STRETCH windows.
 SLICE, LONG, STRETCH = 1 << 20, 1 << 23, 1 << 21
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -275,9 +278,10 @@ def _windows(length: int):
 
 
 def repeated_runs(docs: DataFrame, length: int = 200, keep: str = "none", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, repeated, kept): rows as (row_key, row), and for each row_key the lists of window runs that may go and that stay.
+    """(rows, repeated, kept): rows as (row_key, row, copy), and for each row_key the lists of window runs that may go and that stay.
 
-    A window goes if a run of ``repeated`` holds it and none of ``kept`` does.
+    A window goes if a run of ``repeated`` holds it and none of ``kept`` does. ``copy``
+    numbers the rows of equal id and text from 1 with ``keep="first"``: ``kept`` is of copy 1 alone.
     """
     if length <= ANCHOR:
         raise ValueError("length must be above the anchor's")
@@ -308,6 +312,14 @@ def repeated_runs(docs: DataFrame, length: int = 200, keep: str = "none", id_col
     if first_only:  # the first of contexts that no other context of their gram can touch
         alone = contexts.join(groups.where("m = 1").select("gram"), "gram", "left_semi").select("o.row_key", "o.first", "o.last")
         kept = kept.unionByName(alone)
+    rows = rows.withColumn("copy", F.lit(1))
+    if first_only:
+        # every text of at least ``length`` has one run that begins at 0
+        twice = saved(found.where("first = 0").groupBy("row_key").agg(F.count("*").alias("c")).where("c > 1").select("row_key"), "repeated-rows")
+        if n := twice.count():
+            twice = if_small(twice, n, SMALL)
+            again = rows.join(twice, "row_key", "left_semi").withColumn("copy", F.row_number().over(W.partitionBy("row_key").orderBy("copy")))
+            rows = rows.join(twice, "row_key", "left_anti").unionByName(again)
     lists = lambda df, name: df.groupBy("row_key").agg(F.collect_list(F.struct("first", "last")).alias(name))
     return rows, lists(found, "repeated"), lists(kept, "kept")
 
@@ -330,7 +342,7 @@ def removed_spans(n: int, repeated: list[dict] | None, kept: list[dict] | None,
 
 
 def _joined(rows: DataFrame, repeated: DataFrame, kept: DataFrame) -> DataFrame:
-    return rows.join(repeated.join(kept, "row_key", "left"), "row_key", "left").select("row", "repeated", "kept")
+    return rows.join(repeated.join(kept, "row_key", "left"), "row_key", "left").select("row", "repeated", F.when(F.col("copy") == 1, F.col("kept")).alias("kept"))
 
 
 def repeat_digests(docs: DataFrame, length: int = 200, keep: str = "none", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
