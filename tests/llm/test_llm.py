@@ -403,3 +403,11 @@ def test_media(spark, docs, empty, tmp_path):
             for m in tar.getmembers():
                 assert hashlib.sha256(media.decode_image(tar.extractfile(m).read())).hexdigest() == m.name.removesuffix(".png")
     assert media.media_columns(empty).collect() == []
+
+
+def test_media_sides_from_headers(docs, monkeypatch):
+    """The query's width and height are those of the header reads."""
+    whole = media.read_metadata
+    monkeypatch.setattr(media, "read_metadata", lambda *a: whole(*a).withColumn("width", F.col("width") + 1000))
+    rows = media.media_columns(docs).collect()
+    assert len(rows) == docs.count() and all(r.width == 1064 and r.height * 192 == r.payload_bytes for r in rows)

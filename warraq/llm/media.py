@@ -192,7 +192,10 @@ def read_metadata(index: DataFrame, uri: str, partitions: int | None = None) ->
 
 
 def read_features(index: DataFrame, uri: str, partitions: int | None = None) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, width, height) from the stored bytes read back."""
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, width, height) from the stored bytes read back.
+
+    Width and height come from range reads of the headers (``read_metadata``), the rest from whole members.
+    """
 
     def read(get, length: int, digest: str):
         data = get(length)
@@ -200,19 +203,20 @@ def read_features(index: DataFrame, uri: str, partitions: int | None = None) ->
         found = hashlib.sha256(payload).hexdigest()
         if found != digest:
             raise ValueError("a payload does not match its digest")
-        return found, zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(payload, head), head["width"], head["height"]
+        return found, zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(payload, head)
 
-    names = ["payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+    names = ["payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches):
         for batch, values in _each_stored(batches, uri, read):
             columns = list(zip(*values, strict=True)) or [()] * len(names)
-            kept = [batch.column(c) for c in ("doc_id", "n_bytes", "payload_bytes")]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", *names])
+            kept, sides = ([batch.column(c) for c in some] for some in (("doc_id", "n_bytes", "payload_bytes"), ("width", "height")))
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True)), *sides], ["doc_id", "n_bytes", "payload_bytes", *names, "width", "height"])
 
     kind = index.schema["doc_id"].dataType.simpleString()
-    return _ranges(index, partitions).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, width int, height int")
+    # the rows stay as read_metadata deals them
+    return read_metadata(index, uri, partitions).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, width int, height int")
 
 
 def new_shard_folder(docs: DataFrame) -> str:
