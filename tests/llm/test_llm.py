@@ -171,6 +171,14 @@ def test_urls(spark):
     assert {r.rule for r in urls.judge_urls(pages, []).collect()} == {None}
 
 
+def test_url_rules_without_token(spark):
+    rules = [urls.UrlRule("block", "пример.рф/"), urls.UrlRule("allow", "example.com/en/")]
+    cases = ["http://www.пример.рф/abc", "http://пример.рф/", "http://xпример.рф/abc", "http://example.com/en/1"]
+    pages = spark.createDataFrame(list(enumerate(cases)), "page_id bigint, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(pages, rules).collect()}
+    assert got == {0: ("пример.рф/", "block"), 1: ("пример.рф/", "block"), 2: (None, "allow"), 3: ("example.com/en/", "allow")}
+
+
 BASE = [("assign", re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32)]
 
 

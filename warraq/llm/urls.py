@@ -51,9 +51,10 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.when(F.instr(url, "://") > 0, F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)), F.lit(""))
 
 
-def url_tokens(host_path: Column) -> Column:
-    """The distinct runs of ASCII letters and digits, and the empty token, under which rules without a token are filed."""
-    return F.array_distinct(F.split(host_path, "[^A-Za-z0-9]+"))
+def url_tokens(host_path: Column, bare: bool = False) -> Column:
+    """The distinct runs of ASCII letters and digits; with ``bare`` also the empty token, under which rules without a token are filed."""
+    tokens = F.array_distinct(F.split(host_path, "[^A-Za-z0-9]+"))
+    return F.array_union(tokens, F.array(F.lit(""))) if bare else tokens
 
 
 def _rule_rows(rules: list[UrlRule]) -> list[tuple]:
@@ -93,7 +94,8 @@ def judge_urls(pages: DataFrame, rules: list[UrlRule], id_col: str = "page_id",
     rows = rows.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     distinct = rows.where(F.length("host") + F.length("path") > 0).select(F.concat("host", "path").alias("host_path")).distinct()
     index = _hinted(rule_index(spark, rules, distinct), rules)
-    candidates = distinct.select("host_path", F.explode(url_tokens(F.col("host_path"))).alias("token")).join(index, "token")
+    bare = any(tokens == [""] for *_, tokens in _rule_rows(rules))
+    candidates = distinct.select("host_path", F.explode(url_tokens(F.col("host_path"), bare)).alias("token")).join(index, "token")
     fits = candidates.where(F.expr("host_path rlike regex"))
     best = fits.groupBy("host_path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "action")).alias("best"))
     own = r"(?i)(^|[^A-Za-z0-9])(" + "|".join(BLOCKED_WORDS) + r")($|[^A-Za-z0-9])"
