@@ -69,6 +69,33 @@ def test_byte_bpe(docs, empty):
     assert byte_bpe.encode_documents(empty, path, public_tokenizers.PATTERN, digests=True).collect() == []
 
 
+def test_long_words(spark):
+    """Long words: random letters, one letter, a repeated part, and lengths about the bound of the fold."""
+    import tiktoken
+
+    path, r = registry.MULTI_RANKS, random.Random(7)
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
+    words = ["".join(r.choices("abcdefgé中", k=n)) for n in (9_000, 200, 230)] + ["a" * 9_000, "a" * 387, "tion" * 500, "#" * 3_000, "b" * 510, "b" * 511, "b" * 512]
+    words.append("".join(r.choices("etaoinshrdlu", k=100_000)))
+    docs = spark.createDataFrame([(i, f"x {w} y") for i, w in enumerate(words)], "doc_id bigint, text string")
+    got = {r.doc_id: r.ids for r in byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN).collect()}
+    assert got == {i: encoding.encode_ordinary(f"x {w} y") for i, w in enumerate(words)}
+
+
+def test_text_encoder():
+    """Texts of every sort of white space, mark and letter, old and new, give the library's ids."""
+    from warraq.llm.tokens import TextEncoder
+
+    encoder, r = TextEncoder(registry.BPE_50K, 300), random.Random(5)
+    letters = [*"abcXYZ'sdltrevm0129.,:;!?#&\n\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2003éßñøŁͰ\u0378Ая中文字한글あ\u0300\u200b😀½²ªº_-\0\x01\x7f", *" " * 12]
+    for _ in range(10):
+        texts = ["".join(r.choices(letters, k=r.randint(0, 40))) for _ in range(200)]
+        texts += [" ".join("".join(r.choices(letters[:60], k=r.randint(1, 9))).strip() or "x" for _ in range(12)) for _ in range(200)]
+        ids, counts = encoder.encode(pa.array(texts))
+        want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
 def test_every_token_folds_to_itself(spark):
     ranks = byte_bpe.load_ranks(registry.MULTI_RANKS)
     some = dict(random.Random(2).sample(sorted(ranks.items()), 4000))

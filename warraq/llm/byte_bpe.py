@@ -12,7 +12,8 @@ document when they are rare, so nothing is shuffled but word counts.
 Defined results: a null text is an empty text (no ids, the hash of no bytes);
 repeated rows give repeated results; a null ``doc_id`` stays null; columns other
 than the two named are ignored, whatever their names are; an empty table gives
-an empty table.
+an empty table. A word (a match of the pattern) of more than LONG bytes is merged by a
+heap in Python, since the fold's work grows with the square of a word's length.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import base64
 import hashlib
 import json
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_view, saved
+from .common import documents_view, saved, uncollected
 from .tokens import MARKS, TextEncoder, plain_texts, simple_parts, text_slices
 
 #: Ranks are below this; the packed cells of the rank map hold left * NO_RANK + rank.
@@ -96,6 +98,10 @@ def pair_rank(places: Column, cells: Column, left: Column, right: Column) -> Col
     return F.get(cells, (F.get(places, left.cast("int")) + right).cast("int")).bitwiseXOR(left * NO_RANK)
 
 
+#: Words of more bytes are merged by a heap: a step of the fold costs as many operations as the word has tokens.
+LONG = 512
+
+
 def fold_merges(word: Column, path: str) -> Column:
     """Token ids (array<bigint>) of one word, given as its byte array (array of numbers, not empty).
 
@@ -115,22 +121,23 @@ def fold_merges(word: Column, path: str) -> Column:
         def packed(rank_: Column, rest: Column) -> Column:
             return rank_ * PLACES + rest
 
+        def merged(tokens: Column, m: Column) -> Column:
+            """``tokens`` after the merge of the pair that number ``m`` begins."""
+            p = F.array_position(tokens, m).cast("int")
+            id_ = F.shiftrightunsigned(m, PLACE_BITS)
+            place = m.bitwiseAND(PLACES - ID_SIZE)
+            following = F.get(tokens, p + 1).bitwiseAND(ID_SIZE - 1)
+            own = packed(rank(id_, following), place + id_)
+            before = F.get(tokens, p - 2)
+            left = packed(rank(before.bitwiseAND(ID_SIZE - 1), id_), before.bitwiseAND(PLACES - 1))
+            changed = F.when(p > 1, F.array(left, own)).otherwise(F.array(own))
+            return F.concat(F.slice(tokens, F.lit(1), F.greatest(p - 2, F.lit(0))), changed, F.slice(tokens, p + 2, F.size(tokens)))
+
         def step(acc: Column, _: Column) -> Column:
-            def merged(m: Column) -> Column:
-                p = F.array_position(acc, m).cast("int")
-                id_ = F.shiftrightunsigned(m, PLACE_BITS)
-                place = m.bitwiseAND(PLACES - ID_SIZE)
-                following = F.get(acc, p + 1).bitwiseAND(ID_SIZE - 1)
-                own = packed(rank(id_, following), place + id_)
-                before = F.get(acc, p - 2)
-                left = packed(rank(before.bitwiseAND(ID_SIZE - 1), id_), before.bitwiseAND(PLACES - 1))
-                changed = F.when(p > 1, F.array(left, own)).otherwise(F.array(own))
-                return F.concat(F.slice(acc, F.lit(1), F.greatest(p - 2, F.lit(0))), changed, F.slice(acc, p + 2, F.size(acc)))
-
-            return F.transform(F.array(F.array_min(acc)), lambda m: F.when(m < NO_RANK * PLACES, merged(m)).otherwise(acc))[0]
+            return F.transform(F.array(F.array_min(acc)), lambda m: F.when(m < NO_RANK * PLACES, merged(acc, m)).otherwise(acc))[0]
 
         ids = F.transform(word, lambda b: F.get(t["bytes"], b.cast("int")))
-        start = F.transform(F.array(ids), lambda a: F.transform(a, lambda x, i: packed(rank(x, F.get(a, i + 1)), i * F.lit(ID_SIZE) + x)))[0]
+        start = F.transform(F.array(ids), lambda a: F.transform(a, lambda x, i: packed(rank(x, F.get(a, i + 1)), i.cast("bigint") * ID_SIZE + x)))[0]
         # a word has at most one merge less than bytes
         return F.aggregate(F.slice(word, F.lit(2), F.size(word)), start, step, lambda acc: F.transform(acc, lambda v: v.bitwiseAND(ID_SIZE - 1)))
 
@@ -143,6 +150,35 @@ def fold_merges(word: Column, path: str) -> Column:
     return F.transform(F.array(tables), with_tables)[0]
 
 
+def merge_long(word: bytes, path: str) -> list[int]:
+    """Token ids of one word by the same merges; n bytes cost n log n."""
+    ranks = load_ranks(path)
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the token that begins at a place; end 0: no token begins there
+
+    def rank(i: int) -> int | None:
+        return ranks.get(word[i : end[end[i]]]) if end[i] < n else None
+
+    heap = [(r, i, i + 2) for i in range(n) if (r := rank(i)) is not None]
+    heapify(heap)
+    while heap:
+        _, i, stop = heappop(heap)
+        middle = end[i]
+        if not middle or middle >= n or end[middle] != stop:
+            continue  # one of the pair has merged with another
+        end[i], end[middle] = stop, 0
+        if stop < n:
+            before[stop] = i
+        for k in (before[i], i):
+            if k >= 0 and (r := rank(k)) is not None:
+                heappush(heap, (r, k, end[end[k]]))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return out
+
+
 class Splitter:
     """Splits texts into the words that the pattern matches.
 
@@ -174,12 +210,13 @@ class Splitter:
 
 
 def _count_words(pattern: str):
+    @uncollected
     def run(batches):
         from collections import Counter
 
         split = Splitter(pattern)
         for batch in batches:
-            for _, column in text_slices(batch.column(0), 4 << 20):
+            for _, column in text_slices(batch.column(0), 12 << 20):
                 words: Counter = Counter()
                 plain = split.plain(column)
                 lists = pc.split_pattern(pc.if_else(pa.array(plain), column, pa.scalar("", column.type)), " ")
@@ -237,29 +274,46 @@ MARK = 0xFFFFFFFF
 
 
 class HotEncoder(TextEncoder):
-    """Ids of texts from the dictionary, with a mark for each rare word."""
+    """Ids of texts from the dictionary, with a mark for each rare word; up to twice ``most`` units are remembered."""
 
-    def __init__(self, pattern: str, hot: HotWords):
+    def __init__(self, pattern: str, path: str, hot: HotWords, most: int = 300_000):
+        self.path = path
         self.split, self.hot, self.mark = Splitter(pattern), hot, MARK.to_bytes(4, "little")
         self.run, self.mark_text = self.split.run, MARKS
+        self.most, self.recent, self.older = most, {}, {}
+        self.marked = self._known([[m] for m in self.mark_text])
         #: The rare words of the table's entries in this call, in three runs: units, marks, first parts.
         self.rare: list[list[tuple]] = []
 
-    def _known(self, parts: list[list[str]]) -> list[bytes]:
-        """Ids of parts given as lists of their words; their rare words are noted."""
+    def _known(self, parts: list[list[str]]) -> list[tuple[bytes, tuple]]:
+        """Ids of parts given as lists of their words, and their rare words."""
         words = list({w for p in parts for w in p})
-        ids = dict(zip(words, self.hot.find([w.encode() for w in words]), strict=True))
-        mark = self.mark
-        self.rare.append([tuple(w for w in p if ids[w] is None) for p in parts])
-        return [ids[p[0]] or mark if len(p) == 1 else b"".join([ids[w] or mark for w in p]) for p in parts]
+        raw = [w.encode() for w in words]
+        ids = dict(zip(words, self.hot.find(raw), strict=True))
+        ids |= {w: np.asarray(merge_long(x, self.path), "<u4").tobytes() for w, x in zip(words, raw, strict=True) if len(x) > LONG}
+        mark, out = self.mark, []
+        for p in parts:
+            if len(p) == 1:
+                found = ids[p[0]]
+                out.append((mark, (p[0],)) if found is None else (found, ()))
+            else:
+                out.append((b"".join([ids[w] or mark for w in p]), tuple(w for w in p if ids[w] is None)))
+        return out
+
+    def _learn(self, units: list[str]) -> None:
+        self.recent.update(zip(units, self._known([self.split.after_blank(u) for u in units]), strict=True))
+
+    def _noted(self, found: list[tuple[bytes, tuple]]) -> list[bytes]:
+        self.rare.append([r for _, r in found])
+        return [i for i, _ in found]
 
     def _resolve(self, units: list[str]) -> list[bytes]:
-        table = self._known([self.split.after_blank(u) for u in units])
-        self.mark_ids = self._known([[m] for m in self.mark_text])
+        table = self._noted(super()._resolve(units))
+        self.mark_ids = self._noted(self.marked)
         return table
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return self._known([self.split.find(t) for t in texts])
+        return self._noted(self._known([self.split.find(t) for t in texts]))
 
     def rare_words(self) -> tuple[list[str], np.ndarray]:
         """Of the last call: the rare words in the order of their marks, and how many each text has."""
@@ -270,11 +324,12 @@ class HotEncoder(TextEncoder):
         return [w for e in entries[count > 0].tolist() for w in rare[e]], own
 
 
-def _encode_hot(pattern: str, hot):
+def _encode_hot(pattern: str, path: str, hot):
     """Ids of each text with a mark for each rare word, the distinct rare words as byte arrays, and which of them each mark means."""
 
+    @uncollected
     def run(batches):
-        encoder = HotEncoder(pattern, hot.value)
+        encoder = HotEncoder(pattern, path, hot.value)
         for batch in batches:
             for i, column in text_slices(batch.column(1), 4 << 20):
                 encoder.rare = []
@@ -305,23 +360,6 @@ def _encode_hot(pattern: str, hot):
     return run
 
 
-class Decoder:
-    """Byte strings of ids, concatenated."""
-
-    def __init__(self, path: str):
-        vocabulary = vocabulary_of(path)
-        self.size = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
-        self.start = np.cumsum(self.size) - self.size
-        self.data = np.frombuffer(b"".join(vocabulary), np.uint8)
-
-    def __call__(self, ids: np.ndarray) -> bytes:
-        size = self.size[ids]
-        ends = np.cumsum(size)
-        at = np.repeat(self.start[ids] - (ends - size), size)
-        at += np.arange(len(at))
-        return self.data[at].tobytes()
-
-
 def vocabulary_of(path: str) -> list[bytes]:
     """Byte string of each id; unused ids below the largest have none."""
     ranks = load_ranks(path)
@@ -343,7 +381,7 @@ def _fill_marks(ids: bytes, places: list[int], folded: list[bytes]) -> bytes:
 
 def _put_together(path: str, digests: bool):
     def run(batches):
-        decode = Decoder(path)
+        piece = vocabulary_of(path).__getitem__
         for whole in batches:
             for begin in range(0, whole.num_rows, 512):
                 batch = whole.slice(begin, 512)
@@ -357,8 +395,9 @@ def _put_together(path: str, digests: bool):
                     rows.append(_fill_marks(ids, p, folded[at : at + n]) if p else ids)
                     at += n
                 if digests:
-                    texts = (decode(np.frombuffer(x, "<u4")) for x in rows)
-                    out = [pa.array([len(x) // 4 for x in rows], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in rows], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
+                    # decoding concatenates the byte strings of the ids
+                    texts = (b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) for x in rows)
+                    out = [pa.array([len(x) // 4 for x in rows], pa.int64()), *(pa.array([hashlib.sha256(x).hexdigest() for x in some], pa.string()) for some in (rows, texts))]
                     yield pa.RecordBatch.from_arrays([batch.column(0), *out], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
                     out = [np.frombuffer(x, "<u4").astype(np.int32) for x in rows]
@@ -424,7 +463,7 @@ def encode_documents(
     hot = spark.sparkContext.broadcast(hot_dictionary(counts, path, hot_words))
     texts = documents_view(docs, id_col, text_col)
     kind = texts.schema["doc_id"].dataType.simpleString()
-    found = texts.mapInArrow(_encode_hot(pattern, hot), f"doc_id {kind}, ids binary, rare array<array<int>>, places array<int>")
+    found = texts.mapInArrow(_encode_hot(pattern, path, hot), f"doc_id {kind}, ids binary, rare array<array<int>>, places array<int>")
     # rare words are folded in the JVM between the two passes over a batch
     folded = found.select("doc_id", "ids", "places", F.transform("rare", lambda w: fold_merges(w, path)).alias("folded"))
     schema = f"doc_id {kind}, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import platform
 import tempfile
 import uuid
@@ -19,9 +20,11 @@ WORD_SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode and an error on a cluster."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="warraq-")
         spark.sparkContext.setCheckpointDir(known)
     return known
@@ -77,6 +80,20 @@ def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(column)
 
 
+def uncollected(run):
+    """A function of batches that runs without the collector of cycles: it makes none, and its memo's many small objects are dear to walk."""
+
+    @functools.wraps(run)
+    def without(batches):
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+
+    return without
+
+
 def lean(run):
     """A function of batches that gives memory back: large arrays are mapped by themselves, and what is free is trimmed at the end.
 

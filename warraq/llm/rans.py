@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_view, saved, shuffle_partitions
+from .common import documents_view, saved, shuffle_partitions, uncollected
 from .tokens import text_encoder, text_slices, vocabulary_size
 
 SCALE_BITS = 20
@@ -140,6 +140,7 @@ HEAD_NAMES = ["shard", "block", "start_in_shard", "n_tokens", "doc_ids", "doc_to
 def _tokenise(path: str, end_id: int, block_tokens: int, width: str):
     """Blocks of whole documents' ids, in the order of the rows, and last a row (block -1) of how often each id stands in them; ``width`` is the ids' number type."""
 
+    @uncollected
     def run(batches):
         from pyspark import TaskContext
 

@@ -16,6 +16,12 @@ SPACE_BYTES = np.zeros(256, bool)
 SPACE_BYTES[[*range(9, 14), *range(28, 33)]] = True
 #: Marks that most often end a part.
 MARKS = ".,:;!?"
+#: Letters in every version of Unicode since 5.1, whichever a library knows.
+SURE = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u0523\u05d0-\u05ea\u0621-\u063f\u0641-\u064a\u0904-\u0939\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fc3\uac00-\ud7a3"
+SURE_LETTERS, SURE_TEXT = re.compile(f"[{SURE}]+").fullmatch, re.compile(f"[\x01-\x7f{SURE}]+").fullmatch
+#: The byte-level pattern (a fixed value) over such letters and ASCII, where white space is that of Unicode, without the separators 28 to 31.
+SPACE = "\t-\r "
+SURE_WORDS = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{SURE}]+| ?[0-9]+| ?[^{SPACE}{SURE}0-9]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
 
 
 def simple_parts(parts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
@@ -42,6 +48,17 @@ def plain_texts(column: pa.Array, run) -> np.ndarray:
     return out
 
 
+def byte_characters() -> dict[int, str]:
+    """The characters by which byte-level files write the bytes: those printed in Latin-1 as they are, the others from 256 on in their order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+#: Byte 0 stays, so that it can stand between words.
+BYTE_CHARACTERS = {b: c for b, c in byte_characters().items() if b}
+
+
 class TextEncoder:
     """Encodes texts by a byte-level ``tokenizers`` file; the strings of special tokens are ordinary text.
 
@@ -64,7 +81,6 @@ class TextEncoder:
         self.used: tuple[np.ndarray, np.ndarray] | None = None
         self.mark_text = MARKS
         self.mark_ids = self._encode(list(MARKS))
-        self.line = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -72,22 +88,34 @@ class TextEncoder:
     def _learn(self, units: list[str]) -> None:
         """Ids of a blank and each unit, into the memo.
 
-        Units are encoded many at a time, on lines of their own: the line end before
-        a blank is a token by itself.
+        What the pattern takes for a word is beyond doubt in units of sure letters and
+        ASCII characters: their words are encoded by the library's model one by one.
+        The library encodes all other units as texts.
         """
-        lined = [u for u in units if "\n" not in u] if len(self.line) == 4 else []
-        for a in range(0, len(lined), 2048):
-            some = lined[a : a + 2048]
-            ids = np.frombuffer(self._encode(["\n".join(" " + u for u in some)])[0], "<u4")
-            ends = [*np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0]).tolist(), len(ids)]
-            begin = 0
-            raw = ids.tobytes()
-            for u, end in zip(some, ends, strict=True):
-                self.recent[u] = raw[4 * begin : 4 * end]
-                begin = end + 1
-        rest = [u for u in units if "\n" in u] if len(self.line) == 4 else units
+        lone = [u for u in units if (u.isascii() and u.isalpha()) or SURE_LETTERS(u)]
+        self.recent.update(zip(lone, self._encode_words([" " + u for u in lone]), strict=True))
+        rest = [u for u in units if u not in self.recent]
+        mixed = [u for u in rest if SURE_TEXT(u)]
+        words = [SURE_WORDS(" " + u) for u in mixed]
+        new = list({w for some in words for w in some})
+        ids = dict(zip(new, self._encode_words(new), strict=True))
+        self.recent.update((u, b"".join([ids[w] for w in some])) for u, some in zip(mixed, words, strict=True))
+        rest = [u for u in rest if u not in self.recent]
         self.recent.update(zip(rest, self._encode([" " + u for u in rest]), strict=True))
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each of which the pattern leaves whole."""
+        if not words:
+            return []
+        # no word holds the character 0, which is left as it is
+        written = "\0".join(words).encode().decode("latin-1").translate(BYTE_CHARACTERS).split("\0")
+        encode, flat, ends = self.tokenizer.model.tokenize, [], []
+        for w in written:
+            flat += [t.id for t in encode(w)]
+            ends.append(4 * len(flat))
+        raw = np.asarray(flat, "<u4").tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def _resolve(self, units: list[str]) -> list[bytes]:
         """Ids of a blank and each unit; the units differ."""
         recent = self.recent
