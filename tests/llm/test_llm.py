@@ -184,13 +184,13 @@ def test_rans_blocks():
 
 def test_urls(spark):
     rules = [urls.UrlRule(*r) for r in registry.URL_RULES]
-    cases = ["http://example.com/en/1", "https://www.EXAMPLE.com/en/x?y", "http://a.example.com/fr", "http://x.net/es/1", "http://net/fr/", "http://x.net/eso", "http://example.com", "http://notexample.com/en/", "ftp:/x", None, "", "http://a.org/casino/1", "://", "http://x.net/es/1", "http://h.com/a\nb#c", "HTTP://u:p@Ex.com:80/"]
+    cases = ["http://example.com/en/1", "https://www.EXAMPLE.com/en/x?y", "http://a.example.com/fr", "http://x.net/es/1", "http://net/fr/", "http://x.net/eso", "http://example.com", "http://notexample.com/en/", "ftp:/x", None, "", "http://a.org/casino/1", "://", "http://x.net/es/1", "http://h.com/a\nb#c", "HTTP://u:p@Ex.com:80/", "http://a.org/x.CASINO", "http://casinos.org/", "http://casino.net/es/", "http://a.org/?casino", "http://poker"]
     want = []
     for i, u in enumerate(cases):
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
         host, path = (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
         fits = [(len(p), p, a) for a, p in registry.URL_RULES if (host == p.split("/")[0] or host.endswith("." + p.split("/")[0])) and path.startswith("/" + p.partition("/")[2])]
-        rule, verdict = max(fits)[1:] if fits else (None, "block" if "casino" in (u or "") else "allow")
+        rule, verdict = max(fits)[1:] if fits else (None, "block" if re.search("(?i)\\b(casino|poker)\\b", host + path) else "allow")
         want.append((i, host, path, rule, verdict))
     pages = spark.createDataFrame(list(enumerate(cases)), "page_id bigint, url string").withColumn("host", F.lit("clash"))
     assert sorted(map(tuple, urls.judge_urls(pages, rules).collect())) == want
@@ -209,6 +209,13 @@ def test_url_rules_without_token(spark):
 BASE = [("assign", re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32)]
 
 
+def test_secrets_with_hot_values(docs, monkeypatch):
+    """Values and documents' sets that many rows share give the same result by broadcast."""
+    want = Counter(map(str, secrets.scan(docs).collect())), Counter(map(str, secrets.redact(docs).collect()))
+    monkeypatch.setattr(secrets, "HOT", 1)
+    assert (Counter(map(str, secrets.scan(docs).collect())), Counter(map(str, secrets.redact(docs).collect()))) == want
+
+
 def test_secrets(docs, empty):
     rows = secrets.scan(docs).select("doc_id", secrets.joined(F.filter("spans", lambda s: s["rank"] < 3)).alias("base"), secrets.joined(F.col("live")).alias("live")).collect()
     want = Counter()
@@ -246,6 +253,47 @@ def test_html(spark):
     assert html_text.main_text("<" * 3000 + "<a \"" * 3000) is not None
 
 
+PROSE = "<p>The article's text is long enough to be the main part of its page, by far.</p><p>A second paragraph goes on with still more words that are worth reading.</p>"
+WANT = "The article's text is long enough to be the main part of its page, by far.\n\nA second paragraph goes on with still more words that are worth reading."
+MENU, FOOT = "<nav><a href=a>Home</a> <a href=b>News</a></nav>", "<footer>Copyright by us</footer>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body>{MENU}<div class='content has-sidebar'><article>{PROSE}</article><div class='sidebar'><p>side box</p></div></div>{FOOT}", WANT),
+        (f"<body><form>{MENU}<div>{PROSE}</div><input>{FOOT}</form>", WANT),
+        (f"<body>{MENU}<div class='no-comments'>{PROSE}</div>{FOOT}", WANT),
+        (f"<body>{MENU}<article>{PROSE}<ul><li><a href=1>Source one</a></li><li><a href=2>Source two</a></li></ul></article>{FOOT}", WANT + "\n\nSource one\n\nSource two"),
+        (f"<body><article>{PROSE}</article><section id='comments'><article class='comment-body'><p>so nice</p></article>{PROSE * 3}</section>", WANT),
+        (f"<body><div id=c>{PROSE}</div><section class='related'><article><p>Teaser words</p></article></section>", WANT),
+        (f"<body><div class='widget page'>{MENU}{PROSE}<div class='comments'>{PROSE * 3}</div>{FOOT}</div>", WANT),
+        (f"<body>{MENU}<div class='footer'><p>All rights</p></div>", ""),
+        (f"<body><div class='menu-open'><div class='banner top'>{MENU}<div class='ad'>Buy</div>{PROSE}</div></div>", WANT),
+        (f"<body><aside><main>{PROSE}</main></aside>{FOOT}", WANT),
+        ("<div class=ad>" * 20_000 + PROSE, WANT),
+    ],
+)
+def test_html_under_marked_wrappers(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_html_generated():
+    """Pages made of an article's blocks, marked boxes and wrappers at random: the text is what was put in."""
+    r = random.Random(11)
+    sentence = lambda: " ".join("".join(r.choices("abcdeilmnorstué", k=r.randint(2, 9))) for _ in range(r.randint(9, 40))) + "."
+    for _ in range(300):
+        blocks = [sentence() for _ in range(r.randint(3, 12))]
+        tags = [r.choice(["p", "p", "p", "h2", "blockquote", "pre"]) for _ in blocks]
+        inner = "".join(f"<{t}>{r.choice(['', ' '])}{b.replace(' ', r.choice([' ', chr(10), '  ']), 1)}</{t}>" for t, b in zip(tags, blocks, strict=True))
+        box = lambda: r.choice([MENU, FOOT, "", f"<div class='{r.choice(['ad', 'share-box', 'related posts', 'sidebar left'])}'>{r.choice(['', '<p>'])}{sentence()[:60]}</div>", f"<script>var x = '<p>{sentence()}</p>'</script>", "<!-- <p>no</p> -->"])
+        core = f"<{(tag := r.choice(['article', 'main', 'div']))}>{inner}</{tag}>"
+        page = box() + core + box()
+        for _ in range(r.randint(0, 3)):
+            page = f"<div class='{r.choice(['page', 'has-sidebar x', 'content', 'layout no-comments'])}'>{page}</div>"
+        assert html_text.main_text(f"<html><head><title>t</title></head><body>{MENU}{page}{FOOT}</body></html>") == "\n\n".join(blocks)
+
+
 def links(texts, size, num, den):
     sets = {}
     for i, t in texts:
@@ -270,6 +318,7 @@ def links(texts, size, num, den):
 @pytest.mark.parametrize(("size", "num", "den", "cell"), [(3, 9, 10, 192), (5, 8, 10, 192), (5, 8, 10, 2), (1, 5, 10, 3)])
 def test_ngram_join(docs, empty, monkeypatch, size, num, den, cell):
     monkeypatch.setattr(ngram_join, "CELL", cell)
+    monkeypatch.setattr(common, "HOT", cell)
     known = docs.where("doc_id is not null")
     want = links(dict(pairs(known)).items(), size, num, den)
     got = ngram_join.near_duplicates(known, size, num, den).collect()
@@ -367,6 +416,7 @@ def covered(texts, length, first):
 
 @pytest.mark.parametrize(("keep", "group"), [("none", 8192), ("none", 2), ("first", 8192), ("first", 2)])
 def test_repeats(docs, empty, monkeypatch, keep, group):
+    monkeypatch.setattr(repeats, "HOT", group)
     monkeypatch.setattr(repeats, "GROUP", group)
     texts = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     if keep == "first":  # equal rows are told apart by nothing, so that no order holds between them

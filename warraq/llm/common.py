@@ -47,6 +47,26 @@ def if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+#: Rows of one key that a join by shuffling may bring into one task, and keys (some 8 to 64 bytes each) that may be broadcast.
+HOT, MOST_HOT = 1000, 1_000_000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, how: str, hot: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined to ``facts``, which has at most one row for each key.
+
+    Keys that more than HOT rows share are joined by a broadcast of their facts: there
+    are at most a HOT-th as many as rows, and no more than MOST_HOT are broadcast.
+    ``hot`` gives these keys where they are known.
+    """
+    if hot is None:
+        hot = saved(rows.groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") > HOT).select(key), "hot-keys")
+    n = hot.count()
+    if not 0 < n <= MOST_HOT:
+        return rows.join(facts, key, how)
+    few = F.broadcast(facts.join(F.broadcast(hot), key, "left_semi"))
+    return rows.join(F.broadcast(hot), key, "left_semi").join(few, key, how).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(facts, key, how))
+
+
 def documents_view(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) alone, the text never null."""
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import join_hot, saved
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -23,9 +23,11 @@ def connected_components(links: DataFrame) -> DataFrame:
         news = labels.where("fresh").select(F.col("node").alias("other"), F.col("root").alias("r"))
         near = both.join(news, "other").groupBy("node").agg(F.min("r").alias("r"))
         spread = labels.join(near, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "r").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        # a root is always a node, so that the jump finds it
-        new = spread.join(jump, "root").select("node", F.least("root", "up").alias("root"), (F.least("root", "up") < F.col("old")).alias("fresh"))
+        spread = saved(spread, "spread")
+        # a root is always a node, so that the jump finds it; only roots that have one themselves are looked up
+        roots = spread.select("root").distinct()
+        jump = labels.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("up")).join(roots, "root", "left_semi")
+        new = join_hot(spread, jump, "root", "left").select("node", "old", "root", F.coalesce("up", "root").alias("up")).select("node", F.least("root", "up").alias("root"), (F.least("root", "up") < F.col("old")).alias("fresh"))
         labels = saved(new, "labels")
         if not labels.where("fresh").limit(1).count():
             return labels.select("node", "root")

@@ -4,7 +4,9 @@ Every page is parsed to a tree. Each element gets its characters per tag, adjust
 for link characters and link tags; an element's density sum adds the densities of
 its children; the element with the largest sum is the core of the article. From
 there the choice widens along the path to the body as long as the element above is
-at least as dense as the body and holds no page furniture of its own.
+at least as dense as the body and holds no page furniture of its own. Elements that
+their tag, class, id or role marks as furniture are left out, but for those around
+the article itself.
 
 Defined results: null or empty html gives an empty text; tags that are never
 closed, closed twice or cut off end where their parents do; repeated rows are
@@ -17,7 +19,9 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Sequence
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,29 +59,55 @@ MARKS = frozenset(
     "reply replies disqus respond login signin signup register popup modal overlay widget pagination pager copyright complementary contentinfo search form toolbar".split()
 )
 ARTICLE = frozenset(["article", "main"])
+#: Words of a name such as has-sidebar or no-comments, by which it tells of a page's state and not of what the element is.
+STATES = frozenset("has have no not with without hide hides show shows is open".split())
+COMMENTS = frozenset("comment comments reply replies disqus respond".split())
+#: Marked elements of these tags are never the page's own wrapper.
+APART = frozenset("nav aside footer menu".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
+#: A marked wrapper of a page holds more characters than this.
+WRAPPER = 120
 
+NO, SOFT, FOR_GOOD = range(3)
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
+
+def _marks(attributes: str) -> set[str]:
+    """The words of an element's class, id and role that mark what is not the article."""
+    found: set[str] = set()
+    for m in NAMES.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = re.split(r"[^a-z0-9]+", name)
+            if STATES.isdisjoint(words):
+                found.update(MARKS.intersection(words))
+    return found
+
+
+def _unwanted(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether an element is left out: no, unless it holds the article, or always."""
     if tag in DROPPED:
-        return not (tag == "header" and in_article)
+        if tag == "header" and in_article:
+            return NO
+        return SOFT if tag in FURNITURE else FOR_GOOD
     if not attributes or tag in ("html", "body"):
-        return False
+        return NO
     if HIDDEN.search(attributes):
-        return True
+        return FOR_GOOD
+    words = _marks(attributes)
+    if COMMENTS & words:
+        return FOR_GOOD
     if tag in ARTICLE:
-        return False
-    words = {w for m in NAMES.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
-    return bool((words - {"header"} if in_article else words) & MARKS)
+        return NO
+    return SOFT if (words - {"header"} if in_article else words) else NO
 
 
 class Page:
     """Elements in document order (an element's descendants follow it), and the texts between their tags."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.skip, self.article = ["#root"], [-1], [False], [False]
+        self.tag, self.parent, self.own, self.article = ["#root"], [-1], [NO], [False]
         self.events: list[tuple[int, str | None]] = []
         self.body = 0
-        open_ = [0]
+        open_, self.opened = [0], Counter()
         at, n = 0, len(source)
         while at < n:
             m = TOKEN.match(source, at)
@@ -93,7 +123,7 @@ class Page:
                 continue
             self._end_others(open_, tag)
             if tag == "body" and not self.body:
-                del open_[1:]
+                self._leave(open_, 1)
             k = self._add(open_[-1], tag, m[3] or m[6] or "")
             if tag == "body" and not self.body:
                 self.body = k
@@ -102,27 +132,91 @@ class Page:
                 at = end.end() if end else n
             elif tag not in VOID:
                 open_.append(k)
+                self.opened[tag] += 1
             elif tag == "br":
                 self.events.append((k, " "))
+        self._choose()
+
+    def _inherited(self) -> list[bool]:
+        out = [False]
+        for k in range(1, len(self.tag)):
+            out.append(out[self.parent[k]] or self.own[k] != NO)
+        return out
+
+    def _choose(self) -> None:
+        """``skip``: which elements are left out, with all below them; a marked wrapper of the article stays.
+
+        If every article or main element stands in marked ones, what surrounds the
+        largest stays. Then, while less than a tenth of the prose of one marked
+        element would stay otherwise, that element is the wrapper of the page and stays.
+        """
+        n = len(self.tag)
+        text, blocks, linked, below = [0] * n, [0] * n, [False] * n, [[] for _ in range(n)]
+        for k, t in self.events:
+            if t and self.tag[k] != "br":
+                text[k] += len(t.strip())
+        gone = [False] * n
+        for k in range(1, n):
+            p = self.parent[k]
+            gone[k] = gone[p] or self.own[k] == FOR_GOOD
+            linked[k] = linked[p] or self.tag[k] == "a"
+            below[p].append(k)
+            if gone[k] or linked[k]:
+                text[k] = 0
+        prose = text.copy()
+        for k in range(n - 1, 0, -1):
+            p = self.parent[k]
+            blocks[p] += blocks[k] + (self.tag[k] in PROSE and text[k] > 0)
+            prose[p] += prose[k]
+        skip = self._inherited()
+        articles = [k for k in range(1, n) if self.tag[k] in ARTICLE and prose[k] and not gone[k]]
+        if articles and all(skip[k] for k in articles):
+            k = max(articles, key=lambda k: (prose[k], -k))
+            while k > 0:
+                self.own[k], k = NO, self.parent[k]
+        kept, wrappers, fresh = 0, [], [0]
+        while True:
+            while fresh:  # each element becomes visible at most once
+                k = fresh.pop()
+                kept += text[k]
+                for c in below[k]:
+                    if self.own[c] == NO:
+                        fresh.append(c)
+                    elif self.own[c] == SOFT and self.tag[c] not in APART and blocks[c] > 1:
+                        heappush(wrappers, (-prose[c], c))
+            if not wrappers or -wrappers[0][0] <= max(10 * kept, WRAPPER):
+                break
+            k = heappop(wrappers)[1]
+            self.own[k] = NO
+            fresh.append(k)
+        self.skip = self._inherited()
 
     def _add(self, parent: int, tag: str, attributes: str) -> int:
         inside = self.article[parent] or tag in ARTICLE
         self.tag.append(tag)
         self.parent.append(parent)
         self.article.append(inside)
-        self.skip.append(self.skip[parent] or _unwanted(tag, attributes, self.article[parent]))
+        self.own.append(_unwanted(tag, attributes, self.article[parent]))
         k = len(self.tag) - 1
         if tag in BLOCK:
             self.events.append((k, None))
         return k
 
+    def _leave(self, open_: list[int], i: int) -> None:
+        """Closes the open elements from the ``i``-th on."""
+        for k in open_[i:]:
+            self.opened[self.tag[k]] -= 1
+        del open_[i:]
+
     def _close(self, open_: list[int], tag: str) -> None:
+        if not self.opened[tag]:
+            return
         for i in range(len(open_) - 1, 0, -1):
             if self.tag[open_[i]] == tag:
                 if tag not in ("body", "html"):
                     if any(self.tag[x] in BLOCK for x in open_[i:]):
                         self.events.append((open_[i], None))
-                    del open_[i:]
+                    self._leave(open_, i)
                 return
             # an inline end tag does not reach over the block around it
             if tag not in BLOCK and self.tag[open_[i]] in BLOCK:
@@ -130,11 +224,13 @@ class Page:
 
     def _end_others(self, open_: list[int], tag: str) -> None:
         ends, scope = ENDS.get(tag, (frozenset(), frozenset()))
+        if not (tag in ENDS_P and self.opened["p"]) and not any(self.opened[name] for name in ends):
+            return
         for i in range(len(open_) - 1, 0, -1):
             name = self.tag[open_[i]]
             if name in ends or (name == "p" and tag in ENDS_P):
                 self.events.append((open_[i], None))
-                del open_[i:]
+                self._leave(open_, i)
                 return
             if name in scope or name in P_SCOPE:
                 return
@@ -213,8 +309,8 @@ def main_text(source: str | None) -> str:
     inside = [False] * n
     inside[best] = True
     for k in range(best + 1, n):
-        # lists and boxes of links are menus wherever they stand
-        menu = link_tags[k] >= 2 and page.tag[k] in ("ul", "ol", "div", "section", "table", "dl") and 5 * links[k] >= 4 * chars[k]
+        # lists and boxes of links are menus, but not in an article
+        menu = not page.article[k] and link_tags[k] >= 2 and page.tag[k] in ("ul", "ol", "div", "section", "table", "dl") and 5 * links[k] >= 4 * chars[k]
         inside[k] = inside[page.parent[k]] and not page.skip[k] and not menu
     blocks, now = [], []
     for k, text in [*page.events, (0, None)]:

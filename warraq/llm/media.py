@@ -221,8 +221,11 @@ def read_features(index: DataFrame, uri: str, partitions: int | None = None) ->
 
 def new_shard_folder(docs: DataFrame) -> str:
     """A new folder for shards in the session's shared folder."""
-    path = shared_path(docs.sparkSession, "media")
-    return path if "://" in path else "file://" + path.removeprefix("file:")
+    spark = docs.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_path(spark, "media"))
+    # a path without a scheme belongs to the cluster's default file system
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def media_columns(docs: DataFrame, uri: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

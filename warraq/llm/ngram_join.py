@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import binary, if_small, lean, saved, slices
+from .common import binary, if_small, join_hot, lean, saved, slices
 from .components import connected_components
 
 #: Classes of a block of sets of up to LENGTH shingles; a place of more, or of longer sets, is split.
@@ -356,7 +356,8 @@ def _linked(docs: DataFrame, size: int, num: int, den: int, id_col: str, text_co
     links = sent.repartition(*where).sortWithinPartitions(*where).mapInArrow(_meet(size, num, den, frequent), "a bigint, b bigint")
     roots = connected_components(saved(links, "near-links"))
 
-    return rows.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class")).select("row_key", "doc_id", "n", "root")
+    named = join_hot(rows, roots.select(F.col("node").alias("class"), "root"), "class", "left")
+    return saved(named.withColumn("root", F.coalesce("root", "class")).select("row_key", "doc_id", "n", "root"), "near-classes")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -366,7 +367,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
     """
     named = _linked(docs, size, num, den, id_col, text_col)
     least = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "root", "left").select("row_key", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return join_hot(named, least, "root", "left").select("row_key", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -378,7 +379,7 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, id_col
     named = _linked(docs, size, num, den, id_col, text_col).where("n > 0")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     least = named.groupBy("root").agg(F.min(order).alias("o")).select("root", F.col("o.row_key").alias("least"))
-    judged = named.join(least, "root").groupBy("row_key").agg(F.max(F.col("row_key") == F.col("least")).alias("stays"), F.count("*").alias("copies"))
+    judged = join_hot(named, least, "root", "inner").groupBy("row_key").agg(F.max(F.col("row_key") == F.col("least")).alias("stays"), F.count("*").alias("copies"))
     # what goes, and the survivors that stand in several rows
     changed = saved(judged.where("not stays or copies > 1").select("row_key", "stays"), "near-copies")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))

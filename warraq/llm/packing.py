@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_view, lean
+from .common import documents_view, lean, uncollected
 from .tokens import text_encoder, text_slices
 
 
@@ -73,6 +73,7 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 def _cut(path: str, capacity: int, end_id: int, with_ids: bool, memo: int):
     end = np.asarray([end_id], "<u4").tobytes()
 
+    @uncollected
     @lean
     def run(batches):
         encoder = text_encoder(path, memo)
@@ -131,7 +132,7 @@ def pack_documents(
     texts = documents_view(docs, id_col, text_col)
     groups = max(1, -(-docs.count() // group_docs))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    tied = texts.select("doc_id", "text", F.xxhash64("doc_id", F.length("text"), F.lit("packing")).alias("tie"))
+    tied = texts.select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit("packing")).alias("tie"))
     base = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
     ids = ", ids binary" * with_ids
     pieces = tied.mapInArrow(_cut(path, capacity, end_id, with_ids, memo), f"{base}, tie bigint{ids}")

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary, if_small, lean, saved, slices
+from .common import HOT, binary, if_small, join_hot, lean, saved, slices
 
 #: Bytes of the sampled gram, a power of two.
 ANCHOR = 32
@@ -292,8 +292,8 @@ def repeated_runs(docs: DataFrame, length: int = 200, keep: str = "none", id_col
     of_kind = kind.simpleString()
     texts = docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("row_key"), F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
     found = saved(texts.mapInArrow(_find_anchors(length), f"row_key bigint, doc_id {of_kind}, gram bigint, context binary, first int, last int"), "anchors")
-    again = found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-    found = saved(found.join(again, "gram", "left_semi"), "repeated-anchors")
+    again = saved(found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1"), "repeated-grams")
+    found = saved(join_hot(found, again.select("gram"), "gram", "left_semi", again.where(F.col("c") > HOT).select("gram")), "repeated-anchors")
 
     order = F.struct("doc_id", "row_key", "first", "last")
     contexts = found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(order).alias("o"))
@@ -320,7 +320,8 @@ def repeated_runs(docs: DataFrame, length: int = 200, keep: str = "none", id_col
             twice = if_small(twice, n, SMALL)
             again = rows.join(twice, "row_key", "left_semi").withColumn("copy", F.row_number().over(W.partitionBy("row_key").orderBy("copy")))
             rows = rows.join(twice, "row_key", "left_anti").unionByName(again)
-    lists = lambda df, name: df.groupBy("row_key").agg(F.collect_list(F.struct("first", "last")).alias(name))
+    # equal rows have the same runs: a set holds each once
+    lists = lambda df, name: df.groupBy("row_key").agg(F.collect_set(F.struct("first", "last")).alias(name))
     return rows, lists(found, "repeated"), lists(kept, "kept")
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import HOT, join_hot, saved
 
 #: Fixed values: (kind, pattern, a literal that every match holds or None, group with the secret, its least length).
 BASE = (
@@ -76,18 +76,23 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, repository_col: str,
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, n_repositories, n_owners) of every candidate's value; distinct pairs are summed before the shuffle."""
-    pairs = found.select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash"), F.xxhash64("repository").alias("r"), F.xxhash64("owner").alias("o")).distinct()
-    by_owner = pairs.groupBy("hash", "o").agg(F.count("*").alias("n"))
+    """(hash, n_repositories, n_owners, n_rows) of every candidate's value; pairs are summed before each shuffle."""
+    held = F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"])))
+    pairs = found.select(held.alias("hash"), F.xxhash64("repository").alias("r"), F.xxhash64("owner").alias("o"))
+    pairs = pairs.groupBy("hash", "r", "o").agg(F.count("*").alias("c"))
+    by_owner = pairs.groupBy("hash", "o").agg(F.count("*").alias("n"), F.sum("c").alias("c"))
     # a repository has one owner, so that pairs are repositories
-    return by_owner.groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
+    return by_owner.groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"), F.sum("c").alias("n_rows"))
 
 
 def live_rows(found: DataFrame, max_owners: int, max_repositories: int) -> DataFrame:
     """(row_key, live): the hashes of each row's candidates that look live."""
-    live = ownership(found).where((F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)).select("hash")
+    known = saved(ownership(found), "secret-owners")
+    live = known.where((F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)).select("hash")
     rows = found.select("row_key", F.explode("spans").alias("s")).select("row_key", F.col("s.hash").alias("hash"))
-    return rows.join(live, "hash", "left_semi").groupBy("row_key").agg(F.collect_set("hash").alias("live"))
+    # an example copied widely, or a secret that one owner holds in many rows, comes into no task by itself
+    rows = join_hot(rows, live, "hash", "left_semi", known.where(F.col("n_rows") > HOT).select("hash"))
+    return rows.groupBy("row_key").agg(F.collect_set("hash").alias("live"))
 
 
 def scan(
@@ -101,9 +106,11 @@ def scan(
 ) -> DataFrame:
     """(doc_id, spans, live): all spans of each row, and those that look live, as arrays of (start, rank, end, kind, hash)."""
     found = saved(candidates(docs, id_col, text_col, repository_col, owner_col), "secret-spans")
-    rows = found.join(live_rows(found, max_owners, max_repositories), "row_key", "left")
+    some = found.where(F.size("spans") > 0)
+    rows = some.join(live_rows(some, max_owners, max_repositories), "row_key", "left")
     held = F.filter("spans", lambda s: F.array_contains(F.coalesce(F.col("live"), F.array().cast("array<string>")), s["hash"]))
-    return rows.select("doc_id", "spans", held.alias("live"))
+    # rows without a candidate stay where they are
+    return rows.select("doc_id", "spans", held.alias("live")).unionByName(found.where(F.size("spans") == 0).select("doc_id", "spans", F.col("spans").alias("live")))
 
 
 def redacted(text: Column, spans: Column) -> Column:
