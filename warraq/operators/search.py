@@ -1,12 +1,17 @@
 """Search of excerpts in the pages of books, exact first, then approximate.
 
-Books are tables of pages, excerpts are rows; both carry the book they belong to,
-and all work partitions by it. Texts are normalised aggressively on both sides.
+Books are tables of pages, excerpts are rows; both carry the book they belong to.
+Texts are normalised aggressively on both sides.
 
 Exact hits: an excerpt stands on the page where it begins, and may go on over the
-following pages. Approximate hits: rare grams of an excerpt are joined to their
-places on pages and page breaks; each place gives a window of about the excerpt's
-length, and the edit distance between the two decides.
+following pages. Its rarest whole word is joined to the places where pages have that
+word, and each place is compared with the excerpt, page by page. Approximate hits:
+rare grams of an excerpt are joined to their places on pages and page breaks; each
+place gives a window of about the excerpt's length, and the edit distance between the
+two decides.
+
+No step needs a book in one task: pages are numbered by ranges, and neighbours are
+found by the stretches of the book's characters that they lie on.
 """
 
 from __future__ import annotations
@@ -18,17 +23,41 @@ from pyspark.sql import functions as F
 from ..functions.distance import bounded_levenshtein
 from ..functions.sanitize import sanitize
 from ..plans.policy import DEFAULT_POLICY, SEAM_BONUS, SEAM_GAP, MatchPolicy
+from ..sources.shared import saved
 
-#: Excerpts up to so many, of so many characters together, are compared with every page directly.
-DIRECT_EXCERPTS, DIRECT_CHARS = 2000, 1 << 20
-#: Leading characters by which more excerpts are joined to the places of pages.
+#: Leading characters by which patterns without an inner word are joined to the places of texts.
 LEAD = 12
+#: Characters of a stretch by which neighbouring pages meet.
+STRETCH = 4096
+#: Grams, words or lists (of a few dozen bytes) that are broadcast at most; more are joined by a shuffle.
+SMALL = 500_000
+
+
+def _if_small(df: DataFrame) -> DataFrame:
+    """``df``, a saved table, marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def _running(rows: DataFrame, totals: dict[str, Column]) -> DataFrame:
+    """``rows`` (book_id, page, ...) with the sums of ``totals`` over the pages before in each book.
+
+    The rows are dealt by ranges; only one row for each range and book is summed in
+    the order of the ranges.
+    """
+    parts = rows.repartitionByRange("book_id", "page").withColumn("part", F.spark_partition_id())
+    parts = saved(parts, "page-ranges")
+    order = W.partitionBy("book_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sums = parts.groupBy("book_id", "part").agg(*(F.sum(v).alias(k) for k, v in totals.items()))
+    sums = sums.select("book_id", "part", *(F.coalesce(F.sum(k).over(order), F.lit(0)).alias(f"{k}_before") for k in totals))
+    within = W.partitionBy("book_id", "part").orderBy("page").rowsBetween(W.unboundedPreceding, -1)
+    numbered = parts.join(sums, ["book_id", "part"])
+    return numbered.select(*rows.columns, *((F.col(f"{k}_before") + F.coalesce(F.sum(v).over(within), F.lit(0))).alias(k) for k, v in totals.items()))
 
 
 def normalised_pages(pages: DataFrame) -> DataFrame:
-    """(book_id, page, idx, text): normalised pages numbered from 0 in the order of ``page`` within each book."""
-    order = W.partitionBy("book_id").orderBy("page")
-    return pages.select("book_id", "page", sanitize("text", "aggressive").alias("text")).withColumn("idx", F.row_number().over(order) - 1)
+    """(book_id, page, text, idx): normalised pages numbered from 0 in the order of ``page`` within each book."""
+    clean = pages.select("book_id", "page", sanitize("text", "aggressive").alias("text"))
+    return _running(clean, {"idx": F.lit(1)}).withColumn("idx", F.col("idx").cast("int"))
 
 
 def deduplicate_excerpts(excerpts: DataFrame) -> DataFrame:
@@ -39,9 +68,7 @@ def deduplicate_excerpts(excerpts: DataFrame) -> DataFrame:
 
 def build_book(pages: DataFrame) -> DataFrame:
     """Pages (book_id, page, text) with the length and the start of each in the book that joins them by one blank."""
-    size = F.length("text")
-    before = W.partitionBy("book_id").orderBy("page").rowsBetween(W.unboundedPreceding, -1)
-    return pages.select("*", size.alias("len"), F.coalesce(F.sum(size + 1).over(before), F.lit(0)).alias("start"))
+    return _running(pages, {"start": F.length("text") + 1}).withColumn("len", F.length("text"))
 
 
 def pos_to_page(positions: DataFrame, book: DataFrame) -> DataFrame:
@@ -59,17 +86,16 @@ def pos_to_page(positions: DataFrame, book: DataFrame) -> DataFrame:
 
 def create_seams(book: DataFrame, seam_len: int = 512) -> DataFrame:
     """(book_id, idx, page, text): the end of each page and the beginning of the next, joined by a blank."""
-    following = F.lead("text").over(W.partitionBy("book_id").orderBy("idx"))
-    seams = book.select("book_id", "idx", "page", F.right("text", F.lit(seam_len)).alias("a"), F.left(following, F.lit(seam_len)).alias("b"))
-    return seams.where(F.col("b").isNotNull()).select("book_id", "idx", "page", F.concat_ws(" ", "a", "b").alias("text"))
+    following = book.select("book_id", (F.col("idx") - 1).alias("idx"), F.left("text", F.lit(seam_len)).alias("b"))
+    ends = book.select("book_id", "idx", "page", F.right("text", F.lit(seam_len)).alias("a"))
+    return ends.join(following, ["book_id", "idx"]).select("book_id", "idx", "page", F.concat_ws(" ", "a", "b").alias("text"))
 
 
-def grams_of(text: Column, size: Column | int) -> Column:
-    """array<string>: the gram at each place; empty for a shorter text."""
-    n = F.lit(size) if isinstance(size, int) else size
-    chars = F.split(text, "")
-    joined = F.transform(F.array(chars), lambda c: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.array_join(F.slice(c, i, n), "")))[0]
-    return F.when(F.length(text) >= n, joined).otherwise(F.array().cast("array<string>"))
+def grams_of(text: Column, size: int) -> Column:
+    """array<string>: the gram of ``size`` characters at each place; empty for a shorter text."""
+    # a gram is put together of characters, each of which is found at once
+    joined = F.transform(F.array(F.split(text, "")), lambda c: F.transform(F.sequence(F.lit(0), F.length(text) - size), lambda i: F.concat(*(F.get(c, i + k) for k in range(size)))))[0]
+    return F.when(F.length(text) >= size, joined).otherwise(F.array().cast("array<string>"))
 
 
 def qgram_postings(book: DataFrame, seams: DataFrame, q: int = 4) -> DataFrame:
@@ -91,60 +117,94 @@ def pick_rare(grams: DataFrame, postings: DataFrame, k: int = 5) -> DataFrame:
     return grams.join(freq, ["book_id", "gram"]).withColumn("seed", rank).where(F.col("seed") <= max(1, k)).drop("freq")
 
 
-def _in_context(book: DataFrame, reach: int) -> DataFrame:
-    """Pages with the texts of the neighbours that lie within ``reach`` characters: ``ahead`` in order, ``back`` from the nearest."""
-    starts = build_book(book.select("book_id", F.col("idx").alias("page"), "text"))
-    near = F.count("*").over(W.partitionBy("book_id").orderBy("start").rangeBetween(0, reach))
-    most = starts.select(near.alias("n")).agg(F.max("n")).first()[0] or 0
-    order = W.partitionBy("book_id").orderBy("idx")
-    some = lambda w: F.collect_list(F.struct("idx", F.left("text", F.lit(reach)).alias("head"), F.right("text", F.lit(reach)).alias("tail"))).over(w)
-    ahead = F.transform(F.array_sort(some(order.rowsBetween(1, most + 1))), lambda s: s["head"])
-    back = F.transform(F.reverse(F.array_sort(some(order.rowsBetween(-most - 1, -1)))), lambda s: s["tail"])
-    return book.select("*", ahead.alias("ahead"), back.alias("back"))
+def _stretches(first: Column, last: Column) -> Column:
+    """Numbers of the stretches that the characters from ``first`` to ``last`` lie on."""
+    return F.sequence(F.floor(first / STRETCH), F.floor(F.greatest(first, last) / STRETCH))
+
 
+def _rarest_words(patterns: DataFrame, words: DataFrame, key: list[str], own: list[str]) -> DataFrame:
+    """(own, pattern, word, offset): of each pattern the inner word that the texts hold least often, or null for one without.
 
-def exact_hits(context: DataFrame, patterns: DataFrame, direct: bool | None = None) -> DataFrame:
-    """(book_id, pattern, idx, page): each page on which a pattern begins; empty patterns are nowhere."""
+    ``words`` are (key, word) of all places; inner words stand between blanks.
+    """
+    parts = F.split("pattern", " ")
+    # the place of a word is the length of what stands before it
+    inner = F.filter(F.transform(parts, lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda s: (s["i"] > 0) & (s["i"] < F.size(parts) - 1) & (s["word"] != ""))
+    each = patterns.select(*own, "pattern", F.explode(inner).alias("s")).select(*own, "pattern", F.col("s.word").alias("word"), (F.length(F.array_join(F.slice(F.split("pattern", " "), F.lit(1), F.col("s.i")), " ")) + 1).alias("offset"))
+    wanted = saved(each.select(*key, "word").distinct(), "inner-words")
+    freq = words.join(_if_small(wanted), [*key, "word"], "left_semi").groupBy(*key, "word").agg(F.count("*").alias("freq"))
+    # a word that no text has rules its pattern out: it is the rarest
+    return each.join(freq, [*key, "word"], "left").groupBy(*own, "pattern").agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "offset", "word")).alias("o")).select(*own, "pattern", "o.word", "o.offset")
+
+
+def _places(texts: DataFrame, patterns: DataFrame, key: list[str], own: list[str], row: list[str]) -> DataFrame:
+    """(row, own, pattern, at): places in ``texts`` (row, text) where a pattern may begin, counted from 0; below 0 if it begins before the text.
+
+    A pattern with an inner word is looked for where that word stands between blanks
+    or the text's ends, another one where its first word or LEAD characters of it do.
+    """
+    first = F.substring_index("pattern", " ", 1)
+    placed = F.split("text", " ")
+    words = texts.select(*row, F.posexplode(placed).alias("i", "word"))
+    rare = saved(_rarest_words(patterns, words.select(*key, "word").where("word <> ''"), key, own), "rarest-words")
+    sizes = F.transform(F.array(placed), lambda p: F.aggregate(p, F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(w) + 1))))[0]
+    wanted = saved(rare.select(*key, "word").distinct(), "anchor-words")
+    # only texts with a wanted word are cut into places
+    held = texts.select(*row, F.explode(F.array_distinct(placed)).alias("word")).join(_if_small(wanted), [*key, "word"], "left_semi").select(*row).distinct()
+    some = texts.join(held, row, "left_semi").select(*row, F.posexplode(F.arrays_zip(placed.alias("word"), F.slice(sizes, F.lit(1), F.size(placed)).alias("pos"))).alias("i", "w"))
+    found = some.select(*row, F.col("w.word").alias("word"), F.col("w.pos").alias("pos")).join(_if_small(rare), [*key, "word"]).select(*row, *(c for c in own if c not in row), "pattern", (F.col("pos") - F.col("offset")).alias("at"))
+    bare = patterns.join(rare.select(*own, "pattern"), [*own, "pattern"], "left_anti").withColumn("gram", F.left(F.when(first == "", F.col("pattern")).otherwise(first), F.lit(LEAD)))
+    bare = saved(bare.select(*own, "pattern", "gram", F.length("gram").alias("n")), "bare-patterns")
+    for size in sorted(r.n for r in bare.select("n").distinct().collect()):  # at most LEAD sizes
+        grams = texts.select(*row, F.posexplode(grams_of(F.col("text"), size)).alias("at", "gram"))
+        found = found.unionByName(grams.join(_if_small(bare.where(F.col("n") == size)), [*key, "gram"]).select(*row, *(c for c in own if c not in row), "pattern", "at"))
+    return found
+
+
+def exact_hits(book: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(book_id, pattern, idx, page): each page on which a pattern begins; ``book`` is (book_id, idx, page, text), empty patterns are nowhere.
+
+    A pattern's part on the page of its anchor is compared first; what goes on over
+    other pages is compared with each page that the pattern lies on.
+    """
+    book = saved(build_book(book.withColumnRenamed("page", "name").withColumnRenamed("idx", "page")).withColumnRenamed("page", "idx"), "book")
     patterns = patterns.where(F.length("pattern") > 0).select("book_id", "pattern")
-    joined = F.when(F.size("ahead") > 0, F.concat_ws(" ", "text", F.array_join("ahead", " "))).otherwise(F.col("text"))
-    whole = context.select("book_id", "idx", "page", F.length("text").alias("size"), joined.alias("whole"))
-    if direct is None:
-        n = patterns.agg(F.count("*"), F.sum(F.length("pattern"))).first()
-        direct = n[0] <= DIRECT_EXCERPTS and (n[1] or 0) <= DIRECT_CHARS
-    if direct:
-        at = F.expr("locate(pattern, whole)")
-        return whole.join(F.broadcast(patterns), "book_id").withColumn("at", at).where("at > 0 and at <= size").select("book_id", "pattern", "idx", "page")
-    found = None
-    lead = F.least(F.length("pattern"), F.lit(LEAD))
-    keyed = patterns.withColumn("n", lead).withColumn("gram", F.left("pattern", F.col("n")))
-    for size in sorted(r.n for r in keyed.select("n").distinct().collect()):  # at most LEAD sizes
-        places = whole.select("book_id", "idx", "page", "size", "whole", F.posexplode(grams_of(F.col("whole"), size)).alias("pos", "gram")).where("pos < size")
-        some = keyed.where(F.col("n") == size)
-        hits = places.join(some, ["book_id", "gram"]).where(F.expr("substring(whole, pos + 1, length(pattern)) = pattern")).select("book_id", "pattern", "idx", "page").distinct()
-        found = hits if found is None else found.unionByName(hits)
-    return found if found is not None else whole.join(patterns, "book_id").select("book_id", "pattern", "idx", "page").limit(0)
+    at = _places(book, patterns, ["book_id"], ["book_id"], ["book_id", "idx"])
+    pages = book.select("book_id", "idx", "name", "start", F.concat("text", F.lit(" ")).alias("text"))
+    size = F.length("pattern")
+    # of a page from ``start`` and a pattern from ``begin``: what both hold, compared
+    low, high = F.greatest(F.col("begin"), F.col("start")), F.least(F.col("begin") + size, F.col("start") + F.length("text"))
+    same = F.substring(F.col("text"), (low - F.col("start") + 1).cast("int"), (high - low).cast("int")) == F.substring(F.col("pattern"), (low - F.col("begin") + 1).cast("int"), (high - low).cast("int"))
+    near = at.join(pages, ["book_id", "idx"]).withColumn("begin", F.col("start") + F.col("at")).where(same)
+    whole = (F.col("at") >= 0) & (F.col("at") + size <= F.length("text"))
+    near = saved(near.select("book_id", "pattern", "idx", "name", "begin", whole.alias("whole")), "near-places")
+    inside = near.where("whole").select("book_id", "pattern", "idx", F.col("name").alias("page"))
+    over = near.where("not whole").select("book_id", "pattern", "begin").distinct()
+    over = over.select("*", F.explode(_stretches(F.greatest(F.col("begin"), F.lit(0)), F.col("begin") + size - 1)).alias("stretch"))
+    laid = pages.select("*", F.explode(_stretches(F.col("start"), F.col("start") + F.length("text") - 1)).alias("stretch"))
+    # pages and patterns that meet on several stretches are compared on the first
+    meet = over.join(laid, ["book_id", "stretch"]).where((high > low) & (F.col("stretch") == F.floor(low / STRETCH)))
+    parts = meet.groupBy("book_id", "pattern", "begin").agg(F.min(same).alias("same"), F.sum(high - low).alias("n"), F.min(F.struct("idx", "name")).alias("o"))
+    across = parts.where(F.col("same") & (F.col("n") == size)).select("book_id", "pattern", "o.idx", F.col("o.name").alias("page"))
+    return inside.unionByName(across).distinct()
 
 
 def pattern_occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(text_id, pattern_id, end_pos): every occurrence of every pattern, overlapping ones too; ``end_pos`` is the place after it.
 
     ``texts`` are (text_id, text), ``patterns`` (pattern_id, pattern); empty patterns
-    are nowhere. Places are joined to patterns by their first LEAD characters.
+    are nowhere. Work grows with the texts and with the places of each pattern's
+    rarest inner word.
     """
-    keyed = patterns.where(F.length("pattern") > 0).withColumn("n", F.least(F.length("pattern"), F.lit(LEAD))).withColumn("gram", F.left("pattern", F.col("n")))
-    found = None
-    for size in sorted(r.n for r in keyed.select("n").distinct().collect()):  # at most LEAD sizes
-        places = texts.select("text_id", "text", F.posexplode(grams_of(F.col("text"), size)).alias("pos", "gram"))
-        hits = places.join(keyed.where(F.col("n") == size), "gram").where(F.expr("substring(text, pos + 1, length(pattern)) = pattern"))
-        hits = hits.select("text_id", "pattern_id", (F.col("pos") + F.length("pattern")).alias("end_pos"))
-        found = hits if found is None else found.unionByName(hits)
-    return found if found is not None else texts.join(patterns.limit(0), F.lit(False)).select("text_id", "pattern_id", F.lit(0).alias("end_pos"))
+    found = _places(texts, patterns.where(F.length("pattern") > 0).select("pattern_id", "pattern"), [], ["pattern_id"], ["text_id"])
+    found = found.where("at >= 0").join(texts, "text_id").where(F.expr("substring(text, at + 1, length(pattern)) = pattern"))
+    return found.select("text_id", "pattern_id", (F.col("at") + F.length("pattern")).alias("end_pos"))
 
 
 def candidates(seeds: DataFrame, postings: DataFrame, policy: MatchPolicy) -> DataFrame:
     """(book_id, pattern, idx, page, start, seam, rank): places to verify, in the order in which seeds and postings give them."""
     at = F.col("pos") - F.col("offset")
-    rows = postings.join(seeds, ["book_id", "gram"]).where(at >= -F.floor(F.length("pattern") * 0.25)).withColumn("start", F.greatest(F.lit(0), at))
+    rows = postings.join(_if_small(seeds), ["book_id", "gram"]).where(at >= -F.floor(F.length("pattern") * 0.25)).withColumn("start", F.greatest(F.lit(0), at))
     place = ["book_id", "pattern", "idx", "page", "start", "seam"]
     first = rows.groupBy(*place).agg(F.min(F.struct("seed", "seam", "idx", "pos")).alias("o"))
     rank = F.row_number().over(W.partitionBy("book_id", "pattern").orderBy("o"))
@@ -152,7 +212,7 @@ def candidates(seeds: DataFrame, postings: DataFrame, policy: MatchPolicy) -> Da
 
 
 def _taken(texts: Column, need: Column) -> Column:
-    """(parts, left): texts from the nearest on until ``need`` characters are had or a text is empty."""
+    """Lengths that are taken of texts from the nearest on until ``need`` characters are had or a text is empty."""
 
     def add(acc: Column, t: Column) -> Column:
         over = acc["over"] | (t == "") | (acc["left"] <= 0)
@@ -163,72 +223,81 @@ def _taken(texts: Column, need: Column) -> Column:
     return F.aggregate(texts, start, add, lambda acc: acc["sizes"])
 
 
-def _before(need: Column) -> Column:
-    """The end of what precedes the page, ``need`` characters of it, and a blank."""
-    parts = F.zip_with(F.slice("back", F.lit(1), F.size(_taken(F.col("back"), need))), _taken(F.col("back"), need), lambda t, n: F.right(t, n))
-    return F.when((need > 0) & (F.size(parts) > 0), F.concat(F.array_join(F.reverse(parts), " "), F.lit(" "))).otherwise("")
+def _neighbours(book: DataFrame, asked: DataFrame) -> DataFrame:
+    """(book_id, idx, ahead, back): for pages ``asked`` (book_id, idx, before, after) the texts of their neighbours, from the nearest on, that ``before`` and ``after`` characters reach.
 
-
-def _after(need: Column) -> Column:
-    """A blank and the beginning of what follows the page, ``need`` characters of it."""
-    sizes = _taken(F.col("ahead"), need)
-    parts = F.zip_with(F.slice("ahead", F.lit(1), F.size(sizes)), sizes, lambda t, n: F.concat(F.lit(" "), F.left(t, n)))
-    return F.when(need > 0, F.array_join(parts, "")).otherwise("")
-
-
-def _window(trim_tail: Column, trim_head: Column) -> Column:
-    """The text around a candidate on a page, with what its neighbours must lend."""
-    pre = F.when(F.col("begin") < 0, _before(-F.col("begin") - trim_head)).otherwise("")
-    with_pre = F.transform(
-        F.array(pre),
-        lambda p: F.concat(p, F.coalesce(F.substring(F.col("base"), F.greatest(F.col("begin"), F.lit(0)) + 1, F.greatest(F.lit(0), F.least(F.col("size") - trim_tail, F.greatest(F.col("begin"), F.lit(0)) + F.col("want") - F.length(p)) - F.greatest(F.col("begin"), F.lit(0)))), F.lit(""))),
-    )[0]
-    return F.transform(F.array(with_pre), lambda w: F.concat(w, _after(F.col("want") - F.length(w))))[0]
-
-
-def verified(places: DataFrame, context: DataFrame, seams: DataFrame, policy: MatchPolicy) -> DataFrame:
-    """``places`` whose windows are near enough, with ``dist`` and ``acceptance``."""
-    n = F.length("pattern")
+    Characters are counted without the blanks between pages. Of a neighbour comes no
+    more than is asked for.
+    """
+    begin, size = F.col("start") - F.col("idx"), F.length("text")
+    pages = book.select("book_id", "idx", "text", begin.alias("begin"), size.alias("size"))
+    want = asked.join(pages.select("book_id", "idx", "begin", "size"), ["book_id", "idx"])
+    low, high = F.greatest(F.col("begin") - F.col("before"), F.lit(0)), F.col("begin") + F.col("size") + F.col("after")
+    want = want.select("book_id", F.col("idx").alias("at"), "before", "after", low.alias("low"), high.alias("high")).withColumn("stretch", F.explode(_stretches(F.col("low"), F.col("high"))))
+    laid = pages.withColumn("stretch", F.explode(_stretches(F.col("begin"), F.col("begin") + F.col("size"))))
+    meet = want.join(laid, ["book_id", "stretch"]).where((F.col("idx") != F.col("at")) & (F.col("begin") <= F.col("high")) & (F.col("begin") + F.col("size") >= F.col("low")) & (F.col("stretch") == F.floor(F.greatest("low", "begin") / STRETCH)))
+    ahead = F.when(F.col("idx") > F.col("at"), F.struct("idx", F.expr("left(text, after)").alias("t")))
+    back = F.when(F.col("idx") < F.col("at"), F.struct((-F.col("idx")).alias("idx"), F.expr("right(text, before)").alias("t")))
+    texts = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda s: s["t"])
+    return meet.groupBy("book_id", F.col("at").alias("idx")).agg(texts(ahead).alias("ahead"), texts(back).alias("back"))
+
+
+def verified(places: DataFrame, book: DataFrame, seams: DataFrame, policy: MatchPolicy) -> DataFrame:
+    """``places`` whose windows are near enough, with ``dist`` and ``acceptance``; ``book`` has the pages' starts."""
+    n, none = F.length("pattern"), F.lit(0)
     most = F.greatest(F.lit(policy.max_edit_abs), F.ceil(n * F.lit(policy.max_edit_rel)))
     spare = F.least(most, F.greatest(F.lit(6), F.ceil(n * 0.12)))
-    rows = places.join(context.select("book_id", "idx", F.col("text").alias("page_text"), "ahead", "back"), ["book_id", "idx"])
-    rows = rows.join(seams.select("book_id", "idx", F.col("text").alias("seam_text")), ["book_id", "idx"], "left")
-    rows = rows.withColumn("base", F.when(F.col("seam"), F.col("seam_text")).otherwise(F.col("page_text"))).where(F.length("base") > 0)
-    rows = rows.withColumn("want", (n + spare).cast("int")).withColumn("begin", (F.col("start") - F.floor(spare / 2)).cast("int")).withColumn("size", F.length("base"))
-    to_end = ~F.col("seam") & (F.col("begin") + F.col("want") > F.col("size"))
-    from_start = ~F.col("seam") & (F.col("begin") < 0)
-    none = F.lit(0)
-    cut = F.least(F.lit(SEAM_GAP), F.greatest(none, F.col("size") - F.greatest(none, F.col("begin"))))
-    plain = F.substring(F.col("base"), F.greatest(none, F.col("begin")) + 1, F.col("want"))
-    windows = F.when(F.col("seam"), F.array(plain)).otherwise(
-        F.array(
-            _window(none, none),
-            F.when(to_end & (cut > 0), _window(cut, none)),
-            F.when(from_start, _window(none, F.least(F.lit(SEAM_GAP), -F.col("begin")))),
-        )
-    )
+    texts = book.select("book_id", "idx", "text", F.lit(False).alias("seam")).unionByName(seams.select("book_id", "idx", "text", F.lit(True).alias("seam")))
+    rows = places.join(texts, ["book_id", "idx", "seam"]).where(F.length("text") > 0)
+    rows = rows.select("*", F.length("text").alias("size"), (n + spare).cast("int").alias("want"), (F.col("start") - F.floor(spare / 2)).cast("int").alias("begin"), most.alias("most"))
+    rows = rows.select("*", (~F.col("seam") & (F.col("begin") + F.col("want") > F.col("size"))).alias("to_end"), (~F.col("seam") & (F.col("begin") < 0)).alias("from_start"))
     slack = F.least(F.lit(2), F.greatest(F.lit(1), F.ceil(n * 0.005)))
     bonus = F.least(F.lit(SEAM_BONUS), F.ceil(n * 0.08))
-    rows = rows.withColumn("acceptance", (most + F.when(to_end | from_start | F.col("seam"), bonus).otherwise(slack)).cast("int")).withColumn("windows", windows)
-    near = F.array_min(F.transform(F.filter("windows", lambda w: F.length(w) > 0), lambda w: bounded_levenshtein(F.col("pattern"), w, F.col("acceptance"))))
-    return rows.withColumn("dist", near).where("dist <= acceptance").select("book_id", "pattern", "idx", "page", "start", "seam", "rank", "dist", "acceptance")
-
-
-def _fuzzy(book: DataFrame, context: DataFrame, open_: DataFrame, policy: MatchPolicy) -> DataFrame:
+    rows = rows.withColumn("acceptance", (F.col("most") + F.when(F.col("to_end") | F.col("from_start") | F.col("seam"), bonus).otherwise(slack)).cast("int"))
+    rows = saved(rows, "places")
+    # only the pages that lend something are brought together; a window asks for no more than its length
+    asked = rows.where("to_end or from_start").groupBy("book_id", "idx").agg(F.max(F.when(F.col("from_start"), -F.col("begin")).otherwise(none)).alias("before"), F.max("want").alias("after"))
+    rows = rows.join(_neighbours(book, asked), ["book_id", "idx"], "left")
+    for name in ("ahead", "back"):
+        rows = rows.withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    # the window as it is, one that leaves out the page's end and one that leaves out what lies before the page
+    cut = F.least(F.lit(SEAM_GAP), F.greatest(none, F.col("size") - F.greatest(none, F.col("begin"))))
+    trims = F.array(
+        F.struct(none.alias("tail"), none.alias("head")),
+        F.when(F.col("to_end") & (cut > 0), F.struct(cut.alias("tail"), none.alias("head"))),
+        F.when(F.col("from_start"), F.struct(none.alias("tail"), F.least(F.lit(SEAM_GAP), -F.col("begin")).alias("head"))),
+    )
+    rows = rows.withColumn("trim", F.explode(F.filter(trims, lambda t: t.isNotNull()))).select("*", "trim.*")
+    rows = rows.withColumn("need", F.when(F.col("from_start"), -F.col("begin") - F.col("head")).otherwise(none))
+    rows = rows.withColumn("sizes", _taken(F.col("back"), F.col("need")))
+    before = F.reverse(F.zip_with(F.slice("back", F.lit(1), F.size("sizes")), F.col("sizes"), lambda t, k: F.right(t, k)))
+    rows = rows.withColumn("pre", F.when((F.col("need") > 0) & (F.size("sizes") > 0), F.concat(F.array_join(before, " "), F.lit(" "))).otherwise(""))
+    rows = rows.withColumn("from", F.greatest(none, F.col("begin")))
+    stop = F.least(F.col("size") - F.col("tail"), F.col("from") + F.col("want") - F.length("pre"))
+    rows = rows.withColumn("window", F.concat("pre", F.substring(F.col("text"), F.col("from") + 1, F.greatest(none, stop - F.col("from")))))
+    rows = rows.withColumn("need", F.when(F.col("to_end") | F.col("from_start"), F.col("want") - F.length("window")).otherwise(none))
+    rows = rows.withColumn("sizes", _taken(F.col("ahead"), F.col("need")))
+    after = F.zip_with(F.slice("ahead", F.lit(1), F.size("sizes")), F.col("sizes"), lambda t, k: F.concat(F.lit(" "), F.left(t, k)))
+    rows = rows.withColumn("window", F.when(F.col("need") > 0, F.concat("window", F.array_join(after, ""))).otherwise(F.col("window")))
+    near = rows.where(F.length("window") > 0).withColumn("dist", bounded_levenshtein(F.col("pattern"), F.col("window"), F.col("acceptance"))).where("dist <= acceptance")
+    return near.groupBy("book_id", "pattern", "idx", "page", "start", "seam", "rank", "acceptance").agg(F.min("dist").alias("dist"))
+
+
+def _fuzzy(book: DataFrame, open_: DataFrame, policy: MatchPolicy) -> DataFrame:
     """Verified candidates of the patterns in ``open_``."""
-    seams = create_seams(book, policy.seam_len)
-    grams = excerpt_grams(open_, policy.q)
-    # grams that no excerpt has never leave their partition
-    postings = qgram_postings(book, seams, policy.q).join(grams.select("book_id", "gram").distinct(), ["book_id", "gram"], "left_semi")
-    seeds = pick_rare(grams, postings, policy.grams_per_excerpt)
-    return verified(candidates(seeds, postings, policy), context, seams, policy)
+    seams = saved(create_seams(book, policy.seam_len), "seams")
+    grams = saved(excerpt_grams(open_, policy.q), "excerpt-grams")
+    postings = qgram_postings(book, seams, policy.q)
+    # grams that no excerpt has never leave their partition; the places of those that are not rare are counted and no more
+    wanted = saved(grams.select("book_id", "gram").distinct(), "wanted-grams")
+    seeds = saved(pick_rare(grams, postings.join(_if_small(wanted), ["book_id", "gram"], "left_semi"), policy.grams_per_excerpt), "seeds")
+    places = saved(candidates(seeds, postings, policy), "candidates")
+    starts = build_book(book.select("book_id", F.col("idx").alias("page"), "text")).withColumnRenamed("page", "idx")
+    return verified(places, saved(starts, "starts"), seams, policy)
 
 
-def _prepare(pages: DataFrame, excerpts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    book, patterns = normalised_pages(pages), deduplicate_excerpts(excerpts)
-    longest = patterns.agg(F.max(F.length("pattern"))).first()[0] or 0
-    # a window is at most an eighth and a few characters longer than its excerpt
-    return book, patterns, _in_context(book, int(longest * 1.25) + 16)
+def _prepare(pages: DataFrame, excerpts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return saved(normalised_pages(pages), "pages"), saved(deduplicate_excerpts(excerpts), "excerpts")
 
 
 def find_matches(pages: DataFrame, excerpts: DataFrame, policy: MatchPolicy = DEFAULT_POLICY) -> DataFrame:
@@ -238,14 +307,14 @@ def find_matches(pages: DataFrame, excerpts: DataFrame, policy: MatchPolicy = DE
     The first page with an exact occurrence, else that of the least distance, else
     none; an empty excerpt is nowhere.
     """
-    book, patterns, context = _prepare(pages, excerpts)
-    exact = exact_hits(context, patterns).groupBy("book_id", "pattern").agg(F.min(F.struct("idx", "page")).alias("o")).select("book_id", "pattern", F.col("o.page").alias("page"))
-    found = exact
+    book, patterns = _prepare(pages, excerpts)
+    exact = exact_hits(book, patterns).groupBy("book_id", "pattern").agg(F.min(F.struct("idx", "page")).alias("o")).select("book_id", "pattern", F.col("o.page").alias("page"))
+    found = exact = saved(exact, "exact-hits")
     if policy.enable_fuzzy:
         open_ = patterns.join(exact, ["book_id", "pattern"], "left_anti")
         # the first candidate without an edit ends the search, otherwise the first page of the least distance wins
         order = W.partitionBy("book_id", "pattern").orderBy("dist", F.when(F.col("dist") == 0, F.col("rank")).otherwise(F.col("idx")), "idx")
-        best = _fuzzy(book, context, open_, policy).withColumn("k", F.row_number().over(order)).where("k = 1").select("book_id", "pattern", "page")
+        best = _fuzzy(book, open_, policy).withColumn("k", F.row_number().over(order)).where("k = 1").select("book_id", "pattern", "page")
         found = exact.unionByName(best)
     ids = patterns.select("book_id", "pattern", F.explode("excerpt_ids").alias("excerpt_id"))
     return ids.join(found, ["book_id", "pattern"], "left").select("book_id", "excerpt_id", "page")
@@ -265,13 +334,13 @@ def collapse_seams(hits: Column) -> Column:
 
 def find_matches_all(pages: DataFrame, excerpts: DataFrame, policy: MatchPolicy = DEFAULT_POLICY) -> DataFrame:
     """(book_id, excerpt_id, pages): all pages of each excerpt, exact ones in their order, else approximate ones by score; empty if there are none."""
-    book, patterns, context = _prepare(pages, excerpts)
-    exact = exact_hits(context, patterns)
+    book, patterns = _prepare(pages, excerpts)
+    exact = saved(exact_hits(book, patterns), "exact-hits")
     ordered = lambda c: F.transform(F.array_sort(c), lambda s: s["page"])
     found = exact.groupBy("book_id", "pattern").agg(ordered(F.collect_list(F.struct("idx", "page"))).alias("pages"))
     if policy.enable_fuzzy:
         open_ = patterns.join(exact, ["book_id", "pattern"], "left_anti")
-        scored = _fuzzy(book, context, open_, policy).withColumn("score", 1 - F.col("dist") / F.col("acceptance"))
+        scored = _fuzzy(book, open_, policy).withColumn("score", 1 - F.col("dist") / F.col("acceptance"))
         first = F.row_number().over(W.partitionBy("book_id", "pattern", "idx").orderBy(F.desc("score"), "rank"))
         best = scored.withColumn("k", first).where("k = 1")
         # at most max_candidates_per_excerpt hits
