@@ -176,7 +176,7 @@ def test_streams(spark, tmp_path):
     assert [tuple(r) for r in found] == [("b", 1, 5)]
 
 
-SMALL = ["sanitize_search", "sanitize_tatweel_safe", "noise_flag", "quote_balance", "standardize_hijri", "convert_confused", "edit_distance", "dedupe_excerpts", "build_book", "pos_to_page", "create_seams", "exact_page_search_all"]
+SMALL = ["sanitize_search", "sanitize_tatweel_safe", "noise_flag", "quote_balance", "standardize_hijri", "convert_confused", "edit_distance", "dedupe_excerpts", "build_book", "pos_to_page", "create_seams", "exact_page_search_all", "fuzzy_page_search_all", "noise_parts", "unbalanced_errors", "bracket_balance", "reference_repair", "segment_alignment", "pattern_counts", "sanitize_batch", "similar_after_normalization"]
 
 
 @pytest.mark.parametrize("name", SMALL)
@@ -184,7 +184,7 @@ def test_queries_agree_with_sql(spark, name):
     query, sql = next((q, s) for n, q, s in Q if n == name)
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "part"):
+    for table in ("documents", "pages", "benchmark", "part", "conversations"):
         con.execute(f"create view {table} as select * from '{folder}/{table}.parquet'")
     df = query(spark, folder)
     names = sorted(df.columns)

@@ -50,7 +50,7 @@ def has_excessive_repetition(col: Column | str, length: Column | None = None) ->
     x = P.text(col)
     counts = [F.length(x) - F.length(F.replace(x, F.lit(c), F.lit(""))) for c in REPEATED]
     total = sum((F.when(n >= 5, n).otherwise(0) for n in counts), F.lit(0))
-    return total / F.nullif(F.length(x) if length is None else length, F.lit(0)) > 0.4
+    return F.coalesce(total / F.nullif(F.length(x) if length is None else length, F.lit(0)) > 0.4, F.lit(False))
 
 
 def is_basic_noise_pattern(col: Column | str) -> Column:

@@ -38,14 +38,16 @@ def _if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def _running(rows: DataFrame, totals: dict[str, Column]) -> DataFrame:
-    """``rows`` (book_id, page, ...) with the sums of ``totals`` over the pages before in each book.
+def _running(rows: DataFrame, totals: dict[str, Column], clean: bool = False) -> DataFrame:
+    """``rows`` (book_id, page, text, ...) with the sums of ``totals`` over the pages before in each book; ``clean`` normalises the texts first.
 
     The rows are dealt by ranges; only one row for each range and book is summed in
     the order of the ranges.
     """
-    parts = rows.repartitionByRange("book_id", "page").withColumn("part", F.spark_partition_id())
-    parts = saved(parts, "page-ranges")
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a number that is given is kept, so that few long texts still make many tasks
+    parts = rows.repartitionByRange(ranges, "book_id", "page").withColumn("part", F.spark_partition_id())
+    parts = saved(parts.withColumn("text", sanitize("text", "aggressive")) if clean else parts, "page-ranges")
     order = W.partitionBy("book_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     sums = parts.groupBy("book_id", "part").agg(*(F.sum(v).alias(k) for k, v in totals.items()))
     sums = sums.select("book_id", "part", *(F.coalesce(F.sum(k).over(order), F.lit(0)).alias(f"{k}_before") for k in totals))
@@ -56,8 +58,7 @@ def _running(rows: DataFrame, totals: dict[str, Column]) -> DataFrame:
 
 def normalised_pages(pages: DataFrame) -> DataFrame:
     """(book_id, page, text, idx): normalised pages numbered from 0 in the order of ``page`` within each book."""
-    clean = pages.select("book_id", "page", sanitize("text", "aggressive").alias("text"))
-    return _running(clean, {"idx": F.lit(1)}).withColumn("idx", F.col("idx").cast("int"))
+    return _running(pages.select("book_id", "page", "text"), {"idx": F.lit(1)}, clean=True).withColumn("idx", F.col("idx").cast("int"))
 
 
 def deduplicate_excerpts(excerpts: DataFrame) -> DataFrame:

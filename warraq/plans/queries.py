@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import alignment, balance, distance, noise, patterns, segments, tokens, typos
 from ..functions.sanitize import SanitizeOptions, sanitize, sanitize_array
 from ..operators import footnotes, search
+from ..sources.tables import spread
+from . import oracles
 
 LATIN, ARABIC = "abcdefghijklmnopqrstuvwxyz", "ابتثجحخدذرزسشصضطظعغفقكلمنه"
 #: What is put in after a letter: fatha, tatweel, a zero-width joiner, combining hamza and madda.
@@ -38,7 +40,7 @@ def arabic_sql(col: str) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _re(x: str, pattern: str, by: str) -> str:
@@ -162,12 +164,12 @@ QUOTE_SQL = """select page_id, (length(html) - length(replace(html, '"', ''))) %
 
 def bracket_balance(s: SparkSession, d: str) -> DataFrame:
     c = balance.check_balance(F.translate("html", "<>", "([")).alias("c")
-    return _table(s, d, "pages").select("page_id", c).select("page_id", F.size("c.errors").alias("n_errors"), F.col("c.is_balanced").alias("is_balanced"))
+    return _table(s, d, "pages").select("page_id", c).select("page_id", F.size("c.errors").cast("bigint").alias("n_errors"), F.col("c.is_balanced").alias("is_balanced"))
 
 
 def unbalanced(s: SparkSession, d: str) -> DataFrame:
     e = balance.unbalanced_errors(F.translate("text", "|*%", "()["))
-    return _table(s, d, "documents").select("doc_id", F.explode(e).alias("e")).select("doc_id", "e.*")
+    return _table(s, d, "documents").select("doc_id", F.explode(e).alias("e")).select("doc_id", F.col("e.absolute_index").cast("bigint").alias("absolute_index"), "e.char", "e.reason", "e.type")
 
 
 TEXT_OPS: dict[str, tuple[Callable[[Column], Column], str]] = {
@@ -243,7 +245,7 @@ def position_pages(s: SparkSession, d: str) -> DataFrame:
 
 
 def seams(s: SparkSession, d: str) -> DataFrame:
-    return search.create_seams(search.normalised_pages(_books(s, d)), 64).select("book_id", "page", "text")
+    return search.create_seams(search.normalised_pages(_books(s, d))).select("book_id", "page", "text")
 
 
 def qgram_freq(s: SparkSession, d: str) -> DataFrame:
@@ -290,9 +292,18 @@ def exact_page_search_all(s: SparkSession, d: str) -> DataFrame:
     return x.select("book_id", "excerpt_id", F.explode("pages").alias("page"))
 
 
+#: Place of the letter of each passage that is changed, and the letter.
+CHANGED = (40, "ظ")
+
+
 def _fuzzy_excerpts(s: SparkSession, d: str) -> DataFrame:
-    """Passages of benchmark with one letter changed throughout, so that few are found exactly."""
-    return _excerpts(s, d).withColumn("text", F.regexp_replace("text", "فد", "فذ"))
+    """Passages of benchmark with one letter changed, so that none is found exactly."""
+    return _excerpts(s, d).withColumn("text", F.overlay("text", F.lit(CHANGED[1]), F.lit(CHANGED[0]), F.lit(1)))
+
+
+_CHANGED_SQL = "(select left(x, {0} - 1) || '{1}' || substr(x, {0} + 1) from (select translate(lower(text), '{2}', '{3}') as x))".format(*CHANGED, LATIN, ARABIC)
+FUZZY_EXCERPT_SQL = f"(select b.source as book_id, item_id as excerpt_id, {sanitize_sql(_CHANGED_SQL, 'aggressive')} as text from benchmark, (select distinct source from documents) b)"
+
 
 
 def fuzzy_page_search(s: SparkSession, d: str) -> DataFrame:
@@ -300,7 +311,7 @@ def fuzzy_page_search(s: SparkSession, d: str) -> DataFrame:
 
 
 def fuzzy_page_search_all(s: SparkSession, d: str) -> DataFrame:
-    return search.find_matches_all(_books(s, d), _fuzzy_excerpts(s, d)).select("book_id", "excerpt_id", F.posexplode("pages").alias("rank", "page"))
+    return search.find_matches_all(_books(s, d), _fuzzy_excerpts(s, d)).select("book_id", "excerpt_id", F.posexplode("pages").alias("rank", "page")).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def _turns(s: SparkSession, d: str) -> DataFrame:
@@ -324,7 +335,7 @@ def segment_alignment(s: SparkSession, d: str) -> DataFrame:
     middle = F.floor(F.length("text") / 2).cast("int")
     halves = F.array(F.substring(F.col("text"), middle + 1, F.length("text")), F.substring(F.col("text"), F.lit(1), middle))
     x = _turns(s, d).groupBy("conv_id").agg(lists(F.col("text")).alias("targets"), F.flatten(lists(halves)).alias("parts"))
-    return x.select("conv_id", F.posexplode(segments.align_segments("targets", "parts")).alias("pos", "line"))
+    return x.select("conv_id", F.posexplode(segments.align_segments("targets", "parts")).alias("pos", "line")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def reference_lines(s: SparkSession, d: str) -> DataFrame:
@@ -354,15 +365,15 @@ def pattern_counts(s: SparkSession, d: str) -> DataFrame:
 def noise_parts(s: SparkSession, d: str) -> DataFrame:
     x = F.col("line")
     parts = {"repetition": noise.has_excessive_repetition(x), "basic": noise.is_basic_noise_pattern(x), "spacing": noise.is_spacing_noise(x), "valid": noise.is_valid_arabic_content(x), "foreign": noise.is_non_arabic_noise(x)}
-    return _lines(s, d).where(F.length("line") > 0).select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "kind", *(v.alias(k) for k, v in parts.items()))
+    return _lines(s, d).select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "kind", *(v.alias(k) for k, v in parts.items()))
 
 
 def _noise_parts_sql() -> str:
     flag = _noise_sql()
-    head = flag[: flag.index("select doc_id, line_no, kind, case")].replace(f"regexp_replace(line, '^[{WS}]+|[{WS}]+$', '', 'g') as t", "line as t").replace(f"from {LINES_SQL})", f"from {LINES_SQL} where line <> '')", 1)
+    head = flag[: flag.index("select doc_id, line_no, kind, case")].replace(f"regexp_replace(line, '^[{WS}]+|[{WS}]+$', '', 'g') as t", "line as t")
     bare = "|".join(f"^[{c}{WS}]*$" for c in (r"\-=_━≺≻", ".", "!", "A-Z", r"\-0-9", "—", r"्र\-"))
-    spacing = "((sp > 0 and co = sp + 1 and co <= 5) or (n <= 10 and sp >= 2 and ar = 0) or sp::double / n > 0.6)"
-    return head + f"""select doc_id, line_no, kind, rep::double / n > 0.4 as repetition, regexp_matches(t, '{bare}') as basic, {spacing} as spacing,
+    spacing = "((sp > 0 and co = sp + 1 and co <= 5) or (n <= 10 and sp >= 2 and ar = 0) or coalesce(sp::double / nullif(n, 0) > 0.6, false))"
+    return head + f"""select doc_id, line_no, kind, coalesce(rep::double / nullif(n, 0) > 0.4, false) as repetition, regexp_matches(t, '{bare}') as basic, coalesce({spacing}, false) as spacing,
  (ar >= 3 or (ar >= 1 and dg > 0 and n <= 20) or (ar >= 2 and pu <= 2 and n <= 10) or (ar >= 1 and n <= 5 and pu <= 1)) as valid,
  case when co = 0 then true when {spacing} then true when regexp_matches(t, '[٠-٩]') and dg >= 3 then false when (sy + greatest(0, pu - 5))::double / greatest(co, 1) > 2 then true
  when n <= 5 and ar = 0 and not (regexp_matches(t, '^[0-9]+$') and dg >= 3) then true when regexp_matches(t, '^[0-9]{{3,4}}$') then false else n <= 10 end as foreign from e"""
@@ -389,15 +400,18 @@ select o_orderkey, case when ex and ey then sh when ex then x when ey then y els
 
 
 def occurrences(s: SparkSession, d: str) -> DataFrame:
-    texts = _table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("text_id"), F.lower("text").alias("text"))
-    patterns = _table(s, d, "benchmark").select(F.col("item_id").alias("pattern_id"), F.lower(F.substring_index("text", " ", 3)).alias("pattern"))
-    names = _table(s, d, "nation").select((F.col("n_nationkey") + 100000).cast("bigint").alias("pattern_id"), F.lower(F.left("n_name", F.lit(2))).alias("pattern"))
+    """Whole benchmark passages and names of nations in documents."""
+    texts = _table(s, d, "documents").select(F.col("doc_id").alias("text_id"), F.lower("text").alias("text"))
+    patterns = _table(s, d, "benchmark").select(F.col("item_id").alias("pattern_id"), F.lower("text").alias("pattern"))
+    names = _table(s, d, "nation").select((F.col("n_nationkey") + 100000).cast("bigint").alias("pattern_id"), F.lower("n_name").alias("pattern"))
     return search.pattern_occurrences(texts, patterns.unionByName(names)).select("text_id", "pattern_id", F.col("end_pos").cast("bigint").alias("end_pos"))
 
 
-OCCURRENCES_SQL = """with p as (select item_id as pattern_id, lower(array_to_string(string_split(text, ' ')[1:3], ' ')) as pattern from benchmark union all select n_nationkey + 100000, lower(left(n_name, 2)) from nation),
-t as (select conv_id || '-' || turn as text_id, lower(text) as text from conversations), e as (select text_id, text, unnest(range(1, length(text) + 1)) as i from t)
-select text_id, pattern_id, i + length(pattern) - 1 as end_pos from e join p on substr(text, i::int, length(pattern)::int) = pattern where pattern <> ''"""
+#: Each occurrence lies between two pieces that the pattern parts; overlapping ones are found from each place on.
+OCCURRENCES_SQL = """with recursive p as (select item_id as pattern_id, lower(text) as pattern from benchmark union all select n_nationkey + 100000, lower(n_name) from nation),
+o(text_id, text, pattern_id, pattern, cur) as (select doc_id, lower(text), pattern_id, pattern, instr(lower(text), pattern) from documents join p on pattern <> '' and contains(lower(text), pattern)
+ union all select text_id, text, pattern_id, pattern, cur + instr(substr(text, cur + 1), pattern) from o where instr(substr(text, cur + 1), pattern) > 0)
+select text_id, pattern_id, cur + length(pattern) - 1 as end_pos from o"""
 
 
 def invalid_and_sets(s: SparkSession, d: str) -> DataFrame:
@@ -420,7 +434,7 @@ select conv_id, bool_or(regexp_matches(t, '\(\)|\([.1OV9]+\)')) as invalid, coal
 Q: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]] = [
     *((f"sanitize_{p}", _preset(p), f"select doc_id, {sanitize_sql(arabic_sql('text'), p)} as clean from documents") for p in ("light", "search", "aggressive")),
     *((f"sanitize_{n}", _switch(n), f"select doc_id, {sql(arabic_sql('text'))} as clean from documents") for n, (_, sql) in SWITCHES.items()),
-    ("sanitize_batch", sanitize_batch, None),
+    ("sanitize_batch", sanitize_batch, oracles.batch_sql(arabic_sql("text"), sanitize_sql("l", "search"))),
     ("noise_flag", noise_flag, _noise_sql()),
     ("noise_parts", noise_parts, _noise_parts_sql()),
     ("footnote_tokens", footnote_tokens, FOOTNOTE_TOKENS_SQL),
@@ -428,25 +442,25 @@ Q: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]] = [
     ("references_needing_repair", invalid_and_sets, REFERENCES_SQL),
     ("char_stats", char_stats, _char_stats_sql()),
     ("quote_balance", quote_balance, QUOTE_SQL),
-    ("bracket_balance", bracket_balance, None),
-    ("unbalanced_errors", unbalanced, None),
+    ("bracket_balance", bracket_balance, oracles.BRACKETS_SQL),
+    ("unbalanced_errors", unbalanced, oracles.UNBALANCED_SQL),
     *((n, _text_op(n), _text_op_sql(n)) for n in TEXT_OPS),
     ("edit_distance", edit_distance, EDIT_SQL),
-    ("similar_after_normalization", similar_normalized, None),
+    ("similar_after_normalization", similar_normalized, oracles.similar_sql(sanitize_sql(arabic_sql("p_name"), "search"), sanitize_sql(arabic_sql("p_type"), "search"))),
     ("dedupe_excerpts", dedupe_excerpts, f"select book_id, text as pattern, min(excerpt_id) as first_id, count(*) as n from {EXCERPT_SQL} group by all"),
     ("build_book", book_starts, STARTS_SQL),
     ("pos_to_page", position_pages, f"with b as ({STARTS_SQL}) select a.book_id, a.pos, b.page from (select book_id, (start + floor(len * 1.5))::bigint as pos from b) a asof join b on a.book_id = b.book_id and a.pos >= b.start"),
-    ("create_seams", seams, f"select * from (select book_id, page, right(text, 64) || ' ' || left(lead(text) over (partition by book_id order by page), 64) as text from {BOOK_SQL}) where text is not null"),
+    ("create_seams", seams, f"select * from (select book_id, page, right(text, 512) || ' ' || left(lead(text) over (partition by book_id order by page), 512) as text from {BOOK_SQL}) where text is not null"),
     ("qgram_freq", qgram_freq, QGRAM_SQL),
     ("pick_rare", rare_grams, RARE_SQL),
     ("exact_page_search", exact_page_search, EXACT_SQL + f" select e.book_id, e.excerpt_id, min(page) as page from {EXCERPT_SQL} e left join hit using (book_id, excerpt_id) group by all"),
     ("exact_page_search_all", exact_page_search_all, EXACT_SQL + " select * from hit"),
-    ("fuzzy_page_search", fuzzy_page_search, None),
-    ("fuzzy_page_search_all", fuzzy_page_search_all, None),
+    ("fuzzy_page_search", fuzzy_page_search, oracles.fuzzy_sql(BOOK_SQL, FUZZY_EXCERPT_SQL) + oracles.FUZZY_BEST),
+    ("fuzzy_page_search_all", fuzzy_page_search_all, oracles.fuzzy_sql(BOOK_SQL, FUZZY_EXCERPT_SQL) + oracles.FUZZY_ALL),
     ("typo_repair", typo_repair, None),
     ("token_alignment", token_alignment, None),
-    ("segment_alignment", segment_alignment, None),
-    ("reference_repair", reference_repair, None),
-    ("pattern_counts", pattern_counts, None),
+    ("segment_alignment", segment_alignment, oracles.segments_sql(lambda x: sanitize_sql(x, "search"))),
+    ("reference_repair", reference_repair, oracles.REPAIR_SQL),
+    ("pattern_counts", pattern_counts, oracles.pattern_counts_sql(arabic_sql("text") + f" || '{CASES}'", ARA, WS)),
 ]
 

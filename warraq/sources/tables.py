@@ -25,6 +25,12 @@ def read_table(spark: SparkSession, kind: str, path: str, file_format: str = "pa
     return spark.read.schema(SCHEMAS[kind]).options(**options).format(file_format).load(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores: a table of fewer partitions than that, such as one file of one row group, is dealt out before the work on its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_book_text(spark: SparkSession, path: str, page_break: str = "\f") -> DataFrame:
     """Pages of plain-text books: one book a file, named by its path, pages between page breaks."""
     files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("book_id"), "value")
