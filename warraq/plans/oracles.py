@@ -7,8 +7,9 @@ character; the tables' letters and marks are all in the map.
 from __future__ import annotations
 
 LATIN, ARABIC = "abcdefghijklmnopqrstuvwxyz", "ابتثجحخدذرزسشصضطظعغفقكلمنه"
-#: Other characters of normalised texts, and a byte for each that these texts do not use.
-OTHER, OTHER_BYTES = "أؤ٠١٢٣٤٥٦٧٨٩¬éèêëàâáäùûüúôöóîïíçñßœ¿¡", "{}^~`ABCDEFGH@IJKLMNOPQRSTUVWXYZ_|<>$#%&"[: len("أؤ٠١٢٣٤٥٦٧٨٩¬éèêëàâáäùûüúôöóîïíçñßœ¿¡")]
+#: Other characters of the tables' texts, and a byte for each that lower-case texts do not hold.
+OTHER = "أؤ٠١٢٣٤٥٦٧٨٩¬éèêëàâáäùûüúôöóîïíçñßœ¿¡"
+OTHER_BYTES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(map(chr, [*range(1, 9), *range(14, 32)])))[: len(OTHER)]
 
 
 def in_bytes(x: str) -> str:
@@ -111,6 +112,59 @@ last as (select conv_id, list_concat("out", ss[cur + 1 :]) as "out" from step jo
 select conv_id, generate_subscripts("out", 1) - 1 as pos, unnest("out") as line from last"""
 
 
+def align_sql(rows: str, clean, symbol: str | None = None) -> str:
+    """Common tables of the alignment of the token lists ``xs`` and ``ys`` of ``rows`` (conv_id, turn, xs, ys): ``pair`` (conv_id, turn, pos, a, b).
+
+    A row of the matrix is a step of the recursion and a fold over the tokens of ``ys``.
+    """
+    norm = lambda x: f"list_transform({x}, lambda t: {in_bytes(clean('t'))})"
+    soft = similarity_sql("y", "nx[i + 1]") + " >= 0.6"
+    if symbol:
+        soft = f"ys[k] = '{symbol}' or xs[i + 1] = '{symbol}' or {soft}"
+    both, up, left = "up[x.j] + sc[x.j]", "up[x.j + 1] - 1", "a.s[-1] - 1"
+    best = f"greatest({both}, {up}, {left})"
+    return f"""with recursive r0 as materialized ({rows}), r as materialized (select *, {norm("xs")} as nx, {norm("ys")} as ny from r0),
+m(conv_id, turn, i, up, steps) as (select conv_id, turn, 0, list_transform(range(0, len(ys) + 1), lambda j: (-j)::int), []::varchar[] from r
+ union all select conv_id, turn, i + 1, res.s, list_append(steps, res.t) from (select conv_id, turn, i, steps, list_reduce(list_transform(range(1, len(ny) + 1), lambda j: {{'j': j, 's': []::int[], 't': ''}}), lambda a, x:
+  {{'j': x.j, 's': list_append(a.s, ({best})::int), 't': a.t || case when {both} = {best} then 'd' when {up} = {best} then 'u' else 'l' end}}, {{'j': 0::bigint, 's': [up[1] - 1], 't': ''}}) as res
+ from (select m.*, nx, ny, list_transform(ny, lambda y, k: case when y = nx[i + 1] then 2 when {soft} then 1 else -2 end) as sc from m join r using (conv_id, turn) where i < len(xs)))),
+done as materialized (select m.conv_id, m.turn, steps, xs, ys from m join r using (conv_id, turn) where i = len(xs)),
+w(conv_id, turn, i, j, pos, a, b) as (select conv_id, turn, len(xs), len(ys), 0, null::varchar, null::varchar from done
+ union all select conv_id, turn, i - (st in ('d', 'u'))::int, j - (st in ('d', 'l'))::int, pos - 1, case when st in ('d', 'u') then xs[i] end, case when st in ('d', 'l') then ys[j] end
+ from (select w.*, xs, ys, case when i = 0 then 'l' when j = 0 then 'u' else substr(steps[i], j, 1) end as st from w join done using (conv_id, turn) where i > 0 or j > 0)),
+pair as materialized (select conv_id, turn, row_number() over (partition by conv_id, turn order by pos) - 1 as pos, a, b from w where pos < 0)"""
+
+
+def tokens_sql(clean) -> str:
+    """``clean(x)`` is the SQL of a text normalised for search."""
+    x = f"string_split(translate(lower(text), '{LATIN}', '{ARABIC}'), ' ')"
+    return align_sql(f"select conv_id, turn, {x} as xs, list_filter({x}, lambda w, i: (i - 1) % 5 <> 3) as ys from conversations", clean) + " select * from pair"
+
+
+def typos_sql(clean, white: str, changed: tuple[str, str], symbol: str) -> str:
+    """The repair of each turn by a reading of it with ``changed`` letters and a symbol at its end."""
+    split = lambda x: f"list_filter(regexp_split_to_array(regexp_replace(replace({x}, '{symbol}', ' {symbol} '), '[{white}]+', ' ', 'g'), ' '), lambda t: t <> '')"
+    x = f"translate(lower(text), '{LATIN}', '{ARABIC}')"
+    rows = f"select conv_id, turn, {split(x)} as xs, {split(f"replace({x}, '{changed[0]}', '{changed[1]}') || ' {symbol}'")} as ys from conversations"
+    held, alone = r"\([0-9٠-٩]+\)", r"^\(?[0-9٠-٩]+\)?[،.]?$"
+    digits = lambda t: f"regexp_extract({t}, '[0-9٠-٩]+')"
+    shorter = "case when length(a) <= length(b) then a else b end"
+    same = f"{digits('k[-1].t')} = {digits('x.h.t')}"
+    k, at = lambda x: x.replace("k[", "a.k["), "a.k[-1].t"
+    return (
+        align_sql(rows, clean, symbol)
+        + rf""", p as (select *, {in_bytes(clean("a"))} as na, {in_bytes(clean("b"))} as nb, regexp_matches(a, '{held}') as ha, regexp_matches(b, '{held}') as hb, regexp_matches(a, '{alone}') as sa, regexp_matches(b, '{alone}') as sb from pair),
+c as (select conv_id, turn, pos, case when a is null then [b] when b is null or na = nb then [a] when ha and hb then [{shorter}] when ha then [a] when hb then [b]
+ when sa and sb then [{shorter}] when sa then [a, b] when sb then [b, a] when a = '{symbol}' or b = '{symbol}' then ['{symbol}'] when {similarity_sql("na", "nb")} > 0.6 then [a] else [b] end as ts from p),
+t as (select conv_id, turn, list_transform(flatten(list(ts order by pos)), lambda t: {{'t': t, 'n': {in_bytes(clean("t"))}}}) as hs from c group by all),
+f as (select conv_id, turn, list_reduce(list_transform(hs, lambda h: {{'h': h, 'k': [h]}}), lambda a, x: {{'h': x.h, 'k': case
+ when {similarity_sql("a.k[-1].n", "x.h.n")} >= 0.8 then case when length(x.h.t) < length({at}) then list_append(a.k[:-2], x.h) else a.k end
+ when regexp_matches({at}, '{alone}') and regexp_matches(x.h.t, '{held}') and {k(same)} then list_append(a.k[:-2], x.h)
+ when regexp_matches({at}, '{held}') and regexp_matches(x.h.t, '{alone}') and {k(same)} then a.k else list_append(a.k, x.h) end}}).k as ks from t)
+select conv_id, turn, array_to_string(list_transform(ks, lambda h: h.t), ' ') as fixed from f"""
+    )
+
+
 def fuzzy_sql(pages: str, excerpts: str) -> str:
     """Common tables of the page search; ``pages`` (book_id, page, text) and ``excerpts`` (book_id, excerpt_id, text) are the SQL of normalised tables.
 

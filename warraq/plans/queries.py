@@ -318,16 +318,20 @@ def _turns(s: SparkSession, d: str) -> DataFrame:
     return _table(s, d, "conversations").select("conv_id", "turn", F.translate(F.lower("text"), LATIN, ARABIC).alias("text"))
 
 
+#: Letters of a turn that its other reading has otherwise.
+MISREAD = ("ثب", "ثت")
+
+
 def typo_repair(s: SparkSession, d: str) -> DataFrame:
     """Each turn repaired by a reading of it with changed letters and a symbol."""
-    other = F.concat(F.replace("text", F.lit("ثب"), F.lit("ثت")), F.lit(" ﷺ"))
+    other = F.concat(F.replace("text", F.lit(MISREAD[0]), F.lit(MISREAD[1])), F.lit(" ﷺ"))
     return _turns(s, d).select("conv_id", "turn", typos.fix_typo("text", other, ["ﷺ"]).alias("fixed"))
 
 
 def token_alignment(s: SparkSession, d: str) -> DataFrame:
     words = F.split("text", " ")
     pairs = alignment.align_tokens(words, F.filter(words, lambda w, i: i % 5 != 3), [], 0.6)
-    return _turns(s, d).select("conv_id", "turn", F.posexplode(pairs).alias("pos", "p")).select("conv_id", "turn", "pos", "p.a", "p.b")
+    return _turns(s, d).select("conv_id", "turn", F.posexplode(pairs).alias("pos", "p")).select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "p.a", "p.b")
 
 
 def segment_alignment(s: SparkSession, d: str) -> DataFrame:
@@ -457,8 +461,8 @@ Q: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]] = [
     ("exact_page_search_all", exact_page_search_all, EXACT_SQL + " select * from hit"),
     ("fuzzy_page_search", fuzzy_page_search, oracles.fuzzy_sql(BOOK_SQL, FUZZY_EXCERPT_SQL) + oracles.FUZZY_BEST),
     ("fuzzy_page_search_all", fuzzy_page_search_all, oracles.fuzzy_sql(BOOK_SQL, FUZZY_EXCERPT_SQL) + oracles.FUZZY_ALL),
-    ("typo_repair", typo_repair, None),
-    ("token_alignment", token_alignment, None),
+    ("typo_repair", typo_repair, oracles.typos_sql(lambda x: sanitize_sql(x, "search"), WS, MISREAD, "ﷺ")),
+    ("token_alignment", token_alignment, oracles.tokens_sql(lambda x: sanitize_sql(x, "search"))),
     ("segment_alignment", segment_alignment, oracles.segments_sql(lambda x: sanitize_sql(x, "search"))),
     ("reference_repair", reference_repair, oracles.REPAIR_SQL),
     ("pattern_counts", pattern_counts, oracles.pattern_counts_sql(arabic_sql("text") + f" || '{CASES}'", ARA, WS)),
