@@ -319,6 +319,7 @@ def links(texts, size, num, den):
 def test_ngram_join(docs, empty, monkeypatch, size, num, den, cell):
     monkeypatch.setattr(ngram_join, "CELL", cell)
     monkeypatch.setattr(common, "HOT", cell)
+    monkeypatch.setattr(ngram_join, "HOT", cell)
     known = docs.where("doc_id is not null")
     want = links(dict(pairs(known)).items(), size, num, den)
     got = ngram_join.near_duplicates(known, size, num, den).collect()

@@ -6,8 +6,6 @@ import ctypes
 import functools
 import gc
 import platform
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,33 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved, shared_dir, shared_path  # noqa: F401
+
 #: The six characters that separate words in the operators' contracts.
 WORD_SPACE = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode and an error on a cluster."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not known:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        known = "file://" + tempfile.mkdtemp(prefix="warraq-")
-        spark.sparkContext.setCheckpointDir(known)
-    return known
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/warraq/{label}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: its lineage is cut, a lost executor loses nothing."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` rows (of a few dozen bytes); a larger one is joined by a shuffle."""
     return F.broadcast(df) if rows <= most else df
@@ -51,15 +28,15 @@ def if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
 HOT, MOST_HOT = 1000, 1_000_000
 
 
-def join_hot(rows: DataFrame, facts: DataFrame, key: str, how: str, hot: DataFrame | None = None) -> DataFrame:
-    """``rows`` joined to ``facts``, which has at most one row for each key.
+def join_hot(rows: DataFrame, facts: DataFrame, key: str | list[str], how: str, hot: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined to ``facts``, which has at most one row for each key (a column or several).
 
     Keys that more than HOT rows share are joined by a broadcast of their facts: there
     are at most a HOT-th as many as rows, and no more than MOST_HOT are broadcast.
     ``hot`` gives these keys where they are known.
     """
     if hot is None:
-        hot = saved(rows.groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") > HOT).select(key), "hot-keys")
+        hot = saved(rows.groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") > HOT).drop("c"), "hot-keys")
     n = hot.count()
     if not 0 < n <= MOST_HOT:
         return rows.join(facts, key, how)
@@ -117,7 +94,8 @@ def uncollected(run):
 def lean(run):
     """A function of batches that gives memory back: large arrays are mapped by themselves, and what is free is trimmed at the end.
 
-    A Python worker serves many stages, and would otherwise keep the most that any of them took.
+    A Python worker serves many stages; the C library would otherwise keep, in each
+    of an executor's workers, the most that any stage took. Results do not depend on it.
     """
 
     @functools.wraps(run)

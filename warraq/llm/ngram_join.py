@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import binary, if_small, join_hot, lean, saved, slices
+from .common import HOT, binary, if_small, join_hot, lean, saved, slices
 from .components import connected_components
 
 #: Classes of a block of sets of up to LENGTH shingles; a place of more, or of longer sets, is split.
@@ -346,8 +346,8 @@ def _linked(docs: DataFrame, size: int, num: int, den: int, id_col: str, text_co
     both = F.explode(F.array(F.struct(band.alias("band"), F.lit(1).alias("own")), F.struct((band + 1).alias("band"), F.lit(0).alias("own"))))
     met = saved(met.select("*", both.alias("b")).select("class", "pivot", "row_key", "n", "b.*"), "meetings")
     places = met.groupBy("pivot", "band").agg(F.count("*").alias("m"), F.sum("own").alias("own"), F.avg("n").alias("n")).where("m > 1 and own > 0")
-    places = places.select("pivot", "band", F.ceil(F.col("m") * F.greatest(F.lit(1.0), F.col("n") / LENGTH) / CELL).cast("int").alias("cells"))
-    met = met.join(places, ["pivot", "band"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("cells")).cast("int"))
+    places = saved(places.select("pivot", "band", "m", F.ceil(F.col("m") * F.greatest(F.lit(1.0), F.col("n") / LENGTH) / CELL).cast("int").alias("cells")), "meeting-places")
+    met = join_hot(met, places.drop("m"), ["pivot", "band"], "inner", places.where(F.col("m") > HOT).select("pivot", "band")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("cells")).cast("int"))
     wanted = met.groupBy("row_key", "class").agg(F.collect_list(F.struct("pivot", "band", "cells", "block")).alias("places"))
     sent = texts.select("row_key", "text").join(wanted, "row_key").select("class", "text", F.inline("places"))
     other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
