@@ -11,7 +11,9 @@ place gives a window of about the excerpt's length, and the edit distance betwee
 two decides.
 
 No step needs a book in one task: pages are numbered by ranges, and neighbours are
-found by the stretches of the book's characters that they lie on.
+found by the stretches of the book's characters that they lie on. Lists that come
+from the excerpts are saved first, so that Spark knows their size: it broadcasts
+those below its threshold and shuffles larger ones.
 """
 
 from __future__ import annotations
@@ -29,13 +31,8 @@ from ..sources.shared import saved
 LEAD = 12
 #: Characters of a stretch by which neighbouring pages meet.
 STRETCH = 4096
-#: Grams, words or lists (of a few dozen bytes) that are broadcast at most; more are joined by a shuffle.
-SMALL = 500_000
-
-
-def _if_small(df: DataFrame) -> DataFrame:
-    """``df``, a saved table, marked for broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _running(rows: DataFrame, totals: dict[str, Column], clean: bool = False) -> DataFrame:
@@ -44,9 +41,8 @@ def _running(rows: DataFrame, totals: dict[str, Column], clean: bool = False) ->
     The rows are dealt by ranges; only one row for each range and book is summed in
     the order of the ranges.
     """
-    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a number that is given is kept, so that few long texts still make many tasks
-    parts = rows.repartitionByRange(ranges, "book_id", "page").withColumn("part", F.spark_partition_id())
+    parts = rows.repartitionByRange(_partitions(rows), "book_id", "page").withColumn("part", F.spark_partition_id())
     parts = saved(parts.withColumn("text", sanitize("text", "aggressive")) if clean else parts, "page-ranges")
     order = W.partitionBy("book_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     sums = parts.groupBy("book_id", "part").agg(*(F.sum(v).alias(k) for k, v in totals.items()))
@@ -133,7 +129,7 @@ def _rarest_words(patterns: DataFrame, words: DataFrame, key: list[str], own: li
     inner = F.filter(F.transform(parts, lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda s: (s["i"] > 0) & (s["i"] < F.size(parts) - 1) & (s["word"] != ""))
     each = patterns.select(*own, "pattern", F.explode(inner).alias("s")).select(*own, "pattern", F.col("s.word").alias("word"), (F.length(F.array_join(F.slice(F.split("pattern", " "), F.lit(1), F.col("s.i")), " ")) + 1).alias("offset"))
     wanted = saved(each.select(*key, "word").distinct(), "inner-words")
-    freq = words.join(_if_small(wanted), [*key, "word"], "left_semi").groupBy(*key, "word").agg(F.count("*").alias("freq"))
+    freq = words.join(wanted, [*key, "word"], "left_semi").groupBy(*key, "word").agg(F.count("*").alias("freq"))
     # a word that no text has rules its pattern out: it is the rarest
     return each.join(freq, [*key, "word"], "left").groupBy(*own, "pattern").agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "offset", "word")).alias("o")).select(*own, "pattern", "o.word", "o.offset")
 
@@ -151,14 +147,14 @@ def _places(texts: DataFrame, patterns: DataFrame, key: list[str], own: list[str
     sizes = F.transform(F.array(placed), lambda p: F.aggregate(p, F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(w) + 1))))[0]
     wanted = saved(rare.select(*key, "word").distinct(), "anchor-words")
     # only texts with a wanted word are cut into places
-    held = texts.select(*row, F.explode(F.array_distinct(placed)).alias("word")).join(_if_small(wanted), [*key, "word"], "left_semi").select(*row).distinct()
+    held = texts.select(*row, F.explode(F.array_distinct(placed)).alias("word")).join(wanted, [*key, "word"], "left_semi").select(*row).distinct()
     some = texts.join(held, row, "left_semi").select(*row, F.posexplode(F.arrays_zip(placed.alias("word"), F.slice(sizes, F.lit(1), F.size(placed)).alias("pos"))).alias("i", "w"))
-    found = some.select(*row, F.col("w.word").alias("word"), F.col("w.pos").alias("pos")).join(_if_small(rare), [*key, "word"]).select(*row, *(c for c in own if c not in row), "pattern", (F.col("pos") - F.col("offset")).alias("at"))
+    found = some.select(*row, F.col("w.word").alias("word"), F.col("w.pos").alias("pos")).join(rare, [*key, "word"]).select(*row, *(c for c in own if c not in row), "pattern", (F.col("pos") - F.col("offset")).alias("at"))
     bare = patterns.join(rare.select(*own, "pattern"), [*own, "pattern"], "left_anti").withColumn("gram", F.left(F.when(first == "", F.col("pattern")).otherwise(first), F.lit(LEAD)))
     bare = saved(bare.select(*own, "pattern", "gram", F.length("gram").alias("n")), "bare-patterns")
     for size in sorted(r.n for r in bare.select("n").distinct().collect()):  # at most LEAD sizes
         grams = texts.select(*row, F.posexplode(grams_of(F.col("text"), size)).alias("at", "gram"))
-        found = found.unionByName(grams.join(_if_small(bare.where(F.col("n") == size)), [*key, "gram"]).select(*row, *(c for c in own if c not in row), "pattern", "at"))
+        found = found.unionByName(grams.join(bare.where(F.col("n") == size), [*key, "gram"]).select(*row, *(c for c in own if c not in row), "pattern", "at"))
     return found
 
 
@@ -205,7 +201,7 @@ def pattern_occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 def candidates(seeds: DataFrame, postings: DataFrame, policy: MatchPolicy) -> DataFrame:
     """(book_id, pattern, idx, page, start, seam, rank): places to verify, in the order in which seeds and postings give them."""
     at = F.col("pos") - F.col("offset")
-    rows = postings.join(_if_small(seeds), ["book_id", "gram"]).where(at >= -F.floor(F.length("pattern") * 0.25)).withColumn("start", F.greatest(F.lit(0), at))
+    rows = postings.join(seeds, ["book_id", "gram"]).where(at >= -F.floor(F.length("pattern") * 0.25)).withColumn("start", F.greatest(F.lit(0), at))
     place = ["book_id", "pattern", "idx", "page", "start", "seam"]
     first = rows.groupBy(*place).agg(F.min(F.struct("seed", "seam", "idx", "pos")).alias("o"))
     rank = F.row_number().over(W.partitionBy("book_id", "pattern").orderBy("o"))
@@ -255,7 +251,8 @@ def verified(places: DataFrame, book: DataFrame, seams: DataFrame, policy: Match
     slack = F.least(F.lit(2), F.greatest(F.lit(1), F.ceil(n * 0.005)))
     bonus = F.least(F.lit(SEAM_BONUS), F.ceil(n * 0.08))
     rows = rows.withColumn("acceptance", (F.col("most") + F.when(F.col("to_end") | F.col("from_start") | F.col("seam"), bonus).otherwise(slack)).cast("int"))
-    rows = saved(rows, "places")
+    # few bytes make much work here, so that the places are dealt out
+    rows = saved(rows.repartition(_partitions(rows)), "places")
     # only the pages that lend something are brought together; a window asks for no more than its length
     asked = rows.where("to_end or from_start").groupBy("book_id", "idx").agg(F.max(F.when(F.col("from_start"), -F.col("begin")).otherwise(none)).alias("before"), F.max("want").alias("after"))
     rows = rows.join(_neighbours(book, asked), ["book_id", "idx"], "left")
@@ -291,7 +288,7 @@ def _fuzzy(book: DataFrame, open_: DataFrame, policy: MatchPolicy) -> DataFrame:
     postings = qgram_postings(book, seams, policy.q)
     # grams that no excerpt has never leave their partition; the places of those that are not rare are counted and no more
     wanted = saved(grams.select("book_id", "gram").distinct(), "wanted-grams")
-    seeds = saved(pick_rare(grams, postings.join(_if_small(wanted), ["book_id", "gram"], "left_semi"), policy.grams_per_excerpt), "seeds")
+    seeds = saved(pick_rare(grams, postings.join(wanted, ["book_id", "gram"], "left_semi"), policy.grams_per_excerpt), "seeds")
     places = saved(candidates(seeds, postings, policy), "candidates")
     starts = build_book(book.select("book_id", F.col("idx").alias("page"), "text")).withColumnRenamed("page", "idx")
     return verified(places, saved(starts, "starts"), seams, policy)
