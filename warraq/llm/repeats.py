@@ -297,9 +297,9 @@ def repeated_runs(docs: DataFrame, length: int = 200, keep: str = "none", id_col
 
     order = F.struct("doc_id", "row_key", "first", "last")
     contexts = found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(order).alias("o"))
-    groups = contexts.groupBy("gram").agg(F.count("*").alias("m"), F.sum((F.col("n") == 1).cast("bigint")).alias("single"))
+    groups = saved(contexts.groupBy("gram").agg(F.count("*").alias("m"), F.sum((F.col("n") == 1).cast("bigint")).alias("single")), "anchor-groups")
     open_ = groups.where("m > 1" if first_only else "m > 1 and single > 0")
-    refs = contexts.join(open_.select("gram", "m"), "gram").select("gram", "m", "n", "o.*")
+    refs = join_hot(contexts, open_.select("gram", "m"), "gram", "inner", open_.where(F.col("m") > HOT).select("gram")).select("gram", "m", "n", "o.*")
     refs = refs.groupBy("row_key", "doc_id").agg(F.collect_list(F.struct("gram", "m", "n", "first", "last")).alias("refs"))
     # equal rows have the same bytes: one of them is enough
     cut = rows.join(refs, "row_key").select("row_key", "row", "refs", "doc_id").mapInArrow(_cut_contexts(length, text_col), f"row_key bigint, doc_id {of_kind}, gram bigint, m bigint, n bigint, first int, bytes binary")
