@@ -46,6 +46,19 @@ def references(x: Column, is_footnote: Column) -> Column:
     return F.when(is_footnote, F.filter(F.array(leading), lambda r: r != "")).otherwise(F.regexp_extract_all(x, F.lit(P.REFERENCE), F.lit(0)))
 
 
+def needs_correction(lines: DataFrame, doc_col: str = "doc_id", text_col: str = "text", footnote_col: str = "is_footnote") -> DataFrame:
+    """(doc_col, needed): whether a document has an invalid reference, or references on one side that the other lacks.
+
+    References are reduced to distinct ones before they meet, so that a document's
+    lines are never gathered.
+    """
+    x, note = P.text(F.col(f"`{text_col}`")), F.coalesce(F.col(f"`{footnote_col}`"), F.lit(False))
+    found = lines.select(F.col(f"`{doc_col}`").alias("doc"), has_invalid_footnotes(x).cast("int").alias("bad"), note.alias("note"), F.explode_outer(references(convert_confused(x), note)).alias("ref"))
+    sides = found.groupBy("doc", "ref").agg(F.max("bad").alias("bad"), F.min("note").alias("low"), F.max("note").alias("high"))
+    lone = F.col("ref").isNotNull() & (F.col("low") == F.col("high"))
+    return sides.groupBy("doc").agg((F.max(F.greatest(F.col("bad"), lone.cast("int"))) == 1).alias("needed")).select(F.col("doc").alias(doc_col), "needed")
+
+
 def correct_references(lines: DataFrame, doc_col: str = "doc_id", line_col: str = "line_no", text_col: str = "text", footnote_col: str = "is_footnote") -> DataFrame:
     """``lines`` with ``text_col`` repaired; all other columns pass through.
 

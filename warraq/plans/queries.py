@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import alignment, balance, distance, noise, patterns, segments, tokens, typos
-from ..functions.sanitize import SanitizeOptions, sanitize, sanitize_array
+from ..functions.sanitize import SanitizeOptions, create_sanitizer, sanitize, sanitize_array
 from ..operators import footnotes, search
 from ..sources.tables import spread
 from . import oracles
@@ -354,6 +354,15 @@ def reference_repair(s: SparkSession, d: str) -> DataFrame:
     return footnotes.correct_references(reference_lines(s, d), "conv_id", "turn")
 
 
+def references_needed(s: SparkSession, d: str) -> DataFrame:
+    return footnotes.needs_correction(reference_lines(s, d), "conv_id")
+
+
+def sanitize_factory(s: SparkSession, d: str) -> DataFrame:
+    clean = create_sanitizer("search")
+    return _table(s, d, "documents").select("doc_id", clean(arabic("text")).alias("clean"))
+
+
 def sanitize_batch(s: SparkSession, d: str) -> DataFrame:
     x = _table(s, d, "documents").select("doc_id", F.array_join(sanitize_array(F.split(arabic("text"), "\n", -1), "search"), "\n").alias("clean"))
     return x
@@ -444,6 +453,8 @@ Q: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]] = [
     ("footnote_tokens", footnote_tokens, FOOTNOTE_TOKENS_SQL),
     ("pattern_occurrences", occurrences, OCCURRENCES_SQL),
     ("references_needing_repair", invalid_and_sets, REFERENCES_SQL),
+    ("needs_correction", references_needed, f"select conv_id, invalid or body <> notes as needed from ({REFERENCES_SQL})"),
+    ("sanitize_factory", sanitize_factory, f"select doc_id, {sanitize_sql(arabic_sql('text'), 'search')} as clean from documents"),
     ("char_stats", char_stats, _char_stats_sql()),
     ("quote_balance", quote_balance, QUOTE_SQL),
     ("bracket_balance", bracket_balance, oracles.BRACKETS_SQL),
