@@ -24,6 +24,12 @@ def if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps that are written: it does so once the driver's collectors have run."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of one key that a join by shuffling may bring into one task, and keys (some 8 to 64 bytes each) that may be broadcast.
 HOT, MOST_HOT = 1000, 1_000_000
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import HOT, binary, if_small, join_hot, lean, saved, slices
+from .common import HOT, binary, if_small, join_hot, lean, saved, slices, tidy
 from .components import connected_components
 
 #: Classes of a block of sets of up to LENGTH shingles; a place of more, or of longer sets, is split.
@@ -345,6 +345,7 @@ def _linked(docs: DataFrame, size: int, num: int, den: int, id_col: str, text_co
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
     both = F.explode(F.array(F.struct(band.alias("band"), F.lit(1).alias("own")), F.struct((band + 1).alias("band"), F.lit(0).alias("own"))))
     met = saved(met.select("*", both.alias("b")).select("class", "pivot", "row_key", "n", "b.*"), "meetings")
+    tidy(spark)
     places = met.groupBy("pivot", "band").agg(F.count("*").alias("m"), F.sum("own").alias("own"), F.avg("n").alias("n")).where("m > 1 and own > 0")
     places = saved(places.select("pivot", "band", "m", F.ceil(F.col("m") * F.greatest(F.lit(1.0), F.col("n") / LENGTH) / CELL).cast("int").alias("cells")), "meeting-places")
     met = join_hot(met, places.drop("m"), ["pivot", "band"], "inner", places.where(F.col("m") > HOT).select("pivot", "band")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("cells")).cast("int"))
@@ -357,7 +358,9 @@ def _linked(docs: DataFrame, size: int, num: int, den: int, id_col: str, text_co
     roots = connected_components(saved(links, "near-links"))
 
     named = join_hot(rows, roots.select(F.col("node").alias("class"), "root"), "class", "left")
-    return saved(named.withColumn("root", F.coalesce("root", "class")).select("row_key", "doc_id", "n", "root"), "near-classes")
+    named = saved(named.withColumn("root", F.coalesce("root", "class")).select("row_key", "doc_id", "n", "root"), "near-classes")
+    tidy(spark)
+    return named
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HOT, binary, if_small, join_hot, lean, saved, slices
+from .common import HOT, binary, if_small, join_hot, lean, saved, slices, tidy
 
 #: Bytes of the sampled gram, a power of two.
 ANCHOR = 32
@@ -291,9 +291,11 @@ def repeated_runs(docs: DataFrame, length: int = 200, keep: str = "none", id_col
     kind = docs.schema[id_col].dataType
     of_kind = kind.simpleString()
     texts = docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("row_key"), F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
+    tidy(docs.sparkSession)
     found = saved(texts.mapInArrow(_find_anchors(length), f"row_key bigint, doc_id {of_kind}, gram bigint, context binary, first int, last int"), "anchors")
     again = saved(found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1"), "repeated-grams")
     found = saved(join_hot(found, again.select("gram"), "gram", "left_semi", again.where(F.col("c") > HOT).select("gram")), "repeated-anchors")
+    tidy(docs.sparkSession)
 
     order = F.struct("doc_id", "row_key", "first", "last")
     contexts = found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(order).alias("o"))
@@ -304,6 +306,7 @@ def repeated_runs(docs: DataFrame, length: int = 200, keep: str = "none", id_col
     # equal rows have the same bytes: one of them is enough
     cut = rows.join(refs, "row_key").select("row_key", "row", "refs", "doc_id").mapInArrow(_cut_contexts(length, text_col), f"row_key bigint, doc_id {of_kind}, gram bigint, m bigint, n bigint, first int, bytes binary")
     cut = saved(cut.dropDuplicates(["row_key", "first", "gram"]), "contexts")
+    tidy(docs.sparkSession)
     small = cut.where(F.col("m") <= GROUP).repartition("gram").sortWithinPartitions("gram", F.col("doc_id").asc_nulls_first(), "row_key", "first")
     kept = small.mapInArrow(_settle(length, first_only), RUN)
     windows = cut.where(F.col("m") > GROUP).mapInArrow(_windows(length), f"window binary, row_key bigint, doc_id {of_kind}, n bigint, place int")
