@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import public_tokenizers
 import pyarrow as pa
@@ -458,6 +460,26 @@ def test_slices():
     assert size(30) == [(0, 1)] and size(0, 0) == [(0, 2)] and size() == []
 
 
+def new_shuffle_files(spark, old=frozenset()):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split()
+    return {f.rpartition("/")[2] for f in files if "/shuffle_" in f} - old
+
+
+def test_repeats_leave_no_files(spark, docs):
+    """Finished steps keep no shuffle files, and tables that nothing reads again are removed."""
+    kept = lambda: set(Path(common.shared_dir(spark).removeprefix("file:")).glob("warraq/*anchors-*"))
+    before, tables, conf = new_shuffle_files(spark), kept(), spark.conf.get(common.CLEANUP, None)
+    table = common.saved(docs.groupBy("source").count(), "groups")
+    got = repeats.repeat_digests(docs, 60)
+    for _ in range(50):  # executors are told, not waited for
+        if not (left := new_shuffle_files(spark, before)):
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(common.CLEANUP, None) == conf
+    assert {p.name.rpartition("-")[0] for p in kept() - tables} == {"repeated-anchors"}
+    assert got.count() == docs.count() and table.count() == 8
+
+
 def test_remove_repeats(docs, empty):
     out = repeats.remove_repeats(docs, 60)
     assert out.columns == docs.columns and out.count() == docs.count()

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HOT, binary, if_small, join_hot, lean, saved, slices, tidy
+from .common import HOT, binary, if_small, join_hot, lean, let_go, saved, slices, tidy
 
 #: Bytes of the sampled gram, a power of two.
 ANCHOR = 32
@@ -292,9 +292,10 @@ def repeated_runs(docs: DataFrame, length: int = 200, keep: str = "none", id_col
     of_kind = kind.simpleString()
     texts = docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("row_key"), F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
     tidy(docs.sparkSession)
-    found = saved(texts.mapInArrow(_find_anchors(length), f"row_key bigint, doc_id {of_kind}, gram bigint, context binary, first int, last int"), "anchors")
-    again = saved(found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1"), "repeated-grams")
-    found = saved(join_hot(found, again.select("gram"), "gram", "left_semi", again.where(F.col("c") > HOT).select("gram")), "repeated-anchors")
+    all_ = saved(texts.mapInArrow(_find_anchors(length), f"row_key bigint, doc_id {of_kind}, gram bigint, context binary, first int, last int"), "anchors")
+    again = saved(all_.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1"), "repeated-grams")
+    found = saved(join_hot(all_, again.select("gram"), "gram", "left_semi", again.where(F.col("c") > HOT).select("gram")), "repeated-anchors")
+    let_go(all_, again)
     tidy(docs.sparkSession)
 
     order = F.struct("doc_id", "row_key", "first", "last")
