@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -329,6 +330,46 @@ def test_ngram_join(docs, empty, monkeypatch, size, num, den, cell):
     assert ngram_join.near_duplicates(empty, size, num, den).collect() == []
 
 
+@pytest.mark.parametrize(("num", "den"), [(9, 10), (8, 10), (5, 10)])
+def test_similar_sets_share_a_bucket(num, den):
+    r = random.Random(num)
+    buckets, again = ngram_join.Buckets(num, den), 0
+    for _ in range(1500):
+        n = int(10 ** r.uniform(0, 3))
+        x = {r.getrandbits(64) for _ in range(n)}
+        gone = r.randint(0, max(0, n - (num * n + den - 1) // den))
+        y = set(sorted(x)[gone:])  # the least go, whose buckets are side by side
+        while (num * (len(x | y) + 1)) <= den * len(x & y) and r.random() < 0.9:
+            y.add(r.getrandbits(64))
+        if not x or not y or x == y or num * len(x | y) > den * len(x & y):
+            continue
+        band = max(buckets.bands(len(s))[0] for s in (x, y))
+        names = [buckets.names(np.sort(np.fromiter(s, np.uint64, len(s))), band) for s in (x, y)]
+        assert band in buckets.bands(len(x)) and band in buckets.bands(len(y)) and set(names[0].tolist()) & set(names[1].tolist())
+        again += len(names[0]) > max(1, buckets.sizes(band)[1])
+    assert again
+
+
+def test_unlike_sets_do_not_meet(spark, monkeypatch):
+    """Texts of few words share most shingles with others by chance, as in a large corpus: only the similar ones are sent anywhere."""
+    r, rows = random.Random(8), {}
+    words = [f"w{k}" for k in range(25)]
+    texts = [r.choices(words, k=300) for _ in range(300)]
+    texts += [[*t[:150], "new", *t[151:]] for t in texts[:5]]
+    old = ngram_join.saved
+
+    def saved(df, label):
+        out = old(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "saved", saved)
+    table = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = ngram_join.near_duplicates(spark.createDataFrame(table, "doc_id bigint, text string").repartition(3), 3, 9, 10).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == links(table, 3, 9, 10)
+    assert rows["meetings"] <= 100
+
+
 def test_keep_one(docs):
     kept = ngram_join.keep_one(docs)
     want = links(dict(pairs(docs.where("doc_id is not null"))).items(), 5, 8, 10)

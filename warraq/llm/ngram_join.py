@@ -1,14 +1,20 @@
 """Similarity join of documents on their word shingles by prefix trees.
 
-Sets of shingles are put in one global order, frequent shingles last. Two sets whose
-Jaccard similarity reaches the threshold share several shingles among the first of
-each (their prefixes), so that sets meet under the least class that holds such a
-shingle. Prefixes are longer than one common shingle needs, so that each set may
-leave out the meeting places that the fewest of its shingles lead to (SPARE of its
-length together): chance meetings go, and two similar sets still meet. Where sets meet, they are stored in a trie and each probes it: a path is
-walked once for all sets that share it, and a subtree is left as soon as the
-lengths that remain cannot make up for the misses. Equal sets are one class
-throughout. The links give connected components.
+Two sets of at most n shingles whose Jaccard similarity reaches the threshold differ
+in at most h shingles, a small part of n. Shingles are dealt by their hash to k
+buckets, k > h, so that at least k - h buckets hold the same shingles in both sets:
+sets meet where a bucket is the same, under the least class that holds it. A bucket has
+several shingles, so that unlike sets do not meet by chance, however many there are
+(single shingles of a growing corpus are shared by ever more of them). Buckets of
+fewer than WEAK shingles are no meeting places; a set that has at most h others
+is dealt again in another way, after SALTS ways by single shingles. If one of two
+similar sets has more than h, a bucket that both share is among them; if neither has,
+both are dealt again: no link is lost.
+
+Where sets meet, they are put in one global order, frequent shingles last, and stored
+in a trie, which each probes: a path is walked once for all sets that share it, and a
+subtree is left as soon as the lengths that remain cannot make up for the misses.
+Equal sets are one class throughout. The links give connected components.
 
 A meeting place of more than ``CELL`` classes is split into blocks, and each pair
 of blocks is a place of its own: no link is lost and no task holds more than two
@@ -23,7 +29,8 @@ Shingles and sets are known by 64-bit hashes.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +43,11 @@ from .components import connected_components
 
 #: Classes of a block of sets of up to LENGTH shingles; a place of more, or of longer sets, is split.
 CELL, LENGTH = 192, 1000
-#: Part of a set's shingles whose meeting places it may leave out.
-SPARE = 0.04
-#: Keys of near copies (8 bytes each) that are broadcast to take their rows out; beyond that the rows are shuffled.
+#: Buckets of fewer shingles are no meeting places; ways to deal out shingles before they stand alone.
+WEAK, SALTS = 2, 4
+#: Lengths of a band of sets, which share a number of buckets, differ by less than this factor.
+WIDE = 1.3
+#: Keys of near copies (8 bytes each) that are broadcast to take their rows out, or to find their texts; beyond that the rows are shuffled.
 SMALL = 1_000_000
 #: Bound of the list of frequent shingles (16 bytes each); any list gives the same links.
 FREQUENT = 1 << 18
@@ -115,18 +124,70 @@ class Order:
         order = np.argsort(ranks)
         return shingles[~known], shingles[known][order], ranks[order]
 
-    def prefix(self, shingles: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """The first shingles in order, and whether each is of the frequent list."""
-        rare, common, _ = self.split(shingles)
-        both = np.concatenate([rare[:size], common[: max(0, size - len(rare))]])
-        return both, np.arange(len(both)) >= min(size, len(rare))
-
     def keys(self, shingles: np.ndarray) -> list[int]:
         """Numbers that ascend in the global order, one for each shingle."""
         rare, _, ranks = self.split(shingles)
         return rare.tolist() + [(1 << 64) + r for r in ranks.tolist()]
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def times_mix(n: int) -> np.uint64:
+    return np.uint64(n * int(MIX) & (1 << 64) - 1)
+
+
+class Buckets:
+    """Where sets meet whose Jaccard similarity is at least num / den: in the band of the longer, by equal buckets."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den, self.bounds, self.known = num, den, [1], {}
+        while self.bounds[-1] < 1 << 40:
+            self.bounds.append(max(self.bounds[-1] + 1, int(self.bounds[-1] * WIDE)))
+        #: where sets may differ in a large part, buckets are small
+        self.weak = WEAK if 8 * (den - num) <= den else 1
+
+    def bands(self, n: int) -> range:
+        """The bands in which a set of ``n`` shingles may meet others, its own first."""
+        return range(bisect_right(self.bounds, n) - 1, bisect_right(self.bounds, n * self.den // self.num))
+
+    def sizes(self, band: int) -> tuple[int, int]:
+        """In how many shingles similar sets of a band differ at most, and the number of buckets (0: each shingle by itself)."""
+        if band not in self.known:
+            least, most = self.bounds[band], self.bounds[band + 1] - 1
+            h = (self.den - self.num) * 2 * most // (self.den + self.num)
+            k = h + 1
+            while k <= least:
+                mean = least / k
+                weak = exp(-mean) * (1 + mean * (self.weak > 1))
+                # most sets have more than h buckets that are not weak
+                if k * (1 - weak) - 0.85 * sqrt(k * weak * (1 - weak)) >= h + 0.5:
+                    break
+                k += 1 + k // 100
+            self.known[band] = h, k if k <= least else 0
+        return self.known[band]
+
+    def names(self, shingles: np.ndarray, band: int) -> np.ndarray:
+        """64-bit names of the places of a band to which a set (ascending hashes) goes."""
+        h, k = self.sizes(band)
+        if not h:  # equal sets are one class
+            return shingles[:0]
+        out = []
+        for salt in range(SALTS if k else 0):
+            own = times_mix(band * (SALTS + 1) + salt + 1)
+            dealt = np.sort(mixed(shingles ^ times_mix(salt))) if salt else shingles
+            bucket = ((dealt >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
+            begin = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1])
+            strong = np.diff(begin, append=len(dealt)) >= self.weak
+            names = mixed((np.add.reduceat(mixed(dealt), begin) ^ own) + bucket[begin] * MIX)
+            out.append(names[strong])
+            if len(out[-1]) > h:
+                return np.concatenate(out)
+        return np.concatenate([*out, mixed(mixed(shingles) ^ times_mix(band * (SALTS + 1)))])
+
+
 class Node:
     __slots__ = ("run", "children", "least", "most", "sets")
 
@@ -254,27 +315,26 @@ def _describe(size: int):
     return run
 
 
-def _prefixes(size: int, num: int, den: int, frequent):
-    """(shingle, class, common) of each set's prefix, each pair once a slice; ``common``: of the frequent list."""
+def _places(size: int, num: int, den: int):
+    """(place, class, band, own) of each set, each class once a task; ``own``: the set's length is of the band."""
 
     @lean
     def run(batches):
-        order = Order(frequent.value)
+        buckets, seen = Buckets(num, den), set()
         for batch in batches:
             for i, j in slices(batch.column(0), 4 << 20):
-                parts, common, names, seen = [], [], [], set()
+                parts, facts = [], []
                 for s in shingle_sets(binary(batch.column(0).slice(i, j - i)), size):
-                    n = len(s)
-                    if n and (name := class_of(s)) not in seen:
+                    if len(s) and (name := class_of(s)) not in seen:
                         seen.add(name)
-                        # the shorter and the longer of two similar sets may each leave out SPARE of the longer's length
-                        spare = int(SPARE * n * den / num)
-                        first, often = order.prefix(s, n + (num * -n) // den + 2 * spare + 1)
-                        parts.append(first)
-                        common.append(often)
-                        names.append(np.full(len(parts[-1]), name, np.int64))
+                        bands = buckets.bands(len(s))
+                        for band in bands:
+                            parts.append(buckets.names(s, band))
+                            facts.append((name, band, band == bands[0]))
                 if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(common))], ["shingle", "class", "common"])
+                    count = np.fromiter(map(len, parts), np.int64, len(parts))
+                    names, bands, own = (np.repeat(np.asarray(x, t), count) for x, t in zip(zip(*facts, strict=True), (np.int64, np.int16, bool), strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(names), pa.array(bands), pa.array(own)], ["place", "class", "band", "own"])
 
     return run
 
@@ -329,28 +389,20 @@ def _linked(docs: DataFrame, size: int, num: int, den: int, id_col: str, text_co
     rows = described.where("kind = 0")
     classes = rows.where("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "row_key")).alias("o"), F.first("n").alias("n")).select("class", "n", "o.row_key")
 
-    prefixes = texts.select("text").mapInArrow(_prefixes(size, num, den, frequent), "shingle bigint, class bigint, common boolean")
-    # a shingle outside the frequent list stands in few texts of a slice, so that one task can hold it
-    alike = W.partitionBy("shingle")
-    rare = prefixes.where("not common").select("class", F.min("class").over(alike).alias("pivot"), F.max("class").over(alike).alias("last"))
-    # a frequent one may stand in any number: it is summed before the shuffle and joined, which splits it
-    common = saved(prefixes.where("common").select("shingle", "class"), "common-prefixes")
-    pivots = common.groupBy("shingle").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).where("pivot <> last")
-    shared = rare.where("pivot <> last").select("class", "pivot").unionByName(common.join(pivots, "shingle").select("class", "pivot"))
-    met = shared.groupBy("class", "pivot").agg(F.count("*").alias("s")).join(classes, "class")
-    spare = F.floor(F.col("n") * SPARE)
-    sums = F.sum("s").over(W.partitionBy("class").orderBy("s", "pivot"))
-    met = met.withColumn("sum", sums).where(F.col("sum") > spare).select("class", "pivot", "row_key", "n")
-    # similar sets differ in length by less than a band: they meet in the band of the longer
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
-    both = F.explode(F.array(F.struct(band.alias("band"), F.lit(1).alias("own")), F.struct((band + 1).alias("band"), F.lit(0).alias("own"))))
-    met = saved(met.select("*", both.alias("b")).select("class", "pivot", "row_key", "n", "b.*"), "meetings")
+    placed = texts.select("text").mapInArrow(_places(size, num, den), "place bigint, class bigint, band smallint, own boolean")
+    # few sets but those of a component share a place, so that one task can hold it
+    alike = W.partitionBy("place")
+    shared = placed.select("class", "band", "own", F.min("class").over(alike).alias("pivot"), F.max("class").over(alike).alias("last"), F.max("own").over(alike).alias("longer"))
+    met = shared.where("pivot <> last and longer").groupBy("class", "pivot", "band").agg(F.max("own").cast("int").alias("own")).join(classes, "class")
+    met = saved(met.select("class", "pivot", "row_key", "n", "band", "own"), "meetings")
     tidy(spark)
     places = met.groupBy("pivot", "band").agg(F.count("*").alias("m"), F.sum("own").alias("own"), F.avg("n").alias("n")).where("m > 1 and own > 0")
     places = saved(places.select("pivot", "band", "m", F.ceil(F.col("m") * F.greatest(F.lit(1.0), F.col("n") / LENGTH) / CELL).cast("int").alias("cells")), "meeting-places")
     met = join_hot(met, places.drop("m"), ["pivot", "band"], "inner", places.where(F.col("m") > HOT).select("pivot", "band")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("cells")).cast("int"))
     wanted = met.groupBy("row_key", "class").agg(F.collect_list(F.struct("pivot", "band", "cells", "block")).alias("places"))
-    sent = texts.select("row_key", "text").join(wanted, "row_key").select("class", "text", F.inline("places"))
+    keys = saved(met.select("row_key").distinct(), "near-rows")
+    near = texts.select("row_key", "text").join(if_small(keys, keys.count(), SMALL), "row_key", "left_semi")
+    sent = near.join(wanted, "row_key").select("class", "text", F.inline("places"))
     other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
     sent = sent.select("*", other.alias("o")).select("class", "text", "pivot", "band", "cells", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     where = ["pivot", "band", "cells", "i", "j"]
