@@ -99,6 +99,14 @@ def test_text_encoder():
         assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
 
+def test_fold_looks_for_a_place_once(spark):
+    """A lambda evaluates an expression wherever it is named: the search for a merge's place stands once in a step."""
+    table = spark.createDataFrame([(bytearray(b"abc"),)], "word binary")
+    folded = table.select(byte_bpe.fold_merges(byte_bpe.byte_array(F.col("word")), registry.MULTI_RANKS).alias("ids"))
+    plan = folded._jdf.queryExecution().analyzed().expressions().mkString(" ")
+    assert plan.count("array_position(") == 1
+
+
 def test_every_token_folds_to_itself(spark):
     ranks = byte_bpe.load_ranks(registry.MULTI_RANKS)
     some = dict(random.Random(2).sample(sorted(ranks.items()), 4000))

@@ -123,15 +123,19 @@ def fold_merges(word: Column, path: str) -> Column:
 
         def merged(tokens: Column, m: Column) -> Column:
             """``tokens`` after the merge of the pair that number ``m`` begins."""
-            p = F.array_position(tokens, m).cast("int")
             id_ = F.shiftrightunsigned(m, PLACE_BITS)
             place = m.bitwiseAND(PLACES - ID_SIZE)
-            following = F.get(tokens, p + 1).bitwiseAND(ID_SIZE - 1)
-            own = packed(rank(id_, following), place + id_)
-            before = F.get(tokens, p - 2)
-            left = packed(rank(before.bitwiseAND(ID_SIZE - 1), id_), before.bitwiseAND(PLACES - 1))
-            changed = F.when(p > 1, F.array(left, own)).otherwise(F.array(own))
-            return F.concat(F.slice(tokens, F.lit(1), F.greatest(p - 2, F.lit(0))), changed, F.slice(tokens, p + 2, F.size(tokens)))
+
+            def at(p: Column) -> Column:
+                following = F.get(tokens, p + 1).bitwiseAND(ID_SIZE - 1)
+                own = packed(rank(id_, following), place + id_)
+                before = F.get(tokens, p - 2)
+                left = packed(rank(before.bitwiseAND(ID_SIZE - 1), id_), before.bitwiseAND(PLACES - 1))
+                changed = F.when(p > 1, F.array(left, own)).otherwise(F.array(own))
+                return F.concat(F.slice(tokens, F.lit(1), F.greatest(p - 2, F.lit(0))), changed, F.slice(tokens, p + 2, F.size(tokens)))
+
+            # bound to a variable: the place would be looked for wherever it is named
+            return F.transform(F.array(F.array_position(tokens, m).cast("int")), at)[0]
 
         def step(acc: Column, _: Column) -> Column:
             return F.transform(F.array(F.array_min(acc)), lambda m: F.when(m < NO_RANK * PLACES, merged(acc, m)).otherwise(acc))[0]
