@@ -85,6 +85,46 @@ def test_long_words(spark):
     assert got == {i: encoding.encode_ordinary(f"x {w} y") for i, w in enumerate(words)}
 
 
+def test_byte_bpe_remembers_no_words():
+    """What the encoder of a task holds does not grow with the words that it meets."""
+    import tracemalloc
+
+    none = np.zeros(0, np.int64)
+    encoder = byte_bpe.HotEncoder(public_tokenizers.PATTERN, registry.MULTI_RANKS, byte_bpe.HotWords(none.astype(np.uint64), none.astype(np.uint32), none, none))
+    r, held = random.Random(9), []
+    tracemalloc.start()
+    try:
+        for _ in range(4):
+            texts = pa.array([" ".join("".join(r.choices("abcdefghij", k=12)) for _ in range(2_000)) for _ in range(5)])
+            encoder.rare = []
+            encoder.encode(texts)
+            held.append(tracemalloc.get_traced_memory()[0])
+    finally:
+        tracemalloc.stop()
+    assert held[-1] - held[0] < 500_000, held
+
+
+def test_byte_bpe_of_many_ids(spark, tmp_path):
+    """Ids above 16 bits: tokens that no text has come between the bytes and the merges."""
+    import base64
+
+    import tiktoken
+
+    ranks = byte_bpe.load_ranks(registry.MULTI_RANKS)
+    tokens = sorted(ranks, key=ranks.get)
+    single = [t for t in tokens if len(t) == 1]
+    tokens = single + [b"\xff" + k.to_bytes(3, "big") + b"\xff" for k in range(66_000)] + [t for t in tokens if len(t) > 1]
+    path = str(tmp_path / "many.tiktoken")
+    Path(path).write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % k for k, t in enumerate(tokens)))
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
+    texts = ["the words of a text, " * 3 + "qzxv wjk", "", "naïve 中文 text"]
+    want = {i: encoding.encode_ordinary(t) for i, t in enumerate(texts)}
+    assert byte_bpe.id_kind(path) == "<u4" and max(map(max, filter(None, want.values()))) > 0xFFFF
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for hot in (0, 100):
+        assert {r.doc_id: r.ids for r in byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN, hot_words=hot).collect()} == want
+
+
 def test_text_encoder():
     """Texts of every sort of white space, mark and letter, old and new, give the library's ids."""
     from warraq.llm.tokens import TextEncoder

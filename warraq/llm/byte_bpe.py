@@ -23,6 +23,7 @@ import hashlib
 import json
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_view, saved, uncollected
+from .common import documents_view, lean, saved, uncollected
 from .tokens import MARKS, TextEncoder, plain_texts, simple_parts, text_slices
 
 #: Ranks are below this; the packed cells of the rank map hold left * NO_RANK + rank.
@@ -214,6 +215,7 @@ class Splitter:
 
 
 def _count_words(pattern: str):
+    @lean
     @uncollected
     def run(batches):
         from collections import Counter
@@ -273,46 +275,53 @@ class HotWords:
         return [raw[4 * a : 4 * b] if k else None for k, a, b in zip(known.tolist(), (ends - size).tolist(), ends.tolist(), strict=True)]
 
 
-#: Stands in a text's ids for a word that the dictionary lacks.
+#: Stands in a text's ids for a word that the dictionary lacks; cut to 16 bits where ids have as many.
 MARK = 0xFFFFFFFF
 
 
+def id_kind(path: str) -> str:
+    """How ids stand between the two passes: in 16 bits if they fit and the mark is none of them."""
+    return "<u2" if max(load_ranks(path).values()) < 0xFFFF else "<u4"
+
+
 class HotEncoder(TextEncoder):
-    """Ids of texts from the dictionary, with a mark for each rare word; up to twice ``most`` units are remembered."""
+    """Ids of texts from the dictionary, with a mark for each rare word.
+
+    The dictionary is its only memo: a unit is looked up anew in every call, which
+    costs less than to remember it, and nothing grows with the texts.
+    """
 
-    def __init__(self, pattern: str, path: str, hot: HotWords, most: int = 300_000):
+    def __init__(self, pattern: str, path: str, hot: HotWords):
         self.path = path
         self.split, self.hot, self.mark = Splitter(pattern), hot, MARK.to_bytes(4, "little")
         self.run, self.mark_text = self.split.run, MARKS
-        self.most, self.recent, self.older = most, {}, {}
         self.marked = self._known([[m] for m in self.mark_text])
         #: The rare words of the table's entries in this call, in three runs: units, marks, first parts.
         self.rare: list[list[tuple]] = []
 
+    def _ids(self, words: list[str]) -> list[bytes | None]:
+        """Ids of words, None for a rare one."""
+        raw = [w.encode() for w in words]
+        return [np.asarray(merge_long(x, self.path), "<u4").tobytes() if len(x) > LONG else i for x, i in zip(raw, self.hot.find(raw), strict=True)]
+
     def _known(self, parts: list[list[str]]) -> list[tuple[bytes, tuple]]:
         """Ids of parts given as lists of their words, and their rare words."""
         words = list({w for p in parts for w in p})
-        raw = [w.encode() for w in words]
-        ids = dict(zip(words, self.hot.find(raw), strict=True))
-        ids |= {w: np.asarray(merge_long(x, self.path), "<u4").tobytes() for w, x in zip(words, raw, strict=True) if len(x) > LONG}
-        mark, out = self.mark, []
-        for p in parts:
-            if len(p) == 1:
-                found = ids[p[0]]
-                out.append((mark, (p[0],)) if found is None else (found, ()))
-            else:
-                out.append((b"".join([ids[w] or mark for w in p]), tuple(w for w in p if ids[w] is None)))
-        return out
-
-    def _learn(self, units: list[str]) -> None:
-        self.recent.update(zip(units, self._known([self.split.after_blank(u) for u in units]), strict=True))
+        ids, mark = dict(zip(words, self._ids(words), strict=True)), self.mark
+        return [(b"".join([ids[w] or mark for w in p]), tuple([w for w in p if ids[w] is None])) for p in parts]
 
     def _noted(self, found: list[tuple[bytes, tuple]]) -> list[bytes]:
         self.rare.append([r for _, r in found])
         return [i for i, _ in found]
 
     def _resolve(self, units: list[str]) -> list[bytes]:
-        table = self._noted(super()._resolve(units))
+        # most units are letters, and so one word with their blank
+        alone = np.fromiter(map(str.isalpha, units), bool, len(units))
+        words = [" " + u for u in compress(units, alone)]
+        found = [(self.mark, (w,)) if i is None else (i, ()) for w, i in zip(words, self._ids(words), strict=True)]
+        found += self._known([self.split.after_blank(u) for u in compress(units, ~alone)])
+        place = np.where(alone, np.cumsum(alone), len(words) + np.cumsum(~alone)) - 1
+        table = self._noted([found[p] for p in place.tolist()])
         self.mark_ids = self._noted(self.marked)
         return table
 
@@ -328,9 +337,10 @@ class HotEncoder(TextEncoder):
         return [w for e in entries[count > 0].tolist() for w in rare[e]], own
 
 
-def _encode_hot(pattern: str, path: str, hot):
-    """Ids of each text with a mark for each rare word, the distinct rare words as byte arrays, and which of them each mark means."""
+def _encode_hot(pattern: str, path: str, hot, kind: str):
+    """Ids (numbers of ``kind``) of each text with a mark for each rare word, the distinct rare words as byte arrays, and which of them each mark means."""
 
+    @lean
     @uncollected
     def run(batches):
         encoder = HotEncoder(pattern, path, hot.value)
@@ -350,11 +360,12 @@ def _encode_hot(pattern: str, path: str, hot):
                 word_ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, flat), np.int32, len(flat)))]).astype(np.int32)
                 pa.default_memory_pool().release_unused()
                 words = pa.ListArray.from_arrays(pa.array(word_ends), pa.array(np.frombuffer(b"".join(flat), np.uint8).astype(np.int32)))
-                ends = np.concatenate([[0], np.cumsum(4 * counts)]).astype(np.int32)
+                ids = ids.astype(kind)
+                ends = np.concatenate([[0], np.cumsum(ids.itemsize * counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, len(column)),
-                        pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))]),
+                        pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(ends), pa.py_buffer(ids)]),
                         pa.ListArray.from_arrays(pa.array(list_ends, pa.int32()), words),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(own)]).astype(np.int32)), pa.array(places, pa.int32())),
                     ],
@@ -373,9 +384,12 @@ def vocabulary_of(path: str) -> list[bytes]:
     return out
 
 
-def _fill_marks(ids: bytes, places: list[int], folded: list[bytes]) -> bytes:
-    """``ids`` with the ids of rare words in place of the marks."""
-    at = np.flatnonzero(np.frombuffer(ids, "<u4") == MARK).tolist()
+def _fill_marks(numbers: np.ndarray, places: list[int], folded: list[bytes]) -> bytes:
+    """Ids in 32 bits, with those of rare words in place of the marks."""
+    ids = numbers.astype("<u4").tobytes()
+    if not places:
+        return ids
+    at = np.flatnonzero(numbers == (MARK & np.iinfo(numbers.dtype).max)).tolist()
     out, begin = [], 0
     for k, p in zip(at, places, strict=True):
         out += (ids[4 * begin : 4 * k], folded[p])
@@ -383,7 +397,8 @@ def _fill_marks(ids: bytes, places: list[int], folded: list[bytes]) -> bytes:
     return b"".join([*out, ids[4 * begin :]])
 
 
-def _put_together(path: str, digests: bool):
+def _put_together(path: str, digests: bool, kind: str):
+    @lean
     def run(batches):
         piece = vocabulary_of(path).__getitem__
         for whole in batches:
@@ -396,7 +411,7 @@ def _put_together(path: str, digests: bool):
                 folded = [numbers[4 * a : 4 * b] for a, b in zip(ends, ends[1:], strict=False)]
                 rows, at = [], 0
                 for ids, p, n in zip(batch.column(1).to_pylist(), places.to_pylist(), pc.list_value_length(lists).to_pylist(), strict=True):
-                    rows.append(_fill_marks(ids, p, folded[at : at + n]) if p else ids)
+                    rows.append(_fill_marks(np.frombuffer(ids, kind), p, folded[at : at + n]))
                     at += n
                 if digests:
                     # decoding concatenates the byte strings of the ids
@@ -466,12 +481,12 @@ def encode_documents(
     counts = saved(word_counts(docs, pattern, id_col, text_col), "word-counts")
     hot = spark.sparkContext.broadcast(hot_dictionary(counts, path, hot_words))
     texts = documents_view(docs, id_col, text_col)
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    found = texts.mapInArrow(_encode_hot(pattern, path, hot), f"doc_id {kind}, ids binary, rare array<array<int>>, places array<int>")
+    id_type, kind = texts.schema["doc_id"].dataType.simpleString(), id_kind(path)
+    found = texts.mapInArrow(_encode_hot(pattern, path, hot, kind), f"doc_id {id_type}, ids binary, rare array<array<int>>, places array<int>")
     # rare words are folded in the JVM between the two passes over a batch
     folded = found.select("doc_id", "ids", "places", F.transform("rare", lambda w: fold_merges(w, path)).alias("folded"))
-    schema = f"doc_id {kind}, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>")
-    return folded.mapInArrow(_put_together(path, digests), schema)
+    schema = f"doc_id {id_type}, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>")
+    return folded.mapInArrow(_put_together(path, digests, kind), schema)
 
 
 def decode_ids(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
