@@ -139,6 +139,36 @@ def test_text_encoder():
         assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
 
+def test_text_encoder_asks_once(monkeypatch):
+    """A word that the memo has, in either half, is not given to the library again; the ids are the library's."""
+    from warraq.llm.tokens import TextEncoder
+
+    encoder, asked = TextEncoder(registry.BPE_50K, 6), []
+    of_words = encoder._encode_words
+    monkeypatch.setattr(encoder, "_encode_words", lambda words: asked.extend(words) or of_words(words))
+
+    def new(text):
+        asked.clear()
+        ids, _ = encoder.encode(pa.array([text]))
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        return sorted(asked)
+
+    assert new("x qoshem drovaltin") == [" drovaltin", " qoshem", " x"]
+    assert new("x qoshem&& drovaltin\nBreemo") == ["\n", "&&", "Breemo"]
+    assert new("x vunk wask zorp") == [" vunk", " wask", " zorp"]  # the memo starts anew, what it had is the older half
+    assert new("x drovaltin)") == [")"]
+    assert new("x qoshem vunk pell ruvv zilm") == [" pell", " ruvv", " zilm"]  # anew again: what the older half had is kept
+
+
+def test_strings_and_byte_table():
+    from warraq.llm.tokens import BYTE_TABLE, byte_characters, strings
+
+    assert [BYTE_TABLE[b] for b in range(1, 256)] == [byte_characters().get(b, chr(b)) for b in range(1, 256)] and BYTE_TABLE[0] == "\0"
+    texts = ["", "a", "é中😀\0", "x" * 300]
+    for kind in (pa.string(), pa.large_string()):
+        assert strings(pa.array(["-", *texts], kind).slice(1)) == texts and strings(pa.array([], kind)) == []
+
+
 def test_fold_looks_for_a_place_once(spark):
     """A lambda evaluates an expression wherever it is named: the search for a merge's place stands once in a step."""
     table = spark.createDataFrame([(bytearray(b"abc"),)], "word binary")

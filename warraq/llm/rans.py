@@ -74,18 +74,20 @@ def encode_block(ids: np.ndarray, table: Table) -> dict:
     sym[:n] = ids
     sym[n:] = ids[-1] if n else 0
     sym = sym.reshape(steps, lanes)
-    freq, start, bits = table.freq[sym], table.start[sym], np.uint64(SCALE_BITS)
+    freq, start, bits, wide = table.freq.take(sym), table.start.take(sym), np.uint64(SCALE_BITS), np.uint64(32)
     x = np.full(lanes, LOW, np.uint64)
     chunks, marks, used = [None] * steps, [], 0
     for t in range(steps - 1, -1, -1):
         f = freq[t]
-        full = x >= (f << np.uint64(63 - SCALE_BITS))
-        words = x[full].astype(np.uint32)
-        x[full] >>= np.uint64(32)
+        full = np.flatnonzero(x >= (f << np.uint64(63 - SCALE_BITS)))
+        over = x.take(full)
+        chunks[t] = over.astype(np.uint32)
+        x[full] = over >> wide
         q = x // f
-        x = (q << bits) + (x - q * f) + start[t]
-        chunks[t] = words
-        used += len(words)
+        x -= q * f
+        x += q << bits
+        x += start[t]
+        used += len(full)
         if t % CHECKPOINT_STEPS == 0:
             marks.append((t, used, x.tobytes()))
     marks.reverse()
@@ -116,9 +118,12 @@ def decode_segments(block: dict, table: Table, first: int = 0, last: int | None
         got = np.empty((steps, lanes), np.uint32)
         for t in range(steps):
             slot = x & mask
-            sym = table.symbol[slot]
-            got[t] = sym
-            x = table.freq[sym] * (x >> bits) + slot - table.start[sym]
+            got[t] = table.symbol.take(slot.view(np.int64))
+            sym = got[t].astype(np.int64)
+            x >>= bits
+            x *= table.freq.take(sym)
+            x += slot
+            x -= table.start.take(sym)
             low = np.flatnonzero(x < LOW)
             if len(low):
                 x[low] = (x[low] << wide) | words[at : at + len(low)].astype(np.uint64)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 from functools import lru_cache
@@ -55,8 +56,13 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-#: Byte 0 stays, so that it can stand between words.
-BYTE_CHARACTERS = {b: c for b, c in byte_characters().items() if b}
+#: The character of each byte. Byte 0 stays, so that it can stand between words.
+BYTE_TABLE = "".join(byte_characters().get(b, chr(b)) if b else "\0" for b in range(256))
+
+
+def strings(column: pa.Array) -> list[str]:
+    """A string column without nulls as a list: ``to_pylist`` makes an Arrow scalar of each first."""
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 class TextEncoder:
@@ -89,26 +95,31 @@ class TextEncoder:
         """Ids of a blank and each unit, into the memo.
 
         What the pattern takes for a word is beyond doubt in units of sure letters and
-        ASCII characters: their words are encoded by the library's model one by one.
-        The library encodes all other units as texts.
+        ASCII characters: their words are encoded by the library's model one by one,
+        but for a blank and a unit that the memo has. The library encodes all other
+        units as texts.
         """
-        lone = [u for u in units if (u.isascii() and u.isalpha()) or SURE_LETTERS(u)]
-        self.recent.update(zip(lone, self._encode_words([" " + u for u in lone]), strict=True))
-        rest = [u for u in units if u not in self.recent]
-        mixed = [u for u in rest if SURE_TEXT(u)]
+        recent, older = self.recent, self.older
+        lone, mixed, rest = [], [], []
+        for u in units:
+            (lone if (u.isascii() and u.isalpha()) or SURE_LETTERS(u) else mixed if SURE_TEXT(u) else rest).append(u)
+        recent.update(zip(lone, self._encode_words([" " + u for u in lone]), strict=True))
         words = [SURE_WORDS(" " + u) for u in mixed]
-        new = list({w for some in words for w in some})
-        ids = dict(zip(new, self._encode_words(new), strict=True))
-        self.recent.update((u, b"".join([ids[w] for w in some])) for u, some in zip(mixed, words, strict=True))
-        rest = [u for u in rest if u not in self.recent]
-        self.recent.update(zip(rest, self._encode([" " + u for u in rest]), strict=True))
+        ids = dict.fromkeys(w for some in words for w in some)
+        for w in ids:
+            if w[0] == " ":
+                ids[w] = recent.get(w[1:]) or older.get(w[1:])
+        new = [w for w, known in ids.items() if known is None]
+        ids.update(zip(new, self._encode_words(new), strict=True))
+        recent.update((u, b"".join([ids[w] for w in some])) for u, some in zip(mixed, words, strict=True))
+        recent.update(zip(rest, self._encode([" " + u for u in rest]), strict=True))
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of words, each of which the pattern leaves whole."""
         if not words:
             return []
         # no word holds the character 0, which is left as it is
-        written = "\0".join(words).encode().decode("latin-1").translate(BYTE_CHARACTERS).split("\0")
+        written = codecs.charmap_decode("\0".join(words).encode(), "strict", BYTE_TABLE)[0].split("\0")
         encode, flat, ends = self.tokenizer.model.tokenize, [], []
         for w in written:
             flat += [t.id for t in encode(w)]
@@ -118,19 +129,20 @@ class TextEncoder:
 
     def _resolve(self, units: list[str]) -> list[bytes]:
         """Ids of a blank and each unit; the units differ."""
-        recent = self.recent
-        new = [u for u in units if u not in recent]
-        if len(recent) + len(new) > self.most:
-            self.older, self.recent, new = recent, {}, units
-            recent = self.recent
-        older, unknown = self.older, []
-        for u in new:
-            if (ids := older.get(u)) is None:
-                unknown.append(u)
-            else:
-                recent[u] = ids
-        self._learn(unknown)
-        return list(map(recent.__getitem__, units))
+        found = list(map(self.recent.get, units))
+        gaps = [k for k, ids in enumerate(found) if ids is None]
+        for k in gaps:
+            found[k] = self.older.get(units[k])
+        if len(self.recent) + len(gaps) > self.most:
+            self.older, self.recent = self.recent, {}
+            self.recent.update((u, ids) for u, ids in zip(units, found, strict=True) if ids is not None)
+        else:
+            self.recent.update((units[k], found[k]) for k in gaps if found[k] is not None)
+        gaps = [k for k in gaps if found[k] is None]
+        self._learn([units[k] for k in gaps])
+        for k in gaps:
+            found[k] = self.recent[units[k]]
+        return found
 
     def _units(self, parts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Ids of units; the unit of each part; the number of the mark that ends it, or -1. A part is a unit, or letters and a mark."""
@@ -138,7 +150,7 @@ class TextEncoder:
         coded = pc.dictionary_encode(unit)
         mark = pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(parts, -1), pa.array(list(self.mark_text), parts.type)), -1)
         as_numbers = lambda x: x.to_numpy(zero_copy_only=False).astype(np.int32)
-        return self._resolve(coded.dictionary.to_pylist()), as_numbers(coded.indices), np.where(cut.to_numpy(zero_copy_only=False), as_numbers(mark), np.int32(-1))
+        return self._resolve(strings(coded.dictionary)), as_numbers(coded.indices), np.where(cut.to_numpy(zero_copy_only=False), as_numbers(mark), np.int32(-1))
 
     def _plain(self, column: pa.Array) -> np.ndarray:
         return plain_texts(column, self.run)
@@ -156,7 +168,7 @@ class TextEncoder:
         # the first part of a text has no blank before it; a text that is not cut is a first part
         first = parts.take(pa.array(begins))
         first = first if plain.all() else pc.if_else(pa.array(plain), first, column)
-        table = [*units, *self.mark_ids, *self._encode(first.to_pylist())]
+        table = [*units, *self.mark_ids, *self._encode(strings(first))]
         index = coded.indices.to_numpy(zero_copy_only=False)
         entry, mark = unit[index], mark[index]
         entry[begins] = len(units) + len(self.mark_ids) + np.arange(len(begins))
@@ -174,9 +186,11 @@ class TextEncoder:
         start = np.cumsum(length) - length
         size = length[entries]
         ends = np.cumsum(size)
-        from_ = np.repeat(start[entries] - (ends - size), size)
-        from_ += np.arange(len(from_))
-        return flat[from_], np.add.reduceat(size, begins) if len(begins) else size
+        # places of ids; in 32 bits, which halves what is moved, unless there are too many
+        kind = np.int32 if max(len(flat), int(ends[-1]) if len(ends) else 0) < 1 << 31 else np.int64
+        from_ = np.repeat((start[entries] - (ends - size)).astype(kind), size)
+        from_ += np.arange(len(from_), dtype=kind)
+        return flat.take(from_), np.add.reduceat(size, begins) if len(begins) else size
 
 
 @lru_cache(maxsize=2)
