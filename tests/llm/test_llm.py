@@ -160,6 +160,19 @@ def test_text_encoder_asks_once(monkeypatch):
     assert new("x qoshem vunk pell ruvv zilm") == [" pell", " ruvv", " zilm"]  # anew again: what the older half had is kept
 
 
+def test_text_encoder_cuts_before_lines():
+    """A word that ends a line is the unit that it is elsewhere; the ids are the library's."""
+    from warraq.llm.tokens import TextEncoder
+
+    encoder = TextEncoder(registry.BPE_50K, 300)
+    encoder.encode(pa.array(["x qoshem. vunk wask"]))
+    texts = ["x wask qoshem.\nvunk wask.\nvunk", "\nvunk", "x\n", "\n", "", "x vunk\n\nvunk", "x vunk \n vunk", "x \nvunk", "x 'tis.\n's", "x\n\t"]
+    ids, counts = encoder.encode(pa.array(texts))
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+    assert set(encoder.recent) == {"x", "qoshem", "vunk", "wask", "", "\nvunk", "\n", "'tis.", "\n's"}
+
+
 def test_strings_and_byte_table():
     from warraq.llm.tokens import BYTE_TABLE, byte_characters, strings
 

@@ -291,6 +291,9 @@ class HotEncoder(TextEncoder):
     costs less than to remember it, and nothing grows with the texts.
     """
 
+    #: The pattern can take a line feed with the marks before it.
+    cut_lines = False
+
     def __init__(self, pattern: str, path: str, hot: HotWords):
         self.path = path
         self.split, self.hot, self.mark = Splitter(pattern), hot, MARK.to_bytes(4, "little")

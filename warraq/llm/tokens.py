@@ -68,13 +68,17 @@ def strings(column: pa.Array) -> list[str]:
 class TextEncoder:
     """Encodes texts by a byte-level ``tokenizers`` file; the strings of special tokens are ordinary text.
 
-    Texts in which white space comes one at a time are cut at their blanks: a
-    byte-level pattern goes on over no blank between two other characters, so the
-    ids of a part do not depend on its neighbours. Each part that differs is then
-    resolved once a batch, and the library meets only units that a bounded memo
-    lacks. Other texts are encoded whole.
+    Texts in which white space comes one at a time are cut at their blanks and before
+    their line feeds: a byte-level pattern goes on over no blank between two other
+    characters, and takes a line feed there by itself, so the ids of a part do not
+    depend on its neighbours. Each part that differs is then resolved once a batch,
+    and the library meets only units that a bounded memo lacks. Other texts are
+    encoded whole.
     """
 
+    #: Whether the pattern lets texts be cut before line feeds.
+    cut_lines = True
+
     def __init__(self, path: str, most: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -91,8 +95,13 @@ class TextEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    @staticmethod
+    def _in_text(unit: str) -> str:
+        """A unit after the blank that stands before it, unless a line feed does, which is the unit's own."""
+        return unit if unit.startswith("\n") else " " + unit
+
     def _learn(self, units: list[str]) -> None:
-        """Ids of a blank and each unit, into the memo.
+        """Ids of each unit as it stands in texts (see ``_in_text``), into the memo.
 
         What the pattern takes for a word is beyond doubt in units of sure letters and
         ASCII characters: their words are encoded by the library's model one by one,
@@ -104,7 +113,7 @@ class TextEncoder:
         for u in units:
             (lone if (u.isascii() and u.isalpha()) or SURE_LETTERS(u) else mixed if SURE_TEXT(u) else rest).append(u)
         recent.update(zip(lone, self._encode_words([" " + u for u in lone]), strict=True))
-        words = [SURE_WORDS(" " + u) for u in mixed]
+        words = [SURE_WORDS(self._in_text(u)) for u in mixed]
         ids = dict.fromkeys(w for some in words for w in some)
         for w in ids:
             if w[0] == " ":
@@ -112,7 +121,7 @@ class TextEncoder:
         new = [w for w, known in ids.items() if known is None]
         ids.update(zip(new, self._encode_words(new), strict=True))
         recent.update((u, b"".join([ids[w] for w in some])) for u, some in zip(mixed, words, strict=True))
-        recent.update(zip(rest, self._encode([" " + u for u in rest]), strict=True))
+        recent.update(zip(rest, self._encode(list(map(self._in_text, rest))), strict=True))
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of words, each of which the pattern leaves whole."""
@@ -128,7 +137,7 @@ class TextEncoder:
         return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def _resolve(self, units: list[str]) -> list[bytes]:
-        """Ids of a blank and each unit; the units differ."""
+        """Ids of each unit as it stands in texts; the units differ."""
         found = list(map(self.recent.get, units))
         gaps = [k for k, ids in enumerate(found) if ids is None]
         for k in gaps:
@@ -159,7 +168,7 @@ class TextEncoder:
         """Ids (uint32) of all texts of a string column without nulls, and how many each text has."""
         plain = self._plain(column)
         cut = column if plain.all() else pc.if_else(pa.array(plain), column, pa.scalar("", column.type))
-        lists = pc.split_pattern(cut, " ")
+        lists = pc.split_pattern(pc.replace_substring(cut, "\n", " \n") if self.cut_lines else cut, " ")
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         parts = lists.flatten()
         coded = pc.dictionary_encode(parts)
