@@ -92,6 +92,14 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .middle import fill_in_middle, restored
+
+    out = fill_in_middle(_table(spark, sf_dir, "documents"), rate=90, spm=20, seed=1)
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_packing": op2_packing,
@@ -103,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_repeats": op10_repeats,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 URL_SQL = f"""with p as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as rest from pages),
 h as (select page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from p),
@@ -123,4 +132,12 @@ b as (select *, (n_words < 10)::int + 2 * (100 * n_repeat_words > 20 * n_words):
  + 16 * (word_chars < 2 * n_words or word_chars > 20 * n_words)::int + 32 * (2 * capitals > n_words)::int + 64 * (5 * shouts > n_words)::int as failure_bits from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failure_bits & 3 <> 0 as base_failed, failure_bits = 0 as kept, failure_bits::bigint as failure_bits from b"""
 
-ORACLE_SQL: dict[str, str] = {"op3_url_filters": URL_SQL, "op9_quality_rules": QUALITY_SQL}
+MIDDLE_SQL = """with t as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+h as (select doc_id, t, u, len(u) as n, [('0x' || substr(h, 8 * k + 1, 8))::bigint for k in range(4)] as h from t),
+c as (select doc_id, t, u, n, least(h[1] % (n + 1), h[2] % (n + 1)) as a, greatest(h[1] % (n + 1), h[2] % (n + 1)) as b,
+ case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 90 then 'plain' when h[4] % 100 < 20 then 'spm' else 'psm' end as form from h),
+p as (select *, array_to_string(u[1 : a], '') as pre, array_to_string(u[a + 1 : b], '') as mid, array_to_string(u[b + 1 : n], '') as suf from c)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+ sha256(case form when 'plain' then t when 'spm' then '<S>' || suf || '<P>' || pre || '<M>' || mid else '<P>' || pre || '<S>' || suf || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256 from p"""
+
+ORACLE_SQL: dict[str, str] = {"op3_url_filters": URL_SQL, "op9_quality_rules": QUALITY_SQL, "op13_fill_in_middle": MIDDLE_SQL}
