@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from warraq.llm import middle
+from warraq.llm import lexical, middle
 
 SCHEMA = "doc_id bigint, text string, output string, form string, n int, h1 string"
 
@@ -71,3 +71,58 @@ def test_rank_and_select(bits, data):
     ones = [i for i, b in enumerate(bits) if b]
     k = np.arange(len(ones) + 3)
     assert found.select(k).tolist() == ones + [len(bits)] * 3
+
+
+def ranked(rows, queries, k):
+    """Brute force in whole numbers."""
+    terms = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")]
+    docs = [(i, Counter(terms(t))) for i, t in rows]
+    n_docs, total = sum(bool(c) for _, c in docs), sum(sum(c.values()) for _, c in docs)
+    df = Counter(t for _, c in docs for t in c)
+    out = []
+    for item, text in set(queries):
+        scored = []
+        for i, c in docs:
+            m = 75 + 25 * sum(c.values()) * n_docs // max(total, 1)
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 12 * m)) for t in terms(text) if c[t])
+            scored += [(-score, i is None, i)] if score else []
+        out += [(item, r + 1, i, -s) for r, (s, _, i) in enumerate(sorted(scored, key=lambda x: (x[0], x[1], x[2] or 0))[:k])]
+    return Counter(out)
+
+
+@pytest.mark.parametrize(("shard", "block"), [(4 << 20, 256), (300, 2)])
+def test_ranked_search(spark, monkeypatch, shard, block):
+    monkeypatch.setattr(lexical, "SHARD", shard)
+    monkeypatch.setattr(lexical, "BLOCK", block)
+    r = random.Random(11)
+    words = ["the", "The", "naïve", "İx", "中文", "a1", "x-y", "_", "...", "\u00a0", "Zebra", *("w%d" % k for k in range(60))]
+    rows = [(i, " ".join(r.choices(words, k=r.randint(0, 40)))) for i in range(300)]
+    rows += [(1000 + i, "copy of a zebra text w1 w2") for i in range(70)] + [(2000, None), (2001, ""), (2002, "... --"), rows[5], rows[5], (None, "w3 w3 zebra"), (None, "w3 w3 zebra"), (2003, "w7 " * 9000)]
+    queries = [(k, " ".join(r.choices(words, k=r.randint(1, 12)))) for k in range(25)] + [(90, None), (91, ""), (92, "unknown terms alone"), (93, "copy zebra"), (94, "w7 w7 w7"), (95, "THE İX"), (None, "w1 w2"), (94, "w7 w7 w7"), (94, "w8")]
+    docs = spark.createDataFrame([(i, t, "o", "f", 1, "h") for i, t in rows], SCHEMA).repartition(3)
+    items = spark.createDataFrame([(i, t, 5) for i, t in queries], "item_id bigint, text string, score int")
+    for k in (1, 20):
+        got = Counter(map(tuple, lexical.ranked_documents(docs, items, k).collect()))
+        assert got == ranked(rows, queries, k)
+    index = lexical.build_index(docs)
+    again = lexical.search(index, items.where("item_id < 3"), 5)
+    assert Counter(map(tuple, again.collect())) == ranked(rows, [q for q in queries if q[0] is not None and q[0] < 3], 5)
+    assert lexical.ranked_documents(docs.limit(0), items).collect() == []
+    assert lexical.ranked_documents(docs, items.limit(0)).collect() == []
+
+
+def test_impacts_are_bounds():
+    """A byte never stands for less than the exact impact, and its predecessor never for as much."""
+    r = random.Random(3)
+    tf = np.asarray([r.choice([1, 2, 5, 100, 10**6]) for _ in range(5000)], np.int64)
+    m = np.asarray([r.choice([75, 80, 100, 1000, 10**7, 10**9]) for _ in range(5000)], np.int64)
+    s = lexical.impacts(tf, m)
+    u = -(-s // lexical.STEP)
+    assert u.max() <= 255 and (s <= u * lexical.STEP).all() and (s > (u - 1) * lexical.STEP).all()
+
+
+def test_ranked_search_of_a_long_text(spark):
+    """A text of 20 MiB is a shard of its own."""
+    docs = spark.createDataFrame([(1, "needle in hay"), (2, "hay " * (5 << 20) + "needle"), (3, "")], "doc_id bigint, text string").coalesce(1)
+    items = spark.createDataFrame([(7, "needle hay")], "item_id int, text string")
+    assert Counter(map(tuple, lexical.ranked_documents(docs, items).collect())) == ranked([(1, "needle in hay"), (2, "hay " * (5 << 20) + "needle"), (3, "")], [(7, "needle hay")], 20)

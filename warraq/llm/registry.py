@@ -92,6 +92,12 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import ranked_documents
+
+    return ranked_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .middle import fill_in_middle, restored
 
@@ -111,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_repeats": op10_repeats,
+    "op11_ranked_search": op11_ranked_search,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 URL_SQL = f"""with p as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as rest from pages),
@@ -140,4 +147,14 @@ p as (select *, array_to_string(u[1 : a], '') as pre, array_to_string(u[a + 1 :
 select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
  sha256(case form when 'plain' then t when 'spm' then '<S>' || suf || '<P>' || pre || '<M>' || mid else '<P>' || pre || '<S>' || suf || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256 from p"""
 
-ORACLE_SQL: dict[str, str] = {"op3_url_filters": URL_SQL, "op9_quality_rules": QUALITY_SQL, "op13_fill_in_middle": MIDDLE_SQL}
+RANKED_SQL = r"""with d as (select row_number() over () as r, doc_id, [translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') for x in regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')] as ts from documents),
+q as (select distinct item_id, text, [translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') for x in regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')] as ts from benchmark),
+s as (select count(*)::bigint as n, sum(len(ts))::bigint as l from d where len(ts) > 0),
+p as (select r, term, count(*)::bigint as tf from (select r, unnest(ts) as term from d) group by r, term),
+w as (select term, floor(1000 * ln((2.0::double * n + 2) / (2 * count(*) + 1)))::bigint as w from p, s group by term, n),
+t as (select item_id, text, unnest(ts) as term from q),
+f as (select r, doc_id, 75 + (25 * len(ts) * n) // l as m from d, s where len(ts) > 0),
+x as (select item_id, text, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score from t join p using (term) join w using (term) join f using (r) group by item_id, text, doc_id, r)
+select item_id, row_number() over (partition by item_id, text order by score desc, doc_id)::int as rank, doc_id, score from x where score > 0 qualify rank <= 20"""
+
+ORACLE_SQL: dict[str, str] = {"op3_url_filters": URL_SQL, "op9_quality_rules": QUALITY_SQL, "op11_ranked_search": RANKED_SQL, "op13_fill_in_middle": MIDDLE_SQL}
