@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from warraq.llm import lexical, middle
+from warraq.llm import lexical, middle, vectors
 
 SCHEMA = "doc_id bigint, text string, output string, form string, n int, h1 string"
 
@@ -126,3 +126,86 @@ def test_ranked_search_of_a_long_text(spark):
     docs = spark.createDataFrame([(1, "needle in hay"), (2, "hay " * (5 << 20) + "needle"), (3, "")], "doc_id bigint, text string").coalesce(1)
     items = spark.createDataFrame([(7, "needle hay")], "item_id int, text string")
     assert Counter(map(tuple, lexical.ranked_documents(docs, items).collect())) == ranked([(1, "needle in hay"), (2, "hay " * (5 << 20) + "needle"), (3, "")], [(7, "needle hay")], 20)
+
+
+def planted_vectors(seed, dims=64):
+    r = np.random.default_rng(seed)
+    rows, base = [], r.standard_normal((500, dims))
+    near = lambda v, c: c * v / np.linalg.norm(v) + math.sqrt(1 - c * c) * (lambda w: w / np.linalg.norm(w))(r.standard_normal(dims) - v * 0)
+    for k, v in enumerate(base):
+        rows.append((k, v.tolist(), k % 3))
+    for k in range(0, 300, 2):  # pairs at and about the threshold
+        rows.append((1000 + k, (near(base[k], r.uniform(0.97, 0.999)) * r.uniform(0.01, 90)).tolist(), k % 3))
+    for k in range(120):  # a large group of near copies, and exact copies
+        rows.append((2000 + k, near(base[1], 0.996).tolist(), 1))
+        rows.append((3000 + k, base[4].tolist(), 1))
+    rows += [(4000, base[4].tolist(), 2), (4001, base[4].tolist(), None), (4002, None, 1), (4003, [0.0] * dims, 1), (4004, [float("nan")] + [1.0] * (dims - 1), 1)]
+    rows += [(4005, [None] + [1.0] * (dims - 1), 1), (4006, [float("inf")] * dims, 1), (4007, [], 1), (4008, [1.0, 2.0], 1), (4009, [2.0, 4.0], 1), (4010, (base[7] * 1e300).tolist(), 1)]
+    rows += [(4011, (base[7] * 1e-300).tolist(), 1), (None, base[10].tolist(), 1), (None, base[10].tolist(), 1), (None, None, 1), rows[20], (4012, [*base[7].tolist(), 0.0], 1)]
+    return rows
+
+
+def brute_links(rows, threshold=0.98):
+    units = []
+    for _, v, label in rows:
+        ok = label is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)
+        x = np.asarray(v, float) / max(map(abs, v)) if ok else None
+        units.append(x / np.linalg.norm(x) if ok else None)
+    return [(a, b) for a in range(len(rows)) for b in range(a) if units[a] is not None and units[b] is not None and rows[a][2] == rows[b][2] and len(units[a]) == len(units[b]) and units[a] @ units[b] >= threshold]
+
+
+def by_links(rows, links):
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    count = Counter()
+    for a, b in links:
+        count[a] += 1
+        count[b] += 1
+        up[max(find(a), find(b))] = min(find(a), find(b))
+    least = {}
+    for k, (i, *_) in enumerate(rows):
+        least[find(k)] = min((x for x in (least.get(find(k)), i) if x is not None), default=None)
+    return Counter((i, count[k], least[find(k)], i == least[find(k)]) for k, (i, *_) in enumerate(rows))
+
+
+@pytest.mark.parametrize("dims", [64, 96, 5])
+def test_near_vectors(spark, monkeypatch, dims):
+    rows = planted_vectors(dims, dims)
+    table = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id bigint, embedding array<double>, label int, code int, home string").repartition(4)
+    links = brute_links(rows)
+    got = vectors.near_vectors(table).collect()
+    # no link that is none, and nearly all that are: a part of the pairs near the threshold may be missed
+    want = by_links(rows, links)
+    found, exist = sum(r.n_links for r in got), 2 * len(links)
+    assert found <= exist and found >= 0.97 * exist, (found, exist)
+    assert len(got) == len(rows) and sum((Counter(map(tuple, got)) & want).values()) >= 0.95 * len(rows)
+    # every pair at 0.99 and more in one component: 2000-2119 with their base, the copies, the scaled ones
+    component = {r.vec_id: r.component_id for r in got}
+    assert len({component[2000 + k] for k in range(120)} | {component[1]}) == 1
+    assert {component[3000 + k] for k in range(120)} == {component[4]} and component[4000] == 4000 and component[4001] == 4001
+    assert component[4010] == component[4011] == component[7] and component[4009] == component[4008] == 4008 and component[4012] == 4012
+    # blocks of a bucket change nothing
+    monkeypatch.setattr(vectors, "CELL", 16)
+    assert Counter(map(tuple, vectors.near_vectors(table).collect())) == Counter(map(tuple, got))
+
+
+def test_near_vectors_of_nothing(spark):
+    table = spark.createDataFrame([(1, None, 1), (2, [0.0], 1), (3, [1.0], None)], "vec_id bigint, embedding array<float>, label int")
+    assert {tuple(r) for r in vectors.near_vectors(table).collect()} == {(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True)}
+    assert vectors.near_vectors(table.limit(0)).collect() == []
+    two = spark.createDataFrame([(5, [1.0, 1.0], 1), (4, [2.0, 2.0], 1)], table.schema)
+    assert {tuple(r) for r in vectors.near_vectors(two).collect()} == {(4, 1, 4, True), (5, 1, 4, False)}
+
+
+def test_rotation_is_balanced():
+    """Bits are cut at medians, and the learned rotation is one."""
+    x = vectors.unit(np.random.default_rng(5).standard_normal((3000, 80)) * np.linspace(3, 0.1, 80) + 0.3)
+    model = vectors.learn(x)
+    ones = np.unpackbits(model.codes(x)[:, None].view(np.uint8), axis=1).mean(axis=0)
+    assert model.bits == 64 and np.abs(ones - 0.5).max() < 0.01
+    assert np.allclose(model.axes.T @ model.axes, np.eye(64))
