@@ -372,6 +372,32 @@ def test_html_under_marked_wrappers(page, want):
     assert html_text.main_text(page) == want
 
 
+LONG = "".join(f"<p>Paragraph {k} of a section that is long enough to be read as a part of the article, and it goes on.</p>" for k in range(4))
+LONG_WANT = "\n\n".join(f"Paragraph {k} of a section that is long enough to be read as a part of the article, and it goes on." for k in range(4))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article>{PROSE}<section id='full-text-search'><h2>Search</h2>{LONG}</section></article>", f"{WANT}\n\nSearch\n\n{LONG_WANT}"),
+        (f"<article>{PROSE}<section id='search'><h2>Search</h2>{LONG}</section></article>", f"{WANT}\n\nSearch\n\n{LONG_WANT}"),
+        *((f"<article><h2 id='{i}'>A heading</h2>{PROSE}</article>", f"A heading\n\n{WANT}") for i in ("related-work", "social-impact", "form-of-government", "comments", "search")),
+        *((f"<article>{PROSE}<{t} class='{c}'>Some words that stay</{t}></article>", f"{WANT}\n\nSome words that stay") for t, c in (("div", "social-history"), ("blockquote", "profit-share"), ("p", "box alert-none"), ("p", "notice"), ("div", "code-comment-style"))),
+        (f"<article>{PROSE}<pre><span class='comment'># a remark</span> x = 1</pre></article>", f"{WANT}\n\n# a remark x = 1"),
+        (f"<article>{PROSE}<p><label>Fig. 1</label> words</p></article>", f"{WANT}\n\nFig. 1 words"),
+        (f"<body><div class=page><h1>Title</h1><p class=lead>The lead of it.</p>{MENU}<div class=text>{PROSE}</div></div>{FOOT}", f"Title\n\nThe lead of it.\n\n{WANT}"),
+        (f"<body>{MENU}<h1>Title</h1><p>The lead of it.</p><div class=text>{PROSE}</div>{FOOT}", f"Title\n\nThe lead of it.\n\n{WANT}"),
+        # what is furniture in an article goes all the same
+        *((f"<article>{PROSE}<div class='{c}'>Some words to go</div>{PROSE}</article>", f"{WANT}\n\n{WANT}") for c in ("ad", "ad-300x250 top", "share-box", "notice", "related posts", "newsletter_box", "comments", "sidebar-left")),
+        (f"<article>{PROSE}<div id='social-links'><a href=1>{'Share ' * 60}</a></div></article>", WANT),
+        (f"<body>{MENU}<div id='site-footer'><p>All rights</p></div><div>{PROSE}</div><div class='sponsored-story'><p>Buy</p></div>", WANT),
+        (f"<article>{PROSE}</article><div class=comment-list><p class=comment>{PROSE * 2}</p></div>", WANT),
+    ],
+)
+def test_html_names_in_articles(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_html_generated():
     """Pages made of an article's blocks, marked boxes and wrappers at random: the text is what was put in."""
     r = random.Random(11)
@@ -379,7 +405,8 @@ def test_html_generated():
     for _ in range(300):
         blocks = [sentence() for _ in range(r.randint(3, 12))]
         tags = [r.choice(["p", "p", "p", "h2", "blockquote", "pre"]) for _ in blocks]
-        inner = "".join(f"<{t}>{r.choice(['', ' '])}{b.replace(' ', r.choice([' ', chr(10), '  ']), 1)}</{t}>" for t, b in zip(tags, blocks, strict=True))
+        name = lambda: r.choice(["", "", " id='related-work'", " id='search-and-form'", " class='profit-share'", " class='social history'", " class='text notice-none'", " id='comments-on-x'"])
+        inner = "".join(f"<{t}{name()}>{r.choice(['', ' '])}{b.replace(' ', r.choice([' ', chr(10), '  ']), 1)}</{t}>" for t, b in zip(tags, blocks, strict=True))
         box = lambda: r.choice([MENU, FOOT, "", f"<div class='{r.choice(['ad', 'share-box', 'related posts', 'sidebar left'])}'>{r.choice(['', '<p>'])}{sentence()[:60]}</div>", f"<script>var x = '<p>{sentence()}</p>'</script>", "<!-- <p>no</p> -->"])
         core = f"<{(tag := r.choice(['article', 'main', 'div']))}>{inner}</{tag}>"
         page = box() + core + box()

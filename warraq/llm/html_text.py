@@ -4,10 +4,19 @@ Every page is parsed to a tree. Each element gets its characters per tag, adjust
 for link characters and link tags; an element's density sum adds the densities of
 its children; the element with the largest sum is the core of the article. From
 there the choice widens along the path to the body as long as the element above is
-at least as dense as the body and holds no page furniture of its own. Elements that
+at least as dense as the body; where that element holds page furniture, or is the body
+itself, it lends the title and the paragraphs between it and the article. Elements that
 their tag, class, id or role marks as furniture are left out, but for those around
 the article itself.
 
+What a name marks: a class, id or role whose words are marks, or marks beside words of
+place and shape (``site-footer``, but not ``full-text-search`` or ``related-work``), and
+outside of articles a class with one of the words that are marks wherever they stand.
+Headings, paragraphs, quotes, list items and inline elements go only by such a word
+alone, outside of articles also if all names of their class are marks; other boxes of an article that a doubtful word marks go only if
+half of their text is links or they are short: less than BOX characters or than a tenth
+of the article.
+
 Defined results: null or empty html gives an empty text; tags that are never
 closed, closed twice or cut off end where their parents do; repeated rows are
 extracted each by itself; an empty table gives an empty table; columns other than
@@ -29,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<""", re.S)
-NAMES = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+NAMES = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 HIDDEN = re.compile(r"""(?i)(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""")
 
 #: Element names of HTML by their part in a page.
@@ -40,6 +49,7 @@ BLOCK = frozenset(
 )
 FURNITURE = frozenset("nav aside form footer header menu".split())
 DROPPED = FURNITURE | RAW | frozenset("head button select option datalist input label object applet audio video canvas map dialog".split())
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd figure figcaption td th tr".split())
 #: A new element of the first kind ends an open one of the second, unless one of the third stands between.
 ENDS = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])),
@@ -58,6 +68,15 @@ MARKS = frozenset(
     "footer header masthead cookie cookies consent gdpr notice notices alert newsletter subscribe share sharing social related recommended comment comments "
     "reply replies disqus respond login signin signup register popup modal overlay widget pagination pager copyright complementary contentinfo search form toolbar".split()
 )
+#: Those of them that mark wherever they stand in a class; the others are words of articles too.
+STRONG = frozenset(
+    "ad ads adv advert adverts advertisement sponsor sponsored promo navbar topnav breadcrumb breadcrumbs sidebar footer masthead cookie cookies gdpr newsletter disqus signin signup popup modal pager pagination".split()
+)
+#: Words of place and shape that stand beside marks in names of furniture.
+SHAPES = frozenset(
+    "top bottom left right main site page global primary secondary mobile desktop sticky fixed wrapper wrap container inner outer box boxes block blocks area section list items item links link bar button buttons "
+    "icon icons body content text post posts article entry col column row group panel unit slot zone region title label form author meta bottom id new v".split()
+)
 ARTICLE = frozenset(["article", "main"])
 #: Words of a name such as has-sidebar or no-comments, by which it tells of a page's state and not of what the element is.
 STATES = frozenset("has have no not with without hide hides show shows is open".split())
@@ -68,36 +87,56 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: A marked wrapper of a page holds more characters than this.
 WRAPPER = 120
 
+#: A doubtful box of an article that stays holds at least so many characters.
+BOX = 240
+
 NO, SOFT, FOR_GOOD = range(3)
+#: Left out only if it is short or full of links.
+DOUBTFUL = 3
 
 
-def _marks(attributes: str) -> set[str]:
-    """The words of an element's class, id and role that mark what is not the article."""
-    found: set[str] = set()
+def _marks(attributes: str) -> tuple[set[str], set[str], bool]:
+    """The marks of an element's class, id and role: of names that hold nothing else, and of all others that mark wherever they stand; whether all names of its class or role are of the first kind."""
+    whole: set[str] = set()
+    words_: set[str] = set()
+    alone, others = False, False
     for m in NAMES.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").lower().split():
-            words = re.split(r"[^a-z0-9]+", name)
-            if STATES.isdisjoint(words):
-                found.update(MARKS.intersection(words))
-    return found
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            words = [w for w in re.split(r"[^a-z0-9]+", name) if w and not w[0].isdigit()]
+            if not STATES.isdisjoint(words):
+                continue
+            marks = MARKS.intersection(words)
+            if marks and all(w in MARKS or w in SHAPES for w in words):
+                whole |= marks
+                alone |= m[1].lower() != "id"
+            elif m[1].lower() != "id":
+                words_ |= marks & STRONG
+                others = True
+    return whole, words_, alone and not others
 
 
 def _unwanted(tag: str, attributes: str, in_article: bool) -> int:
-    """Whether an element is left out: no, unless it holds the article, or always."""
+    """Whether an element is left out: no, unless it holds the article, always, or if it is short or full of links."""
     if tag in DROPPED:
-        if tag == "header" and in_article:
+        if in_article and tag in ("header", "label"):
             return NO
         return SOFT if tag in FURNITURE else FOR_GOOD
     if not attributes or tag in ("html", "body"):
         return NO
     if HIDDEN.search(attributes):
         return FOR_GOOD
-    words = _marks(attributes)
-    if COMMENTS & words:
+    whole, words, alone = _marks(attributes)
+    if tag not in BLOCK or tag in PLAIN:
+        plain = tag in BLOCK and not in_article and alone
+        return FOR_GOOD if plain and COMMENTS & whole else SOFT if whole & STRONG or plain else NO
+    if COMMENTS & whole:
         return FOR_GOOD
     if tag in ARTICLE:
         return NO
-    return SOFT if (words - {"header"} if in_article else words) else NO
+    if in_article:
+        whole.discard("header")
+        return SOFT if whole & STRONG else DOUBTFUL if whole else NO
+    return SOFT if whole or words else NO
 
 
 class Page:
@@ -151,7 +190,7 @@ class Page:
         element would stay otherwise, that element is the wrapper of the page and stays.
         """
         n = len(self.tag)
-        text, blocks, linked, below = [0] * n, [0] * n, [False] * n, [[] for _ in range(n)]
+        text, blocks, linked, below, links = [0] * n, [0] * n, [False] * n, [[] for _ in range(n)], [0] * n
         for k, t in self.events:
             if t and self.tag[k] != "br":
                 text[k] += len(t.strip())
@@ -162,12 +201,20 @@ class Page:
             linked[k] = linked[p] or self.tag[k] == "a"
             below[p].append(k)
             if gone[k] or linked[k]:
+                links[k] = text[k] * linked[k]
                 text[k] = 0
         prose = text.copy()
         for k in range(n - 1, 0, -1):
             p = self.parent[k]
             blocks[p] += blocks[k] + (self.tag[k] in PROSE and text[k] > 0)
             prose[p] += prose[k]
+            links[p] += links[k]
+        whole = [0] * n
+        for k in range(1, n):
+            whole[k] = whole[self.parent[k]] if self.article[self.parent[k]] else prose[k]
+            if self.own[k] == DOUBTFUL:
+                stays = links[k] < prose[k] and prose[k] >= max(BOX, whole[k] / 10)
+                self.own[k] = NO if stays else SOFT
         skip = self._inherited()
         articles = [k for k in range(1, n) if self.tag[k] in ARTICLE and prose[k] and not gone[k]]
         if articles and all(skip[k] for k in articles):
@@ -268,8 +315,8 @@ def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, bo
     return chars / tags * math.log(max(value, 1.0)) / max(math.log(max(base, 1.0)), 1.0)
 
 
-def core(page: Page) -> tuple[int, list[int], list[int], list[int]]:
-    """The element whose text is the article, with the page's characters, link characters and link tags."""
+def core(page: Page) -> tuple[int, set[int], list[int], list[int], list[int]]:
+    """The element whose text is the article, elements before it that belong to it, and the page's characters, link characters and link tags."""
     chars, tags, links, link_tags = page.sums()
     n, body = len(page.tag), page.body
     share = links[body] / max(chars[body], 1)
@@ -285,18 +332,30 @@ def core(page: Page) -> tuple[int, list[int], list[int], list[int]]:
     for k in range(body + 1, n):
         inside[k] = inside[page.parent[k]]
     best = max((k for k in range(n) if inside[k] and not page.skip[k]), key=lambda k: (total[k], -k), default=body)
-    # towards the body: at least its density, and no furniture beside the article; an article element is taken whole
-    k = best
+    # towards the body: at least its density; an article element is taken whole
+    k, lent = best, set()
     while k not in (body, 0):
         p = page.parent[k]
-        if p in (body, 0):
+        if page.article[k] and not page.article[p]:
             break
-        if page.article[p] or (density[p] >= density[body] and not furniture[p]):
+        if p in (body, 0) or furniture[p]:
+            if p and not page.article[best] and (p == body or density[p] >= density[body]):
+                lent |= _heading(page, p, k)
+            if p in (body, 0):
+                break
+        elif page.article[p] or density[p] >= density[body]:
             best = p
-        elif not page.article[k]:
-            break
         k = p
-    return best, chars, links, link_tags
+    return best, lent, chars, links, link_tags
+
+
+def _heading(page: Page, parent: int, child: int) -> set[int]:
+    """The title of ``parent`` and the paragraphs between it and ``child``, which holds the article."""
+    found: set[int] = set()
+    for k in range(parent + 1, child):
+        if page.parent[k] == parent and not page.skip[k] and page.tag[k] in PLAIN and (found or page.tag[k] == "h1"):
+            found.add(k)
+    return found
 
 
 def main_text(source: str | None) -> str:
@@ -304,11 +363,13 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = Page(source)
-    best, chars, links, link_tags = core(page)
+    best, lent, chars, links, link_tags = core(page)
     n = len(page.tag)
     inside = [False] * n
-    inside[best] = True
-    for k in range(best + 1, n):
+    for k in range(n):
+        if k == best or k in lent or not k:
+            inside[k] = k == best or k in lent
+            continue
         # lists and boxes of links are menus, but not in an article
         menu = not page.article[k] and link_tags[k] >= 2 and page.tag[k] in ("ul", "ol", "div", "section", "table", "dl") and 5 * links[k] >= 4 * chars[k]
         inside[k] = inside[page.parent[k]] and not page.skip[k] and not menu
