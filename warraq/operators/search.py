@@ -4,11 +4,11 @@ Books are tables of pages, excerpts are rows; both carry the book they belong to
 Texts are normalised aggressively on both sides.
 
 Exact hits: an excerpt stands on the page where it begins, and may go on over the
-following pages. Its rarest whole word is joined to the places where pages have that
-word, and each place is compared with the excerpt, page by page. Approximate hits:
-rare grams of an excerpt are joined to their places on pages and page breaks; each
-place gives a window of about the excerpt's length, and the edit distance between the
-two decides.
+following pages. The places of its rarest gram are compared with the excerpt, page by
+page. Approximate hits: rare grams of an excerpt give their places on pages and page
+breaks; each place gives a window of about the excerpt's length, and the edit distance
+between the two decides. The grams' places come from a ``page_index``; ``exact_hits`` does
+without one and starts from each pattern's rarest word.
 
 No step needs a book in one task: pages are numbered by ranges, and neighbours are
 found by the stretches of the book's characters that they lie on. Lists that come
@@ -18,6 +18,8 @@ those below its threshold and shuffles larger ones.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ from ..sources.shared import saved
 LEAD = 12
 #: Characters of a stretch by which neighbouring pages meet.
 STRETCH = 4096
+
+
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -166,7 +170,11 @@ def exact_hits(book: DataFrame, patterns: DataFrame) -> DataFrame:
     """
     book = saved(build_book(book.withColumnRenamed("page", "name").withColumnRenamed("idx", "page")).withColumnRenamed("page", "idx"), "book")
     patterns = patterns.where(F.length("pattern") > 0).select("book_id", "pattern")
-    at = _places(book, patterns, ["book_id"], ["book_id"], ["book_id", "idx"])
+    return confirmed(book, _places(book, patterns, ["book_id"], ["book_id"], ["book_id", "idx"]))
+
+
+def confirmed(book: DataFrame, at: DataFrame) -> DataFrame:
+    """(book_id, pattern, idx, page): the pages on which patterns begin that stand at places ``at`` (book_id, idx, pattern, at), relative to a page that the pattern lies on; ``book`` is (book_id, idx, name, start, len, text)."""
     pages = book.select("book_id", "idx", "name", "start", F.concat("text", F.lit(" ")).alias("text"))
     size = F.length("pattern")
     # of a page from ``start`` and a pattern from ``begin``: what both hold, compared
@@ -177,10 +185,14 @@ def exact_hits(book: DataFrame, patterns: DataFrame) -> DataFrame:
     near = saved(near.select("book_id", "pattern", "idx", "name", "begin", whole.alias("whole")), "near-places")
     inside = near.where("whole").select("book_id", "pattern", "idx", F.col("name").alias("page"))
     over = near.where("not whole").select("book_id", "pattern", "begin").distinct()
-    over = over.select("*", F.explode(_stretches(F.greatest(F.col("begin"), F.lit(0)), F.col("begin") + size - 1)).alias("stretch"))
-    laid = pages.select("*", F.explode(_stretches(F.col("start"), F.col("start") + F.length("text") - 1)).alias("stretch"))
+    over = saved(over.select("*", F.explode(_stretches(F.greatest(F.col("begin"), F.lit(0)), F.col("begin") + size - 1)).alias("stretch")), "over-breaks")
+    # which pages a pattern lies on is told by numbers; only these pages' texts are brought to it
+    laid = book.select("book_id", "idx", "start", (F.col("start") + F.col("len") + 1).alias("end"))
+    laid = laid.select("*", F.explode(_stretches(F.col("start"), F.col("end") - 1)).alias("stretch"))
+    first = F.greatest(F.col("begin"), F.col("start"))
     # pages and patterns that meet on several stretches are compared on the first
-    meet = over.join(laid, ["book_id", "stretch"]).where((high > low) & (F.col("stretch") == F.floor(low / STRETCH)))
+    met = over.join(laid, ["book_id", "stretch"]).where((F.least(F.col("begin") + size, F.col("end")) > first) & (F.col("stretch") == F.floor(first / STRETCH)))
+    meet = met.select("book_id", "pattern", "begin", "idx").join(pages, ["book_id", "idx"])
     parts = meet.groupBy("book_id", "pattern", "begin").agg(F.min(same).alias("same"), F.sum(high - low).alias("n"), F.min(F.struct("idx", "name")).alias("o"))
     across = parts.where(F.col("same") & (F.col("n") == size)).select("book_id", "pattern", "o.idx", F.col("o.name").alias("page"))
     return inside.unionByName(across).distinct()
@@ -200,9 +212,15 @@ def pattern_occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def candidates(seeds: DataFrame, postings: DataFrame, policy: MatchPolicy) -> DataFrame:
     """(book_id, pattern, idx, page, start, seam, rank): places to verify, in the order in which seeds and postings give them."""
+    rows = ranked_places(postings.drop("page").join(seeds.withColumn("size", F.length("pattern")), ["book_id", "gram"]), policy)
+    return rows.join(postings.select("book_id", "idx", "page").distinct(), ["book_id", "idx"]).select("book_id", "pattern", "idx", "page", "start", "seam", "rank")
+
+
+def ranked_places(rows: DataFrame, policy: MatchPolicy) -> DataFrame:
+    """(book_id, pattern, idx, start, seam, rank) of seeds at their postings (book_id, pattern, size, seed, offset, idx, pos, seam); ``pattern`` may be a name, ``size`` is its length."""
     at = F.col("pos") - F.col("offset")
-    rows = postings.join(seeds, ["book_id", "gram"]).where(at >= -F.floor(F.length("pattern") * 0.25)).withColumn("start", F.greatest(F.lit(0), at))
-    place = ["book_id", "pattern", "idx", "page", "start", "seam"]
+    rows = rows.where(at >= -F.floor(F.col("size") * 0.25)).withColumn("start", F.greatest(F.lit(0), at))
+    place = ["book_id", "pattern", "idx", "start", "seam"]
     first = rows.groupBy(*place).agg(F.min(F.struct("seed", "seam", "idx", "pos")).alias("o"))
     rank = F.row_number().over(W.partitionBy("book_id", "pattern").orderBy("o"))
     return first.withColumn("rank", rank).where(F.col("rank") <= policy.max_candidates_per_excerpt).drop("o")
@@ -281,21 +299,12 @@ def verified(places: DataFrame, book: DataFrame, seams: DataFrame, policy: Match
     return near.groupBy("book_id", "pattern", "idx", "page", "start", "seam", "rank", "acceptance").agg(F.min("dist").alias("dist"))
 
 
-def _fuzzy(book: DataFrame, open_: DataFrame, policy: MatchPolicy) -> DataFrame:
-    """Verified candidates of the patterns in ``open_``."""
-    seams = saved(create_seams(book, policy.seam_len), "seams")
-    grams = saved(excerpt_grams(open_, policy.q), "excerpt-grams")
-    postings = qgram_postings(book, seams, policy.q)
-    # grams that no excerpt has never leave their partition; the places of those that are not rare are counted and no more
-    wanted = saved(grams.select("book_id", "gram").distinct(), "wanted-grams")
-    seeds = saved(pick_rare(grams, postings.join(wanted, ["book_id", "gram"], "left_semi"), policy.grams_per_excerpt), "seeds")
-    places = saved(candidates(seeds, postings, policy), "candidates")
-    starts = build_book(book.select("book_id", F.col("idx").alias("page"), "text")).withColumnRenamed("page", "idx")
-    return verified(places, saved(starts, "starts"), seams, policy)
+def passing_index(pages: DataFrame, policy: MatchPolicy):
+    """An index of ``pages`` (book_id, page, text) in the shared folder."""
+    from .page_index import create_index
 
-
-def _prepare(pages: DataFrame, excerpts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return saved(normalised_pages(pages), "pages"), saved(deduplicate_excerpts(excerpts), "excerpts")
+    kinds = {c: pages.schema[c].dataType.simpleString() for c in ("book_id", "page")}
+    return create_index(pages.sparkSession, None, policy.q, policy.seam_len, _partitions(pages), kinds["book_id"], kinds["page"]).add(pages)
 
 
 def find_matches(pages: DataFrame, excerpts: DataFrame, policy: MatchPolicy = DEFAULT_POLICY) -> DataFrame:
@@ -303,16 +312,23 @@ def find_matches(pages: DataFrame, excerpts: DataFrame, policy: MatchPolicy = DE
 
     ``pages`` are (book_id, page, text), ``excerpts`` (book_id, excerpt_id, text).
     The first page with an exact occurrence, else that of the least distance, else
-    none; an empty excerpt is nowhere.
+    none; an empty excerpt is nowhere. Pages that are searched more than once are
+    better kept in a ``page_index``.
     """
-    book, patterns = _prepare(pages, excerpts)
-    exact = exact_hits(book, patterns).groupBy("book_id", "pattern").agg(F.min(F.struct("idx", "page")).alias("o")).select("book_id", "pattern", F.col("o.page").alias("page"))
+    from .page_index import search_index
+
+    return search_index(passing_index(pages, policy), excerpts, policy)
+
+
+def best_pages(patterns: DataFrame, exact: DataFrame, near: Callable[[DataFrame], DataFrame], policy: MatchPolicy) -> DataFrame:
+    """The rows of ``find_matches`` from exact hits, and from those of ``near`` for the patterns that have none."""
+    exact = exact.groupBy("book_id", "pattern").agg(F.min(F.struct("idx", "page")).alias("o")).select("book_id", "pattern", F.col("o.page").alias("page"))
     found = exact = saved(exact, "exact-hits")
     if policy.enable_fuzzy:
-        open_ = patterns.join(exact, ["book_id", "pattern"], "left_anti")
+        open_ = saved(patterns.select("book_id", "pattern").join(exact, ["book_id", "pattern"], "left_anti"), "open")
         # the first candidate without an edit ends the search, otherwise the first page of the least distance wins
         order = W.partitionBy("book_id", "pattern").orderBy("dist", F.when(F.col("dist") == 0, F.col("rank")).otherwise(F.col("idx")), "idx")
-        best = _fuzzy(book, open_, policy).withColumn("k", F.row_number().over(order)).where("k = 1").select("book_id", "pattern", "page")
+        best = near(open_).withColumn("k", F.row_number().over(order)).where("k = 1").select("book_id", "pattern", "page")
         found = exact.unionByName(best)
     ids = patterns.select("book_id", "pattern", F.explode("excerpt_ids").alias("excerpt_id"))
     return ids.join(found, ["book_id", "pattern"], "left").select("book_id", "excerpt_id", "page")
@@ -332,13 +348,19 @@ def collapse_seams(hits: Column) -> Column:
 
 def find_matches_all(pages: DataFrame, excerpts: DataFrame, policy: MatchPolicy = DEFAULT_POLICY) -> DataFrame:
     """(book_id, excerpt_id, pages): all pages of each excerpt, exact ones in their order, else approximate ones by score; empty if there are none."""
-    book, patterns = _prepare(pages, excerpts)
-    exact = saved(exact_hits(book, patterns), "exact-hits")
+    from .page_index import search_index_all
+
+    return search_index_all(passing_index(pages, policy), excerpts, policy)
+
+
+def all_pages(patterns: DataFrame, exact: DataFrame, near: Callable[[DataFrame], DataFrame], policy: MatchPolicy, page_kind: str) -> DataFrame:
+    """The rows of ``find_matches_all`` from exact hits, and from those of ``near`` for the patterns that have none."""
+    exact = saved(exact, "exact-hits")
     ordered = lambda c: F.transform(F.array_sort(c), lambda s: s["page"])
     found = exact.groupBy("book_id", "pattern").agg(ordered(F.collect_list(F.struct("idx", "page"))).alias("pages"))
     if policy.enable_fuzzy:
-        open_ = patterns.join(exact, ["book_id", "pattern"], "left_anti")
-        scored = _fuzzy(book, open_, policy).withColumn("score", 1 - F.col("dist") / F.col("acceptance"))
+        open_ = saved(patterns.select("book_id", "pattern").join(exact, ["book_id", "pattern"], "left_anti"), "open")
+        scored = near(open_).withColumn("score", 1 - F.col("dist") / F.col("acceptance"))
         first = F.row_number().over(W.partitionBy("book_id", "pattern", "idx").orderBy(F.desc("score"), "rank"))
         best = scored.withColumn("k", first).where("k = 1")
         # at most max_candidates_per_excerpt hits
@@ -349,5 +371,5 @@ def find_matches_all(pages: DataFrame, excerpts: DataFrame, policy: MatchPolicy
         ranked = F.array_sort(F.transform("hits", lambda h: F.struct((-h["score"]).alias("s"), h["idx"], h["page"])))
         found = found.unionByName(hits.select("book_id", "pattern", F.transform(ranked, lambda s: s["page"]).alias("pages")))
     ids = patterns.select("book_id", "pattern", F.explode("excerpt_ids").alias("excerpt_id"))
-    none = F.array().cast(f"array<{pages.schema['page'].dataType.simpleString()}>")
+    none = F.array().cast(f"array<{page_kind}>")
     return ids.join(found, ["book_id", "pattern"], "left").select("book_id", "excerpt_id", F.coalesce("pages", none).alias("pages"))

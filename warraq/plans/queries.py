@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import alignment, balance, distance, noise, patterns, segments, tokens, typos
 from ..functions.sanitize import SanitizeOptions, create_sanitizer, sanitize, sanitize_array
-from ..operators import footnotes, search
+from ..operators import footnotes, page_index, search
 from ..sources.tables import spread
 from . import oracles
 
@@ -310,6 +311,41 @@ def fuzzy_page_search(s: SparkSession, d: str) -> DataFrame:
     return search.find_matches(_books(s, d), _fuzzy_excerpts(s, d))
 
 
+def _kept_index(s: SparkSession, d: str) -> page_index.PageIndex:
+    """The books, added to an index by three parts of their pages; the first two parts are merged."""
+    books = _books(s, d).where("page is not null")
+    parts = books.withColumn("part", F.floor(3 * F.col("page") / (F.max("page").over(W.partitionBy("book_id")) + 1)))
+    index = page_index.create_index(s, page_kind="bigint")
+    for k in range(3):
+        index = index.add(parts.where(F.col("part") == k))
+        index = index.merge() if k == 1 else index
+    return index
+
+
+def kept_index_search(s: SparkSession, d: str) -> DataFrame:
+    """The approximate search in an index that was added to twice."""
+    return page_index.search_index(_kept_index(s, d), _fuzzy_excerpts(s, d))
+
+
+def kept_index_postings(s: SparkSession, d: str) -> DataFrame:
+    """Where an index that was added to twice has the rarest gram of each passage: pages, seams and page breaks alike."""
+    index = _kept_index(s, d)
+    grams = search.excerpt_grams(search.deduplicate_excerpts(_excerpts(s, d)))
+    freq = index.frequencies(grams, (page_index.PAGE, page_index.SEAM))
+    rare = grams.join(freq, ["book_id", "gram"]).groupBy("book_id", "pattern").agg(F.min(F.struct("freq", "offset", "gram")).alias("o")).select("book_id", "o.gram").distinct()
+    found = index.postings(rare, (page_index.PAGE, page_index.SEAM))
+    return found.select("book_id", "gram", F.col("idx").cast("bigint").alias("idx"), F.col("pos").cast("bigint").alias("pos"), (F.col("kind") == page_index.SEAM).alias("seam"))
+
+
+POSTINGS_SQL = (
+    GRAMS_SQL.replace("with book as materialized (select * from", "with book as materialized (select *, row_number() over (partition by book_id order by page) - 1 as idx from")
+    .replace("texts as (select book_id, text from book union all select * from (select book_id, right", "texts as (select book_id, text, idx, false as seam from book union all select * from (select book_id, right")
+    .replace("order by page), 512) as text from book)", "order by page), 512) as text, idx, true as seam from book)")
+    + """, rare as (select distinct book_id, gram from (select book_id, pattern, gram from eg join freq using (book_id, gram) qualify row_number() over (partition by book_id, pattern order by freq, offs) = 1))
+select book_id, gram, idx, i - 1 as pos, seam from (select book_id, idx, seam, substr(text, i::int, 4) as gram, i from (select *, unnest(range(1, length(text) - 2)) as i from texts where length(text) >= 4)) semi join rare using (book_id, gram)"""
+)
+
+
 def fuzzy_page_search_all(s: SparkSession, d: str) -> DataFrame:
     return search.find_matches_all(_books(s, d), _fuzzy_excerpts(s, d)).select("book_id", "excerpt_id", F.posexplode("pages").alias("rank", "page")).withColumn("rank", F.col("rank").cast("bigint"))
 
@@ -472,6 +508,8 @@ Q: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]] = [
     ("exact_page_search_all", exact_page_search_all, EXACT_SQL + " select * from hit"),
     ("fuzzy_page_search", fuzzy_page_search, oracles.fuzzy_sql(BOOK_SQL, FUZZY_EXCERPT_SQL) + oracles.FUZZY_BEST),
     ("fuzzy_page_search_all", fuzzy_page_search_all, oracles.fuzzy_sql(BOOK_SQL, FUZZY_EXCERPT_SQL) + oracles.FUZZY_ALL),
+    ("kept_index_search", kept_index_search, oracles.fuzzy_sql(BOOK_SQL, FUZZY_EXCERPT_SQL) + oracles.FUZZY_BEST),
+    ("kept_index_postings", kept_index_postings, POSTINGS_SQL),
     ("typo_repair", typo_repair, oracles.typos_sql(lambda x: sanitize_sql(x, "search"), WS, MISREAD, "ﷺ")),
     ("token_alignment", token_alignment, oracles.tokens_sql(lambda x: sanitize_sql(x, "search"))),
     ("segment_alignment", segment_alignment, oracles.segments_sql(lambda x: sanitize_sql(x, "search"))),

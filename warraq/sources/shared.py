@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: For each thread the lists of tables that ``scratch`` removes.
+_OPEN = threading.local()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode and an error on a cluster."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -27,5 +33,33 @@ def shared_path(spark: SparkSession, label: str) -> str:
 def saved(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: its lineage is cut, a lost executor loses nothing."""
     path = shared_path(df.sparkSession, label)
+    for tables in getattr(_OPEN, "stack", [])[-1:]:
+        tables.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark's file systems reach."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def let_go(*tables: DataFrame) -> None:
+    """Removes tables that ``saved`` wrote and that no later step reads."""
+    for df in tables:
+        for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+            remove(df.sparkSession, folder)
+
+
+@contextlib.contextmanager
+def scratch():
+    """Tables that ``saved`` writes inside go at the end: for steps whose results are written before it."""
+    stack = _OPEN.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for spark, path in stack.pop():
+            remove(spark, path)
