@@ -1,6 +1,7 @@
 """Functions of columns against known cases and plain models."""
 
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +169,54 @@ def test_segments(spark):
     ]
     got = values(spark, [(t, s) for t, s, _ in cases], "t array<string>, s array<string>", segments.align_segments("t", "s"))
     assert [g for (g,) in got] == [w for _, _, w in cases]
+
+
+def plain_alignment(a, b, na, nb, symbols, threshold):
+    """Needleman-Wunsch cell by cell; ties prefer both tokens, then the first alone."""
+    score = lambda i, j: 2 if na[i] == nb[j] else 1 if a[i] in symbols or b[j] in symbols or (max(len(na[i]), len(nb[j]), 1) - edits(na[i], nb[j])) / max(len(na[i]), len(nb[j]), 1) >= threshold else -2
+    table = [[-j for j in range(len(b) + 1)]]
+    steps = []
+    for i in range(len(a)):
+        row, own = [-i - 1], []
+        for j in range(len(b)):
+            options = (table[i][j] + score(i, j), table[i][j + 1] - 1, row[j] - 1)
+            row.append(max(options))
+            own.append(options.index(max(options)))
+        table.append(row)
+        steps.append(own)
+    i, j, out = len(a), len(b), []
+    while i or j:
+        step = 2 if not i else 1 if not j else steps[i - 1][j - 1]
+        out.append(step)
+        i, j = i - (step != 2), j - (step != 1)
+    return out[::-1]
+
+
+@pytest.mark.parametrize("keep", [None, 1, 2, 5])
+def test_alignment_steps_agree_with_a_plain_table(keep):
+    r = random.Random(2)
+    for k in range(60):
+        words = ["", "*", "ab", "abc", "abcd", "xbcd", "zz", "longerword", "longerwort", "é中"]
+        a, b = r.choices(words, k=r.randint(0, 12)), r.choices(words, k=r.randint(0, 12))
+        if k % 3 == 0:
+            b = [w for w in a if r.random() < 0.8]
+        threshold = r.choice([0.0, 0.5, 0.6, 0.75, 1.0, 1.5])
+        got = alignment.alignment_steps(a, b, a, b, ["*"], threshold, keep)
+        assert got.tolist() == plain_alignment(a, b, a, b, ["*"], threshold)
+
+
+def test_alignment_of_long_lists_in_bounded_memory():
+    """5,000 tokens with 5,000: the table has 25 million cells, of which a small part is held."""
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(500)]
+    a = r.choices(words, k=5000)
+    b = [w for w in a if r.random() < 0.9]
+    tracemalloc.start()
+    steps = alignment.alignment_steps(a, b, a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    left, right = alignment.backtrack(steps, a, b)
+    assert most < 25_000_000, most
+    assert [x for x in left if x is not None] == a and [x for x in right if x is not None] == b
+    # what was left out is all that differs, at a cost of one gap each
+    assert sum(2 if x == y else 1 for x, y in zip(left, right, strict=True) if x is not None and y is not None) - (left.count(None) + right.count(None)) >= 2 * len(b) - (len(a) - len(b))

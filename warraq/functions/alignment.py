@@ -1,98 +1,180 @@
-"""Global alignment of token sequences, as folds over arrays."""
+"""Global alignment of token sequences.
+
+Tokens are normalised by Spark's own functions; scores and the walk over their table are
+numpy's, in Arrow batches. The edit distances of many pairs of distinct forms are
+computed at once, and a row of the table needs no loop over its cells: the best way to a
+cell from the left is a running maximum of score and place. Of a large table only every
+k-th row stays, k being about the root of their number; the traceback computes the rows
+between two of them again, from the last to the first, so that memory grows with the
+tokens times that root.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .distance import GAP, score_of
+from .distance import GAP, MISMATCH, PERFECT, SOFT
 from .sanitize import sanitize_array
 
 PAIR = "array<struct<a:string,b:string>>"
-#: Letters of the steps of an alignment: both tokens, the first alone, the second alone.
-BOTH, FIRST, SECOND = "d", "u", "l"
-
-
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def alignment_steps(a: Column, b: Column, symbols: Sequence[str], threshold: float) -> Column:
-    """For each token of ``a`` a string with the best step into each cell of its row; ties prefer both, then the first alone.
-
-    The fold over ``a`` keeps the scores of one row; a row is a fold over ``b`` whose
-    left neighbour is in the accumulator.
+#: Steps of an alignment: both tokens, the first alone, the second alone.
+BOTH, FIRST, SECOND = 0, 1, 2
+
+
+def _codes(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of words, one row each and filled up with what no text has, and their lengths."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = np.full((len(words), int(size.max(initial=0))), 0xFFFFFFFF, np.uint32)
+    out[np.arange(out.shape[1]) < size[:, None]] = flat
+    return out, size
+
+
+def _letters(codes: np.ndarray) -> np.ndarray:
+    """A bit for the remainder of each of a word's code points; the filling has none."""
+    bits = np.where(codes == 0xFFFFFFFF, np.uint64(0), np.uint64(1) << (codes % 64).astype(np.uint64))
+    return np.bitwise_or.reduce(bits, axis=1)
+
+
+def distances(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Edit distances of pairs of words in rows, all pairs at once."""
+    place = np.arange(y.shape[1] + 1, dtype=np.int32)
+    row, out = np.tile(place, (len(x), 1)), ny.astype(np.int32)
+    for i in range(x.shape[1]):
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        np.minimum(row[:, 1:] + 1, row[:, :-1] + (x[:, i : i + 1] != y), out=new[:, 1:])
+        row = np.minimum.accumulate(new - place, axis=1) + place
+        done = np.flatnonzero(nx == i + 1)
+        out[done] = row[done, ny[done]]
+    return out
+
+
+class Scores:
+    """Scores of the tokens of two sequences, by the distinct (token, form) of each."""
+
+    #: Scores that are kept, and cells of distances that are computed at once.
+    KEPT, CELLS = 1 << 22, 1 << 18
+
+    def __init__(self, a: Sequence, b: Sequence, na: Sequence, nb: Sequence, symbols: Sequence[str], threshold: float):
+        self.threshold, self.known = threshold, {}
+        self.rows, self.columns = {}, {}
+        self.a = np.asarray([self.rows.setdefault((t in symbols, n), len(self.rows)) for t, n in zip(a, na, strict=True)], np.int64)
+        self.b = np.asarray([self.columns.setdefault((t in symbols, n), len(self.columns)) for t, n in zip(b, nb, strict=True)], np.int64)
+        self.symbol_a, self.symbol_b = (np.asarray([s for s, _ in d], bool) for d in (self.rows, self.columns))
+        self.x, self.nx = _codes([n for _, n in self.rows])
+        self.y, self.ny = _codes([n for _, n in self.columns])
+        self.bits_a, self.bits_b = _letters(self.x), _letters(self.y)
+
+    def _of(self, rows: np.ndarray) -> np.ndarray:
+        """Scores of some distinct first tokens with all distinct second ones."""
+        longest = np.maximum(np.maximum(self.nx[rows][:, None], self.ny[None, :]), 1)
+        # a letter that only one of two words has, and a difference in length, are edits
+        bits = self.bits_a[rows][:, None], self.bits_b[None, :]
+        gap = np.maximum(np.bitwise_count(bits[0] & ~bits[1]), np.bitwise_count(bits[1] & ~bits[0]))
+        gap = np.maximum(gap, np.abs(self.nx[rows][:, None] - self.ny[None, :]))
+        out = np.where(self.symbol_a[rows][:, None] | self.symbol_b[None, :], SOFT, MISMATCH).astype(np.int8)
+        i, j = np.nonzero(gap <= np.maximum((1 - self.threshold) * longest, 0) + 1e-9)
+        order = np.argsort(longest[i, j], kind="stable")
+        i, j = i[order], j[order]
+        begin = 0
+        while begin < len(i):
+            step = max(1, self.CELLS // (int(longest[i[begin], j[begin]]) + 1))
+            k = slice(begin, begin + step)
+            wide = int(longest[i[k], j[k]].max())
+            r = rows[i[k]]
+            d = distances(self.x[r][:, :wide], self.nx[r], self.y[j[k]][:, :wide], self.ny[j[k]])
+            best = longest[i[k], j[k]]
+            score = out[i[k], j[k]]
+            score[(best - d) / best >= self.threshold] = SOFT
+            score[(d == 0)] = PERFECT
+            out[i[k], j[k]] = score
+            begin += step
+        return out
+
+    def row(self, i: int) -> np.ndarray:
+        """Scores of the ``i``-th first token with all second ones."""
+        r = int(self.a[i])
+        if r not in self.known:
+            # some of the following tokens with it, as many as are computed at once
+            width = max(1, self.CELLS // max(8 * len(self.ny), 1))
+            some = np.asarray([k for k in dict.fromkeys(self.a[i : i + 4 * width].tolist()) if k not in self.known][:width])
+            if (len(self.known) + len(some)) * len(self.ny) > self.KEPT:
+                self.known = {}
+            self.known |= zip(some.tolist(), self._of(some), strict=True)
+        return self.known[r][self.b]
+
+
+def _next_row(above: np.ndarray, score: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The scores of a row and the best step into each of its cells but the first; ties prefer both tokens, then the first alone."""
+    both, up = above[:-1] + score, above[1:] + GAP
+    reached = np.empty_like(above)
+    reached[0] = above[0] + GAP
+    np.maximum(both, up, out=reached[1:])
+    row = np.maximum.accumulate(reached - GAP * place) + GAP * place
+    step = np.where(both == row[1:], BOTH, np.where(up == row[1:], FIRST, SECOND)).astype(np.uint8)
+    return row, step
+
+
+def alignment_steps(a: Sequence, b: Sequence, na: Sequence, nb: Sequence, symbols: Sequence[str] = (), threshold: float = 0.6, keep: int | None = None) -> np.ndarray:
+    """The steps of the best global alignment of tokens ``a`` and ``b`` with their normalised forms, from the first to the last.
+
+    ``keep`` rows lie between two that stay (default: about the root of their number).
     """
-    tokens = F.zip_with(a, sanitize_array(a), lambda t, n: F.struct(t.alias("t"), n.alias("n")))
-    others = F.zip_with(b, sanitize_array(b), lambda t, n: F.struct(t.alias("t"), n.alias("n")))
-
-    def with_others(others: Column) -> Column:
-        def add_row(acc: Column, x: Column) -> Column:
-            above = acc["scores"]
-
-            def cell(row: Column, k: Column) -> Column:
-                y = F.get(others, k)
-                both = F.get(above, k) + score_of(x["t"], y["t"], x["n"], y["n"], symbols, threshold)
-                up = F.get(above, k + 1) + GAP
-                left = F.element_at(row["scores"], -1) + GAP
-
-                def chosen(v: Column) -> Column:
-                    best = F.greatest(v["both"], v["up"], v["left"])
-                    step = F.when(v["both"] == best, BOTH).when(v["up"] == best, FIRST).otherwise(SECOND)
-                    return F.struct(F.concat(row["scores"], F.array(best)).alias("scores"), F.concat(row["steps"], step).alias("steps"))
-
-                return _let(F.struct(both.alias("both"), up.alias("up"), left.alias("left")), chosen)
-
-            begin = F.struct(F.array(F.get(above, F.lit(0)) + GAP).alias("scores"), F.lit("").alias("steps"))
-            places = F.transform(others, lambda _, k: k)
-            row = F.aggregate(places, begin, cell)
-            return _let(row, lambda r: F.struct(r["scores"].alias("scores"), F.concat(acc["steps"], F.array(r["steps"])).alias("steps")))
-
-        first = F.concat(F.array(F.lit(0)), F.transform(others, lambda _, k: (k + 1) * GAP))
-        begin = F.struct(first.alias("scores"), F.array().cast("array<string>").alias("steps"))
-        return F.aggregate(tokens, begin, add_row, lambda acc: acc["steps"])
-
-    return _let(others, with_others)
-
-
-def backtrack(steps: Column, a: Column, b: Column) -> Column:
-    """Pairs of tokens (null: a gap) along the steps from the last cell to the first."""
-
-    def along(v: Column) -> Column:
-        steps, a, b = v["steps"], v["a"], v["b"]
-        return _walk(steps, a, b)
-
-    # lambdas would compute them anew at every step
-    return _let(F.struct(steps.alias("steps"), a.alias("a"), b.alias("b")), along)
-
-
-def _walk(steps: Column, a: Column, b: Column) -> Column:
-    def back(acc: Column, _: Column) -> Column:
-        i, j = acc["i"], acc["j"]
-        inside = F.substring(F.get(steps, i - 1), j, F.lit(1))
-        step = F.when(i == 0, SECOND).when(j == 0, FIRST).otherwise(inside)
-
-        def moved(s: Column) -> Column:
-            x = F.when(s.isin(BOTH, FIRST), F.get(a, i - 1))
-            y = F.when(s.isin(BOTH, SECOND), F.get(b, j - 1))
-            return F.struct(
-                (i - s.isin(BOTH, FIRST).cast("int")).alias("i"),
-                (j - s.isin(BOTH, SECOND).cast("int")).alias("j"),
-                F.concat(acc["pairs"], F.array(F.struct(x.alias("a"), y.alias("b")))).alias("pairs"),
-            )
-
-        known = _let(step, moved)
-        wrong = F.raise_error(F.lit("a step of the alignment is missing")).cast("struct<i:int,j:int,pairs:" + PAIR + ">")
-        return F.when((i == 0) & (j == 0), acc).when(step.isin(BOTH, FIRST, SECOND), known).otherwise(wrong)
-
-    begin = F.struct(F.size(a).alias("i"), F.size(b).alias("j"), F.array().cast(PAIR).alias("pairs"))
-    return F.aggregate(F.concat(a, b), begin, back, lambda acc: F.reverse(acc["pairs"]))
+    m, n = len(a), len(b)
+    if not m or not n:
+        return np.full(m + n, FIRST if m else SECOND, np.uint8)
+    scores, place = Scores(a, b, na, nb, symbols, threshold), np.arange(n + 1, dtype=np.int64)
+    keep = keep or (m if m * n <= 1 << 20 else isqrt(m) + 1)
+    stay, row = [], GAP * place
+    for i in range(m):
+        if i % keep == 0:
+            stay.append(row)
+        if i < (len(range(0, m, keep)) - 1) * keep:
+            row, _ = _next_row(row, scores.row(i), place)
+    out, i, j = [], m, n
+    for block in range(len(stay) - 1, -1, -1):
+        first, steps, row = block * keep, [], stay.pop()
+        for k in range(first, i):
+            row, step = _next_row(row, scores.row(k), place)
+            steps.append(step)
+        while i > first:
+            step = int(steps[i - 1 - first][j - 1]) if j else FIRST
+            out.append(step)
+            i -= step != SECOND
+            j -= step != FIRST
+    out += [SECOND] * j
+    return np.asarray(out[::-1], np.uint8)
+
+
+def backtrack(steps: np.ndarray, a: Sequence, b: Sequence) -> tuple[list, list]:
+    """Both sides of the pairs along the steps; a gap is null."""
+    left, right = np.full(len(steps), None, object), np.full(len(steps), None, object)
+    left[steps != SECOND] = np.asarray([*a, None], object)[:-1]
+    right[steps != FIRST] = np.asarray([*b, None], object)[:-1]
+    return left.tolist(), right.tolist()
 
 
 def align_tokens(a: Column | str, b: Column | str, symbols: Sequence[str] = (), threshold: float = 0.6) -> Column:
     """array<struct<a,b>>: the best global alignment of two arrays of tokens; a null array is an empty one."""
+    symbols, kind = tuple(symbols), pa.list_(pa.struct([("a", pa.string()), ("b", pa.string())]))
+
+    @F.arrow_udf(PAIR)
+    def aligned(a: pa.Array, b: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
+        ends, left, right = [0], [], []
+        for row in range(len(a)):
+            x, y, nx, ny = (c[row].as_py() for c in (a, b, na, nb))
+            for side, own in zip((left, right), backtrack(alignment_steps(x, y, nx, ny, symbols, threshold), x, y), strict=True):
+                side += own
+            ends.append(len(left))
+        pairs = pa.StructArray.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], ["a", "b"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs).cast(kind)
+
     x, y = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.array().cast("array<string>")) for c in (a, b))
-    return _let(F.struct(x.alias("x"), y.alias("y")), lambda v: backtrack(alignment_steps(v["x"], v["y"], symbols, threshold), v["x"], v["y"]))
+    return aligned(x, y, sanitize_array(x), sanitize_array(y))
