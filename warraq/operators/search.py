@@ -28,8 +28,9 @@ from ..functions.distance import bounded_levenshtein
 from ..functions.sanitize import sanitize
 from ..plans.policy import DEFAULT_POLICY, SEAM_BONUS, SEAM_GAP, MatchPolicy
 from ..sources.shared import saved
+from .automaton import occurrences
 
-#: Leading characters by which patterns without an inner word are joined to the places of texts.
+#: Leading characters by which patterns that begin with a blank are found.
 LEAD = 12
 #: Characters of a stretch by which neighbouring pages meet.
 STRETCH = 4096
@@ -142,9 +143,8 @@ def _places(texts: DataFrame, patterns: DataFrame, key: list[str], own: list[str
     """(row, own, pattern, at): places in ``texts`` (row, text) where a pattern may begin, counted from 0; below 0 if it begins before the text.
 
     A pattern with an inner word is looked for where that word stands between blanks
-    or the text's ends, another one where its first word or LEAD characters of it do.
+    or the text's ends; of the others an automaton finds the first words.
     """
-    first = F.substring_index("pattern", " ", 1)
     placed = F.split("text", " ")
     words = texts.select(*row, F.posexplode(placed).alias("i", "word"))
     rare = saved(_rarest_words(patterns, words.select(*key, "word").where("word <> ''"), key, own), "rarest-words")
@@ -154,12 +154,12 @@ def _places(texts: DataFrame, patterns: DataFrame, key: list[str], own: list[str
     held = texts.select(*row, F.explode(F.array_distinct(placed)).alias("word")).join(wanted, [*key, "word"], "left_semi").select(*row).distinct()
     some = texts.join(held, row, "left_semi").select(*row, F.posexplode(F.arrays_zip(placed.alias("word"), F.slice(sizes, F.lit(1), F.size(placed)).alias("pos"))).alias("i", "w"))
     found = some.select(*row, F.col("w.word").alias("word"), F.col("w.pos").alias("pos")).join(rare, [*key, "word"]).select(*row, *(c for c in own if c not in row), "pattern", (F.col("pos") - F.col("offset")).alias("at"))
-    bare = patterns.join(rare.select(*own, "pattern"), [*own, "pattern"], "left_anti").withColumn("gram", F.left(F.when(first == "", F.col("pattern")).otherwise(first), F.lit(LEAD)))
-    bare = saved(bare.select(*own, "pattern", "gram", F.length("gram").alias("n")), "bare-patterns")
-    for size in sorted(r.n for r in bare.select("n").distinct().collect()):  # at most LEAD sizes
-        grams = texts.select(*row, F.posexplode(grams_of(F.col("text"), size)).alias("at", "gram"))
-        found = found.unionByName(grams.join(bare.where(F.col("n") == size), [*key, "gram"]).select(*row, *(c for c in own if c not in row), "pattern", "at"))
-    return found
+    bare = patterns.join(rare.select(*own, "pattern"), [*own, "pattern"], "left_anti").select(*own, "pattern").distinct()
+    # what goes on over the text's end is not in it, but its first word is
+    first = F.substring_index("pattern", " ", 1)
+    bare = bare.withColumn("head", F.when(first == "", F.left("pattern", F.lit(LEAD))).otherwise(first))
+    heads = occurrences(texts, bare.select(F.col("head").alias("pattern")), row).withColumnRenamed("pattern", "head").join(bare, [*key, "head"])
+    return found.unionByName(heads.select(*row, *(c for c in own if c not in row), "pattern", (F.col("end") - F.length("head")).cast("int").alias("at")))
 
 
 def exact_hits(book: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -202,12 +202,10 @@ def pattern_occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(text_id, pattern_id, end_pos): every occurrence of every pattern, overlapping ones too; ``end_pos`` is the place after it.
 
     ``texts`` are (text_id, text), ``patterns`` (pattern_id, pattern); empty patterns
-    are nowhere. Work grows with the texts and with the places of each pattern's
-    rarest inner word.
+    are nowhere. Work grows with the texts, the patterns and the occurrences.
     """
-    found = _places(texts, patterns.where(F.length("pattern") > 0).select("pattern_id", "pattern"), [], ["pattern_id"], ["text_id"])
-    found = found.where("at >= 0").join(texts, "text_id").where(F.expr("substring(text, at + 1, length(pattern)) = pattern"))
-    return found.select("text_id", "pattern_id", (F.col("at") + F.length("pattern")).alias("end_pos"))
+    found = occurrences(texts, patterns, ["text_id"])
+    return found.join(patterns.select("pattern_id", "pattern"), "pattern").select("text_id", "pattern_id", F.col("end").alias("end_pos"))
 
 
 def candidates(seeds: DataFrame, postings: DataFrame, policy: MatchPolicy) -> DataFrame:
