@@ -1,8 +1,10 @@
 """Functions of columns against known cases and plain models."""
 
 import random
+import time
 import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,3 +222,47 @@ def test_alignment_of_long_lists_in_bounded_memory():
     assert [x for x in left if x is not None] == a and [x for x in right if x is not None] == b
     # what was left out is all that differs, at a cost of one gap each
     assert sum(2 if x == y else 1 for x, y in zip(left, right, strict=True) if x is not None and y is not None) - (left.count(None) + right.count(None)) >= 2 * len(b) - (len(a) - len(b))
+
+
+def test_brackets_agree_with_a_stack():
+    """Random brackets in lines: the errors of each line in the order in which a stack finds them."""
+    r = random.Random(8)
+    partner = {"«": "»", "(": ")", "[": "]", "{": "}"}
+    for _ in range(300):
+        text = "".join(r.choices("«»()[]{}ab\n", k=r.randint(0, 60)))
+        want, at = [], 0
+        for line in text.split("\n"):
+            stack = []
+            for i, c in enumerate(line):
+                if c in partner:
+                    stack.append(i)
+                elif c in partner.values():
+                    if not stack:
+                        want.append((at + i, 0))
+                    elif partner[line[stack[-1]]] != c:
+                        want += [(at + stack.pop(), 1), (at + i, 1)]
+                    else:
+                        stack.pop()
+            want += [(at + i, 2) for i in stack]
+            at += len(line) + 1
+        codes = balance._codes(text)
+        breaks = codes == 10
+        got = balance.bracket_faults(codes, np.cumsum(breaks) - breaks)
+        assert list(zip(*(x.tolist() for x in got), strict=True)) == want
+
+
+def test_a_million_brackets(spark):
+    """Linear in a text's length: a million open brackets, and as many in pairs of different kinds, one inside the other."""
+    n = 1_000_000
+    df = spark.range(1).select(F.repeat(F.lit("("), n).alias("a"), F.concat(F.repeat(F.lit("("), n), F.repeat(F.lit("]"), n)).alias("b"))
+    begin = time.time()
+    found = df.select(F.size(balance.bracket_errors("a")), F.size(balance.unbalanced_errors("b"))).first()
+    assert tuple(found) == (n, 2 * n) and time.time() - begin < 60
+
+
+def test_character_stats_of_many_kinds(spark):
+    """80,000 characters of which 20,000 differ."""
+    text = "".join(chr(0x4E00 + k % 20_000) for k in range(80_000))
+    begin = time.time()
+    frequency = spark.createDataFrame([(text,)], "t string").select(noise.character_stats("t")["frequency"]).first()[0]
+    assert len(frequency) == 20_000 and set(frequency.values()) == {4} and time.time() - begin < 30

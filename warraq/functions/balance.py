@@ -1,32 +1,120 @@
-"""Balance of brackets and quotes, with places in code points from 0 (null is the empty string)."""
+"""Balance of brackets and quotes, with places in code points from 0 (null is the empty string).
+
+A closing bracket takes whatever opener stands on top, so that depths alone tell the
+pairs: closers without an opener are those at which the running sum of openers less
+closers reaches a new minimum; of the others, sorted by depth and then by place, each
+closer stands behind its opener. It is done for all lines of a text at once, in time of
+a sort; counts of quotes are Spark's own.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .patterns import text
 
 BRACKETS = {"«": "»", "(": ")", "[": "]", "{": "}"}
 OPEN_BRACKETS, CLOSE_BRACKETS = frozenset(BRACKETS), frozenset(BRACKETS.values())
-ERROR = "struct<index:int,char:string,reason:string,type:string>"
-_OPEN, _CLOSE = "".join(BRACKETS), "".join(BRACKETS.values())
+_FIELDS = [T.StructField("char", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("type", T.StringType())]
+ERROR, LINE_ERROR = (T.StructType([T.StructField(n, T.IntegerType()), *_FIELDS]) for n in ("index", "absolute_index"))
+_OPEN, _CLOSE = (np.asarray([ord(c) for c in s], np.uint32) for s in (BRACKETS, BRACKETS.values()))
+_REASONS = ("unmatched", "mismatched", "unclosed")
 #: Lines of at most so many characters are not looked at.
 SHORT_LINE = 10
 
 
-def _marks(x: Column, inside: str) -> Column:
-    """(char, index) of each character of a class: what lies between them adds up to their places."""
-    gaps = F.split(x, f"[{inside}]", -1)
-    found = F.regexp_extract_all(x, F.lit(f"[{inside}]"), F.lit(0))
-
-    def add(acc: Column, z: Column) -> Column:
-        at = acc["at"] + F.length(z["gap"])
-        return F.struct((at + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(z["char"].alias("char"), at.alias("index")))).alias("out"))
-
-    zipped = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda c, g: F.struct(c.alias("char"), g.alias("gap")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<char:string,index:int>>").alias("out"))
-    return F.aggregate(zipped, start, add, lambda acc: acc["out"])
+def bracket_faults(codes: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, reason) of brackets without their partners, each line by itself; ``line`` ascends along the code points.
+
+    The order is that in which reading finds them: at a closer it and, if it does not
+    fit, the opener before it; at a line's end the openers that are left.
+    """
+    place = np.flatnonzero(np.isin(codes, _OPEN) | np.isin(codes, _CLOSE))
+    if not len(place):
+        return place, place
+    opens, own = np.isin(codes[place], _OPEN), line[place]
+    n = len(place) + 1
+    # lines begin further and further down, so that the minimum of one is below all of those before
+    first = np.flatnonzero(np.diff(own, prepend=-1))
+    step = np.where(opens, 1, -1)
+    total = np.cumsum(step)
+    ground = np.repeat(total[first] - step[first], np.diff(first, append=n - 1))
+    number = np.repeat(np.arange(len(first)), np.diff(first, append=n - 1))
+    height = total - ground - number * n
+    lowest = np.minimum.accumulate(np.concatenate([[n], height]))[:-1]
+    alone = ~opens & (height < np.minimum(lowest, -number * n))
+
+    # without these the running sum of a line is the depth
+    step[alone] = 0
+    total = np.cumsum(step)
+    depth = total - np.repeat(total[first] - step[first], np.diff(first, append=n - 1))
+    rest = np.flatnonzero(~alone)
+    level = (depth + ~opens)[rest]
+    order = np.lexsort((np.arange(len(rest)), level, number[rest]))
+    mark, lev, lin = rest[order], level[order], number[rest][order]
+    paired = np.zeros(len(mark), bool)
+    paired[:-1] = opens[mark[:-1]] & ~opens[mark[1:]] & (lev[:-1] == lev[1:]) & (lin[:-1] == lin[1:])
+    left, right = mark[:-1][paired[:-1]], mark[1:][paired[:-1]]
+    kinds = np.sort(_OPEN), np.argsort(_OPEN)
+    partner = _CLOSE[kinds[1][np.searchsorted(kinds[0], codes[place[left]])]]
+    wrong = partner != codes[place[right]]
+    left, right = left[wrong], right[wrong]
+    unclosed = np.sort(mark[opens[mark] & ~paired])
+    lonely = np.flatnonzero(alone)
+    found = np.concatenate([lonely, left, right, unclosed])
+    reason = np.repeat([0, 1, 1, 2], [len(lonely), len(left), len(right), len(unclosed)])
+    time = np.concatenate([lonely, right, right, np.full(len(unclosed), n)])
+    order = np.lexsort((found, time, number[found]))
+    return place[found[order]], reason[order]
+
+
+def _codes(x: str | None) -> np.ndarray:
+    return np.frombuffer((x or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _listed(found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], index: str) -> pa.Array:
+    """Errors (place, code point, reason, is a quote) of each row as lists of structs."""
+    ends = np.cumsum([0, *(len(f[0]) for f in found)])
+    place, code, reason, quote = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4))
+    chars = pa.array(list(code.astype(np.uint32).tobytes().decode("utf-32-le")), pa.string())
+    kinds = [pa.DictionaryArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(of)).cast(pa.string()) for at, of in ((reason, _REASONS), (quote, ("bracket", "quote")))]
+    structs = pa.StructArray.from_arrays([pa.array(place.astype(np.int32)), chars, *kinds], [index, "char", "reason", "type"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
+
+
+@F.arrow_udf(T.ArrayType(ERROR))
+def _bracket_errors(texts: pa.Array) -> pa.Array:
+    found = []
+    for x in texts.to_pylist():
+        codes = _codes(x)
+        place, reason = bracket_faults(codes, np.zeros(len(codes), np.int8))
+        found.append((place, codes[place], reason, np.zeros(len(place), np.int8)))
+    return _listed(found, "index")
+
+
+@F.arrow_udf(T.ArrayType(LINE_ERROR))
+def _line_errors(texts: pa.Array) -> pa.Array:
+    found = []
+    for x in texts.to_pylist():
+        codes = _codes(x)
+        breaks = codes == 10
+        line = np.cumsum(breaks) - breaks
+        long = np.bincount(line[~breaks], minlength=int(line[-1]) + 1 if len(line) else 0) > SHORT_LINE
+        looked = np.where(long[line] & ~breaks, codes, 0) if len(codes) else codes
+        place, reason = bracket_faults(looked, line)
+        # the last quote of a line that has an odd number
+        quotes = np.flatnonzero(looked == 34)
+        odd = np.flatnonzero(np.bincount(line[quotes]) % 2) if len(quotes) else quotes
+        last = quotes[np.searchsorted(line[quotes], odd, "right") - 1] if len(quotes) else quotes
+        places, reasons = np.concatenate([place, last]), np.concatenate([reason, np.zeros(len(last), np.int64)])
+        is_quote = np.repeat([0, 1], [len(place), len(last)])
+        order = np.argsort(places, kind="stable")
+        found.append((places[order], codes[places[order]], reasons[order], is_quote[order]))
+    return _listed(found, "absolute_index")
 
 
 def _error(index: Column, char: Column, reason: str, kind: str) -> Column:
@@ -34,7 +122,7 @@ def _error(index: Column, char: Column, reason: str, kind: str) -> Column:
 
 
 def _none() -> Column:
-    return F.array().cast(f"array<{ERROR}>")
+    return F.array().cast(T.ArrayType(ERROR))
 
 
 def quote_errors(col: Column | str) -> Column:
@@ -47,22 +135,7 @@ def quote_errors(col: Column | str) -> Column:
 
 def bracket_errors(col: Column | str) -> Column:
     """Closing brackets without an opener, pairs of different kinds (opener first), then openers left open."""
-    x = text(col)
-
-    def add(acc: Column, m: Column) -> Column:
-        stack, errors = acc["stack"], acc["errors"]
-        top = F.element_at(stack, -1)
-        rest = F.slice(stack, F.lit(1), F.size(stack) - 1)
-        fits = F.translate(top["char"], _OPEN, _CLOSE) == m["char"]
-        pair = F.array(_error(top["index"], top["char"], "mismatched", "bracket"), _error(m["index"], m["char"], "mismatched", "bracket"))
-        opened = F.struct(F.concat(stack, F.array(m)).alias("stack"), errors.alias("errors"))
-        alone = F.struct(stack.alias("stack"), F.concat(errors, F.array(_error(m["index"], m["char"], "unmatched", "bracket"))).alias("errors"))
-        closed = F.struct(rest.alias("stack"), F.when(fits, errors).otherwise(F.concat(errors, pair)).alias("errors"))
-        return F.when(m["char"].isin(*BRACKETS), opened).when(F.size(stack) == 0, alone).otherwise(closed)
-
-    start = F.struct(F.array().cast("array<struct<char:string,index:int>>").alias("stack"), _none().alias("errors"))
-    left = lambda acc: F.concat(acc["errors"], F.transform(acc["stack"], lambda m: _error(m["index"], m["char"], "unclosed", "bracket")))
-    return F.aggregate(_marks(x, r"«»(){}\[\]"), start, add, left)
+    return _bracket_errors(text(col))
 
 
 def check_balance(col: Column | str) -> Column:
@@ -87,13 +160,5 @@ def is_balanced(col: Column | str) -> Column:
 
 
 def unbalanced_errors(col: Column | str) -> Column:
-    """Errors of all lines of more than SHORT_LINE characters, places counted from the start of the text."""
-
-    def add(acc: Column, line: Column) -> Column:
-        shift = lambda e: F.struct((e["index"] + acc["at"]).alias("absolute_index"), e["char"], e["reason"], e["type"])
-        found = F.when(F.length(line) > SHORT_LINE, F.transform(check_balance(line)["errors"], shift))
-        return F.struct((acc["at"] + F.length(line) + 1).alias("at"), F.concat(acc["out"], F.coalesce(found, F.array().cast(kind))).alias("out"))
-
-    kind = "array<struct<absolute_index:int,char:string,reason:string,type:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    return F.aggregate(F.split(text(col), "\n", -1), start, add, lambda acc: acc["out"])
+    """Errors of all lines of more than SHORT_LINE characters by their places, counted from the start of the text."""
+    return _line_errors(text(col))
