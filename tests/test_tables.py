@@ -1,6 +1,7 @@
 """Operators on tables: footnotes, page search, streams, and the driver contract."""
 
 import random
+import re
 
 import duckdb
 import pytest
@@ -209,3 +210,48 @@ def test_candidates_keep_their_order_and_bound(spark):
     seeds = search.pick_rare(grams, postings, 5)
     rows = search.candidates(seeds, postings, search.MatchPolicy(max_candidates_per_excerpt=7)).orderBy("rank").collect()
     assert [r["rank"] for r in rows] == list(range(1, 8)) and seeds.count() == 5
+
+
+def plain_repair(lines):
+    """Both queues as lists, line by line."""
+    found = lambda t, note: re.findall(r"\([٠-٩]+\)", t)[: 1 if note else None] if not note or re.match(r"\([٠-٩]+\)", t) else []
+    body, foot = ([*dict.fromkeys(x for t, n in lines if n == side for x in found(t, n))] for side in (False, True))
+    queues = {True: [x for x in body if x not in foot], False: [x for x in foot if x not in body]}
+    number = max([int(x[1:-1].translate(str.maketrans("٠١٢٣٤٥٦٧٨٩", "0123456789"))) for x in body + foot], default=0)
+    out = []
+    for text, note in lines:
+        while "()" in text:
+            if queues[note]:
+                fill = queues[note].pop(0)
+            else:
+                number += 1
+                fill = "(" + str(number).translate(str.maketrans("0123456789", "٠١٢٣٤٥٦٧٨٩")) + ")"
+            text = text.replace("()", fill, 1)
+        out.append(text)
+    return out
+
+
+def test_footnotes_of_a_long_document(spark):
+    """One document of many lines, of which each range holds some; another one whose id is null."""
+    r = random.Random(6)
+    reference = lambda: "(" + str(r.randint(1, 9000)).translate(str.maketrans("0123456789", "٠١٢٣٤٥٦٧٨٩")) + ")"
+    lines = []
+    for _ in range(6000):
+        note = r.random() < 0.4
+        marks = [r.choice(["()", "", reference()]) for _ in range(1 if note else r.randint(0, 3))]
+        lines.append((" ".join([*marks, "x"]) if note else " ".join(["x", *marks]), note))
+    short = [("a () ()", False), ("() y", True)]
+    df = spark.createDataFrame([("d", i, t, n, 7) for i, (t, n) in enumerate(lines)] + [(None, i, t, n, 7) for i, (t, n) in enumerate(short)], LINES).repartition(5)
+    out = footnotes.correct_references(df).orderBy("line_no").collect()
+    assert [x.text for x in out if x.doc_id == "d"] == plain_repair(lines)
+    assert [x.text for x in out if x.doc_id is None] == plain_repair(short)
+
+
+def test_positions_of_pages(spark):
+    """Positions before the first start, on starts, between and beyond; of no book and of none at all; columns of clashing names."""
+    book = spark.createDataFrame([("b", p, s) for p, s in ((7, 0), (8, 5), (9, 10), (10, 10_000))] + [("c", 1, 3)], "book_id string, page int, start bigint")
+    want = {("b", -4): 7, ("b", 0): 7, ("b", 4): 7, ("b", 5): 8, ("b", 9999): 9, ("b", 10_000): 10, ("b", 1 << 40): 10, ("c", 0): 1, ("c", 3): 1, ("x", 3): None, (None, 3): None, ("b", None): None}
+    asked = spark.createDataFrame([(b, p, 1) for b, p in want] + [("b", 5, 2)], "book_id string, pos bigint, asked int")
+    got = search.pos_to_page(asked, book).collect()
+    assert {(r.book_id, r.pos): r.page for r in got} == want and len(got) == len(want) + 1
+    assert search.pos_to_page(asked.limit(0), book).collect() == []

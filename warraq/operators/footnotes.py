@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..sources.shared import saved
+from .ranges import Ranges, ranged
 
 ARABIC_NUMERALS = "٠١٢٣٤٥٦٧٨٩"
 #: What text recognition takes the digits 1, 9, 0, 5 and 7 for.
@@ -64,42 +65,49 @@ def correct_references(lines: DataFrame, doc_col: str = "doc_id", line_col: str
 
     Empty references take, in order, the numbers that only the other side has, and
     then new numbers after the largest of the document. Documents that have neither
-    an invalid reference nor one without its partner stay as they are. Everything
-    partitions by the document, so that its lines are shuffled once; within it,
-    counters are running sums, and no line is gathered but its references.
+    an invalid reference nor one without its partner stay as they are.
+
+    Both queues are tables: a reference has its place among those that its side
+    lacks, an empty reference its number among those of its side, and they meet where
+    these are equal. Places and numbers are running sums over ranges of lines, so that
+    a document is on as many tasks as it has ranges. Lines of equal ``line_col`` stand
+    in any order; null documents are one.
     """
     row, key = F.struct(*(F.col(f"`{c}`") for c in lines.columns)), F.col(f"`{doc_col}`")
-    x = P.text(F.col(f"`{text_col}`"))
-    note = F.coalesce(F.col(f"`{footnote_col}`"), F.lit(False))
-    base = lines.select(row.alias("row"), key.alias("doc"), F.col(f"`{line_col}`").alias("line"), x.alias("raw"), note.alias("note"))
-    base = base.withColumn("clean", convert_confused(F.col("raw")))
-    base = base.withColumn("refs", references(F.col("clean"), F.col("note"))).withColumn("gaps", F.split("clean", r"\(\)", -1))
-    base = base.withColumn("holes", F.size("gaps") - 1)
-
-    whole = W.partitionBy("doc")
-    ordered = whole.orderBy("line")
-    before = ordered.rowsBetween(W.unboundedPreceding, -1)
-    # (line, place, reference) of each side, in order of appearance
-    placed = lambda test: F.when(test, F.struct(F.col("line"), F.col("refs")))
-    listed = lambda test: F.transform(F.array_sort(F.collect_list(placed(test)).over(whole)), lambda s: s["refs"])
-    base = base.withColumn("body", F.array_distinct(F.flatten(listed(~F.col("note"))))).withColumn("foot", F.array_distinct(F.flatten(listed(F.col("note")))))
-    base = base.withColumn("invalid", F.max(has_invalid_footnotes("raw").cast("int")).over(whole) == 1)
-    base = base.withColumn("for_foot", F.array_except("body", "foot")).withColumn("for_body", F.array_except("foot", "body"))
-    needed = F.col("invalid") | (F.size("for_foot") > 0) | (F.size("for_body") > 0)
-
-    own_before = F.coalesce(F.sum("holes").over(W.partitionBy("doc", "note").orderBy("line").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    base = base.withColumn("own_before", own_before).withColumn("queue", F.when(F.col("note"), F.col("for_foot")).otherwise(F.col("for_body")))
-    # holes of this line beyond its side's queue take new numbers, counted over both sides
-    extra = F.greatest(F.lit(0), F.least(F.col("holes"), F.col("own_before") + F.col("holes") - F.size("queue")))
-    base = base.withColumn("extra", extra).withColumn("extra_before", F.coalesce(F.sum("extra").over(before), F.lit(0)))
-    largest = F.coalesce(F.array_max(F.transform(F.concat("body", "foot"), to_number)), F.lit(0))
-    taken = F.size("queue") - F.col("own_before")
-
-    def filled(_: Column, k: Column) -> Column:
-        fresh = largest + F.col("extra_before") + 1 + k - F.greatest(taken, F.lit(0))
-        return F.when(k < taken, F.get("queue", (F.col("own_before") + k).cast("int"))).otherwise(to_reference(fresh))
-
-    fills = F.transform(F.slice("gaps", F.lit(2), F.size("gaps")), filled)
-    repaired = F.array_join(F.flatten(F.zip_with("gaps", fills, lambda g, r: F.array(g, F.coalesce(r, F.lit(""))))), "")
-    new = F.when(needed, repaired).otherwise(F.col("row").getField(text_col))
-    return base.select("row", new.alias("new")).select(*(F.col("new").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in lines.columns))
+    raw = P.text(F.col(f"`{text_col}`"))
+    base = lines.select(row.alias("row"), F.coalesce(key.cast("string"), F.lit("")).alias("doc"), key.isNull().alias("nameless"), F.col(f"`{line_col}`").alias("line"), raw.alias("raw"), F.coalesce(F.col(f"`{footnote_col}`"), F.lit(False)).alias("note"))
+    base = base.withColumn("clean", convert_confused(F.col("raw"))).withColumn("refs", references(F.col("clean"), F.col("note")))
+    base = base.withColumn("gaps", F.split("clean", r"\(\)", -1)).withColumn("holes", (F.size("gaps") - 1).cast("bigint"))
+    doc = ["doc", "nameless"]
+    laid = ranged(base, doc, ["line"], "lines")
+
+    each = laid.rows.select(*doc, "note", "line", F.posexplode("refs").alias("k", "ref")).groupBy(*doc, "ref", "note").agg(F.min(F.struct("line", "k")).alias("first"))
+    sides = each.groupBy(*doc, "ref").agg(F.count("*").alias("sides"), F.first("note").alias("note"), F.first("first").alias("first"))
+    sides = saved(sides, "references")
+    # what only one side has waits for the empty references of the other
+    lone = sides.where("sides = 1").select(*doc, (~F.col("note")).alias("note"), "ref", "first.line", "first.k")
+    queue = ranged(lone, [*doc, "note"], ["line", "k"], "queues").along(sums={"place": F.lit(1)}).select(*doc, "note", "place", "ref")
+    waiting = queue.groupBy(*doc).agg(F.sum((~F.col("note")).cast("bigint")).alias("for_body"), F.sum(F.col("note").cast("bigint")).alias("for_foot"))
+    largest = sides.groupBy(*doc).agg(F.max(to_number(F.col("ref"))).alias("largest"))
+    invalid = laid.rows.groupBy(*doc).agg(F.max(has_invalid_footnotes("raw").cast("int")).alias("invalid"))
+    facts = invalid.join(waiting, doc, "left").join(largest, doc, "left").select(*doc, "invalid", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("for_body", "for_foot", "largest")))
+
+    own = F.col("holes")
+    counted = laid.along(sums={"n": F.lit(1), "body_before": F.when(F.col("note"), 0).otherwise(own), "foot_before": F.when(F.col("note"), own).otherwise(0)}, facts=facts)
+    counted = counted.withColumn("before", F.when(F.col("note"), F.col("foot_before")).otherwise(F.col("body_before"))).withColumn("size", F.when(F.col("note"), F.col("for_foot")).otherwise(F.col("for_body")))
+    needed = (F.col("invalid") == 1) | (F.col("for_body") + F.col("for_foot") > 0)
+    # empty references beyond their side's queue take new numbers, counted over both sides
+    extra = F.greatest(F.lit(0), F.least(own, F.col("before") + own - F.col("size")))
+    counted = counted.select(*doc, "n", "line", "part", "row", "note", "gaps", "holes", "before", "size", "largest", needed.alias("needed"), extra.alias("extra"))
+    placed = Ranges(saved(counted, "counted"), tuple(doc), ("n",))
+    placed = saved(placed.along(sums={"extra_before": F.col("extra")}), "placed")
+
+    taken = F.col("size") - F.col("before")
+    holes = placed.where("needed and holes > 0").select(*doc, "n", "note", F.explode(F.sequence(F.lit(0), F.col("holes").cast("int") - 1)).alias("k"), "before", "largest", "extra_before", taken.alias("taken"))
+    holes = holes.withColumn("place", F.col("before") + F.col("k")).join(queue, [*doc, "note", "place"], "left")
+    fresh = to_reference(F.col("largest") + F.col("extra_before") + 1 + F.col("k") - F.greatest(F.col("taken"), F.lit(0)))
+    fills = holes.groupBy(*doc, "n").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("ref", fresh).alias("fill")))).alias("fills"))
+    filled = placed.join(fills, [*doc, "n"], "left").withColumn("fills", F.coalesce(F.transform("fills", lambda f: f["fill"]), F.array().cast("array<string>")))
+    repaired = F.array_join(F.flatten(F.zip_with("gaps", "fills", lambda g, r: F.array(g, F.coalesce(r, F.lit(""))))), "")
+    new = F.when(F.col("needed"), repaired).otherwise(F.col("row").getField(text_col))
+    return filled.select("row", new.alias("new")).select(*(F.col("new").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in lines.columns))

@@ -29,6 +29,7 @@ from ..functions.sanitize import sanitize
 from ..plans.policy import DEFAULT_POLICY, SEAM_BONUS, SEAM_GAP, MatchPolicy
 from ..sources.shared import saved
 from .automaton import occurrences
+from .ranges import ranged
 
 #: Leading characters by which patterns that begin with a blank are found.
 LEAD = 12
@@ -74,16 +75,20 @@ def build_book(pages: DataFrame) -> DataFrame:
 
 
 def pos_to_page(positions: DataFrame, book: DataFrame) -> DataFrame:
-    """``positions`` (book_id, pos) with the page of the greatest start that is not after ``pos``.
+    """``positions`` (book_id, pos) with the page of the greatest start that is not after ``pos``; before the first start its page, null where there is no book.
 
-    Starts and positions are put in one order, so that the page is the last start
-    before: no range join.
+    Starts and positions are put in one order and dealt by its ranges; the last start
+    of a range is carried on, so that a book is on as many tasks as it has ranges.
     """
-    order = W.partitionBy("book_id").orderBy("pos", F.col("found").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
-    starts = book.select("book_id", F.col("start").alias("pos"), F.col("page").alias("found"), F.lit(None).cast("struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in positions.schema.fields) + ">").alias("row"))
-    asked = positions.select("book_id", "pos", F.lit(None).cast(book.schema["page"].dataType).alias("found"), F.struct("*").alias("row"))
-    last = F.last("found", ignorenulls=True).over(order)
-    return starts.unionByName(asked).withColumn("hit", last).where(F.col("row").isNotNull()).select("row.*", F.col("hit").alias("page"))
+    kind = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in positions.schema.fields) + ">"
+    starts = book.where("book_id is not null").select("book_id", F.col("start").cast("bigint").alias("pos"), F.col("page").alias("found"), F.lit(None).cast(kind).alias("row"), F.lit(0).alias("asked"))
+    asked = positions.where("book_id is not null and pos is not null").select("book_id", F.col("pos").cast("bigint").alias("pos"), F.lit(None).cast(book.schema["page"].dataType).alias("found"), F.struct("*").alias("row"), F.lit(1).alias("asked"))
+    first = book.groupBy("book_id").agg(F.min_by("page", "start").alias("first"))
+    # the page itself may be null, so that what is carried is a struct
+    hit = ranged(starts.unionByName(asked), ["book_id"], ["pos", "asked"], "positions").along(lasts={"hit": F.when(F.col("asked") == 0, F.struct("found"))}, facts=first)
+    told = hit.where("asked = 1").select("row.*", F.when(F.col("hit").isNull(), F.col("first")).otherwise(F.col("hit.found")).alias("page"))
+    nowhere = positions.where("book_id is null or pos is null").withColumn("page", F.lit(None).cast(book.schema["page"].dataType))
+    return told.unionByName(nowhere)
 
 
 def create_seams(book: DataFrame, seam_len: int = 512) -> DataFrame:
