@@ -266,3 +266,11 @@ def test_character_stats_of_many_kinds(spark):
     begin = time.time()
     frequency = spark.createDataFrame([(text,)], "t string").select(noise.character_stats("t")["frequency"]).first()[0]
     assert len(frequency) == 20_000 and set(frequency.values()) == {4} and time.time() - begin < 30
+
+
+def test_least_distances_are_bounds():
+    r = random.Random(12)
+    a = ["".join(r.choices("abc é中", k=r.randint(0, 30))) for _ in range(400)]
+    b = [x if r.random() < 0.2 else "".join(c if r.random() < 0.8 else r.choice("abcx") for c in x) if r.random() < 0.7 else "".join(r.choices("abc", k=r.randint(0, 30))) for x in a]
+    bound, true = distance.least_distances(a, b).tolist(), [edits(x, y) for x, y in zip(a, b, strict=True)]
+    assert all(m <= n for m, n in zip(bound, true, strict=True)) and sum(m > 0 for m in bound) > 200

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .patterns import text
 from .sanitize import sanitize
@@ -25,6 +28,37 @@ def bounded_levenshtein(a: Column | str, b: Column | str, most: Column | int) ->
     return F.when(found < 0, limit + 1).otherwise(found).cast("int")
 
 
+#: Places of hashed pairs of characters; more of them make the bound below sharper.
+PAIRS = 1024
+
+
+def least_distances(a: list[str], b: list[str]) -> np.ndarray:
+    """A lower bound of the edit distance of each pair of texts, from the pairs of neighbouring characters that they hold.
+
+    An edit takes away two such pairs and brings two at most, so that the distance is
+    at least a quarter of the difference of their counts.
+    """
+    counts = np.zeros(len(a) * PAIRS, np.int32)
+    for texts, sign in ((a, 1), (b, -1)):
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        inside = row[1:] == row[:-1]
+        mixed = (codes[:-1] * np.uint32(0x9E3779B1) + codes[1:]) * np.uint32(0x85EBCA77) >> np.uint32(22)
+        counts += sign * np.bincount(row[1:][inside] * PAIRS + mixed[inside], minlength=len(counts)).astype(np.int32)
+    apart = np.abs(counts.reshape(-1, PAIRS)).sum(axis=1)
+    return np.maximum(-(-apart // 4), np.abs(np.asarray([len(x) - len(y) for x, y in zip(a, b, strict=True)], np.int64)))
+
+
+@F.arrow_udf(T.BooleanType())
+def within_reach(a: pa.Array, b: pa.Array, most: pa.Array) -> pa.Array:
+    """Whether two texts may be within ``most`` edits; false only if they are not."""
+    out = []
+    for k in range(0, len(a), 1024):
+        x, y = ([t or "" for t in c.slice(k, 1024).to_pylist()] for c in (a, b))
+        out.append(least_distances(x, y) <= most.slice(k, 1024).to_numpy(zero_copy_only=False))
+    return pa.array(np.concatenate([*out, np.zeros(0, bool)]).astype(bool))
+
+
 def similarity(a: Column | str, b: Column | str) -> Column:
     """1 less the distance over the greater length; 1 for two empty texts."""
     x, y = text(a), text(b)

@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.distance import bounded_levenshtein
+from ..functions.distance import bounded_levenshtein, within_reach
 from ..functions.sanitize import sanitize
 from ..plans.policy import DEFAULT_POLICY, SEAM_BONUS, SEAM_GAP, MatchPolicy
-from ..sources.shared import saved
+from ..sources.shared import kept, passing, saved
 from .automaton import occurrences
 from .ranges import ranged
 
@@ -298,7 +298,9 @@ def verified(places: DataFrame, book: DataFrame, seams: DataFrame, policy: Match
     rows = rows.withColumn("sizes", _taken(F.col("ahead"), F.col("need")))
     after = F.zip_with(F.slice("ahead", F.lit(1), F.size("sizes")), F.col("sizes"), lambda t, k: F.concat(F.lit(" "), F.left(t, k)))
     rows = rows.withColumn("window", F.when(F.col("need") > 0, F.concat("window", F.array_join(after, ""))).otherwise(F.col("window")))
-    near = rows.where(F.length("window") > 0).withColumn("dist", bounded_levenshtein(F.col("pattern"), F.col("window"), F.col("acceptance"))).where("dist <= acceptance")
+    # most windows are too far off by the pairs of characters alone
+    rows = rows.where(F.length("window") > 0).where(within_reach("pattern", "window", "acceptance"))
+    near = rows.withColumn("dist", bounded_levenshtein(F.col("pattern"), F.col("window"), F.col("acceptance"))).where("dist <= acceptance")
     return near.groupBy("book_id", "pattern", "idx", "page", "start", "seam", "rank", "acceptance").agg(F.min("dist").alias("dist"))
 
 
@@ -306,8 +308,9 @@ def passing_index(pages: DataFrame, policy: MatchPolicy):
     """An index of ``pages`` (book_id, page, text) in the shared folder."""
     from .page_index import create_index
 
+    path = passing(pages.sparkSession, "page-index")
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("book_id", "page")}
-    return create_index(pages.sparkSession, None, policy.q, policy.seam_len, _partitions(pages), kinds["book_id"], kinds["page"]).add(pages)
+    return create_index(pages.sparkSession, path, policy.q, policy.seam_len, _partitions(pages), kinds["book_id"], kinds["page"]).add(pages)
 
 
 def find_matches(pages: DataFrame, excerpts: DataFrame, policy: MatchPolicy = DEFAULT_POLICY) -> DataFrame:
@@ -316,11 +319,22 @@ def find_matches(pages: DataFrame, excerpts: DataFrame, policy: MatchPolicy = DE
     ``pages`` are (book_id, page, text), ``excerpts`` (book_id, excerpt_id, text).
     The first page with an exact occurrence, else that of the least distance, else
     none; an empty excerpt is nowhere. Pages that are searched more than once are
-    better kept in a ``page_index``.
+    better kept in a ``page_index``. The search runs when it is called.
     """
-    from .page_index import search_index
+    return kept(pages.sparkSession, lambda: _matches(pages, excerpts, policy, False), "matches")
 
-    return search_index(passing_index(pages, policy), excerpts, policy)
+
+def _matches(pages: DataFrame, excerpts: DataFrame, policy: MatchPolicy, every: bool) -> DataFrame:
+    from .page_index import search_index, search_index_all
+
+    if policy.enable_fuzzy:
+        return (search_index_all if every else search_index)(passing_index(pages, policy), excerpts, policy)
+    # what is looked for exactly and once needs no grams
+    book, patterns = saved(normalised_pages(pages), "pages"), saved(deduplicate_excerpts(excerpts), "excerpts")
+    exact = exact_hits(book, patterns)
+    if every:
+        return all_pages(patterns, exact, lambda open_: open_, policy, pages.schema["page"].dataType.simpleString())
+    return best_pages(patterns, exact, lambda open_: open_, policy)
 
 
 def best_pages(patterns: DataFrame, exact: DataFrame, near: Callable[[DataFrame], DataFrame], policy: MatchPolicy) -> DataFrame:
@@ -351,9 +365,7 @@ def collapse_seams(hits: Column) -> Column:
 
 def find_matches_all(pages: DataFrame, excerpts: DataFrame, policy: MatchPolicy = DEFAULT_POLICY) -> DataFrame:
     """(book_id, excerpt_id, pages): all pages of each excerpt, exact ones in their order, else approximate ones by score; empty if there are none."""
-    from .page_index import search_index_all
-
-    return search_index_all(passing_index(pages, policy), excerpts, policy)
+    return kept(pages.sparkSession, lambda: _matches(pages, excerpts, policy, True), "matches")
 
 
 def all_pages(patterns: DataFrame, exact: DataFrame, near: Callable[[DataFrame], DataFrame], policy: MatchPolicy, page_kind: str) -> DataFrame:

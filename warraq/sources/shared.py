@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,13 +33,28 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 def saved(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: its lineage is cut, a lost executor loses nothing."""
-    path = shared_path(df.sparkSession, label)
-    for tables in getattr(_OPEN, "stack", [])[-1:]:
-        tables.append((df.sparkSession, path))
+    path = passing(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def passing(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which ``scratch`` removes where it is open."""
+    path = shared_path(spark, label)
+    for tables in getattr(_OPEN, "stack", [])[-1:]:
+        tables.append((spark, path))
+    return path
+
+
+def kept(spark: SparkSession, build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What ``build`` returns, written and read back; what it saves on its way is removed."""
+    path = passing(spark, label)
+    with scratch():
+        df = build()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder, wherever Spark's file systems reach."""
     jvm = spark.sparkContext._jvm
