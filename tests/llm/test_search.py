@@ -189,8 +189,9 @@ def test_near_vectors(spark, monkeypatch, dims):
     assert len({component[2000 + k] for k in range(120)} | {component[1]}) == 1
     assert {component[3000 + k] for k in range(120)} == {component[4]} and component[4000] == 4000 and component[4001] == 4001
     assert component[4010] == component[4011] == component[7] and component[4009] == component[4008] == 4008 and component[4012] == 4012
-    # blocks of a bucket change nothing
+    # blocks of a bucket change nothing, nor does looking at places together
     monkeypatch.setattr(vectors, "CELL", 16)
+    monkeypatch.setattr(vectors, "FEW", 5)
     assert Counter(map(tuple, vectors.near_vectors(table).collect())) == Counter(map(tuple, got))
 
 

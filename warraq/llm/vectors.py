@@ -47,6 +47,8 @@ from .components import connected_components
 SAMPLE, BITS, TURNS = 8192, 64, 50
 #: Vectors of a block of a bucket; a larger bucket is split.
 CELL = 4096
+#: Rows of a place up to which many places are looked at together; it changes no result.
+FEW = 32
 
 
 @dataclass(frozen=True)
@@ -146,23 +148,55 @@ def _strips(place, codes, visitors, left, width: int, most: int):
         yield some, others, meet
 
 
+def _whole(batches):
+    """Batches that end where a place ends, and for each row the number of its place."""
+    rest = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(rest.columns, batch.columns, strict=True)], batch.schema.names)
+        rest = None
+        at = np.stack([batch.column(c).to_numpy() for c in ("home", "slot", "i", "j")], axis=1)
+        number = np.cumsum(np.concatenate([[False], (at[1:] != at[:-1]).any(axis=1)])[: len(at)])
+        cut = int(np.searchsorted(number, number[-1])) if len(at) else 0
+        rest = batch.slice(cut)
+        if cut:
+            yield batch.slice(0, cut), at[:cut], number[:cut]
+    if rest is not None and rest.num_rows:
+        yield rest, np.stack([rest.column(c).to_numpy() for c in ("home", "slot", "i", "j")], axis=1), np.zeros(rest.num_rows, np.int64)
+
+
 def _partners(width: int, most: int):
     """The rows that have a partner at their place by codes alone."""
 
     @lean
     def run(batches):
-        names = ["home", "slot", "i", "j", "class", "code", "visitor", "block"]
-        for place, parts in _groups(batches, names[4:]):
-            rows = [pa.concat_arrays(c) for c in zip(*parts, strict=True)]
-            codes, visitors = rows[1].to_numpy().view(np.uint64), rows[2].to_numpy(zero_copy_only=False)
-            found = np.zeros(len(codes), bool)
-            for some, others, meet in _strips(place, codes, visitors, rows[3].to_numpy() == place[2], width, most):
-                found[some] |= meet.any(axis=1)
-                found[others] |= meet.any(axis=0)
+        mask = np.uint64((1 << width) - 1)
+        for batch, at, number in _whole(batches):
+            codes, visitors = batch.column("code").to_numpy().view(np.uint64), batch.column("visitor").to_numpy(zero_copy_only=False)
+            blocks, tables = batch.column("block").to_numpy(), at[:, 1] >> width
+            sizes = np.bincount(number)
+            few, found = sizes[number] <= FEW, np.zeros(len(codes), bool)
+            # of all places of few rows at once: each row with those that follow it at some distance
+            for d in range(1, int(min(sizes.max(), FEW))):
+                a = np.flatnonzero(few[:-d] & (number[:-d] == number[d:]) & ~(visitors[:-d] & visitors[d:]) & ((blocks[:-d] != blocks[d:]) | (at[:-d, 2] == at[:-d, 3])))
+                differ = codes[a] ^ codes[a + d]
+                near = np.bitwise_count(differ) <= most
+                a, differ = a[near], differ[near]
+                first = np.ones(len(a), bool)
+                for t in range(int(tables[a].max(initial=0))):
+                    first &= (t >= tables[a]) | (np.bitwise_count((differ >> np.uint64(t * width)) & mask) > 1)
+                found[a[first]] = found[a[first] + d] = True
+            begin = np.cumsum(sizes) - sizes
+            for g in np.flatnonzero(sizes > FEW).tolist():
+                k = slice(int(begin[g]), int(begin[g] + sizes[g]))
+                place = tuple(at[k.start].tolist())
+                here = np.zeros(sizes[g], bool)
+                for some, others, meet in _strips(place, codes[k], visitors[k], blocks[k] == place[2], width, most):
+                    here[some] |= meet.any(axis=1)
+                    here[others] |= meet.any(axis=0)
+                found[k] = here
             if found.any():
-                at = np.flatnonzero(found)
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(at), v), t) for v, t in zip(place, kinds, strict=True)), *(c.take(pa.array(at)) for c in rows)], names)
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(found)).columns, batch.schema.names)
 
     return run
 
@@ -228,7 +262,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, width: int = 16, i
     full = keyed.groupBy("home", "slot").agg(F.count("*").alias("m")).where(F.col("m") > CELL).select("home", "slot", F.ceil(F.col("m") / CELL).cast("int").alias("cells"))
     keyed = keyed.join(saved(full, "full-buckets"), ["home", "slot"], "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
     keyed = keyed.withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), F.col("cells")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    keyed = keyed.select("home", "slot", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "class", "code", "visitor", "block")
+    keyed = keyed.select("home", F.col("slot").cast("int").alias("slot"), F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "class", "code", "visitor", "block")
     where, most = ["home", "slot", "i", "j"], model.bits // 4
     met = saved(keyed.repartition(*where).sortWithinPartitions(*where).mapInArrow(_partners(width, most), "home bigint, slot int, i int, j int, class bigint, code bigint, visitor boolean, block int"), "partners")
 
