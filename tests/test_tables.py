@@ -177,7 +177,7 @@ def test_streams(spark, tmp_path):
     assert [tuple(r) for r in found] == [("b", 1, 5)]
 
 
-SMALL = ["sanitize_search", "sanitize_tatweel_safe", "noise_flag", "quote_balance", "standardize_hijri", "convert_confused", "edit_distance", "dedupe_excerpts", "build_book", "pos_to_page", "create_seams", "exact_page_search_all", "fuzzy_page_search_all", "noise_parts", "unbalanced_errors", "bracket_balance", "reference_repair", "needs_correction", "sanitize_factory", "segment_alignment", "pattern_counts", "sanitize_batch", "similar_after_normalization"]
+SMALL = ["sanitize_search", "sanitize_tatweel_safe", "noise_flag", "quote_balance", "standardize_hijri", "convert_confused", "edit_distance", "dedupe_excerpts", "build_book", "pos_to_page", "create_seams", "exact_page_search_all", "fuzzy_page_search_all", "noise_parts", "unbalanced_errors", "bracket_balance", "reference_repair", "needs_correction", "sanitize_factory", "segment_alignment", "segment_lines", "pattern_counts", "sanitize_batch", "similar_after_normalization"]
 
 
 @pytest.mark.parametrize("name", SMALL)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alignment, balance, distance, noise, patterns, segments, tokens, typos
 from ..functions.sanitize import SanitizeOptions, create_sanitizer, sanitize, sanitize_array
-from ..operators import footnotes, page_index, search
+from ..operators import footnotes, page_index, search, segment_lines
 from ..sources.tables import spread
 from . import oracles
 
@@ -378,6 +378,14 @@ def segment_alignment(s: SparkSession, d: str) -> DataFrame:
     return x.select("conv_id", F.posexplode(segments.align_segments("targets", "parts")).alias("pos", "line")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
+def segment_line_tables(s: SparkSession, d: str) -> DataFrame:
+    """The same from tables of lines, which no row gathers."""
+    turns, middle = _turns(s, d), F.floor(F.length("text") / 2).cast("int")
+    late = turns.select("conv_id", (2 * F.col("turn")).alias("turn"), F.substring(F.col("text"), middle + 1, F.length("text")).alias("text"))
+    early = turns.select("conv_id", (2 * F.col("turn") + 1).alias("turn"), F.substring(F.col("text"), F.lit(1), middle).alias("text"))
+    return segment_lines.align_lines(turns, late.unionByName(early), "conv_id", "turn")
+
+
 def reference_lines(s: SparkSession, d: str) -> DataFrame:
     """Turns as lines: those of the assistant are footnotes, with references left out and confused."""
     x = _table(s, d, "conversations").select("conv_id", "turn", "role", "text")
@@ -513,6 +521,7 @@ Q: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]] = [
     ("typo_repair", typo_repair, oracles.typos_sql(lambda x: sanitize_sql(x, "search"), WS, MISREAD, "ﷺ")),
     ("token_alignment", token_alignment, oracles.tokens_sql(lambda x: sanitize_sql(x, "search"))),
     ("segment_alignment", segment_alignment, oracles.segments_sql(lambda x: sanitize_sql(x, "search"))),
+    ("segment_lines", segment_line_tables, oracles.segments_sql(lambda x: sanitize_sql(x, "search"))),
     ("reference_repair", reference_repair, oracles.REPAIR_SQL),
     ("pattern_counts", pattern_counts, oracles.pattern_counts_sql(arabic_sql("text") + f" || '{CASES}'", ARA, WS)),
 ]
