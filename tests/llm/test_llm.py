@@ -599,6 +599,35 @@ def test_repeats(docs, empty, monkeypatch, keep, group):
     assert repeats.repeat_digests(empty).collect() == []
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_repeats_around_a_common_passage(spark, monkeypatch, keep):
+    """Many texts hold a passage just below the length, and some share more around it: no group of contexts is larger than GROUP."""
+    monkeypatch.setattr(repeats, "GROUP", 6)
+    monkeypatch.setattr(repeats, "SLICE", 600)
+    divided, sizes = repeats._divided, []
+
+    def watched(cut, *rest):
+        few, lone = divided(cut, *rest)
+        before, after = (df.groupBy("gram").count().agg({"count": "max"}).first()[0] or 0 for df in (cut, few))
+        sizes.append((before, after, lone is not None))
+        return few, lone
+
+    monkeypatch.setattr(repeats, "_divided", watched)
+    r = random.Random(21)
+    text = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    passage, more = text(58), [text(12) for _ in range(4)]
+    texts = [text(90) + r.choice(["", *more]) + passage + r.choice(["", *more]) + text(90) for _ in range(150)] + [text(20) + more[0] + passage + more[1] + text(30)] * 2
+    rows = [(i if i % 9 else None, t) for i, t in enumerate(texts)]
+    if keep == "first":
+        rows = sorted({(i if i % 9 else -i - 1, t) for i, t in enumerate(texts)})
+    got = repeats.repeat_digests(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), 60, keep).collect()
+    want = covered([(i, t.encode()) for i, t in rows], 60, keep == "first")
+    order = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    assert sorted(((x.doc_id, [(s.start, s.end) for s in x.spans]) for x in got), key=order) == sorted(want, key=order)
+    (before, after, lone), = sizes
+    assert before > 100 and after <= 6 and lone
+
+
 @pytest.mark.parametrize("keep", ["none", "first"])
 def test_repeats_of_long_texts(spark, monkeypatch, keep):
     """Texts above the bound, with empty and null texts before and after them in the same Arrow batch."""

@@ -4,12 +4,18 @@ A string of ``length`` bytes that stands at two places has the same anchor at bo
 the ``ANCHOR``-byte gram in it whose hash is least (the leftmost of equals). Each
 anchor of a document stands for the run of consecutive windows that choose it, and
 the run's bytes are its context. Contexts that occur more than once are repeated as
-a whole, which counting their hashes shows. The others can be repeated in part only
-where their anchor's gram occurs elsewhere; those few are grouped by their anchor,
-and a suffix array over each block of groups gives, through previous and next
-smaller positions in suffix order, the longest earlier (and later) factor at each
-place. A group of more than GROUP contexts is settled by counting the hashes of its
-windows instead, so that no group is cut short.
+a whole: their suffixes would be neighbours in suffix order, whose factors are as
+long as they are, so that one of each is kept with their count. The others can be
+repeated in part only where their anchor's gram occurs elsewhere; those few are
+grouped by their anchor, and a suffix array over each block of groups gives, through
+previous and next smaller positions in suffix order, the longest earlier (and later)
+factor at each place.
+
+A group of more than GROUP contexts is divided first. Equal windows have their anchor
+at the same place, so that windows are dealt by the stretch of that place and by the
+bytes that all windows of the stretch hold. Stretches are halved for parts that are
+still larger; in the end a stretch is one place and a part one window, so that every
+part has its suffix array and none is cut short.
 
 ``repeated_spans`` gives all occurrences of repeated strings (``keep="none"``), or
 all but the first in the order of document ids and places (``keep="first"``).
@@ -35,8 +41,8 @@ from .common import HOT, binary, if_small, join_hot, lean, let_go, saved, slices
 
 #: Bytes of the sampled gram, a power of two.
 ANCHOR = 32
-#: A group of more contexts than this is settled by the hashes of its windows.
-GROUP = 8192
+#: A group of more contexts than this is divided before its suffix array is made.
+GROUP = 1024
 #: Bytes of contexts that one suffix array covers, unless a single group has more.
 BLOCK = 1 << 19
 #: Keys of repeated rows (8 bytes each) that are broadcast to number these rows; beyond that the rows are shuffled.
@@ -256,27 +262,58 @@ def _cut_contexts(length: int, text_col: str):
     return run
 
 
-def _windows(length: int):
-    """(window hash, row_key, place, n) of each window of the contexts."""
+def _pieces(length: int, width: int):
+    """The pieces of contexts whose windows have their anchors in one stretch of ``width`` places, with the hash of what all such windows hold as their group."""
 
     @lean
     def run(batches):
-        from xxhash import xxh3_128_digest
-
-        for batch in batches:
-            for k in range(batch.num_rows):
-                data = batch.column(6)[k].as_py()
-                count = len(data) - length + 1
-                first = batch.column(5)[k].as_py()
-                own = pa.array([k] * count, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([xxh3_128_digest(data[p : p + length]) for p in range(count)], pa.binary()), *(batch.column(c).take(own) for c in (0, 1, 4)), pa.array(range(first, first + count), pa.int32())],
-                    ["window", "row_key", "doc_id", "n", "place"],
-                )
+        from xxhash import xxh3_64_intdigest
+
+        values, most = _byte_values(), max(SLICE // length, 1)
+        for batch in (whole.slice(i, most) for whole in batches for i in range(0, whole.num_rows, most)):
+            data = batch.column("bytes").to_pylist()
+            heads = np.arange(1, len(data) + 1) * length
+            # each first window has one anchor, which is that of the whole context
+            places = anchors(b"".join(x[:length] for x in data), heads, length, values)[2] - (heads - length)
+            rows, part, begin, piece = [], [], [], []
+            for k, (x, at) in enumerate(zip(data, places.tolist(), strict=True)):
+                for low in range((at - len(x) + length) // width * width, at + 1, width):
+                    high = min(low + width - 1, length - ANCHOR)
+                    a, b = max(at - high, 0), min(at - low, len(x) - length)
+                    rows.append(k)
+                    part.append(xxh3_64_intdigest(x[at - low : at - high + length], low))
+                    begin.append(a)
+                    piece.append(x[a : b + length])
+            own = batch.select(["row_key", "doc_id", "n", "first"]).take(pa.array(rows, pa.int64()))
+            first = pa.array(own.column("first").to_numpy() + np.asarray(begin, np.int32), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [own.column("row_key"), own.column("doc_id"), pa.array(np.asarray(part, np.uint64).view(np.int64)), own.column("n"), first, pa.array(piece, pa.binary())], ["row_key", "doc_id", "gram", "n", "first", "bytes"]
+            )
 
     return run
 
 
+def _divided(cut: DataFrame, length: int, first_only: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Contexts in groups of at most GROUP, and the runs (row_key, first, last) of pieces that are alone in their part."""
+    kind = cut.schema["doc_id"].dataType.simpleString()
+    few, alone = cut.where(F.col("m") <= GROUP), None
+    rest, width = cut.where(F.col("m") > GROUP), length - ANCHOR + 1
+    while width > 1 and not rest.isEmpty():
+        width = (width + 1) // 2
+        pieces = rest.mapInArrow(_pieces(length, width), f"row_key bigint, doc_id {kind}, gram bigint, n bigint, first int, bytes binary")
+        unlike = pieces.groupBy("gram", "bytes").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "row_key", "first")).alias("o"))
+        unlike = saved(unlike.select("o.*", "gram", "n", "bytes"), "pieces")
+        sizes = saved(unlike.groupBy("gram").agg(F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("single")), "parts")
+        now = saved(join_hot(unlike, sizes, "gram", "inner", sizes.where(F.col("m") > HOT).select("gram")).select("row_key", "doc_id", "gram", "m", "n", "first", "bytes", "single"), "divided")
+        let_go(unlike, sizes)
+        tidy(cut.sparkSession)
+        lone = now.where("m = 1" if first_only else "m = 1 and n = 1").select("row_key", "first", (F.col("first") + F.octet_length("bytes") - length).alias("last"))
+        alone = lone if alone is None else alone.unionByName(lone)
+        open_ = now.where("m > 1" if first_only else "m > 1 and single > 0").drop("single")
+        few, rest = few.unionByName(open_.where(F.col("m") <= GROUP)), open_.where(F.col("m") > GROUP)
+    return few.unionByName(rest), alone
+
+
 def repeated_runs(docs: DataFrame, length: int = 200, keep: str = "none", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, repeated, kept): rows as (row_key, row, copy), and for each row_key the lists of window runs that may go and that stay.
 
@@ -308,11 +345,11 @@ def repeated_runs(docs: DataFrame, length: int = 200, keep: str = "none", id_col
     cut = rows.join(refs, "row_key").select("row_key", "row", "refs", "doc_id").mapInArrow(_cut_contexts(length, text_col), f"row_key bigint, doc_id {of_kind}, gram bigint, m bigint, n bigint, first int, bytes binary")
     cut = saved(cut.dropDuplicates(["row_key", "first", "gram"]), "contexts")
     tidy(docs.sparkSession)
-    small = cut.where(F.col("m") <= GROUP).repartition("gram").sortWithinPartitions("gram", F.col("doc_id").asc_nulls_first(), "row_key", "first")
-    kept = small.mapInArrow(_settle(length, first_only), RUN)
-    windows = cut.where(F.col("m") > GROUP).mapInArrow(_windows(length), f"window binary, row_key bigint, doc_id {of_kind}, n bigint, place int")
-    sums = windows.groupBy("window").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "row_key", "place")).alias("o"))
-    kept = kept.unionByName((sums if first_only else sums.where("n = 1")).select("o.row_key", F.col("o.place").alias("first"), F.col("o.place").alias("last")))
+    few, lone = _divided(cut, length, first_only)
+    few = few.repartition("gram").sortWithinPartitions("gram", F.col("doc_id").asc_nulls_first(), "row_key", "first")
+    kept = few.mapInArrow(_settle(length, first_only), RUN)
+    if lone is not None:
+        kept = kept.unionByName(lone)
     if first_only:  # the first of contexts that no other context of their gram can touch
         alone = contexts.join(groups.where("m = 1").select("gram"), "gram", "left_semi").select("o.row_key", "o.first", "o.last")
         kept = kept.unionByName(alone)
