@@ -1,11 +1,11 @@
 """Re-joining of split or reordered lines over books whose lines do not fit in one row.
 
 The rows of ``functions.segments.align_segments``, for targets and segments that are tables
-of lines. A line's place is the number of letters before it on its side, a running
+of lines. A line's place is the number of characters before it on its side, a running
 sum over ranges. Each segment meets the one that follows it by its number, and what
 they make together is normalised there, so that the costly part runs on all tasks.
 Then both sides of a document stream by place through one pass, which holds the lines
-that wait for their partner and no others: where the two sides have the same letters,
+that wait for their partner and no others: where the two sides have the same text,
 that is a line or two.
 """
 
@@ -148,17 +148,17 @@ def align_lines(targets: DataFrame, segments: DataFrame, doc_col: str = "doc_id"
         return df.select(key.alias("id"), F.coalesce(key.cast("string"), F.lit("")).alias("doc"), key.isNull().alias("nameless"), F.col(f"`{line_col}`").alias("at"), F.col(f"`{text_col}`").alias("text"), F.lit(number).alias("side"))
 
     def build() -> DataFrame:
-        both = side(targets, TARGET).unionByName(side(segments, SEGMENT)).withColumn("normal", sanitize(text(F.col("text"))))
+        both = side(targets, TARGET).unionByName(side(segments, SEGMENT))
         dealt = ranged(both, ["doc", "nameless", "side"], ["at", "text"], "segment-ranges")
         counts = dealt.rows.groupBy("doc", "nameless").agg(F.count_if(F.col("side") == TARGET).alias("targets"), F.count_if(F.col("side") == SEGMENT).alias("segments"))
         facts = counts.withColumn("side", F.explode(F.array(F.lit(TARGET), F.lit(SEGMENT))))
-        return dealt.along(sums={"n": F.lit(1), "place": F.length("normal")}, facts=facts)
+        return dealt.along(sums={"n": F.lit(1), "place": F.length(text(F.col("text")))}, facts=facts)
 
     lines = kept(spark, build, "segment-lines").withColumn("n", F.col("n").cast("bigint"))
     near = ["doc", "nameless", "side", "n"]
     following = lines.where(F.col("side") == SEGMENT).select("doc", "nameless", "side", (F.col("n") - 1).alias("n"), text(F.col("text")).alias("following"))
     here, after = text(F.col("text")), F.col("following")
     made = lambda a, b: F.when(after != "", sanitize(F.concat_ws(" ", a, b)))
-    rows = lines.join(following, near, "left").select("id", "doc", "nameless", "side", "n", "place", "targets", "segments", "text", "normal", "following", made(here, after).alias("ahead"), made(after, here).alias("back"))
+    rows = lines.join(following, near, "left").select("id", "doc", "nameless", "side", "n", "place", "targets", "segments", "text", sanitize(here).alias("normal"), "following", made(here, after).alias("ahead"), made(after, here).alias("back"))
     dealt = rows.repartition("doc", "nameless").sortWithinPartitions("doc", "nameless", "place", "side", "n")
     return dealt.mapInArrow(_fold(threshold), f"id {kind}, pos bigint, line string").withColumnRenamed("id", doc_col)
