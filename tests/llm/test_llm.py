@@ -303,6 +303,21 @@ def test_url_rules_without_token(spark):
 BASE = [("assign", re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32)]
 
 
+def test_secret_query(spark, tmp_path):
+    """Counts and digest of the query where a text has several spans of several kinds."""
+    r = random.Random(6)
+    bits = ["password", "ToKen", "API_KEY", "secret", "=", ":", " = ", '"', "abcdefgh", "Ab+/_.=-", "\u017f", "\u212a", "é", "\U0001f600", "AKIA", "ABCDEF0123456789", "0a1b" * 9, " ", "\n"]
+    texts = [None, ""] + ["".join(r.choices(bits, k=r.randint(1, 25))) for _ in range(300)]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.op6_secret_scans(spark, str(tmp_path)).collect()
+    for row in got:
+        spans = sorted((m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(BASE) for m in p.finditer(texts[row.doc_id] or "") if len(m[g]) >= n)
+        want = ",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in spans)
+        counts = tuple(sum(s[1] == k for s in spans) for k in range(3))
+        assert (row.n_assign, row.n_access, row.n_hex, row.base_sha256) == (*counts, hashlib.sha256(want.encode()).hexdigest())
+    assert len(got) == len(texts)
+
+
 def test_secrets_with_hot_values(docs, monkeypatch):
     """Values and documents' sets that many rows share give the same result by broadcast."""
     want = Counter(map(str, secrets.scan(docs).collect())), Counter(map(str, secrets.redact(docs).collect()))
