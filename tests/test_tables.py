@@ -177,6 +177,18 @@ def test_streams(spark, tmp_path):
     assert [tuple(r) for r in found] == [("b", 1, 5)]
 
 
+def test_confused_references_of_texts(spark, tmp_path):
+    """Latin texts have references of their own; the query agrees with its SQL on them, the operator converts all that are confused."""
+    texts = ["see (1) and (9)", "(1.9) (.) ()", "a (1O) b (V.9)", "(OV) (1)(9)", "", "(1", "x (11)"]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(path)
+    query, sql = next((q, s) for n, q, s in Q if n == "convert_confused")
+    want = duckdb.sql(sql.replace("from documents", f"from '{path}/*.parquet'")).fetchall()
+    assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == sorted(want)
+    one = spark.createDataFrame([("(1) (9.O)",)], "x string").select(footnotes.convert_confused(F.col("x"))).first()[0]
+    assert one == "(١) (٩٠٥)"
+
+
 SMALL = ["sanitize_search", "sanitize_tatweel_safe", "noise_flag", "quote_balance", "standardize_hijri", "convert_confused", "edit_distance", "dedupe_excerpts", "build_book", "pos_to_page", "create_seams", "exact_page_search_all", "fuzzy_page_search_all", "noise_parts", "unbalanced_errors", "bracket_balance", "reference_repair", "needs_correction", "sanitize_factory", "segment_alignment", "segment_lines", "pattern_counts", "sanitize_batch", "similar_after_normalization"]
 
 

@@ -34,9 +34,9 @@ def _pieces(x: Column, pattern: str) -> tuple[Column, Column]:
     return F.split(x, pattern, -1), F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
 
 
-def convert_confused(x: Column) -> Column:
-    """Confused characters become digits inside their references."""
-    gaps, found = _pieces(x, P.OCR_REFERENCE)
+def convert_confused(x: Column, pattern: str = P.OCR_REFERENCE) -> Column:
+    """Confused characters become digits inside their references, those that match ``pattern``."""
+    gaps, found = _pieces(x, pattern)
     meant = F.transform(found, lambda r: F.translate(r, CONFUSED, MEANT))
     return F.array_join(F.flatten(F.zip_with(gaps, meant, lambda g, r: F.array(g, F.coalesce(r, F.lit(""))))), "")
 
