@@ -483,6 +483,18 @@ def test_similar_sets_share_a_bucket(num, den):
     assert again
 
 
+def test_places_of_a_set():
+    """A set goes to no more places than it needs: one more than it differs in from similar ones, in each band."""
+    r, buckets, total = random.Random(2), ngram_join.Buckets(8, 10), 0
+    for n in range(300, 400):
+        x = np.sort(np.asarray([r.getrandbits(64) for _ in range(n)], np.uint64))
+        for band in buckets.bands(n):
+            h = buckets.apart(n, band)
+            assert h <= buckets.sizes(band)[0] and h >= (min(n * 10 // 8, buckets.bounds[band + 1] - 1) - n)
+            total += len(buckets.names(x, band))
+    assert total <= 0.5 * sum(range(300, 400))
+
+
 def test_unlike_sets_do_not_meet(spark, monkeypatch):
     """Texts of few words share most shingles with others by chance, as in a large corpus: only the similar ones are sent anywhere."""
     r, rows = random.Random(8), {}

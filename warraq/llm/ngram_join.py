@@ -9,7 +9,9 @@ several shingles, so that unlike sets do not meet by chance, however many there
 fewer than WEAK shingles are no meeting places; a set that has at most h others
 is dealt again in another way, after SALTS ways by single shingles. If one of two
 similar sets has more than h, a bucket that both share is among them; if neither has,
-both are dealt again: no link is lost.
+both are dealt again: no link is lost. A set of more than h goes to its first h + 1
+alone: before the first bucket that both share each set has only buckets that differ,
+of which there are h at most.
 
 Where sets meet, they are put in one global order, frequent shingles last, and stored
 in a trie, which each probes: a path is walked once for all sets that share it, and a
@@ -38,13 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import HOT, binary, if_small, join_hot, lean, saved, slices, tidy
+from .common import HOT, binary, if_small, join_hot, lean, saved, shuffle_partitions, slices, tidy
 from .components import connected_components
 
 #: Classes of a block of sets of up to LENGTH shingles; a place of more, or of longer sets, is split.
 CELL, LENGTH = 192, 1000
 #: Buckets of fewer shingles are no meeting places; ways to deal out shingles before they stand alone.
 WEAK, SALTS = 2, 4
+#: Rows of places that one task sorts.
+SORTED = 4_000_000
 #: Lengths of a band of sets, which share a number of buckets, differ by less than this factor.
 WIDE = 1.3
 #: Keys of near copies (8 bytes each) that are broadcast to take their rows out, or to find their texts; beyond that the rows are shuffled.
@@ -169,9 +173,14 @@ class Buckets:
             self.known[band] = h, k if k <= least else 0
         return self.known[band]
 
+    def apart(self, n: int, band: int) -> int:
+        """In how many shingles a set of ``n`` differs at most from a similar one that it meets in a band."""
+        most = min(self.bounds[band + 1] - 1, n * self.den // self.num)
+        return (self.den - self.num) * (n + most) // (self.den + self.num)
+
     def names(self, shingles: np.ndarray, band: int) -> np.ndarray:
         """64-bit names of the places of a band to which a set (ascending hashes) goes."""
-        h, k = self.sizes(band)
+        k, h = self.sizes(band)[1], self.apart(len(shingles), band)
         if not h:  # equal sets are one class
             return shingles[:0]
         out = []
@@ -182,7 +191,7 @@ class Buckets:
             begin = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1])
             strong = np.diff(begin, append=len(dealt)) >= self.weak
             names = mixed((np.add.reduceat(mixed(dealt), begin) ^ own) + bucket[begin] * MIX)
-            out.append(names[strong])
+            out.append(names[strong][: h + 1])
             if len(out[-1]) > h:
                 return np.concatenate(out)
         return np.concatenate([*out, mixed(mixed(shingles) ^ times_mix(band * (SALTS + 1)))])
@@ -392,6 +401,9 @@ def _linked(docs: DataFrame, size: int, num: int, den: int, id_col: str, text_co
     placed = texts.select("text").mapInArrow(_places(size, num, den), "place bigint, class bigint, band smallint, own boolean")
     # few sets but those of a component share a place, so that one task can hold it
     alike = W.partitionBy("place")
+    # a set has places for about half of its shingles; a task's share is sorted in memory
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    placed = placed.repartition(max(shuffle_partitions(spark), total // (2 * SORTED) + 1), "place")
     shared = placed.select("class", "band", "own", F.min("class").over(alike).alias("pivot"), F.max("class").over(alike).alias("last"), F.max("own").over(alike).alias("longer"))
     met = shared.where("pivot <> last and longer").groupBy("class", "pivot", "band").agg(F.max("own").cast("int").alias("own")).join(classes, "class")
     met = saved(met.select("class", "pivot", "row_key", "n", "band", "own"), "meetings")
