@@ -17,7 +17,8 @@ BARE = (r"\-=_━≺≻", r".", r"!", r"A-Z", r"\-0-9", r"—", r"्र\-")
 
 
 def _count(col: Column, pattern: str) -> Column:
-    return F.regexp_count(col, F.lit(pattern))
+    """Code points of a class: what the text loses without its runs of them (``regexp_count`` makes a string of each)."""
+    return F.length(col) - F.length(F.regexp_replace(col, pattern + "+", ""))
 
 
 @F.arrow_udf(T.MapType(T.StringType(), T.IntegerType()))
