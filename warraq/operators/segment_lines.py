@@ -18,45 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.distance import edit_distance, likeness, may_reach  # noqa: F401
+from ..functions.normal import search_text
 from ..functions.patterns import text
-from ..functions.sanitize import sanitize
 from ..sources.shared import kept
 from .ranges import ranged
 
 TARGET, SEGMENT = 0, 1
 
 
-def edit_distance(a: str, b: str) -> int:
-    """The edit distance by bit vectors: a column of the table is two integers of as many bits as ``a`` has characters."""
-    if not a or not b:
-        return len(a) + len(b)
-    at: dict[str, int] = {}
-    for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << i
-    every, last = (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, score = every, 0, len(a)
-    for c in b:
-        same = at.get(c, 0)
-        diagonal = (((same & up) + up) ^ up | same | down) & every
-        more, less = down | every & ~(diagonal | up), diagonal & up
-        score += bool(more & last) - bool(less & last)
-        more, less = (more << 1 | 1) & every, less << 1 & every
-        up, down = less | every & ~(diagonal | more), more & diagonal
-    return score
-
-
-def likeness(a: str, b: str) -> float:
-    """``functions.distance.similarity`` of two texts."""
-    size = max(len(a), len(b), 1)
-    return 1.0 if a == b else (size - edit_distance(a, b)) / size
-
-
-def may_reach(a: str, b: str, threshold: float) -> bool:
-    """Whether the lengths alone allow ``threshold``."""
-    size = max(len(a), len(b), 1)
-    return (size - abs(len(a) - len(b))) / size >= threshold
-
-
 class _Fold:
     """One document: its targets and segments as they come, its lines as soon as they are settled."""
 
@@ -158,7 +128,7 @@ def align_lines(targets: DataFrame, segments: DataFrame, doc_col: str = "doc_id"
     near = ["doc", "nameless", "side", "n"]
     following = lines.where(F.col("side") == SEGMENT).select("doc", "nameless", "side", (F.col("n") - 1).alias("n"), text(F.col("text")).alias("following"))
     here, after = text(F.col("text")), F.col("following")
-    made = lambda a, b: F.when(after != "", sanitize(F.concat_ws(" ", a, b)))
-    rows = lines.join(following, near, "left").select("id", "doc", "nameless", "side", "n", "place", "targets", "segments", "text", sanitize(here).alias("normal"), "following", made(here, after).alias("ahead"), made(after, here).alias("back"))
+    made = lambda a, b: search_text(F.when(after != "", F.concat_ws(" ", a, b)))
+    rows = lines.join(following, near, "left").select("id", "doc", "nameless", "side", "n", "place", "targets", "segments", "text", search_text(here).alias("normal"), "following", made(here, after).alias("ahead"), made(after, here).alias("back"))
     dealt = rows.repartition("doc", "nameless").sortWithinPartitions("doc", "nameless", "place", "side", "n")
     return dealt.mapInArrow(_fold(threshold), f"id {kind}, pos bigint, line string").withColumnRenamed("id", doc_col)
