@@ -325,6 +325,19 @@ def test_secrets_with_hot_values(docs, monkeypatch):
     assert (Counter(map(str, secrets.scan(docs).collect())), Counter(map(str, secrets.redact(docs).collect()))) == want
 
 
+def test_secrets_by_hints(spark, docs, monkeypatch):
+    rng, pieces = random.Random(5), ["password", "PassWD", "api_key", "apikey", "token", "'", " ", "=", ":", "abcdefg", "Zz.9+/_-", "AKIA", "A1B2C3D4E5F6", "0123456789abcdef", "f" * 15, "é", "𝒳", "eyJ", "abcdefgh.", "ghp_", "x" * 36, "xoxb-", "-----BEGIN ", "PRIVATE KEY-----", "\n"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 14))) for _ in range(3000)] + ["é" * k + "𝒳" * (k % 3) + "0a" * 16 + "g" for k in range(40)] + ["x" * 2_000_000 + "0a" * 16]
+    spans = F.array_sort(F.concat(*(secrets.spans_of_kind(F.col("text"), k, *x) for k, x in enumerate(secrets.BASE + secrets.ADDED))))
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(spans.alias("plain"), secrets.all_spans(F.col("text")).alias("hinted")).collect()
+    assert all(r.plain == r.hinted for r in rows) and 500 < sum(bool(r.plain) for r in rows) < 3000
+    clean = secrets.redact(docs)
+    # the texts meet the verdicts without being searched again
+    assert "RLIKE" not in clean._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(secrets, "SMALL", -1)
+    assert Counter(map(str, secrets.redact(docs).collect())) == Counter(map(str, clean.collect()))
+
+
 def test_secrets(docs, empty):
     rows = secrets.scan(docs).select("doc_id", secrets.joined(F.filter("spans", lambda s: s["rank"] < 3)).alias("base"), secrets.joined(F.col("live")).alias("live")).collect()
     want = Counter()

@@ -14,6 +14,8 @@ empty table gives an empty table; other columns of the table are ignored by
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ ADDED = (
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", "xox", 0, 0),
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*", "-----BEGIN ", 0, 0),
 )
+#: Rows and spans of live secrets (some 50 bytes each) that are broadcast to the texts; beyond that the rows with candidates are shuffled.
+SMALL = 500_000
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,hash:string>>"
 
 
@@ -60,7 +64,19 @@ def spans_of_kind(text: Column, rank: int, kind: str, pattern: str, literal: str
 
 def all_spans(text: Column) -> Column:
     """The spans of all kinds, by start, then in the order of the kinds."""
-    return F.array_sort(F.concat(*(spans_of_kind(text, k, *x) for k, x in enumerate(BASE + ADDED))))
+    spans = F.array_sort(F.concat(*(spans_of_kind(text, k, *x) for k, x in enumerate(BASE + ADDED))))
+    return F.when(hinted(text), spans).otherwise(F.array().cast(SPAN))
+
+
+def hinted(text: Column) -> Column:
+    """False only where ``text`` has no span of any kind: cheap tests, most of them of bytes.
+
+    What assigns has a separator after the end of one of the names and before eight
+    characters; of 32 hex digits in a row, 16 fill one of the text's blocks of 16.
+    """
+    assigned = (text.contains(":") | text.contains("=")) & text.rlike(r"[dtnyDTNY][\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8}")
+    tests = [text.contains(x[2]) & text.rlike(x[1]) if len(x[2]) == 1 else text.contains(x[2]) for x in BASE + ADDED if x[2] is not None]
+    return functools.reduce(Column.__or__, [*tests, assigned, text.rlike(r"(?s)\A(?:.{16})*?[0-9a-f]{16}")])
 
 
 def joined(spans: Column) -> Column:
@@ -137,14 +153,16 @@ def redact(
 ) -> DataFrame:
     """``docs`` with live-looking secrets replaced by [SECRET]; ``chars_col``, if it is there, counts the new text's code points.
 
-    Rows without a candidate stay where they are; only the others meet the verdicts.
+    Verdicts are broadcast to the texts; if they are too many, rows that may have a
+    candidate meet them by a shuffle, and the others stay where they are.
     """
     text = F.coalesce(F.col("row").getField(text_col), F.lit(""))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    some = text.rlike("|".join(x[1] for x in BASE + ADDED))
     found = saved(candidates(docs, id_col, text_col, repository_col, owner_col).where(F.size("spans") > 0), "secret-spans")
     verdicts = found.select("row_key", "spans").dropDuplicates(["row_key"]).join(live_rows(found, max_owners, max_repositories), "row_key")
-    verdicts = verdicts.select("row_key", F.filter("spans", lambda s: F.array_contains("live", s["hash"])).alias("live"))
+    live = F.transform(F.filter("spans", lambda s: F.array_contains("live", s["hash"])), lambda s: F.struct(s["start"], s["end"]))
+    verdicts = saved(verdicts.select("row_key", live.alias("live")).where(F.size("live") > 0), "secret-verdicts")
+    size = verdicts.agg(F.sum(1 + F.size("live"))).first()[0] or 0
     row = F.col("row")
     key = F.xxhash64(row.getField(id_col), row.getField(repository_col), row.getField(owner_col), text)
     new = F.when(F.size("live") > 0, redacted(text, F.col("live"))).otherwise(row.getField(text_col))
@@ -152,5 +170,7 @@ def redact(
     if chars_col in docs.columns:
         n = F.when(F.size("live") > 0, F.length(new)).otherwise(row.getField(chars_col))
         changed = changed.withField(f"`{chars_col}`", n.cast(docs.schema[chars_col].dataType))
-    met = whole.where(some).withColumn("row_key", key).join(verdicts, "row_key", "left").select(changed.alias("row"))
-    return whole.where(~some).unionByName(met).select("row.*")
+    small = size <= SMALL
+    some = whole if small else whole.where(hinted(text))
+    met = some.withColumn("row_key", key).join(F.broadcast(verdicts) if small else verdicts, "row_key", "left").select(changed.alias("row"))
+    return (met if small else met.unionByName(whole.where(~hinted(text)))).select("row.*")
