@@ -69,6 +69,22 @@ def test_postings_after_additions(spark, q):
     assert freq == count
 
 
+def test_bytes_of_postings(spark, monkeypatch):
+    """Postings take bytes for pages, not for places; a search finds the places, whether the pages are broadcast or not."""
+    df = spark.createDataFrame([("x", p, "علم " * 2000) for p in range(6)], "book_id string, page int, text string")
+    index = page_index.create_index(spark, buckets=2).add(df.where("page < 3")).add(df.where("page >= 3")).merge()
+    grams = spark.createDataFrame([("x", "علم ")], "book_id string, gram string")
+    every = (page_index.PAGE, page_index.SEAM, page_index.CROSS)
+    stored = spark.read.parquet(f"{index.path}/postings/{index.generations[0]}")
+    binary = [f.name for f in stored.schema.fields if f.dataType.simpleString() == "binary"]
+    assert stored.agg(F.sum(sum(F.octet_length(c) for c in binary))).first()[0] < 200
+    found = Counter(map(tuple, index.postings(grams, every).collect()))
+    # 2,000 words a page, the last without a blank after it; 256 a seam
+    assert len(found) == sum(found.values()) == 6 * 1999 + 5 * 256 + 5 == index.frequencies(grams, every).first().freq
+    monkeypatch.setattr(page_index, "FEW", -1)
+    assert Counter(map(tuple, index.postings(grams, every).collect())) == found
+
+
 def test_exact_hits_over_breaks(spark):
     """Every stretch of a book of short and empty pages, and some that are none."""
     rows = pages_of(3, ("x",), 10)
