@@ -1,6 +1,7 @@
 """The index of pages on disk: bytes of postings, additions, merging, search and streams."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from warraq.operators import page_index, search
+from warraq.sources import shared
 from warraq.streaming.lines import index_stream, search_stream
 
 PAGES = "book_id string, page int, text string, idx int, gram string"
@@ -143,3 +145,14 @@ def test_streams_of_an_index(spark, tmp_path):
     assert len(left) >= 1 and all(left)
     files = spark.sparkContext._jvm.java.io.File
     assert not any(files(f.removeprefix("file://").replace("file:", "")).exists() for some in left for f in some if "/index/" not in f)
+
+
+def test_saved_tables_leave_no_shuffle_files(spark):
+    files = lambda: {f.rpartition("/")[2] for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split() if "/shuffle_" in f}
+    before = files()
+    table = shared.saved(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "groups")
+    for _ in range(50):  # executors are told, not waited for
+        if not (left := files() - before):
+            break
+        time.sleep(0.2)
+    assert not left and table.count() == 7
